@@ -4,13 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, mpeg_audio
+from . import bpe_codec, exact_dedup, mpeg_audio, simhash_vptree
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal texts of all documents through the keyed state."""
+    return exact_dedup.exact_dedup(_documents(spark, sf_dir))
+
+
+def op9_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the components that their links make."""
+    return simhash_vptree.near_dedup(_documents(spark, sf_dir))
+
+
 def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each whole text as an MPEG stream, read back."""
     return mpeg_audio.digests(_documents(spark, sf_dir))
@@ -25,10 +35,14 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe
 
 def queries() -> dict:
     return {
+        "op1_exact_dedup": op1_exact_dedup,
+        "op9_simhash_vptree": op9_simhash_vptree,
         "op7_mpeg_audio": op7_mpeg_audio,
         "op10_bpe_codec": op10_bpe_codec,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_exact_dedup": exact_dedup.SQL,
+    }
