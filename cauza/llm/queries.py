@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, exact_dedup, mpeg_audio, simhash_vptree
+from . import bpe_codec, byte_gru, exact_dedup, mpeg_audio, simhash_vptree
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op9_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_vptree.near_dedup(_documents(spark, sf_dir))
 
 
+def op4_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, learned from the documents that are not held out."""
+    return byte_gru.identify(_documents(spark, sf_dir))
+
+
 def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each whole text as an MPEG stream, read back."""
     return mpeg_audio.digests(_documents(spark, sf_dir))
@@ -37,6 +42,7 @@ def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op9_simhash_vptree": op9_simhash_vptree,
+        "op4_byte_gru": op4_byte_gru,
         "op7_mpeg_audio": op7_mpeg_audio,
         "op10_bpe_codec": op10_bpe_codec,
     }
