@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_codec, byte_gru, exact_dedup, mpeg_audio, simhash_vptree
+from . import bpe_codec, budget_mix, byte_gru, exact_dedup, line_templates, mpeg_audio, preference, simhash_vptree
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,22 @@ def op9_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_vptree.near_dedup(_documents(spark, sf_dir))
 
 
+def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of recurring templates dropped from all documents but the first."""
+    out = line_templates.line_dedup(_documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op5_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2k and 2k + 1 as chosen and rejected."""
+    return preference.neighbours(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op6_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as leaves of domain, language and source, under one token budget."""
+    return budget_mix.mix(_documents(spark, sf_dir))
+
+
 def op4_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every whole text, learned from the documents that are not held out."""
     return byte_gru.identify(_documents(spark, sf_dir))
@@ -42,6 +59,9 @@ def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op9_simhash_vptree": op9_simhash_vptree,
+        "op2_line_templates": op2_line_templates,
+        "op5_preference": op5_preference,
+        "op6_budget_mix": op6_budget_mix,
         "op4_byte_gru": op4_byte_gru,
         "op7_mpeg_audio": op7_mpeg_audio,
         "op10_bpe_codec": op10_bpe_codec,
@@ -51,4 +71,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.SQL,
+        "op2_line_templates": line_templates.SQL,
+        "op5_preference": preference.SQL,
+        "op6_budget_mix": budget_mix.SQL,
     }
