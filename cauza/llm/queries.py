@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, budget_mix, byte_gru, exact_dedup, line_templates, mpeg_audio, preference, simhash_vptree
+from . import bpe_codec, budget_mix, byte_gru, exact_dedup, line_templates, mpeg_audio, preference, simhash_vptree, suffix_repeats, token_packing
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,18 @@ def op6_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budget_mix.mix(_documents(spark, sf_dir))
 
 
+def op3_token_packing(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+    """All documents as rows of 2,048 token ids."""
+    import public_tokenizers
+
+    return token_packing.pack(_documents(spark, sf_dir), public_tokenizers.path(vocabulary), public_tokenizers.PATTERN)
+
+
+def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents in windows of 50 that start in an earlier document."""
+    return suffix_repeats.remove_repeats(_documents(spark, sf_dir))
+
+
 def op4_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every whole text, learned from the documents that are not held out."""
     return byte_gru.identify(_documents(spark, sf_dir))
@@ -62,6 +74,8 @@ def queries() -> dict:
         "op2_line_templates": op2_line_templates,
         "op5_preference": op5_preference,
         "op6_budget_mix": op6_budget_mix,
+        "op3_token_packing": op3_token_packing,
+        "op8_suffix_repeats": op8_suffix_repeats,
         "op4_byte_gru": op4_byte_gru,
         "op7_mpeg_audio": op7_mpeg_audio,
         "op10_bpe_codec": op10_bpe_codec,
