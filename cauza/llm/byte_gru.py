@@ -220,3 +220,21 @@ def predict(docs: DataFrame, net: Net, text: str = "text", key: str = "doc_id")
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
     """train() and predict() on one table."""
     return predict(docs, train(docs, text, lang, key), text, key)
+
+
+def recognised(docs: DataFrame, net: Net, least_score: float = 0.0, text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text has letters and a best label with at least that score. Nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+    at = len(docs.columns)
+
+    def run(batches):
+        model = shared.value
+        for batch in batches:
+            for part in slices(batch, at):
+                letters, texts = part.column(at + 1).to_pylist(), [(x or "").encode() for x in part.column(at).to_pylist()]
+                score = pooled(model, [x if ok else b"" for x, ok in zip(texts, letters, strict=True)]).max(axis=1, initial=0)
+                kept = pa.array([bool(ok and s >= least_score) for ok, s in zip(letters, score.tolist(), strict=True)])
+                yield pa.RecordBatch.from_arrays([part.column(i).filter(kept) for i in range(at)], part.schema.names[:at])
+
+    rows = docs.select("*", F.col(text).alias("__text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
+    return rows.mapInArrow(run, docs.schema)

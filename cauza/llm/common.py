@@ -48,3 +48,9 @@ def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 8 << 20):
             start, held = i, 0
         held += n
     yield batch.slice(start)
+
+
+def stay(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of docs whose key is in ids (one column of the same name), rows that repeat key and all else once."""
+    some = ids.select(ids[key].alias("__stay"))
+    return docs.join(some, docs[key].eqNullSafe(some["__stay"]), "left_semi").dropDuplicates()
