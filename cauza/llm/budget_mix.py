@@ -13,7 +13,8 @@ budget ends over rows, so that no leaf, however large, is ordered in one task.
 
 Tokens are the runs of characters other than [\\x20\\x09-\\x0D].
 
-Defined cases: null text has no tokens; documents without tokens go with the prefix they stand in and take 0; null
+Defined cases: null text has no tokens; documents without tokens go with the prefix they stand in and take 0, and a
+leaf without tokens gives one whole epoch; null
 domain, language or source is a value of its own (``-``); a weight that is not listed is 1, a weight of 0 or less
 takes nothing; rows that repeat an identifier are rows of their own; an empty table gives no rows.
 """
@@ -86,7 +87,7 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]] | None = None, share
     )
     rows = written(rows, "mix-tokens")
     leaves = written(budgets(rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("supply")), weights, share, epochs), "mix-budgets")
-    planned = leaves.select(*LEVELS, F.expr("case when supply > 0 then budget div supply else 0 end").alias("full"), F.expr("case when supply > 0 then budget % supply else 0 end").alias("rest"))
+    planned = leaves.select(*LEVELS, F.expr("case when supply > 0 then budget div supply else 1 end").alias("full"), F.expr("case when supply > 0 then budget % supply else 0 end").alias("rest"))
     rows = rows.join(planned, list(LEVELS))
 
     whole = rows.filter("full > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("full")))).withColumn("take_tokens", F.col("tokens"))
@@ -124,7 +125,7 @@ leaves AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS supply FROM docs
 {_level("domain", "domain", "", DOMAIN_WEIGHTS)},
 {_level("lang", "domain, lang", "domain", LANG_WEIGHTS)},
 {_level("source", "domain, lang, source", "domain, lang", {})},
-planned AS (SELECT *, budget // supply AS epochs, budget % supply AS rest FROM source_budget JOIN leaves USING (domain, lang, source) WHERE supply > 0),
+planned AS (SELECT *, CASE WHEN supply > 0 THEN budget // supply ELSE 1 END AS epochs, CASE WHEN supply > 0 THEN budget % supply ELSE 0 END AS rest FROM source_budget JOIN leaves USING (domain, lang, source)),
 taken AS (SELECT * FROM docs JOIN planned USING (domain, lang, source)),
 part AS (SELECT *, epochs + 1 AS epoch, coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{SEED}:' || (epochs + 1) || ':' || doc_id), doc_id, tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spot FROM taken WHERE rest > 0)
 SELECT doc_id, domain, lang, source, e.epoch::BIGINT AS epoch, tokens, tokens AS take_tokens FROM taken, LATERAL (SELECT unnest(generate_series(1, epochs)) AS epoch) e
