@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import discrete
+from . import discrete, trees
 
-MODULES = [discrete]
+MODULES = [discrete, trees]
 
 
 def queries() -> dict:
