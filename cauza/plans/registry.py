@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import discrete, trees
+from . import discrete, effects, trees
 
-MODULES = [discrete, trees]
+MODULES = [discrete, trees, effects]
 
 
 def queries() -> dict:
