@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import discrete, effects, trees
+from . import discrete, effects, models, trees
 
-MODULES = [discrete, trees, effects]
+MODULES = [discrete, trees, effects, models]
 
 
 def queries() -> dict:
