@@ -17,7 +17,7 @@ between frequent tokens go to the greater token; an empty table gives no rows; o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -27,22 +27,31 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
 
 
+def canonical(line: Column) -> Column:
+    """Tokens joined by one space, those with a digit masked. Regular expressions run only on lines that need them."""
+    odd = line.startswith(" ") | line.endswith(" ") | line.contains("  ")
+    for c in "\t\x0b\x0c\r":
+        odd = odd | line.contains(c)
+    even = F.when(odd, F.trim(F.regexp_replace(line, f"{SPACE}+", " "))).otherwise(line)
+    return F.when(even.rlike("[0-9]"), F.regexp_replace(even, f"{WORD}*[0-9]{WORD}*", "<*>")).otherwise(even)
+
+
 def _lines(docs: DataFrame, depth: int, text: str, key: str) -> DataFrame:
-    """(id, th, pos, n, tokens, leaf, line) of each line with a token; digests of the path in the tree and of the masked line."""
-    rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("pos", "raw"))
-    masked = F.when(F.col("raw").rlike("[0-9]"), F.regexp_replace("raw", f"{WORD}*[0-9]{WORD}*", "<*>")).otherwise(F.col("raw"))
-    rows = rows.withColumn("tokens", F.filter(F.split(masked, f"{SPACE}+"), lambda t: t != "")).withColumn("n", F.size("tokens")).filter("n > 0")
-    path = F.concat_ws(" ", F.col("n").cast("string"), F.concat_ws(" ", F.slice("tokens", 1, depth)))
-    return rows.select("id", "th", "pos", "n", "tokens", F.unhex(F.md5(path.cast("binary"))).alias("leaf"), F.unhex(F.md5(F.concat_ws(" ", "tokens").cast("binary"))).alias("line"))
+    """(id, th, pos, text, leaf, line) of each line with a token; digests of the path in the tree and of the masked line."""
+    rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("pos", "raw"))
+    rows = rows.select("id", "th", "pos", canonical(F.col("raw")).alias("text")).filter("text != ''")
+    n = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1
+    path = F.concat_ws(" ", n.cast("string"), F.substring_index("text", " ", depth))
+    return rows.select("id", "th", "pos", "text", F.unhex(F.md5(path.cast("binary"))).alias("leaf"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("line"))
 
 
 def dropped_lines(docs: DataFrame, depth: int = DEPTH, similar: float = SIMILAR, least_docs: int = LEAST_DOCS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(id, th, pos) of the lines that are dropped."""
     full = _lines(docs, depth, text, key)
-    lines = written(full.drop("tokens", "n"), "lines")
+    lines = written(full.drop("text"), "lines")
     several = lines.groupBy("leaf").agg(F.min("line").alias("a"), F.max("line").alias("b")).filter("a != b").select("leaf")
-    members = full.select("leaf", "line", "n", "tokens").join(several, "leaf", "left_semi").groupBy("leaf", "line").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    members = written(members, "line-members")
+    members = full.select("leaf", "line", "text").join(several, "leaf", "left_semi").groupBy("leaf", "line").agg(F.first("text").alias("text"))
+    members = written(members.select("leaf", "line", F.split("text", " ").alias("tokens")).withColumn("n", F.size("tokens")), "line-members")
     at = members.select("leaf", "line", "n", F.posexplode("tokens").alias("j", "token"))
     top = at.groupBy("leaf", "j", "token").agg(F.count(F.lit(1)).alias("k")).groupBy("leaf", "j").agg(F.max(F.struct("k", "token")).alias("top"), F.sum("k").alias("of"))
     constant = top.filter("2 * top.k >= of").select("leaf", "j", F.col("top.token").alias("token"))
