@@ -38,8 +38,9 @@ def canonical(line: Column) -> Column:
 
 def _lines(docs: DataFrame, depth: int, text: str, key: str) -> DataFrame:
     """(id, th, pos, text, leaf, line) of each line with a token; digests of the path in the tree and of the masked line."""
-    rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("pos", "raw"))
-    rows = rows.select("id", "th", "pos", canonical(F.col("raw")).alias("text")).filter("text != ''")
+    # inside the array, so that it is computed once for a line: above it, Spark would copy it into each use
+    every = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), canonical)
+    rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("th"), F.posexplode(every).alias("pos", "text")).filter("text != ''")
     n = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1
     path = F.concat_ws(" ", n.cast("string"), F.substring_index("text", " ", depth))
     return rows.select("id", "th", "pos", "text", F.unhex(F.md5(path.cast("binary"))).alias("leaf"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("line"))
