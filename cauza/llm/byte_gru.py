@@ -185,7 +185,11 @@ def is_held_out(key: Column, folds: int = FOLDS) -> Column:
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = ROWS, snippet: int = SNIPPET, updates: int = UPDATES) -> Net:
     """A network from a bounded sample: the rows labelled documents with the least hashes, a snippet of each."""
     place = F.pmod(F.xxhash64(key, F.lit(11)), F.greatest(F.length(text) - snippet, F.lit(0)) + 1).cast("int") + 1
-    sample = docs.filter(~is_held_out(F.col(key)) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(key, F.lit(5)).alias("h"), F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).substr(place, F.lit(snippet)).alias("t"))
+    learned = docs.filter(~is_held_out(F.col(key)) & F.col(lang).isNotNull())
+    h = F.pmod(F.xxhash64(key, F.lit(5)), F.lit(1 << 31))
+    # a threshold on the hash first: each task would otherwise hand its own least rows to the one that merges them
+    below = min(1.0, 2 * rows / max(1, learned.select(key, lang).count()))
+    sample = learned.filter((h < int(below * (1 << 31))) & F.col(text).isNotNull()).select(h.alias("h"), F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).substr(place, F.lit(snippet)).alias("t"))
     found = sample.orderBy("h", "k", "t").limit(rows).select("l", "t").toArrow().to_pydict()
     labels = sorted(set(found["l"]))
     net = Net(labels)
