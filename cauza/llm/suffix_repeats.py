@@ -6,7 +6,7 @@ sequence that also starts in a document with a smaller identifier.
 Suffixes are grouped by anchors: the anchor of a window is the sequence of ``gram`` words in it with the least hash, so
 that equal windows have equal anchors at equal places, and about 22 neighbouring windows share one. A group is what
 the tree has below an anchor, with the words to its left. First, anchors are counted, and only those of two or more
-documents go on: the rest cannot repeat. A group of up to ``most`` documents is a subtree in memory: its suffixes are
+documents go on: the rest cannot repeat. A group of up to ``most`` windows is a subtree in memory: its suffixes are
 ordered by prefix doubling, and its nodes of depth ``window`` or more with leaves of several documents are the
 repeats. For a larger group the prefix is lengthened to the whole window, where a subtree has a single node: its least
 identifier is an aggregate with partial sums, over 128-bit digests of the words.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, shared_dir, slices, written
 
-WINDOW, GRAM, MOST, CHUNK = 50, 8, 2000, 1_000_000
+WINDOW, GRAM, MOST, CHUNK = 50, 8, 50_000, 300_000
 
 
 def _odd(n: int, seed: int) -> np.ndarray:
@@ -72,7 +72,7 @@ def _digest(words: list[bytes]) -> str:
 
 
 def _count_anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(id, th, n_words, sha, anchors): distinct anchors of each document."""
+    """(id, th, n_words, sha, anchors, windows): distinct anchors of each document, and how many windows have them."""
 
     def run(batches):
         for batch in batches:
@@ -80,13 +80,13 @@ def _count_anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 rows = []
                 for known, text in zip(part.column(0).is_valid().to_pylist(), as_bytes(part.column(2)), strict=True):
                     words = text.split()
-                    found = np.unique(anchors(word_hashes(words), window, gram)[0]).view(np.int64) if known else np.zeros(0, np.int64)
-                    rows.append((len(words), _digest(words), found))
+                    found, n = np.unique(anchors(word_hashes(words) if known else np.zeros(0, np.uint64), window, gram)[0], return_counts=True)
+                    rows.append((len(words), _digest(words), found.view(np.int64), n.astype(np.int64)))
                 offsets = np.cumsum([0, *(len(r[2]) for r in rows)])
-                lists = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(np.concatenate([r[2] for r in rows]))).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows]), lists], ["id", "th", "n_words", "sha", "anchors"])
+                lists = [pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(np.concatenate([r[i] for r in rows]))).cast(pa.list_(pa.int64())) for i in (2, 3)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows]), *lists], ["id", "th", "n_words", "sha", "anchors", "windows"])
 
-    return docs.mapInArrow(run, "id bigint, th bigint, n_words bigint, sha string, anchors array<bigint>")
+    return docs.mapInArrow(run, "id bigint, th bigint, n_words bigint, sha string, anchors array<bigint>, windows array<bigint>")
 
 
 KINDS = "kind int, k1 bigint, k2 bigint, id bigint, th bigint, start int, words binary"
@@ -98,7 +98,7 @@ def _suffixes(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 2, 2 << 20):
+            for part in slices(batch, 2, 1 << 19):
                 out = []
                 lists = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), as_bytes(part.column(2)), part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)
                 for key, th, text, small, large in lists:
@@ -107,7 +107,8 @@ def _suffixes(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     value, place = anchors(hashes, window, gram)
                     value = value.view(np.int64)
                     cell = np.isin(value, np.array(small, np.int64))
-                    cuts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else place
+                    # by value, not by place: where words repeat in a short period the anchor moves with each window
+                    cuts = np.flatnonzero(np.r_[True, value[1:] != value[:-1]]) if len(value) else place
                     ends = np.r_[cuts[1:], len(place)]
                     for a, b in zip(cuts[cell[cuts]].tolist(), ends[cell[cuts]].tolist(), strict=True):
                         out.append((CELL, int(value[a]), 0, key, th, a, b" ".join(words[a : b - 1 + window])))
@@ -176,7 +177,7 @@ def _subtrees(cells: DataFrame, window: int, chunk: int) -> DataFrame:
 
         for batch in batches:
             while batch.num_rows:
-                part = batch.slice(0, 5000)
+                part = batch.slice(0, 1000)
                 batch = batch.slice(part.num_rows)
                 key = part.column(0).to_numpy()
                 cut = int(np.searchsorted(key, key[-1], "left"))
@@ -205,9 +206,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int =
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     counted = written(_count_anchors(docs, window, gram), "anchors")
-    pairs = counted.select("id", "th", F.explode("anchors").alias("anchor"))
-    shared = pairs.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("n")).filter("a < b").select("anchor", (F.col("n") > most).alias("large"))
-    lists = pairs.join(shared, "anchor").groupBy("id", "th").agg(F.collect_set(F.when(~F.col("large"), F.col("anchor"))).alias("small"), F.collect_set(F.when(F.col("large"), F.col("anchor"))).alias("large"))
+    pairs = counted.select("id", "th", F.explode(F.arrays_zip("anchors", "windows")).alias("p")).select("id", "th", F.col("p.anchors").alias("anchor"), F.col("p.windows").alias("n"))
+    shared = pairs.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.sum("n").alias("n")).filter("a < b").select("anchor", (F.col("n") > most).alias("large"))
+    lists = pairs.drop("n").join(shared, "anchor").groupBy("id", "th").agg(F.collect_set(F.when(~F.col("large"), F.col("anchor"))).alias("small"), F.collect_set(F.when(F.col("large"), F.col("anchor"))).alias("large"))
     found = _suffixes(docs.join(lists, ["id", "th"]).select("id", "th", "text", "small", "large"), window, gram)
     path = shared_dir(spark, "suffixes")
     found.write.partitionBy("kind").option("compression", "zstd").parquet(path)
@@ -215,21 +216,25 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int =
 
     whole = found.filter(F.col("kind") == WHOLE).select("k1", "k2", "id", "th", "start")
     least = whole.groupBy("k1", "k2").agg(F.min("id").alias("least"))
-    wide = whole.join(least, ["k1", "k2"]).filter("id > least").select("id", "th", F.col("start").alias("a"), (F.col("start") + window).alias("b"))
-    spans = _subtrees(found.filter(F.col("kind") == CELL), window, chunk).union(wide)
+    # starts as bits of 64-word blocks: one row for up to 64 windows, combined before the shuffle
+    wide = whole.join(least, ["k1", "k2"]).filter("id > least").groupBy("id", "th", F.expr("start div 64").alias("block")).agg(F.expr("bit_or(shiftleft(1L, start % 64))").alias("bits"))
+    deep = _subtrees(found.filter(F.col("kind") == CELL), window, chunk)
+    marks = deep.select("id", "th", F.struct("a", "b").alias("span"), F.lit(None).cast("struct<block:bigint,bits:bigint>").alias("starts"))
+    marks = marks.union(wide.select("id", "th", F.lit(None).cast("struct<a:int,b:int>"), F.struct("block", "bits")))
     # repeated rows of a document give repeated spans: sets
-    spans = spans.groupBy("id", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    spans = marks.groupBy("id", "th").agg(F.collect_set("span").alias("spans"), F.collect_set("starts").alias("starts"))
     texts = found.filter(F.col("kind") == TEXT).select("id", "th", "words").dropDuplicates(["id", "th"])
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, 2):
                 counts, kept, marked = [], [], []
-                for data, places in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                for data, places, starts in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True):
                     words = data.split(b" ")
                     step = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(step, [s["a"] for s in places], 1)
-                    np.add.at(step, [s["b"] for s in places], -1)
+                    first = [s["block"] * 64 + i for s in starts for i in range(64) if s["bits"] >> i & 1]
+                    np.add.at(step, [s["a"] for s in places] + first, 1)
+                    np.add.at(step, [s["b"] for s in places] + [i + window for i in first], -1)
                     gone = np.cumsum(step)[:-1] > 0
                     counts.append(int(gone.sum()))
                     kept.append(b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g))
@@ -238,4 +243,4 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int =
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts, pa.int64()), pa.array(marked, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(kept, pa.binary())], ["id", "th", "n_removed", "spans", "kept"])
 
     kept = texts.join(spans, ["id", "th"]).mapInArrow(run, "id bigint, th bigint, n_removed bigint, spans array<struct<a:int,b:int>>, kept binary")
-    return kept, counted.drop("anchors")
+    return kept, counted.drop("anchors", "windows")
