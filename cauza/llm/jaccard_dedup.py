@@ -1,0 +1,138 @@
+"""Near-duplicates by the Jaccard similarity of word shingles, checked exactly.
+
+Two texts are linked if their sets of shingles of ``width`` words have a Jaccard similarity of ``least`` or more.
+Candidates are texts with an equal band of MinHash values: a pair of similarity s shares one of ``BANDS`` bands of
+``ROWS`` values with probability 1 - (1 - s^ROWS)^BANDS, which is 0.9996 at 0.8 and more above. SimHash blocks cannot
+serve here: at 0.8 two fingerprints differ in 10 +- 3 of 64 bits, and a radius that holds most such pairs leaves no block
+of useful width equal.
+
+Candidates that hang together are brought together with their texts, each text once; a group of over ``MOST_TEXTS``
+texts or ``MOST_SHINGLES`` shingles is cut into blocks, and each pair of blocks is a task of its own. A task compares
+each text with the candidates that it has not yet linked, and emits a spanning forest of the links.
+
+Equality of shingles and of whole sets rests on 64-bit hashes. Copies (equal sets) are one node.
+
+Defined cases: null text counts as empty; texts without words are copies of one another; a text of fewer words than
+``width`` is one shingle; repeated rows give repeated results; an empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import as_bytes, slices, written
+from .components import components
+
+WIDTH, LEAST = 5, 0.8
+BANDS, ROWS, SEED = 20, 5, 42
+MOST_TEXTS, MOST_SHINGLES = 2_000, 2_000_000
+SHIFT, FACTOR = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64)
+FACTOR = FACTOR * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct XXH64 values of a text's shingles, A-Z in lower case."""
+    from xxhash import xxh64_intdigest
+
+    words = text.lower().split()  # of bytes: A-Z only, and white space is [\x20\x09-\x0D]
+    if not words:
+        return np.empty(0, np.uint64)
+    found = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
+    return np.unique(np.fromiter((xxh64_intdigest(x, SEED) for x in found), np.uint64))
+
+
+def node_of(own: np.ndarray) -> int:
+    """A signed 64-bit name of a set of shingles."""
+    from xxhash import xxh64_intdigest
+
+    return int(np.uint64(xxh64_intdigest(own.tobytes(), SEED)).view(np.int64))
+
+
+def bands(own: np.ndarray) -> np.ndarray:
+    """BANDS hashes, each of its number and of ROWS MinHash values."""
+    from xxhash import xxh64_intdigest
+
+    if not len(own):
+        return np.empty(0, np.int64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(own), 2048):
+        mixed = (own[at : at + 2048, None] ^ SHIFT) * FACTOR
+        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(29))).min(axis=0))
+    return np.array([xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+
+
+def signatures(docs: DataFrame, text: str, key: str, width: int) -> DataFrame:
+    """(key, node, n, bands) of each row: the name and size of its set of shingles, its bands."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 1):
+                sets = [shingles(x, width) for x in as_bytes(part.column(1))]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))],
+                    [key, "node", "n", "bands"],
+                )
+
+    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, node bigint, n bigint, bands array<bigint>")
+
+
+def forest(sets: list[np.ndarray], marks: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that share a band and reach the similarity."""
+    sizes = np.array([len(s) for s in sets])
+    names, place = np.unique(np.concatenate(sets), return_inverse=True)
+    parts, mark, links = np.split(place, np.cumsum(sizes)[:-1]), np.zeros(len(names), bool), []
+    rest = np.arange(len(sets))
+    while len(rest):
+        stack, rest = [rest[0]], rest[1:]
+        while stack and len(rest):
+            x = stack.pop()
+            near = (marks[rest] == marks[x]).any(axis=1)
+            asked = rest[near]
+            if not len(asked):
+                continue
+            mark[parts[x]] = True
+            shared = np.add.reduceat(mark[np.concatenate([parts[i] for i in asked])], np.r_[0, np.cumsum(sizes[asked])[:-1]], dtype=np.int64)
+            mark[parts[x]] = False
+            hit = asked[shared >= least * (sizes[asked] + sizes[x] - shared)]
+            links += [(int(x), int(i)) for i in hit]
+            stack += hit.tolist()
+            rest = rest[~np.isin(rest, hit)]
+    return links
+
+
+def links(docs: DataFrame, nodes: DataFrame, width: int, least: float, text: str, key: str, most_texts: int, most_shingles: int) -> DataFrame:
+    """(a, b): checked links that connect all nodes which a chain of checked candidates connects."""
+    cells = nodes.select("node", F.explode("bands").alias("cell"))
+    shared = cells.groupBy("cell").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a != z").select("cell", "a")
+    together = components(cells.join(shared, "cell").select("a", F.col("node").alias("b")))
+    members = nodes.join(together, "node").select("node", "least", "n", "root")
+    size = members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / most_texts), F.ceil(F.sum("n") / most_shingles)).cast("int").alias("g"))
+    members = written(members.join(size, "root").select("root", "least", "node", "g", F.pmod(F.xxhash64("node"), "g").cast("int").alias("i")), "candidates")
+    i, g = F.col("i"), F.col("g")
+    others = F.when(g == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), g - 1), lambda j: j != i))
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(members, F.col("id").eqNullSafe(F.col("least")))
+    rows = rows.select("root", "node", "text", "i", F.explode(others).alias("j")).select("root", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "node", "text")
+
+    def run(table: pa.Table) -> pa.Table:
+        found = {}
+        for node, x in zip(table.column("node").to_pylist(), table.column("text").to_pylist(), strict=True):
+            if node not in found and node_of(own := shingles((x or "").encode(), width)) == node:
+                found[node] = own
+        names, sets = list(found), list(found.values())
+        pairs = forest(sets, np.stack([bands(s) for s in sets]), least) if len(sets) > 1 else []
+        return pa.table({"a": pa.array([names[x] for x, _ in pairs], pa.int64()), "b": pa.array([names[y] for _, y in pairs], pa.int64())})
+
+    return rows.groupBy("root", "i", "j").applyInArrow(run, "a bigint, b bigint")
+
+
+def near_dedup(docs: DataFrame, width: int = WIDTH, least: float = LEAST, text: str = "text", key: str = "doc_id", most_texts: int = MOST_TEXTS, most_shingles: int = MOST_SHINGLES) -> DataFrame:
+    """One row for each row of docs: key, component_id (the least key of its component)."""
+    prints = written(signatures(docs, text, key, width), "signatures")
+    nodes = written(prints.groupBy("node").agg(F.min(key).alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")), "signature-nodes")
+    root = components(links(docs, nodes, width, least, text, key, most_texts, most_shingles))
+    named = nodes.join(root, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    label = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    return prints.join(label, "node").select(key, "component_id")

@@ -11,7 +11,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cauza.llm import bpe_codec, budget_mix, byte_gru, exact_dedup, simhash_vptree
+from cauza.llm import bpe_codec, budget_mix, byte_gru, exact_dedup, jaccard_dedup
 from cauza.llm.common import stay, written
 
 #: Least mean probability of the best language; with four languages chance is 0.25.
@@ -30,8 +30,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest identifier of each component of linked fingerprints."""
-    return stay(docs, simhash_vptree.near_dedup(docs).filter("doc_id <=> component_id").select("doc_id"))
+    """The document with the smallest identifier of each component of texts whose five-word shingles are 0.8 similar."""
+    return stay(docs, jaccard_dedup.near_dedup(docs).filter("doc_id <=> component_id").select("doc_id"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,65 @@
+import random
+
+import corpus_pipeline as C
+from cauza.llm import jaccard_dedup as J
+
+
+def grams(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def similarity(a, b):
+    a, b = grams(a), grams(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def pairs(n, seed):
+    """Texts 2k and 2k + 1 differ in some words, which lie spread: similarities of about 0.7 to 1."""
+    rnd, out = random.Random(seed), []
+    for k in range(n):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(300)]
+        other = list(words)
+        for i in rnd.sample(range(300), k % 11):
+            other[i] = f"x{rnd.randrange(5000)}"
+        out += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    return out
+
+
+def least_of_each(rows):
+    up = {i: i for i, _ in rows}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for k, (i, a) in enumerate(rows):
+        for j, b in rows[:k]:
+            if root(i) != root(j) and similarity(a, b) >= 0.8:
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    return {i: root(i) for i, _ in rows}
+
+
+def test_stage_drops_all_near_copies_and_no_others(spark):
+    rows = pairs(120, 1)
+    near = {2 * k + 1 for k in range(120) if similarity(rows[2 * k][1], rows[2 * k + 1][1]) >= 0.8}
+    assert 60 < len(near) < 120
+    left = {r.doc_id for r in C.near(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()}
+    assert left == {i for i, _ in rows} - near
+
+
+def test_components_in_one_task_and_in_blocks(spark):
+    rnd = random.Random(2)
+    words = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(60):  # a chain that drifts: neighbours are near, ends are not
+        words[rnd.randrange(200)] = f"y{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, t) for i, t in pairs(10, 3)] + [(200, "One two"), (201, "one  TWO"), (202, "one"), (203, None), (204, " "), (205, "x " * 70_000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = least_of_each(rows)
+    assert want[59] == 0 and want[204] == 203 and want[201] == 200
+    for most in (2000, 7):
+        assert {r.doc_id: r.component_id for r in J.near_dedup(df, most_texts=most).collect()} == want
+    assert J.near_dedup(df.limit(0)).collect() == []
