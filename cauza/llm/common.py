@@ -1,4 +1,4 @@
-"""What the operators share: a folder that all executors see, and Arrow helpers."""
+"""What the operators share: tables in a folder that all executors see, and Arrow helpers."""
 
 from __future__ import annotations
 
@@ -8,17 +8,24 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders made by this process; clean() removes what a result no longer needs.
+_made: list[str] = []
+
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name below spark.checkpoint.dir; a temporary one only where the setting is missing (tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder name below spark.checkpoint.dir. Without that setting: a temporary folder in local mode, else an error."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        now = spark.sparkContext._jsc.sc().getCheckpointDir()
+        now = sc._jsc.sc().getCheckpointDir()
         if now.isEmpty():
-            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="cauza-"))
-            now = spark.sparkContext._jsc.sc().getCheckpointDir()
+            if not (sc.master == "local" or sc.master.startswith("local[")):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="cauza-"))
+            now = sc._jsc.sc().getCheckpointDir()
         base = now.get()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -26,7 +33,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cauza_path = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame | str) -> None:
+    """Removes tables made by written(), or folders, that nothing reads any more."""
+    spark = SparkSession.getActiveSession()
+    for table in tables:
+        path = table if isinstance(table, str) else table.cauza_path
+        _remove(spark, path)
+        if path in _made:
+            _made.remove(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes every folder that is left. Results that were not written elsewhere cannot be read after it."""
+    while _made:
+        _remove(spark, _made.pop())
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:
@@ -51,6 +81,6 @@ def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 8 << 20):
 
 
 def stay(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of docs whose key is in ids (one column of the same name), rows that repeat key and all else once."""
-    some = ids.select(ids[key].alias("__stay"))
-    return docs.join(some, docs[key].eqNullSafe(some["__stay"]), "left_semi").dropDuplicates()
+    """The rows of docs whose key is in ids (one column of the same name). Only keys are shuffled where Spark can broadcast or hash ids; rows that repeat a key all stay."""
+    some = ids.select(ids[key].alias("__stay")).distinct()
+    return docs.join(some, docs[key].eqNullSafe(some["__stay"]), "left_semi")

@@ -5,29 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of edges (a, b): root is the smallest node of its component.
 
-    Alternates two steps (Kiverts et al., 2014): each node hands its larger neighbours to its least neighbour, then
-    its smaller ones. Components shrink to stars in about log^2 of their size in rounds. Least neighbours are
-    aggregates with partial sums before the shuffle, and the joins with them are split by Spark where a hub is hot.
+    Alternates two steps (Kiveris et al., 2014): each node hands its larger neighbours to its least neighbour, then
+    its smaller ones. Components shrink to stars in about log^2 of their size in rounds, and rounds go on until
+    nothing changes. Least neighbours are aggregates with partial sums before the shuffle, and the joins with them are
+    split by Spark where a hub is hot. The table of a round goes when the next one is written.
     """
     now = written(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     seen = None
-    for _ in range(most_rounds):
+    while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b != m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
-        now = written(small.union(low.select("a", F.col("m").alias("b"))).filter("a != b").distinct(), "links")
+        before, now = now, written(small.union(low.select("a", F.col("m").alias("b"))).filter("a != b").distinct(), "links")
+        discard(before)
         state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == seen:
             break
         seen = state
-    else:
-        raise RuntimeError(f"components: not done after {most_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b"), F.col("b"))).distinct()

@@ -62,15 +62,38 @@ def test_tree_finds_all_links():
         assert partition(len(points), found) == brute_components(points)
 
 
-def test_links_with_shells(spark):
-    for bits, shard in ((64, 20000), (14, 40), (64, 3)):
+def test_links_through_shards(spark):
+    for bits, shard, shards in ((64, 20000, 1), (14, 40, 4), (64, 3, 64), (64, 1 << 15, 64)):
         points = planted(500, 7, bits)
         signed = [(int(np.uint64(p).view(np.int64)),) for p in points]
         where = {s[0]: i for i, s in enumerate(signed)}
-        found = [(where[r.a], where[r.b]) for r in V.links(spark.createDataFrame(signed, "fp bigint"), shard=shard).collect()]
+        found = [(where[r.a], where[r.b]) for r in V.links(spark.createDataFrame(signed, "fp bigint"), shard=shard, shards=shards).collect()]
         assert partition(len(points), found) == brute_components(points)
 
 
+def test_shards_fitted_on_few_points_are_exact():
+    points = np.array(planted(800, 11), np.uint64)
+    shards = V.Shards(points[::40], len(points), shard=50, shards=16)
+    assert shards.leaves > 8
+    which, at, guest = shards.deal(points)
+    assert sorted(at[~guest].tolist()) == list(range(len(points)))  # one member each
+    meet = set()
+    for k in range(shards.leaves):
+        own, come = at[(which == k) & ~guest], at[(which == k) & guest]
+        meet |= {tuple(sorted((int(i), int(j)))) for i in own for j in np.r_[own, come] if i != j}
+    close = [(i, j) for i in range(len(points)) for j in range(i) if (int(points[i]) ^ int(points[j])).bit_count() <= 3]
+    assert close and all(tuple(sorted(p)) in meet for p in close)
+
+
+def test_bounds_save_comparisons():
+    points = np.unique(np.random.default_rng(2).integers(0, 1 << 63, 20_000, np.uint64))
+    tree = V.Tree(points)
+    assert tree.nodes > 300
+    assert tree.compared < 0.1 * len(points) ** 2
+    ball = np.array([1 << i | 1 << j for i in range(64) for j in range(i)] + [1 << i for i in range(64)], np.uint64)  # 2,080 points, most within 3 bits of others
+    assert partition(len(ball), V.vp_links(ball)) == [0] * len(ball)
+
+
 def test_near_dedup(spark):
     rnd = random.Random(3)
     base = [" ".join(rnd.choice("abcdefghij") * rnd.randrange(1, 4) for _ in range(300)) for _ in range(6)]
@@ -92,3 +115,15 @@ def test_whole_table(spark, sf_dir):
     want = {r.doc_id: (f"{p:016x}", min(rows[k].doc_id for k in range(len(rows)) if roots[k] == root)) for r, p, root in zip(rows, prints, roots)}
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in V.near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()}
     assert got == want
+
+
+def test_tables_make_trees(spark):
+    """The partitioning and the trees below it exist on the driver's tables, not only on large ones."""
+    nodes = V.fingerprints(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).select("fp").distinct()
+    shards = V.fit_shards(nodes)
+    points = np.sort(nodes.toArrow().column(0).to_numpy()).view(np.uint64)
+    which, at, guest = shards.deal(points)
+    trees = [V.Tree(points[np.r_[at[(which == k) & ~guest], at[(which == k) & guest]]], int(((which == k) & ~guest).sum())) for k in range(shards.leaves)]
+    assert shards.leaves >= 64
+    assert sum(t.nodes for t in trees) >= 64
+    assert sum(t.compared for t in trees) < 0.2 * len(points) ** 2
