@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from cauza.llm import suffix_repeats as S
@@ -44,13 +45,64 @@ def got(df):
     return sorted(str((r[0], r.n_words, r.n_removed, r.kept_sha256)) for r in df.collect())
 
 
-@pytest.mark.parametrize("most", [50_000, 60])
+@pytest.mark.parametrize("most", [50_000, 60, 8])  # prefixes of 8 words, of 43, and whole windows
 def test_against_brute_force(spark, most):
     rows = table(most)
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id bigint, text string, id int, words string")
     assert got(S.remove_repeats(df, most=most, chunk=500)) == brute(rows, 50)
 
 
+def test_equal_digests_are_told_apart_by_bytes(spark):
+    rows = [(i, 0, 0, 3, [5], " ".join(f"{i % 7} {j}" for j in range(26)).encode()) for i in range(40)]
+    df = spark.createDataFrame(rows, "id bigint, th bigint, lo int, hi int, places array<int>, words binary")
+    got = {bits: sorted(map(tuple, S._whole(df, 49, bits).collect())) for bits in (64, 1)}
+    assert got[1] == got[64]
+    assert {r[0] for r in got[64]} == set(range(7, 40))
+
+
+def test_subtree_nodes_against_plain_comparison():
+    rnd = random.Random(8)
+    segs, lo, hi = [], [], []
+    for _ in range(60):
+        h = rnd.randrange(6)
+        low = rnd.randrange(h + 1)
+        segs.append([rnd.choice("ab") for _ in range(h - low + 10)])
+        lo.append(low)
+        hi.append(h)
+    tree = S.Subtree([" ".join(s).encode() for s in segs], np.array(lo), np.array(hi), 10)
+    right = [s[h:] for s, h in zip(segs, hi)]
+    assert [right[i] for i in tree.order] == sorted(right, key=lambda r: [tree_word(segs, w) for w in r])
+    docs = np.array([rnd.randrange(20) for _ in segs])
+    least = defaultdict(lambda: 99)
+    for i, s in enumerate(segs):
+        for o in range(lo[i], hi[i] + 1):
+            k = (o, tuple(s[hi[i] - o : hi[i] - o + 10]))
+            least[k] = min(least[k], docs[i])
+    want = sorted((i, o) for i, s in enumerate(segs) for o in range(lo[i], hi[i] + 1) if least[o, tuple(s[hi[i] - o : hi[i] - o + 10])] < docs[i])
+    assert sorted(zip(*(x.tolist() for x in tree.repeats(docs)))) == want
+    nodes = S.maximal_repeats(tree, 4)
+    assert nodes
+    for depth, left, rows in nodes:
+        common = {tuple(segs[i][hi[i] - left : hi[i] + depth]) for i in rows}
+        assert len(common) == 1 and len(rows) > 1
+        head = right[rows[0]][:depth]
+        assert rows == [i for i in range(len(segs)) if right[i][:depth] == head]  # all leaves below it
+        assert len({tuple(right[i][: depth + 1]) for i in rows}) > 1 or depth == 10 or {len(right[i]) for i in rows} == {depth}  # and not deeper
+
+
+def tree_word(segs, word):
+    """Words are numbered as they appear."""
+    return list(dict.fromkeys(w for s in segs for w in s)).index(word)
+
+
+def test_periods_are_one_row():
+    words = b"x y ".split() * 5000
+    value = np.unique(S.anchors(S.word_hashes(words))[0].view(np.int64))
+    rows = S.suffixes(words, value, value[:0])
+    assert len(rows) <= 6
+    assert sum(len(r[4]) * (r[3] - r[2] + 1) for r in rows) == len(words) - 49  # each window once
+
+
 def test_empty(spark):
     assert S.remove_repeats(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
 
