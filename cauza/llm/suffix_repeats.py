@@ -240,7 +240,7 @@ def _subtrees(rows: DataFrame, window: int, chunk: int) -> DataFrame:
             by = np.lexsort((o, row))
             row, o = row[by], o[by]
             first = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(o) != 1)]) if len(row) else row
-            last = np.r_[first[1:], len(row)] - 1
+            last = np.r_[first[1:], len(row)][: len(first)] - 1
             places = table.column(5).combine_chunks()
             offsets, flat = places.offsets.to_numpy().astype(np.int64), places.values.to_numpy()
             count = (offsets[1:] - offsets[:-1])[row[first]]

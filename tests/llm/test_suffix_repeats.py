@@ -103,6 +103,13 @@ def test_periods_are_one_row():
     assert sum(len(r[4]) * (r[3] - r[2] + 1) for r in rows) == len(words) - 49  # each window once
 
 
+def test_shared_anchors_without_repeats(spark):
+    """Documents that share 30 words, too few for a window: subtrees without any deep node."""
+    own = lambda i, k: " ".join(f"{i}.{j}" for j in range(k))
+    rows = [(i, f"{own(i, 40)} {own(99, 30)} {own(i + 100, 40)}") for i in range(12)]
+    assert got(S.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"))) == brute(rows, 50)
+
+
 def test_empty(spark):
     assert S.remove_repeats(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
 
