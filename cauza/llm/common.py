@@ -6,7 +6,8 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Folders made by this process; clean() removes what a result no longer needs.
 _made: list[str] = []
@@ -80,7 +81,32 @@ def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 8 << 20):
     yield batch.slice(start)
 
 
-def stay(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of docs whose key is in ids (one column of the same name). Only keys are shuffled where Spark can broadcast or hash ids; rows that repeat a key all stay."""
-    some = ids.select(ids[key].alias("__stay")).distinct()
-    return docs.join(some, docs[key].eqNullSafe(some["__stay"]), "left_semi")
+#: Bits of the filter that keeps rows from being shuffled: 8 MB, whatever the data.
+FILTER_BITS = 1 << 26
+
+
+def split_by_filter(rows: DataFrame, keys: dict[str, Column], some: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows surely not in some, the rest): some has the columns keys. A bitmap of hashes is broadcast; it only saves shuffling, a row in the second part may still not be in some."""
+    tag = uuid.uuid4().hex  # of column names, so that they meet no others
+    bucket, place, bits = f"bucket_{tag}", f"place_{tag}", f"bits_{tag}"
+    spot = lambda of: F.pmod(F.xxhash64(*of), F.lit(FILTER_BITS)) + 1
+    marks = some.select(spot([F.col(k) for k in keys]).alias("x")).groupBy(F.bitmap_bucket_number("x").alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias(bits))
+    marks = written(marks, "filter")
+    own = list(keys.values())
+    both = rows.withColumns({bucket: F.bitmap_bucket_number(spot(own)), place: F.bitmap_bit_position(spot(own))}).join(F.broadcast(marks), bucket, "left")
+    byte = f"cast(conv(hex(substring({bits}, cast({place} div 8 + 1 as int), 1)), 16, 10) as int)"
+    hit = F.coalesce(F.expr(f"shiftright({byte}, cast({place} % 8 as int)) & 1") == 1, F.lit(False))
+    names = [F.col(f"`{c}`") for c in rows.columns]
+    return both.filter(~hit).select(names), both.filter(hit).select(names)
+
+
+def leave(docs: DataFrame, gone: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """The rows of docs whose keys (names in gone to expressions over docs) are not in gone. Only rows that the bitmap cannot rule out are shuffled."""
+    safe, asked = split_by_filter(docs, keys, gone)
+    names = {k: f"__k{i}" for i, k in enumerate(keys)}
+    other = gone.select(*(F.col(k).alias(n) for k, n in names.items()))
+    cond = None
+    for k, n in names.items():
+        one = keys[k].eqNullSafe(other[n])
+        cond = one if cond is None else cond & one
+    return safe.unionByName(asked.join(other, cond, "left_anti"))

@@ -2,12 +2,14 @@
 
 A stream of (digest, identifier, size, locator) rows runs through a stateful aggregation without a watermark, so its
 state never expires; the state store is RocksDB, whose files lie in the checkpoint. For each digest the state retains
-the document that stays (most code points, then smallest identifier), where its content is found, and the number of
-rows. Partial aggregation before the shuffle leaves one row for each digest and task, however hot a digest is. A run
-takes all data that has arrived and ends; a later run on the same checkpoint goes on with the state.
+the document that stays (most code points, then smallest identifier), the locator of its content (file and row), and
+the number of rows. Partial aggregation before the shuffle leaves one row for each digest and task, however hot a digest
+is. Each arrival takes all data that has come and ends; the next one on the same checkpoint meets the state that is
+there. exact_dedup() lets its rows arrive in ``arrivals`` parts.
 
-Equal digests are hits, and hits are held against full bytes: texts are grouped by digest and by their bytes; a digest
-with more than one byte string is a collision, and its documents are then grouped by bytes alone.
+A digest that the state has seen more than once is a hit, and hits are held against full bytes: the contents of its rows
+alone are fetched by their locators and compared. A digest with more than one byte string is a collision, and its
+documents are grouped by their bytes. Contents of documents without a hit are never moved.
 
 Two texts are equal when they are identical after every character of [\\x20\\x09-\\x0D] is deleted.
 
@@ -20,10 +22,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import shared_dir, split_by_filter, written
 
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -33,6 +36,7 @@ ROCKSDB = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each state partition reserves megabytes of disk
 }
 KEYED = "digest string, id bigint, size bigint, locator string"
+ARRIVALS = 2
 
 
 def normal(text: Column) -> Column:
@@ -47,6 +51,18 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def located(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, text, locator): locator is the file and the number of the row in it. Rows that do not come from files are written to one first."""
+    where = F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string")).alias("locator")
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    if "_metadata" not in docs.columns:
+        try:
+            return docs.select(F.col(key).alias("id"), F.col(text).alias("text"), where)
+        except AnalysisException:  # no file source below
+            pass
+    return written(rows, "dedup-contents").select("id", "text", where)
+
+
 def stateful(rows: DataFrame) -> DataFrame:
     """Of a stream with the columns KEYED: per digest, the document that stays and the number of rows so far."""
     # ~id orders identifiers downwards without overflow
@@ -71,27 +87,34 @@ def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
     return state.select(F.col("key.digest").alias("digest"), F.bitwise_not(F.col(f"value.{best}.not_id")).alias("keep_id"), F.col(f"value.{best}.locator").alias("locator"), F.col(f"value.{rows}").alias("group_size"))
 
 
-def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", digest: Callable[[Column], Column] = sha256, per_trigger: int = 64 << 30) -> DataFrame:
-    """One row for each row of docs: key, keep_id, group_size, kept, text_sha256."""
+def contents(source: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (locator and other columns) with the content at each locator; rows of source that are not wanted are not shuffled."""
+    _, asked = split_by_filter(source, {"locator": F.col("locator")}, wanted.select("locator"))
+    return asked.select("locator", normal(F.col("text")).alias("content")).join(wanted, "locator")
+
+
+def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", digest: Callable[[Column], Column] = sha256, arrivals: int = ARRIVALS, per_trigger: int = 64 << 30) -> DataFrame:
+    """One row for each row of docs: key, keep_id, group_size, kept, text_sha256, text_hash (xxhash64 of the text as it is)."""
     spark = docs.sparkSession
-    content = docs.select(F.col(key).alias("id"), F.length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("size"), normal(F.col(text)).alias("content"))
-    keyed = content.select(digest(F.col("content")).alias("digest"), "id", "size", F.input_file_name().alias("locator"), sha256(F.col("content")).alias("sha"))
-    keyed = written(keyed, "dedup-keys")
-    folder, checkpoint = keyed.inputFiles(), shared_dir(spark, "dedup-state")
-    if not folder:
-        return keyed.select(F.col("id").alias(key), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
-    run_available(spark, folder[0].rpartition("/")[0], checkpoint, per_trigger)
-    state = written(read_state(spark, checkpoint).drop("locator"), "dedup-classes")
-
-    hit = keyed.select("id", "sha", "digest").join(state, "digest")
-    strings = content.select(digest(F.col("content")).alias("digest"), "content").groupBy("digest", "content").agg(F.count(F.lit(1)).alias("n"))
-    collided = written(strings.groupBy("digest").agg(F.count(F.lit(1)).alias("strings")).filter("strings > 1").select("digest"), "dedup-collisions")
-    if not collided.isEmpty():
-        apart = content.withColumn("digest", digest(F.col("content"))).join(collided, "digest", "left_semi")
-        best = apart.groupBy("digest", "content").agg(F.max(F.struct("size", F.bitwise_not("id").alias("not_id"))).alias("best"), F.count(F.lit(1)).alias("group_size"))
-        fixed = apart.join(best, ["digest", "content"]).select("id", sha256(F.col("content")).alias("sha"), "digest", F.bitwise_not("best.not_id").alias("keep_id"), "group_size")
-        hit = hit.join(collided, "digest", "left_anti").select("id", "sha", "digest", "keep_id", "group_size").unionByName(fixed)
-    return hit.select(F.col("id").alias(key), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
+    source = located(docs, key, text)
+    content = source.select("id", "text", "locator", F.length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("size"), normal(F.col("text")).alias("content"))
+    keyed = written(content.select(digest(F.col("content")).alias("digest"), "id", "size", "locator", sha256(F.col("content")).alias("sha"), F.xxhash64("text").alias("text_hash")), "dedup-keys")
+    folder, checkpoint = shared_dir(spark, "dedup-arrivals"), shared_dir(spark, "dedup-state")
+    for part in range(arrivals):
+        keyed.filter(F.pmod(F.xxhash64("locator"), F.lit(arrivals)) == part).select("digest", "id", "size", "locator").write.mode("append").parquet(folder)
+        run_available(spark, folder, checkpoint, per_trigger)
+    state = written(read_state(spark, checkpoint), "dedup-classes")
+
+    rows = keyed.drop("size").join(state.drop("locator"), "digest")
+    found = contents(source, rows.filter("group_size > 1").select("locator", "digest", "id", "sha", "text_hash"))
+    collided = written(found.groupBy("digest").agg(F.min("content").alias("a"), F.max("content").alias("b")).filter("a != b").select("digest"), "dedup-collisions")
+    out = [F.col("id").alias(key), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"), "text_hash"]
+    if collided.isEmpty():
+        return rows.select(*out)
+    apart = found.join(collided, "digest", "left_semi").join(keyed.select("locator", "size"), "locator")
+    best = apart.groupBy("digest", "content").agg(F.max(F.struct("size", F.bitwise_not("id").alias("not_id"))).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    fixed = apart.join(best, ["digest", "content"]).withColumn("keep_id", F.bitwise_not("best.not_id"))
+    return rows.join(collided, "digest", "left_anti").select(*out).unionByName(fixed.select(*out))
 
 
 SQL = """

@@ -14,7 +14,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal texts of all documents through the keyed state."""
-    return exact_dedup.exact_dedup(_documents(spark, sf_dir))
+    return exact_dedup.exact_dedup(_documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op9_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:

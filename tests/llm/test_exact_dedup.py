@@ -54,3 +54,43 @@ def test_state_outlives_a_run(spark, tmp_path):
     add([("d2", 9, 4, "h")])
     got = {tuple(r) for r in X.read_state(spark, f"{tmp_path}/state").collect()}
     assert got == {("d1", 2, "g", 2), ("d2", 9, "h", 2), ("d3", 7, "g", 1)}
+
+
+def test_long_texts_and_arrivals(spark):
+    rows = [(i, f"{'ab c' * 40_000}{i % 3}") for i in range(7)] + [(20, "ab c" * 40_000 + " 0  "), (21, None), (21, None)]
+    for arrivals in (1, 2, 5):
+        assert rows_of(X.exact_dedup(frame(spark, rows), arrivals=arrivals)) == brute(rows)
+
+
+def test_arrivals_meet_in_one_state(spark, tmp_path, monkeypatch):
+    made = []
+    run = X.run_available
+    monkeypatch.setattr(X, "run_available", lambda s, folder, checkpoint, *a: (run(s, folder, checkpoint, *a), made.append((checkpoint, {r.digest: r.group_size for r in X.read_state(s, checkpoint).collect()}))))
+    rows = [(i, f"t {i % 4}") for i in range(60)]
+    assert rows_of(X.exact_dedup(frame(spark, rows))) == brute(rows)
+    assert len(made) == 2 and made[0][0] == made[1][0]
+    before, after = made[0][1], made[1][1]
+    assert sum(before.values()) < 60 == sum(after.values())
+    assert any(before[d] < after[d] for d in before)  # rows of the second arrival were hits on state of the first
+
+
+def test_locators_lead_to_contents(spark, tmp_path):
+    rows = [(i, f"text {i}\n") for i in range(300)] + [(7, "text 7\n")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).write.parquet(f"{tmp_path}/d")
+    for docs in (spark.read.parquet(f"{tmp_path}/d"), spark.read.parquet(f"{tmp_path}/d").withColumn("_metadata", F.lit(1)), spark.createDataFrame(rows, "doc_id bigint, text string")):
+        source = X.located(docs, "doc_id", "text")
+        assert source.select("locator").distinct().count() == 301
+        some = source.filter("id % 50 = 7").select("locator", "id")
+        assert sorted((r.id, r.content) for r in X.contents(source, some).collect()) == sorted((i, f"text{i}") for i, _ in rows if i % 50 == 7)
+
+
+def test_filter_rules_out_only_what_is_not_there(spark):
+    from cauza.llm.common import leave, split_by_filter
+
+    docs = spark.range(5000).select(F.when(F.col("id") != 4999, F.col("id")).alias("id"), F.lit("x").alias("__bits"))
+    some = spark.range(0, 9000, 7).union(spark.range(1).select(F.lit(None).cast("long"))).toDF("id")
+    safe, asked = split_by_filter(docs, {"id": F.col("id")}, some)
+    assert {r.id for r in safe.collect()} & {r.id for r in some.collect()} == set()
+    assert safe.count() + asked.count() == 5000 and asked.count() < 900
+    assert sorted(r.id for r in leave(docs, some, {"id": F.col("id")}).collect()) == [i for i in range(4999) if i % 7]
+    assert leave(docs, some.limit(0), {"id": F.col("id")}).count() == 5000
