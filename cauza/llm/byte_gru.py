@@ -1,14 +1,18 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-One step of either direction reads one byte: the byte's row of the input table feeds the update, reset and candidate
-gates. Every position is labelled by a softmax over the states of both directions there; a document's probabilities
-are the mean over its positions. Gates and candidates use x / (1 + |x|) in place of tanh, and half of it plus a half as
-the sigmoid: on the CPUs at hand numpy needs 4 to 7 ns for an exponential and 1 ns for this. Texts are cut into windows that start with empty states; all windows of a text are
-read. The network is trained in numpy by backpropagation through time with Adam; every position of a training window
-has its document's language as target.
+One step of either direction reads one byte: the byte's row of the input table feeds the reset, update and candidate
+gates (sigmoid, sigmoid, tanh). Every position is labelled by a softmax over the states of both directions there; a
+document's probabilities are the mean over its positions, where bytes that training never saw speak for no language.
+Both directions run through the whole text with one state.
 
-Training reads a bounded sample (``rows`` labelled documents, one snippet each at a place that a hash chooses) of the
-documents whose CRC-32 of the identifier's text is not divisible by ``folds``; the rest is held out.
+Texts are read side by side in lanes; a lane holds texts one after another and starts each with an empty state. Memory
+does not grow with the length of a text: where the scores of all positions would be too many, states are kept at the
+starts of blocks, and from the last block to the first the scores of a block are computed again.
+
+The network is trained in numpy by backpropagation through time with Adam, on windows of ``WINDOW`` bytes of whole texts,
+each with its document's language as target. Training reads a bounded sample: for each language, the ``rows`` labelled
+documents with the least hashes among those whose CRC-32 of the identifier's text is not divisible by ``folds`` and whose
+text is not empty; the rest is held out. The sample is drawn within each language, so that rare ones are learned too.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0; documents without a language or text are
 not learned from; without any labelled document all are ``und``; with a single language every text with letters gets
@@ -17,125 +21,131 @@ it; a null identifier counts as held out; repeated rows give repeated results; o
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import slices
 
-WINDOW, HIDDEN, BLOCK = 128, 8, 2048
-ROWS, SNIPPET, UPDATES, BATCH, RATE = 4000, 512, 120, 192, 0.03
+WINDOW, HIDDEN = 128, 16
+#: Labelled documents of each language, updates, windows of an update, step size.
+ROWS, UPDATES, BATCH, RATE = 250, 300, 128, 0.02
 FOLDS = 5
-
-
-def soft(x: np.ndarray) -> np.ndarray:
-    """x / (1 + |x|) in place."""
-    y = np.abs(x)
-    y += 1
-    x /= y
+#: Lanes side by side, and the most scores that are held at once.
+LANES, HELD = 512, 24 << 20
+
+
+def gates(x: np.ndarray, own: np.ndarray, c: np.ndarray, hidden: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Reset, update and candidate from the byte's row x (changed in place) and the state's product own."""
+    rz = x[:, : 2 * hidden]
+    rz += own[:, : 2 * hidden]
+    rz *= 0.5
+    np.tanh(rz, out=rz)
+    rz *= 0.5
+    rz += 0.5
+    n = x[:, 2 * hidden :]
+    last = own[:, 2 * hidden :]
+    last += c
+    n += rz[:, :hidden] * last
+    np.tanh(n, out=n)
+    return rz[:, :hidden], rz[:, hidden:], n
+
+
+def softmax(x: np.ndarray) -> np.ndarray:
+    """In place, over the last axis."""
+    x -= x.max(axis=-1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=-1, keepdims=True)
     return x
 
 
 class Net:
-    """Parameters and passes. Arrays of windows are time-major: [positions, windows]."""
+    """Parameters and passes. Arrays of bytes are time-major: [positions, lanes]. w: rows of bytes, u: products of the state (reset, update, candidate side by side), c: candidate offset, v: scores of labels."""
 
     def __init__(self, labels: list[str], hidden: int = HIDDEN, seed: int = 7):
         rnd = np.random.default_rng(seed)
         some = lambda fan, *shape: rnd.normal(0, 1 / np.sqrt(fan), shape).astype(np.float32)
         self.labels, self.hidden = labels, hidden
+        self.known = np.ones(256, bool)
         self.p = {}
         for way in "fb":
-            for gate in "rzn":  # reset, update, candidate
-                self.p |= {f"w{gate}{way}": some(2, 256, hidden), f"u{gate}{way}": some(hidden, hidden, hidden)}
-            self.p[f"c{way}"] = np.zeros(hidden, np.float32)
-            self.p[f"v{way}"] = some(hidden, hidden, len(labels))
+            self.p |= {f"w{way}": some(2, 256, 3 * hidden), f"u{way}": some(hidden, hidden, 3 * hidden), f"c{way}": np.zeros(hidden, np.float32), f"v{way}": some(hidden, hidden, len(labels))}
         self.p["d"] = np.zeros(len(labels), np.float32)
 
-    def states(self, data: np.ndarray, mask: np.ndarray, way: str, keep: dict | None = None):
-        """Yields (position, state after it) in the direction's order; keep gets what the backward pass needs."""
-        wr, wz, wn, ur, uz, un, c = (self.p[f"{x}{way}"] for x in ("wr", "wz", "wn", "ur", "uz", "un", "c"))
-        h = np.zeros((data.shape[1], self.hidden), wr.dtype)
-        full = mask.all(axis=1)
-        for t in range(len(data)) if way == "f" else range(len(data) - 1, -1, -1):
-            byte = data[t].astype(np.intp)
-            r, z, n = (np.take(w, byte, axis=0) for w in (wr, wz, wn))
-            r += h @ ur
-            z += h @ uz
-            for gate in (r, z):
-                soft(gate)
-                gate *= 0.5
-                gate += 0.5
-            own = h @ un
-            own += c
-            n += r * own
-            soft(n)
-            after = h - n
-            after *= z
-            after += n
-            if not full[t]:
-                after *= mask[t][:, None]
-            if keep is not None:
-                keep[t] = (h, r, z, n, own)
-            h = after
-            yield t, h
-
-    def probabilities(self, data: np.ndarray, mask: np.ndarray):
-        """Yields (position, probabilities [windows, labels]) from the last position to the first."""
-        first = np.empty((len(data), data.shape[1], len(self.labels)), np.float32)
-        for t, h in self.states(data, mask, "f"):
-            np.matmul(h, self.p["vf"], out=first[t])
-        for t, h in self.states(data, mask, "b"):
-            x = h @ self.p["vb"]
-            x += first[t]
-            x += self.p["d"]
-            x -= x.max(axis=1, keepdims=True)
-            np.exp(x, out=x)
-            x /= x.sum(axis=1, keepdims=True)
-            yield t, x
+    def step(self, byte: np.ndarray, h: np.ndarray, way: str, keep: list | None = None) -> np.ndarray:
+        """The state after one more byte in each lane; keep gets what the backward pass needs."""
+        own = h @ self.p[f"u{way}"]
+        r, z, n = gates(np.take(self.p[f"w{way}"], byte, axis=0), own, self.p[f"c{way}"], self.hidden)
+        if keep is not None:
+            keep.append((h, r, z, n, own[:, 2 * self.hidden :]))
+        out = h - n
+        out *= z
+        out += n
+        return out
 
     def gradients(self, data: np.ndarray, mask: np.ndarray, target: np.ndarray) -> tuple[float, dict]:
-        """Mean cross entropy over all positions, and its gradients by backpropagation through time."""
-        p, total = self.p, mask.sum()
-        g = {k: np.zeros_like(v) for k, v in p.items()}
-        keep, out = {"f": {}, "b": {}}, {"f": {}, "b": {}}
+        """Mean cross entropy over all positions of windows [positions, lanes], and its gradients by backpropagation through time."""
+        p, hidden, total = self.p, self.hidden, mask.sum()
+        kind = p["d"].dtype
+        held, states = {"f": [], "b": []}, {}
         for way in "fb":
-            out[way] = dict(self.states(data, mask, way, keep[way]))
-        loss, errors = 0.0, {}
-        for t in range(len(data)):
-            x = out["f"][t] @ p["vf"] + out["b"][t] @ p["vb"] + p["d"]
-            x -= x.max(axis=1, keepdims=True)
-            e = np.exp(x)
-            e /= e.sum(axis=1, keepdims=True)
-            loss -= float((np.log(e[np.arange(len(e)), target] + 1e-9) * mask[t]).sum())
-            e[np.arange(len(e)), target] -= 1
-            errors[t] = e * (mask[t][:, None] / total)
-            g["d"] += errors[t].sum(axis=0)
+            h, out = np.zeros((data.shape[1], hidden), kind), []
+            for t in self._times(len(data), way):
+                h = self.step(data[t], h, way, held[way]) * mask[t][:, None]
+                out.append(h)
+            states[way] = np.stack(out if way == "f" else out[::-1])
+        e = softmax(states["f"] @ p["vf"] + states["b"] @ p["vb"] + p["d"])
+        lanes = np.arange(data.shape[1])
+        loss = -float((np.log(e[:, lanes, target] + 1e-9) * mask).sum() / total)
+        e[:, lanes, target] -= 1
+        e *= (mask / total)[:, :, None]
+        g = {"d": e.sum(axis=(0, 1))}
+        flat = data.reshape(-1)
+        order = np.argsort(flat, kind="stable")
+        seen, first = np.unique(flat[order], return_index=True)
         for way in "fb":
-            dh = np.zeros((data.shape[1], self.hidden), p["d"].dtype)
-            for t in range(len(data) - 1, -1, -1) if way == "f" else range(len(data)):
-                h, r, z, n, own = keep[way][t]
-                g[f"v{way}"] += out[way][t].T @ errors[t]
-                dh = (dh + errors[t] @ p[f"v{way}"].T) * mask[t][:, None]
-                dn = dh * (1 - z) * (1 - np.abs(n)) ** 2
-                pre = {"n": dn, "r": dn * own * 0.5 * (1 - np.abs(2 * r - 1)) ** 2, "z": dh * (h - n) * 0.5 * (1 - np.abs(2 * z - 1)) ** 2}
-                back = pre | {"n": dn * r}
-                dh = dh * z
-                for gate in "rzn":
-                    np.add.at(g[f"w{gate}{way}"], data[t], pre[gate])
-                    g[f"u{gate}{way}"] += h.T @ back[gate]
-                    dh += back[gate] @ p[f"u{gate}{way}"].T
-                g[f"c{way}"] += back["n"].sum(axis=0)
-        return loss / total, g
-
-    def fit(self, windows: np.ndarray, mask: np.ndarray, target: np.ndarray, updates: int = UPDATES, batch: int = BATCH, rate: float = RATE, seed: int = 3) -> list[float]:
-        """Adam over batches with equal shares of the languages; returns the losses."""
+            g[f"v{way}"] = np.tensordot(states[way], e, ([0, 1], [0, 1]))
+            back, pre = e @ p[f"v{way}"].T, np.empty((*data.shape, 3 * hidden), kind)
+            gu, gc, dh = np.zeros_like(p[f"u{way}"]), np.zeros_like(p[f"c{way}"]), np.zeros((data.shape[1], hidden), kind)
+            for t, (h, r, z, n, own) in zip(self._times(len(data), way)[::-1], held[way][::-1], strict=True):
+                dh = (dh + back[t]) * mask[t][:, None]
+                dn = dh * (1 - z) * (1 - n * n)
+                x = pre[t]
+                x[:, :hidden] = dn * own * r * (1 - r)
+                x[:, hidden : 2 * hidden] = dh * (h - n) * z * (1 - z)
+                x[:, 2 * hidden :] = dn
+                y = x.copy()
+                y[:, 2 * hidden :] *= r
+                gu += h.T @ y
+                gc += y[:, 2 * hidden :].sum(axis=0)
+                dh = dh * z + y @ p[f"u{way}"].T
+            gw = np.zeros_like(p[f"w{way}"])
+            gw[seen] = np.add.reduceat(pre.reshape(-1, 3 * hidden)[order], first, axis=0)
+            g |= {f"w{way}": gw, f"u{way}": gu, f"c{way}": gc}
+        return loss, g
+
+    @staticmethod
+    def _times(n: int, way: str) -> range:
+        return range(n) if way == "f" else range(n - 1, -1, -1)
+
+    def fit(self, texts: list[bytes], target: np.ndarray, updates: int = UPDATES, batch: int = BATCH, rate: float = RATE, seed: int = 3, window: int = WINDOW) -> list[float]:
+        """Adam over batches with equal shares of the languages: a text, then one of its windows, at random; returns the losses."""
         rnd, losses = np.random.default_rng(seed), []
+        self.known = np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=256) > 0
         of = [np.flatnonzero(target == k) for k in range(len(self.labels))]
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
         for step in range(1, updates + 1):
             pick = np.concatenate([rnd.choice(x, max(1, batch // len(of))) for x in of])
-            loss, g = self.gradients(windows[:, pick], mask[:, pick], target[pick])
+            data, mask = np.zeros((window, len(pick)), np.uint8), np.zeros((window, len(pick)), np.float32)
+            for lane, i in enumerate(pick.tolist()):
+                at = int(rnd.integers(0, max(1, len(texts[i]) - window + 1)))
+                some = np.frombuffer(texts[i][at : at + window], np.uint8)
+                data[: len(some), lane], mask[: len(some), lane] = some, 1
+            loss, g = self.gradients(data, mask, target[pick])
             losses.append(loss)
             now = rate * (1 - step / (updates + 1))
             scale = min(1, 1 / (np.sqrt(sum(float((x * x).sum()) for x in g.values())) + 1e-9))
@@ -147,77 +157,134 @@ class Net:
         return losses
 
 
-def cut(texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes [window, n], mask [window, n] and the text of each window; empty texts have none."""
-    counts = np.array([-(-len(x) // window) for x in texts], np.int64)
-    data = np.frombuffer(b"".join(x.ljust(int(c) * window, b"\0") for x, c in zip(texts, counts, strict=True)), np.uint8).reshape(-1, window)
-    owner = np.repeat(np.arange(len(texts)), counts)
-    left = np.array(list(map(len, texts)), np.int64)[owner] - window * (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts))
-    return np.ascontiguousarray(data.T), np.arange(window)[:, None] < left[None, :], owner
-
-
-def pooled(net: Net, texts: list[bytes]) -> np.ndarray:
+def lanes(sizes: np.ndarray, most: int = LANES) -> list[list[int]]:
+    """Texts of each lane, the longest first into the lane that is shortest; no lane is much longer than the longest text."""
+    if not len(sizes) or not int(sizes.max()):
+        return []
+    n = max(1, min(most, int(sizes.sum()) // int(sizes.max())))
+    heap, out = [(0, i) for i in range(n)], [[] for _ in range(n)]
+    for i in np.argsort(-sizes, kind="stable").tolist():
+        if sizes[i]:
+            held, lane = heap[0]
+            out[lane].append(i)
+            heapq.heapreplace(heap, (held + int(sizes[i]), lane))
+    return out
+
+
+def scored(net: Net, texts: list[bytes], held: int = HELD):
+    """Yields (owner, probabilities) of blocks of positions, the last block first: [positions, lanes] and [positions, lanes, labels]; owner is the text of a position, -1 for none."""
+    rows = lanes(np.array(list(map(len, texts)), np.int64))
+    if not rows:
+        return
+    sizes = [sum(len(texts[i]) for i in row) for row in rows]
+    steps, n, k = max(sizes), len(rows), len(net.labels)
+    data, owner = np.zeros((n, steps), np.uint8), np.full((n, steps), -1, np.int32)
+    starts, ends = [[] for _ in range(steps + 1)], [[] for _ in range(steps + 1)]
+    for lane, row in enumerate(rows):
+        at = 0
+        for i in row:
+            end = at + len(texts[i])
+            data[lane, at:end] = np.frombuffer(texts[i], np.uint8)
+            owner[lane, at:end] = i
+            starts[at].append(lane)
+            ends[end - 1].append(lane)
+            at = end
+    data, owner = np.ascontiguousarray(data.T), np.ascontiguousarray(owner.T)
+    block = max(1, held // (n * k))
+    kept = {}
+
+    def forward(h: np.ndarray, a: int, b: int, out: np.ndarray | None) -> np.ndarray:
+        for t in range(a, b):
+            if starts[t]:
+                h[starts[t]] = 0
+            h = net.step(data[t], h, "f")
+            if out is not None:
+                np.matmul(h, net.p["vf"], out=out[t - a])
+        return h
+
+    h = np.zeros((n, net.hidden), np.float32)
+    for a in range(0, steps, block):
+        kept[a] = h.copy()
+        if a + block < steps:
+            h = forward(h, a, a + block, None)
+    h = np.zeros((n, net.hidden), np.float32)
+    for a in range((steps - 1) // block * block, -1, -block):
+        b = min(a + block, steps)
+        x = np.empty((b - a, n, k), np.float32)
+        forward(kept.pop(a), a, b, x)
+        for t in range(b - 1, a - 1, -1):
+            if ends[t]:
+                h[ends[t]] = 0
+            h = net.step(data[t], h, "b")
+            x[t - a] += h @ net.p["vb"]
+        x += net.p["d"]
+        for c in range(0, b - a, 256):  # in the cache
+            softmax(x[c : c + 256])
+        known = net.known[data[a:b]]
+        if not known.all():
+            x *= known[:, :, None]
+        yield owner[a:b], x
+
+
+def pooled(net: Net, texts: list[bytes], held: int = HELD) -> np.ndarray:
     """Mean probabilities over the positions of each text, [texts, labels]; zeros for an empty one."""
-    total = np.zeros((len(texts), len(net.labels)))
-    data, mask, owner = cut(texts)
-    for at in range(0, data.shape[1], BLOCK):
-        some, held = np.ascontiguousarray(data[:, at : at + BLOCK]), np.ascontiguousarray(mask[:, at : at + BLOCK])
-        acc = np.zeros((some.shape[1], len(net.labels)))
-        for t, x in net.probabilities(some, held):
-            acc += x if held[t].all() else x * held[t][:, None]
-        np.add.at(total, owner[at : at + BLOCK], acc)
-    return total / np.maximum(1, np.array(list(map(len, texts))))[:, None]
+    total = np.zeros((len(texts) + 1, len(net.labels)))
+    for owner, x in scored(net, texts, held):
+        for label in range(len(net.labels)):
+            total[:, label] += np.bincount(owner.reshape(-1) + 1, x[:, :, label].reshape(-1), len(texts) + 1)
+    return total[1:] / np.maximum(1, np.array(list(map(len, texts)), np.int64))[:, None]
 
 
 def positions(net: Net, text: bytes) -> list[str]:
     """The label of every byte of one text."""
-    data, mask, _ = cut([text])
-    best = np.zeros(data.shape, np.int64)
-    for t, x in net.probabilities(data, mask):
-        best[t] = x.argmax(axis=1)
-    return [net.labels[i] for i in best.T.reshape(-1)[: len(text)].tolist()]
+    best = [x[:, 0].argmax(axis=1) for _, x in scored(net, [text])][::-1]
+    return [net.labels[i] for i in np.concatenate(best).tolist()] if best else []
 
 
 def is_held_out(key: Column, folds: int = FOLDS) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % folds == 0, F.lit(True))
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = ROWS, snippet: int = SNIPPET, updates: int = UPDATES) -> Net:
-    """A network from a bounded sample: the rows labelled documents with the least hashes, a snippet of each."""
-    place = F.pmod(F.xxhash64(key, F.lit(11)), F.greatest(F.length(text) - snippet, F.lit(0)) + 1).cast("int") + 1
-    learned = docs.filter(~is_held_out(F.col(key)) & F.col(lang).isNotNull())
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = ROWS, updates: int = UPDATES) -> Net:
+    """A network from a bounded sample: of each language, the ``rows`` labelled documents with the least hashes, whole texts."""
     h = F.pmod(F.xxhash64(key, F.lit(5)), F.lit(1 << 31))
-    # a threshold on the hash first: each task would otherwise hand its own least rows to the one that merges them
-    below = min(1.0, 2 * rows / max(1, learned.select(key, lang).count()))
-    sample = learned.filter((h < int(below * (1 << 31))) & F.col(text).isNotNull()).select(h.alias("h"), F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).substr(place, F.lit(snippet)).alias("t"))
-    found = sample.orderBy("h", "k", "t").limit(rows).select("l", "t").toArrow().to_pydict()
+    learned = docs.filter(~is_held_out(F.col(key)) & F.col(lang).isNotNull() & (F.length(text) > 0)).select(h.alias("h"), F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t"))
+    count = learned.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
+    # a threshold on the hash first: only about twice the rows of each language go to the tasks that order them
+    drawn = learned.join(F.broadcast(count), "l").filter(F.col("h") * F.col("n") < F.lit(2 * rows) * F.lit(1 << 31))  # count: a row for each language
+    first = drawn.withColumn("i", F.row_number().over(W.partitionBy("l").orderBy("h", "k", "t"))).filter(F.col("i") <= rows)
+    found = first.select("l", "t", "h", "k").toArrow().sort_by([("l", "ascending"), ("h", "ascending"), ("k", "ascending"), ("t", "ascending")]).to_pydict()
     labels = sorted(set(found["l"]))
     net = Net(labels)
-    data, mask, owner = cut([t.encode() for t in found["t"]])
-    if len(labels) > 1 and len(owner):
-        target = np.array([labels.index(x) for x in found["l"]])[owner]
-        if all((target == k).any() for k in range(len(labels))):
-            net.fit(data, mask.astype(np.float32), target, updates)
+    if len(labels) > 1:
+        net.fit([t.encode() for t in found["t"]], np.array([labels.index(x) for x in found["l"]]), updates)
     return net
 
 
+def _guess(net: Net, letters: list[bool], texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """Label and score of each text."""
+    if not net.labels:
+        return ["und"] * len(texts), [0.0] * len(texts)
+    p = pooled(net, [(x or "").encode() if ok else b"" for x, ok in zip(texts, letters, strict=True)])
+    best, score = p.argmax(axis=1).tolist(), p.max(axis=1).clip(0, 1).round(5).tolist()
+    return [net.labels[b] if ok else "und" for b, ok in zip(best, letters, strict=True)], [s if ok else 0.0 for s, ok in zip(score, letters, strict=True)]
+
+
+def _letters(text: str) -> Column:
+    return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+
+
 def predict(docs: DataFrame, net: Net, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, held_out, lang_pred, score) for each row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(net)  # a fixed number of parameters
+    shared = docs.sparkSession.sparkContext.broadcast(net)  # a fixed number of parameters for each language
 
     def run(batches):
-        model = shared.value
         for batch in batches:
-            for part in slices(batch, 3):
-                letters, texts = part.column(2).to_pylist(), [(x or "").encode() for x in part.column(3).to_pylist()]
-                if model.labels:
-                    p = pooled(model, [x if ok else b"" for x, ok in zip(texts, letters, strict=True)])
-                    best, score = p.argmax(axis=1).tolist(), p.max(axis=1).clip(0, 1).round(5).tolist()
-                else:
-                    letters, best, score = [False] * len(texts), [0] * len(texts), [0.0] * len(texts)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([model.labels[b] if ok else "und" for b, ok in zip(best, letters, strict=True)], pa.string()), pa.array([s if ok else 0.0 for s, ok in zip(score, letters, strict=True)], pa.float64())], [key, "held_out", "lang_pred", "score"])
-
-    rows = docs.select(F.col(key), is_held_out(F.col(key)).alias("held_out"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letters"), F.col(text).alias("text"))
+            for part in slices(batch, 3, 4 << 20):
+                label, score = _guess(shared.value, part.column(2).to_pylist(), part.column(3).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(label, pa.string()), pa.array(score, pa.float64())], [key, "held_out", "lang_pred", "score"])
+
+    rows = docs.select(F.col(key), is_held_out(F.col(key)).alias("held_out"), _letters(text).alias("letters"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, held_out boolean, lang_pred string, score double")
 
 
@@ -226,19 +293,19 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", key: str =
     return predict(docs, train(docs, text, lang, key), text, key)
 
 
-def recognised(docs: DataFrame, net: Net, least_score: float = 0.0, text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose text has letters and a best label with at least that score. Nothing is shuffled."""
+def recognised(docs: DataFrame, net: Net, least_score: float = 0.0, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of docs, all columns, whose text has letters and a label with at least that score; that label takes the place of lang. Nothing is shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    at = len(docs.columns)
+    at, names = len(docs.columns), docs.columns
+    to = names.index(lang)
 
     def run(batches):
-        model = shared.value
         for batch in batches:
-            for part in slices(batch, at):
-                letters, texts = part.column(at + 1).to_pylist(), [(x or "").encode() for x in part.column(at).to_pylist()]
-                score = pooled(model, [x if ok else b"" for x, ok in zip(texts, letters, strict=True)]).max(axis=1, initial=0)
-                kept = pa.array([bool(ok and s >= least_score) for ok, s in zip(letters, score.tolist(), strict=True)])
-                yield pa.RecordBatch.from_arrays([part.column(i).filter(kept) for i in range(at)], part.schema.names[:at])
-
-    rows = docs.select("*", F.col(text).alias("__text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
-    return rows.mapInArrow(run, docs.schema)
+            for part in slices(batch, at, 4 << 20):
+                label, score = _guess(shared.value, part.column(at + 1).to_pylist(), part.column(at).to_pylist())
+                kept = pa.array([x != "und" and s >= least_score for x, s in zip(label, score, strict=True)], pa.bool_())
+                columns = [part.column(i) if i != to else pa.array(label, pa.string()) for i in range(at)]
+                yield pa.RecordBatch.from_arrays([c.filter(kept) for c in columns], part.schema.names[:at])
+
+    # by place, so that names do not matter
+    return docs.select(*(F.col(f"`{c}`") for c in names), F.col(text).alias("read"), _letters(text).alias("letters")).mapInArrow(run, docs.schema)

@@ -100,13 +100,24 @@ def split_by_filter(rows: DataFrame, keys: dict[str, Column], some: DataFrame) -
     return both.filter(~hit).select(names), both.filter(hit).select(names)
 
 
+def _equal(keys: dict[str, Column], other: DataFrame, names: dict[str, str]) -> Column:
+    cond = F.lit(True)
+    for k, n in names.items():
+        cond = cond & keys[k].eqNullSafe(other[n])
+    return cond
+
+
 def leave(docs: DataFrame, gone: DataFrame, keys: dict[str, Column]) -> DataFrame:
     """The rows of docs whose keys (names in gone to expressions over docs) are not in gone. Only rows that the bitmap cannot rule out are shuffled."""
     safe, asked = split_by_filter(docs, keys, gone)
     names = {k: f"__k{i}" for i, k in enumerate(keys)}
     other = gone.select(*(F.col(k).alias(n) for k, n in names.items()))
-    cond = None
-    for k, n in names.items():
-        one = keys[k].eqNullSafe(other[n])
-        cond = one if cond is None else cond & one
-    return safe.unionByName(asked.join(other, cond, "left_anti"))
+    return safe.unionByName(asked.join(other, _equal(keys, other, names), "left_anti"))
+
+
+def among(docs: DataFrame, some: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """The rows of docs whose keys are in some, with the other columns of some. Only rows that the bitmap cannot rule out are shuffled."""
+    _, asked = split_by_filter(docs, keys, some)
+    names = {k: f"__k{i}" for i, k in enumerate(keys)}
+    other = some.select(*(F.col(k).alias(n) for k, n in names.items()), *(c for c in some.columns if c not in keys))
+    return asked.join(other, _equal(keys, other, names)).drop(*names.values())

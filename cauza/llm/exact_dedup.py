@@ -26,7 +26,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, split_by_filter, written
+from .common import among, shared_dir, written
 
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -89,8 +89,8 @@ def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
 
 def contents(source: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted (locator and other columns) with the content at each locator; rows of source that are not wanted are not shuffled."""
-    _, asked = split_by_filter(source, {"locator": F.col("locator")}, wanted.select("locator"))
-    return asked.select("locator", normal(F.col("text")).alias("content")).join(wanted, "locator")
+    found = among(source.select("locator", "text"), wanted, {"locator": F.col("locator")})
+    return found.select("*", normal(F.col("text")).alias("content")).drop("text")
 
 
 def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", digest: Callable[[Column], Column] = sha256, arrivals: int = ARRIVALS, per_trigger: int = 64 << 30) -> DataFrame:

@@ -96,8 +96,10 @@ class Forest:
                 i, j = i[new], j[new]
 
 
-def distance(a: np.ndarray, b) -> np.ndarray:
-    return np.bitwise_count(a ^ b)
+def distance(a: np.ndarray, b, words: int = 1) -> np.ndarray:
+    """Differing bits; fingerprints of several words lie along the last axis."""
+    x = np.bitwise_count(a ^ b)
+    return x if words == 1 else x.sum(axis=-1, dtype=np.uint16)
 
 
 def boundary(d: np.ndarray) -> int:
@@ -107,10 +109,10 @@ def boundary(d: np.ndarray) -> int:
 
 
 class Tree:
-    """A vantage-point tree over members; guests are queries that are no members. Counts nodes and comparisons."""
+    """A vantage-point tree over members; guests are queries that are no members. points: [n] or [n, words]. Counts nodes and comparisons."""
 
     def __init__(self, points: np.ndarray, members: int | None = None, radius: int = RADIUS, leaf: int = LEAF):
-        self.points, self.radius, self.leaf = points, radius, leaf
+        self.points, self.radius, self.leaf, self.words = points, radius, leaf, points.shape[1] if points.ndim > 1 else 1
         self.forest, self.nodes, self.compared = Forest(len(points)), 0, 0
         n = len(points) if members is None else members
         self._walk(np.arange(n), np.arange(n, len(points)))
@@ -119,7 +121,7 @@ class Tree:
         held = self.points[own]
         for at in range(0, len(asked), 1024):
             some = asked[at : at + 1024]
-            i, j = np.nonzero(distance(self.points[some][:, None], held[None, :]) <= self.radius)
+            i, j = np.nonzero(distance(self.points[some][:, None], held[None, :], self.words) <= self.radius)
             self.compared += len(some) * len(own)
             if len(i):
                 self.forest.link_new(some[i], own[j])
@@ -129,14 +131,14 @@ class Tree:
         stack = [(own, guests, False)]  # the last: these members hang together already
         while stack:
             own, guests, settled = stack.pop()
-            if not len(own) or len(own) == 1 and not len(guests):
+            if not len(own) or not len(guests) and (settled or len(own) == 1):
                 continue
             if len(own) <= self.leaf:
                 self._brute(own, guests if settled else np.concatenate([own, guests]))
                 continue
             self.nodes += 1
             vantage = int(own[0])
-            d, q = distance(points[own], points[vantage]), distance(points[guests], points[vantage])
+            d, q = distance(points[own], points[vantage], self.words).astype(np.int64), distance(points[guests], points[vantage], self.words).astype(np.int64)
             self.compared += len(own) + len(guests)
             near = np.concatenate([own[d <= r], guests[q <= r]])
             self.forest.link_new(np.full(len(near), vantage), near)

@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -23,14 +24,66 @@ def test_gradients_by_finite_differences():
         assert abs((up - down) / 2e-6 - g[k][at]) < 1e-6
 
 
-def test_pooling_reads_whole_texts():
+def plain(net, text):
+    """Probabilities of each position by one scalar at a time: both states, gates and softmax, for a single text."""
+    sig, h = lambda v: 1 / (1 + math.exp(-v)), net.hidden
+    states = {}
+    for way in "fb":
+        w, u, c = (net.p[k + way].astype(float).tolist() for k in "wuc")
+        now, states[way] = [0.0] * h, [None] * len(text)
+        for t in range(len(text)) if way == "f" else reversed(range(len(text))):
+            row, own = w[text[t]], [sum(now[i] * u[i][j] for i in range(h)) for j in range(3 * h)]
+            r, z = ([sig(row[k + j] + own[k + j]) for j in range(h)] for k in (0, h))
+            n = [math.tanh(row[2 * h + j] + r[j] * (own[2 * h + j] + c[j])) for j in range(h)]
+            now = [(1 - z[j]) * n[j] + z[j] * now[j] for j in range(h)]
+            states[way][t] = now
+    out = []
+    for t, byte in enumerate(text):
+        x = [net.p["d"][k] + sum(states[way][t][j] * net.p["v" + way][j][k] for way in "fb" for j in range(h)) for k in range(len(net.labels))]
+        e = [math.exp(v - max(x)) for v in x]
+        out.append([v / sum(e) * net.known[byte] for v in e])
+    return np.array(out)
+
+
+def test_forward_pass_equals_a_plain_loop_over_bytes():
+    net = G.Net(["a", "b", "c"], 4, seed=2)
+    rnd = np.random.default_rng(6)
+    net.p = {k: (v + rnd.normal(0, 0.3, v.shape)).astype(np.float32) for k, v in net.p.items()}
+    net.known[[7, 200]] = False
+    texts = [b"", b"x", b"\xc3\xa9t\xc3\xa9 hello " * 9, b"q" * 300, rnd.integers(0, 256, 700).astype(np.uint8).tobytes(), b"z"]
+    want = [plain(net, t).mean(axis=0) if t else np.zeros(3) for t in texts]
+    for held in (1 << 20, 200, 7):  # one block, many blocks, blocks of a position
+        assert np.allclose(G.pooled(net, texts, held), want, atol=1e-5)
+    assert G.positions(net, texts[4]) == [net.labels[i] for i in plain(net, texts[4]).argmax(axis=1)]
+    assert G.positions(net, b"") == []
+
+
+def test_states_run_through_whole_texts():
+    """A byte far away on either side still changes a position's probabilities where gates keep the state."""
     net = G.Net(["a", "b"], 4)
-    texts = [b"", b"x", b"hello " * 1000, b"q" * G.WINDOW, b"z" * (G.WINDOW + 1)]
-    p = G.pooled(net, texts)
-    assert p[0].tolist() == [0, 0] and np.allclose(p[1:].sum(axis=1), 1, atol=1e-4)
-    for i in (1, 2, 3, 4):
-        assert np.allclose(G.pooled(net, [texts[i]])[0], p[i], atol=1e-5)
-        assert len(G.positions(net, texts[i])) == len(texts[i])
+    for way in "fb":
+        net.p["w" + way][:, 4:8] = 9.0  # update gates near 1: states are kept
+        net.p["w" + way][ord("!"), 4:8] = -9.0
+        net.p["u" + way][:] = 0
+    quiet = b"x" * 3000
+    middle = [next(x for x in G.scored(net, [t]))[1][1500, 0] for t in (quiet, b"!" + quiet[1:], quiet[1:] + b"!")]
+    assert abs(middle[1] - middle[0]).max() > 1e-3 and abs(middle[2] - middle[0]).max() > 1e-3
+
+
+def test_lanes_hold_all_texts_and_stay_short():
+    sizes = np.array([5, 0, 900, 3, 3, 40, 900, 1])
+    rows = G.lanes(sizes)
+    assert sorted(i for row in rows for i in row) == [0, 2, 3, 4, 5, 6, 7]
+    assert max(sum(sizes[i] for i in row) for row in rows) <= 2 * 900
+    assert G.lanes(np.array([0, 0])) == G.lanes(np.array([], np.int64)) == []
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, "abc de " * 20, "common") for i in range(3000)] + [(5000 + i, "vwx yz " * 20, "rare") for i in range(4)] + [(6000 + i, "", "empty") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    net = G.train(df, rows=20, updates=40)
+    assert net.labels == ["common", "rare"]
+    assert {r.lang_pred for r in G.predict(df.filter("doc_id between 5000 and 5999"), net).collect()} == {"rare"}
 
 
 def test_held_out_accuracy(spark, sf_dir):
@@ -52,3 +105,12 @@ def test_cases(spark):
     assert G.identify(df.limit(0)).collect() == []
     assert {r.lang_pred for r in G.identify(df.filter("lang is null")).collect()} == {"und"}
     assert {r.lang_pred for r in G.identify(df.filter("lang is null or lang = 'one'")).collect()} == {"und", "one"}
+
+
+def test_recognised_names_the_language_and_rejects_what_has_none(spark):
+    rows = [(i, f"{'abcde' if i % 2 else 'vwxyz'} " * 30, "one" if i % 2 else "two", "s") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, __text string")
+    net = G.train(df, rows=30, updates=60)
+    odd = [(900, "abcde " * 200 + "vwxyz " * 200, "one", None), (901, "\u043f\u0440\u0438\u0432\u0435\u0442 " * 40, None, "s"), (902, None, "one", "s"), (903, "...", "two", "s"), (904, "vwxyz " * 9, "one", "s")]
+    got = {r.doc_id: r.lang for r in G.recognised(spark.createDataFrame(rows + odd, df.schema), net, 0.66).collect()}
+    assert got == {r[0]: r[2] for r in rows} | {904: "two"}
