@@ -9,14 +9,15 @@ node has children can remain unassigned.
 A leaf with budget a and s tokens gives a / s whole epochs and of one further epoch the token-prefix: its documents in
 the order of md5(seed:epoch:identifier), until the rest of the budget is met; the last document gives only as many
 tokens as are left (take_tokens). Prefix sums run over 4,096 hash buckets first, and only in the bucket where the
-budget ends over rows, so that no leaf, however large, is ordered in one task.
+budget ends over rows, so that no leaf, however large, is ordered in one task: the window over a leaf's buckets has 4,096
+rows at most.
 
 Tokens are the runs of characters other than [\\x20\\x09-\\x0D].
 
 Defined cases: null text has no tokens; documents without tokens go with the prefix they stand in and take 0, and a
-leaf without tokens gives one whole epoch; null
-domain, language or source is a value of its own (``-``); a weight that is not listed is 1, a weight of 0 or less
-takes nothing; rows that repeat an identifier are rows of their own; an empty table gives no rows.
+leaf without tokens gives one whole epoch; null domain, language or source is a value of its own (``-``); a weight that
+is not listed is 1; below a weight of 0 or less nothing is taken, documents without tokens included; rows that repeat an
+identifier are rows of their own; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -63,19 +64,29 @@ def fill(nodes: DataFrame, parents: list[str], name: str) -> DataFrame:
     return step.withColumn("budget", F.when(F.col("whole") == 1, F.col("cap")).otherwise(share)).drop("filled", "weights", "whole", "shares", "first_rest")
 
 
+def _open(weights: dict[str, dict[str, int]]) -> Column:
+    """Whether all weights on the way to a leaf are above 0."""
+    found = F.lit(True)
+    for level in LEVELS:
+        found = found & (weight_of(F.col(level), weights.get(level, {})) > 0)
+    return found
+
+
 def budgets(supply: DataFrame, weights: dict[str, dict[str, int]], share: int, epochs: int) -> DataFrame:
-    """(domain, lang, source, supply, budget) of each leaf of supply (domain, lang, source, supply)."""
+    """(domain, lang, source, supply, open, budget) of each leaf of supply (domain, lang, source, supply)."""
     levels = list(LEVELS)
+    # what a weight of 0 or less shuts out, on any level, has no tokens to give to the nodes above it either
+    supply = supply.withColumn("open", _open(weights)).withColumn("__cap", F.when(F.col("open"), F.col("supply") * epochs).otherwise(F.lit(0).cast("long")))
     given = supply.agg(F.expr(f"coalesce(sum(supply), 0) * {share} div 100").alias("given"))
     above, keys = None, []
     for level in levels:
-        nodes = supply.groupBy(*keys, level).agg((F.sum("supply") * epochs).alias("cap")).withColumn("weight", weight_of(F.col(level), weights.get(level, {})))
+        nodes = supply.groupBy(*keys, level).agg(F.sum("__cap").alias("cap")).withColumn("weight", weight_of(F.col(level), weights.get(level, {})))
         # one row, or the level above: a few nodes
         nodes = nodes.crossJoin(given) if above is None else nodes.join(above, keys)
         above = fill(nodes, keys, level)
         keys = [*keys, level]
         above = above.select(*keys, F.col("budget").alias("given"))
-    return supply.join(above.withColumnRenamed("given", "budget"), levels)
+    return supply.drop("__cap").join(above.withColumnRenamed("given", "budget"), levels)
 
 
 def mix(docs: DataFrame, weights: dict[str, dict[str, int]] | None = None, share: int = SHARE, epochs: int = EPOCHS, seed: int = SEED, text: str = "text", key: str = "doc_id", lang: str = "lang", source: str = "source", domain: Column | None = None) -> DataFrame:
@@ -87,7 +98,7 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]] | None = None, share
     )
     rows = written(rows, "mix-tokens")
     leaves = written(budgets(rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("supply")), weights, share, epochs), "mix-budgets")
-    planned = leaves.select(*LEVELS, F.expr("case when supply > 0 then budget div supply else 1 end").alias("full"), F.expr("case when supply > 0 then budget % supply else 0 end").alias("rest"))
+    planned = leaves.select(*LEVELS, F.expr("case when supply > 0 then budget div supply when open then 1 else 0 end").alias("full"), F.expr("case when supply > 0 then budget % supply else 0 end").alias("rest"))
     rows = rows.join(planned, list(LEVELS))
 
     whole = rows.filter("full > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("full")))).withColumn("take_tokens", F.col("tokens"))

@@ -29,8 +29,8 @@ def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2k and 2k + 1 as chosen and rejected."""
-    return preference.neighbours(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    """Each even conversation as chosen, its first half continued by its neighbour as rejected."""
+    return preference.branches(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
 def op6_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

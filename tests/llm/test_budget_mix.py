@@ -37,6 +37,23 @@ def test_shortage_goes_to_siblings_first(spark):
     assert got == {"a": 10, "b": 492, "c": 502}
 
 
+def test_weights_of_zero_take_nothing(spark):
+    supply = spark.createDataFrame([("d0", "en", "a", 100), ("d0", "de", "a", 900), ("d1", "en", "c", 100), ("d2", "en", "c", 100)], "domain string, lang string, source string, supply bigint")
+    for weights in ({"domain": {"d1": 0}, "lang": {"de": 0}}, {"domain": {"d1": -3}, "lang": {"de": -1}}):
+        got = {(r.domain, r.lang): r.budget for r in B.budgets(supply, weights, 15, 1).collect()}
+        # d0 cannot hand the tokens of de down: what they would have taken goes to d2
+        assert got == {("d0", "en"): 90, ("d0", "de"): 0, ("d1", "en"): 0, ("d2", "en"): 90}
+    got = {(r.domain, r.lang): r.budget for r in B.budgets(supply, {"domain": {"d0": 9, "d1": 0}, "lang": {"de": 0}}, 15, 1).collect()}
+    assert got == {("d0", "en"): 100, ("d0", "de"): 0, ("d1", "en"): 0, ("d2", "en"): 80}
+
+
+def test_documents_without_tokens_below_a_weight_of_zero(spark):
+    data = [(1, None, "en", "src0", 1, "z"), (2, "", "en", "src1", 1, "z"), (3, "a b", "de", "src1", 1, "z"), (4, "", "fr", "src2", 1, "z")]
+    df = spark.createDataFrame(data, SCHEMA)
+    assert {r.doc_id for r in B.mix(df, {"domain": {"d1": 0}, "lang": {}}, share=100).collect()} == {1, 4}
+    assert {r.doc_id for r in B.mix(df, {"domain": {}, "lang": {"fr": 0}}, share=100).collect()} == {1, 2, 3}
+
+
 def test_epochs_and_prefixes(spark):
     out = B.mix(spark.createDataFrame(rows(), SCHEMA), share=150, epochs=3).collect()
     taken = defaultdict(int)

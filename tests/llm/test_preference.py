@@ -1,4 +1,5 @@
 import duckdb
+from pyspark.sql import functions as F
 
 from cauza.llm import preference as P
 
@@ -13,8 +14,13 @@ def frame(spark, rows):
     return spark.createDataFrame([(*r, 1, "z") for r in rows], "conv_id bigint, turn bigint, role string, text string, pair_id int, prompt string")
 
 
-def test_matches_sql(spark):
-    df = P.neighbours(frame(spark, ROWS))
+def neighbours(turns):
+    """Conversations 2k (chosen) and 2k + 1 as they are."""
+    return P.format_pairs(turns, F.shiftright("conv_id", 1), F.col("conv_id").bitwiseAND(1) == 0)
+
+
+def test_branches_match_sql(spark):
+    df = P.branches(frame(spark, ROWS))
     c = duckdb.connect()
     conversations = frame(spark, ROWS).toPandas()  # noqa: F841
     c.execute("CREATE VIEW v AS SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, role, text FROM conversations")
@@ -23,7 +29,7 @@ def test_matches_sql(spark):
 
 
 def test_prefix_and_masks(spark):
-    out = {r.pair_id: r for r in P.neighbours(frame(spark, ROWS)).collect()}
+    out = {r.pair_id: r for r in neighbours(frame(spark, ROWS)).collect()}
     r = out[0]
     assert r.n_common == 3 and r.prompt.endswith("<|user|>\nmore<|end|>\n") and r.chosen_completion == "<|assistant|>\ngood<|end|>\n"
     for text, mask in ((r.chosen_completion, r.chosen_mask), (out[4].chosen_completion, out[4].chosen_mask), (out[5].rejected_completion, out[5].rejected_mask)):
@@ -38,4 +44,26 @@ def test_prefix_and_masks(spark):
     assert out[1].chosen_completion == out[1].rejected_completion == "" and out[1].n_common == 1
     assert out[2].rejected_id is None and out[2].n_common == 0 and out[3].chosen_id is None
     assert "< |assistant|>" in out[4].chosen_completion and None not in out
-    assert P.neighbours(frame(spark, ROWS).limit(0)).collect() == []
+    assert neighbours(frame(spark, ROWS).limit(0)).collect() == []
+
+
+def test_branches_share_a_prompt(spark):
+    out = {r.pair_id: r for r in P.branches(frame(spark, ROWS)).collect()}
+    assert out[0].n_common == 3 and out[0].n_rejected == 4  # half by rule, one more as both go on alike
+    assert out[0].rejected_completion == "<|assistant|>\nbad<|end|>\n"
+    assert (out[0].chosen_id, out[0].rejected_id, out[2].rejected_id, out[3].chosen_id) == (0, 1, None, None)
+    assert P.branches(frame(spark, ROWS).limit(0)).collect() == []
+
+
+def test_table_exercises_the_common_prefix(spark, sf_dir):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    out = P.branches(turns).collect()
+    own = {}
+    for r in turns.collect():
+        own.setdefault(r.conv_id, set()).add((r.turn, r.role, r.text))
+    shared = [r for r in out if r.n_common > 0]
+    assert len(shared) >= 0.9 * len(out) > 0
+    for r in shared:
+        turns_of = sorted(own[r.chosen_id])
+        assert r.n_common >= len(turns_of) // 2
+        assert r.prompt.count("<|end|>\n") == r.n_common and r.prompt + r.chosen_completion == "".join(f"<|{role}|>\n{text.replace('<|', '< |')}<|end|>\n" for _, role, text in turns_of)
