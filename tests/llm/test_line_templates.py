@@ -1,6 +1,7 @@
 import hashlib
 
 import duckdb
+from pyspark.sql import functions as F
 
 from cauza.llm import line_templates as T
 
@@ -40,6 +41,31 @@ def test_templates_are_dropped_after_the_first(spark):
     assert out[10].n_dropped == 0  # one document only
 
 
+def test_several_families_in_one_leaf(spark):
+    """Three families of eight tokens with the same leading tokens, in many modules and by many people."""
+    families = ("error in module {} was fixed by {}", "error in module {} could not find {}", "error in module {} has been closed {}")
+    rows = [(i, "\n".join(f.format(f"m{chr(97 + i % 26)}q", f"p{chr(97 + (i * 7 + k) % 26)}{chr(97 + i // 26)}") for k, f in enumerate(families)) + f"\nthis is {'a b c d e f'.split()[i % 6]} {chr(97 + i % 26) * 3} {chr(97 + i // 26) * 4} own words") for i in range(60)]
+    df = frame(spark, rows)
+    assert got(T.line_dedup(df)) == sql(df)
+    out = {r.doc_id: r for r in T.line_dedup(df).collect()}
+    assert out[0].n_dropped == 0 and all(out[i].n_dropped >= 3 for i in range(1, 60))
+    members = spark.createDataFrame([(b"l", str(i).encode(), t.split()) for i, (_, text) in enumerate(rows) for t in text.split("\n")[:3]], "leaf binary, line binary, tokens array<string>")
+    members = members.select("leaf", F.md5(F.array_join("tokens", " ").cast("binary")).cast("binary").alias("line"), "tokens").distinct()
+    found = T.templates(members).join(members, "line").collect()
+    names = {bytes(r.template): set() for r in found}
+    for r in found:
+        names[bytes(r.template)].add(tuple(r.tokens[4:6]))
+    assert sorted(map(sorted, names.values())) == [[("could", "not")], [("has", "been")], [("was", "fixed")]]  # one template for each family
+
+
+def test_leading_tokens_alone_are_no_template(spark):
+    """Short lines that share only their leading tokens stay lines of their own."""
+    rows = [(i, f"this is a {chr(97 + i % 26) * 3} {chr(97 + i // 26) * 3} {chr(98 + i % 20)}{i // 20 * 'z'}q") for i in range(50)]
+    df = frame(spark, rows)
+    assert got(T.line_dedup(df)) == sql(df)
+    assert all(r.n_dropped == 0 for r in T.line_dedup(df).collect())
+
+
 def test_empty(spark):
     assert T.line_dedup(frame(spark, ROWS).limit(0)).collect() == []
 
