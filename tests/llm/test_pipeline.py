@@ -8,7 +8,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline as C
-from cauza.llm import budget_mix, byte_gru, simhash_vptree
+from cauza.llm import budget_mix, byte_gru
 from cauza.llm.bpe_codec import read_ranks
 
 WS = re.compile(r"[\x20\x09-\x0d]")
@@ -45,9 +45,14 @@ def plain_mix(rows):
     kept, used = [], defaultdict(int)
     md5 = lambda r: hashlib.md5(f"{budget_mix.SEED}:1:{r['doc_id']}".encode()).hexdigest()
     for r in sorted(rows, key=lambda r: (md5(r), r["doc_id"])):
-        if budget[leaf(r)] == supply[leaf(r)] or used[leaf(r)] < budget[leaf(r)]:
+        if budget[leaf(r)] == supply[leaf(r)]:
             kept.append(r)
+        elif used[leaf(r)] < budget[leaf(r)]:
+            ends = [m.end() for m in re.finditer(r"[^\x20\x09-\x0d]+", r["text"])]
+            take = min(len(ends), budget[leaf(r)] - used[leaf(r)])
+            kept.append(r | {"text": r["text"] if take == len(ends) else r["text"][: ends[take - 1]]})
         used[leaf(r)] += tokens(r)
+    assert all(min(used[k], budget[k]) == budget[k] for k in used)
     return kept
 
 
@@ -56,17 +61,24 @@ def budget_domain(source):
     return f"d{int(found[0]) % 4}" if found else "-"
 
 
+def grams(text):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text).encode().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
 def plain(spark, docs):
     net = byte_gru.train(docs)
     rows = [r.asDict() for r in docs.orderBy("doc_id").collect()]
-    rows = [r for r in rows if r["text"] and any(c.isalpha() for c in r["text"]) and byte_gru.pooled(net, [r["text"].encode()])[0].max() >= C.LEAST_SCORE]
+    probabilities = byte_gru.pooled(net, [(r["text"] or "").encode() for r in rows])
+    least = 1 / len(net.labels) + C.LEAST_CONFIDENCE * (1 - 1 / len(net.labels))
+    rows = [r | {"lang": net.labels[p.argmax()]} for r, p in zip(rows, probabilities) if r["text"] and any(c.isalpha() for c in r["text"]) and round(p.max(), 5) >= least]
     best = {}
     for r in rows:
         k = WS.sub("", r["text"])
         if k not in best or (len(r["text"]), -r["doc_id"]) > (len(best[k]["text"]), -best[k]["doc_id"]):
             best[k] = r
     rows = sorted(best.values(), key=lambda r: r["doc_id"])
-    prints, up = [simhash_vptree.fingerprint(r["text"].encode()) for r in rows], list(range(len(rows)))
+    sets, up = [grams(r["text"]) for r in rows], list(range(len(rows)))
 
     def root(i):
         while up[i] != i:
@@ -75,7 +87,7 @@ def plain(spark, docs):
 
     for i in range(len(rows)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 3:
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
                 up[max(root(i), root(j))] = min(root(i), root(j))
     rows = plain_mix([r for i, r in enumerate(rows) if root(i) == i])
     encode = tiktoken.Encoding("ref", pat_str=P.PATTERN, mergeable_ranks=read_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={}).encode_ordinary
@@ -109,3 +121,27 @@ def test_stages_on_odd_rows(spark, tmp_path):
         assert (200 in left) == (name != "language")
         assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []
     assert C.run(spark, str(tmp_path)).agg(F.count("doc_id")).first()[0] > 0
+
+
+def test_language_drops_what_has_none_and_renames_the_rest(spark, sf_dir):
+    docs = spark.read.parquet(sf_dir.replace("0.001", "0.01") + "/documents.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+    by = {lang: [r.text[:400] for r in rows.values() if r.lang == lang and 400 < len(r.text)][:12] for lang in ("de", "en", "fr")}
+    junk = [(10_000 + i, " ".join(x), "en", "src1", 0) for i, x in enumerate(zip(*by.values()))] + [(20_000, "\u043f\u0440\u0438\u0432\u0435\u0442 " * 50, "en", "src1", 0), (20_001, "12 34 ... 56", "en", "src1", 0)]
+    out = {r.doc_id: r for r in C.language(spark, docs.unionByName(spark.createDataFrame(junk, docs.schema)), "").collect()}
+    assert not {20_000, 20_001} & out.keys()
+    assert sum(j[0] in out for j in junk[:12]) <= 2  # thirds of three languages
+    assert len(out.keys() & rows.keys()) >= 0.99 * len(rows)
+    assert sum(out[i].lang == rows[i].lang for i in out.keys() & rows.keys()) >= 0.98 * len(rows)
+    assert all((r.text, r.source, r.n_chars) == (rows[i].text, rows[i].source, rows[i].n_chars) for i, r in out.items() if i in rows)
+
+
+def test_mixing_cuts_at_the_budget(spark):
+    rows = [(i, f"  a{i} b\tc\n" * (i % 9 + 1), "en", f"src{i % 2}", 1) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    out = C.mixed(spark, docs, "").collect()
+    taken = {r.doc_id: r.take_tokens for r in budget_mix.mix(docs, share=C.SHARE, epochs=C.EPOCHS).collect()}
+    whole = {r[0]: r[1] for r in rows}
+    assert {r.doc_id: len(r.text.split()) for r in out} == {k: v for k, v in taken.items() if v}
+    cut = [r for r in out if r.text != whole[r.doc_id]]
+    assert 1 <= len(cut) <= 2 and all(whole[r.doc_id].startswith(r.text) and r.n_chars == len(r.text) for r in cut)
