@@ -25,12 +25,11 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import slices
-
 WINDOW, HIDDEN = 128, 16
 #: Labelled documents of each language, updates, windows of an update, step size.
 ROWS, UPDATES, BATCH, RATE = 250, 300, 128, 0.02
@@ -55,11 +54,11 @@ def gates(x: np.ndarray, own: np.ndarray, c: np.ndarray, hidden: int) -> tuple[n
     return rz[:, :hidden], rz[:, hidden:], n
 
 
-def softmax(x: np.ndarray) -> np.ndarray:
-    """In place, over the last axis."""
-    x -= x.max(axis=-1, keepdims=True)
+def softmax(x: np.ndarray, axis: int = -1) -> np.ndarray:
+    """In place."""
+    x -= x.max(axis=axis, keepdims=True)
     np.exp(x, out=x)
-    x /= x.sum(axis=-1, keepdims=True)
+    x /= x.sum(axis=axis, keepdims=True)
     return x
 
 
@@ -157,6 +156,48 @@ class Net:
         return losses
 
 
+class Runner:
+    """States of lanes, stepped in one or both directions at once: [directions, lanes, hidden]. Gates lie in separate rows, so that numpy works on whole arrays; halves from the sigmoids, 0.5 tanh(x / 2) + 0.5, are worked into the tables."""
+
+    def __init__(self, net: Net, ways: str, n: int):
+        h, p = net.hidden, net.p
+        self.ways, self.h = ways, np.zeros((len(ways), n, h), np.float32)
+        split = lambda x: x.reshape(*x.shape[:-1], 3, h)
+        scale = np.array([0.5, 0.5, 1], np.float32)[:, None]
+        rows = np.stack([split(p[f"w{w}"]) * scale for w in ways])  # direction, byte, gate
+        self.rows = np.ascontiguousarray(rows.transpose(2, 0, 1, 3)).reshape(-1, h)  # gate, direction, byte
+        self.u = np.ascontiguousarray(np.stack([split(p[f"u{w}"]) for w in ways]).transpose(2, 0, 1, 3) * np.float32(0.5))
+        self.c = np.stack([p[f"c{w}"] for w in ways])[:, None, :] * np.float32(0.5)
+        self.v = np.stack([p[f"v{w}"].T for w in ways])
+        self.at = (np.arange(3 * len(ways)) * 256).reshape(3, len(ways), 1)
+        self.own = np.empty((3, len(ways), n, h), np.float32)
+        self.pre, self.half = np.empty_like(self.own), np.empty_like(self.h)
+
+    def step(self, byte: np.ndarray) -> None:
+        """One more byte in each lane, byte: [directions, lanes]."""
+        h, own, pre, half = self.h, self.own, self.pre, self.half
+        np.take(self.rows, self.at + byte, axis=0, out=pre, mode="clip")
+        np.matmul(h, self.u, out=own)
+        rz, n, last = pre[:2], pre[2], own[2]
+        rz += own[:2]
+        np.tanh(rz, out=rz)
+        last += self.c
+        n += last
+        last *= rz[0]
+        n += last
+        np.tanh(n, out=n)
+        # h = n + z (h - n)
+        np.subtract(h, n, out=half)
+        half *= rz[1]
+        h += n
+        h += half
+        h *= 0.5
+
+    def scores(self) -> np.ndarray:
+        """[directions, labels, lanes]."""
+        return self.v @ self.h.transpose(0, 2, 1)
+
+
 def lanes(sizes: np.ndarray, most: int = LANES) -> list[list[int]]:
     """Texts of each lane, the longest first into the lane that is shortest; no lane is much longer than the longest text."""
     if not len(sizes) or not int(sizes.max()):
@@ -172,75 +213,110 @@ def lanes(sizes: np.ndarray, most: int = LANES) -> list[list[int]]:
 
 
 def scored(net: Net, texts: list[bytes], held: int = HELD):
-    """Yields (owner, probabilities) of blocks of positions, the last block first: [positions, lanes] and [positions, lanes, labels]; owner is the text of a position, -1 for none."""
+    """Yields (owner, probabilities) of runs of positions, the last ones first: [positions, lanes] and [positions, labels, lanes]; owner is the text of a position, -1 for none."""
     rows = lanes(np.array(list(map(len, texts)), np.int64))
     if not rows:
         return
     sizes = [sum(len(texts[i]) for i in row) for row in rows]
     steps, n, k = max(sizes), len(rows), len(net.labels)
     data, owner = np.zeros((n, steps), np.uint8), np.full((n, steps), -1, np.int32)
-    starts, ends = [[] for _ in range(steps + 1)], [[] for _ in range(steps + 1)]
+    starts, ends = {}, {}
     for lane, row in enumerate(rows):
         at = 0
         for i in row:
             end = at + len(texts[i])
             data[lane, at:end] = np.frombuffer(texts[i], np.uint8)
             owner[lane, at:end] = i
-            starts[at].append(lane)
-            ends[end - 1].append(lane)
+            starts.setdefault(at, []).append(lane)
+            ends.setdefault(end - 1, []).append(lane)
             at = end
     data, owner = np.ascontiguousarray(data.T), np.ascontiguousarray(owner.T)
-    block = max(1, held // (n * k))
-    kept = {}
 
-    def forward(h: np.ndarray, a: int, b: int, out: np.ndarray | None) -> np.ndarray:
+    def finish(a: int, b: int, x: np.ndarray):
+        for end in range(b, a, -256):  # in the cache
+            at = max(a, end - 256)
+            some = x[at - a : end - a]
+            some += net.p["d"][:, None]
+            softmax(some, 1)
+            known = net.known[data[at:end]]
+            if not known.all():
+                some *= known[:, None, :]
+            yield owner[at:end], some
+
+    if steps * n * k <= held:
+        run, x = Runner(net, "fb", n), np.zeros((steps, k, n), np.float32)
+        both = np.empty((2, n), np.uint8)
+        for t in range(steps):
+            back = steps - 1 - t
+            if t in starts:
+                run.h[0, starts[t]] = 0
+            if back in ends:
+                run.h[1, ends[back]] = 0
+            both[0], both[1] = data[t], data[back]
+            run.step(both)
+            score = run.scores()
+            x[t] += score[0]
+            x[back] += score[1]
+        yield from finish(0, steps, x)
+        return
+
+    block, kept = max(1, held // (n * k)), {}
+    first, second = Runner(net, "f", n), Runner(net, "b", n)
+
+    def forward(a: int, b: int, out: np.ndarray | None) -> None:
         for t in range(a, b):
-            if starts[t]:
-                h[starts[t]] = 0
-            h = net.step(data[t], h, "f")
+            if t in starts:
+                first.h[0, starts[t]] = 0
+            first.step(data[t][None])
             if out is not None:
-                np.matmul(h, net.p["vf"], out=out[t - a])
-        return h
+                out[t - a] = first.scores()[0]
 
-    h = np.zeros((n, net.hidden), np.float32)
     for a in range(0, steps, block):
-        kept[a] = h.copy()
+        kept[a] = first.h.copy()
         if a + block < steps:
-            h = forward(h, a, a + block, None)
-    h = np.zeros((n, net.hidden), np.float32)
+            forward(a, a + block, None)
     for a in range((steps - 1) // block * block, -1, -block):
         b = min(a + block, steps)
-        x = np.empty((b - a, n, k), np.float32)
-        forward(kept.pop(a), a, b, x)
+        x = np.empty((b - a, k, n), np.float32)
+        first.h[:] = kept.pop(a)
+        forward(a, b, x)
         for t in range(b - 1, a - 1, -1):
-            if ends[t]:
-                h[ends[t]] = 0
-            h = net.step(data[t], h, "b")
-            x[t - a] += h @ net.p["vb"]
-        x += net.p["d"]
-        for c in range(0, b - a, 256):  # in the cache
-            softmax(x[c : c + 256])
-        known = net.known[data[a:b]]
-        if not known.all():
-            x *= known[:, :, None]
-        yield owner[a:b], x
+            if t in ends:
+                second.h[0, ends[t]] = 0
+            second.step(data[t][None])
+            x[t - a] += second.scores()[0]
+        yield from finish(a, b, x)
 
 
 def pooled(net: Net, texts: list[bytes], held: int = HELD) -> np.ndarray:
     """Mean probabilities over the positions of each text, [texts, labels]; zeros for an empty one."""
     total = np.zeros((len(texts) + 1, len(net.labels)))
     for owner, x in scored(net, texts, held):
+        at = owner.reshape(-1) + 1
+        least = int(at.min())
+        at -= least
         for label in range(len(net.labels)):
-            total[:, label] += np.bincount(owner.reshape(-1) + 1, x[:, :, label].reshape(-1), len(texts) + 1)
+            sums = np.bincount(at, x[:, label].reshape(-1))
+            total[least : least + len(sums), label] += sums
     return total[1:] / np.maximum(1, np.array(list(map(len, texts)), np.int64))[:, None]
 
 
 def positions(net: Net, text: bytes) -> list[str]:
     """The label of every byte of one text."""
-    best = [x[:, 0].argmax(axis=1) for _, x in scored(net, [text])][::-1]
+    best = [x[:, :, 0].argmax(axis=1) for _, x in scored(net, [text])][::-1]
     return [net.labels[i] for i in np.concatenate(best).tolist()] if best else []
 
 
+def by_length(batch: pa.RecordBatch, column: int, labels: int):
+    """Parts of a batch with texts of similar length, the shortest first, each of about as many bytes as HELD allows: lanes then stay full."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.argsort(size, kind="stable")
+    part = (np.cumsum(size[order]) - size[order]) // max(1 << 20, HELD // max(1, labels))
+    for some in np.split(order, np.flatnonzero(np.diff(part)) + 1):
+        if len(some):
+            yield batch.take(pa.array(some))
+
+
 def is_held_out(key: Column, folds: int = FOLDS) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % folds == 0, F.lit(True))
 
@@ -280,7 +356,7 @@ def predict(docs: DataFrame, net: Net, text: str = "text", key: str = "doc_id")
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 3, 4 << 20):
+            for part in by_length(batch, 3, len(shared.value.labels)):
                 label, score = _guess(shared.value, part.column(2).to_pylist(), part.column(3).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(label, pa.string()), pa.array(score, pa.float64())], [key, "held_out", "lang_pred", "score"])
 
@@ -301,7 +377,7 @@ def recognised(docs: DataFrame, net: Net, least_score: float = 0.0, text: str =
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, at, 4 << 20):
+            for part in by_length(batch, at, len(shared.value.labels)):
                 label, score = _guess(shared.value, part.column(at + 1).to_pylist(), part.column(at).to_pylist())
                 kept = pa.array([x != "und" and s >= least_score for x, s in zip(label, score, strict=True)], pa.bool_())
                 columns = [part.column(i) if i != to else pa.array(label, pa.string()) for i in range(at)]
