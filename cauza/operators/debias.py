@@ -1,9 +1,11 @@
 """Networks that correct selection, popularity and exposure bias, and the two-tower effect model.
 
-A model is a forward pass and a loss over a batch of named columns. Training sums each partition's gradient in
-mapInPandas, aggregates the sums on the cluster and takes one Adam step on the driver; what is collected is one vector
-of parameters. Batch statistics (the confounder mean, kernel distances, group means) are those of an Arrow batch.
-Scoring is a pass over Arrow batches and works on streaming frames, too.
+A model is a forward pass and a loss over a batch of named columns. Training takes one Adam step for each mini-batch:
+rows are dealt by their hash to ``workers`` partitions, each of which goes through its batches from the same start, and
+after an epoch parameters and moments are averaged by rows on the cluster (with one worker this is the plain loop). With
+``batch_size=None`` an epoch is one step on the gradient of all rows instead. What is collected is one vector of
+parameters. Batch statistics (kernel distances, group means, the confounder mean in training) are those of a mini-batch.
+Scoring is a pass over Arrow batches that does not depend on how rows are batched, and works on streaming frames, too.
 """
 
 from __future__ import annotations
@@ -49,22 +51,41 @@ def fm(fields: list[Tensor]) -> Tensor:
     return (total * total - squares) * 0.5
 
 
+def rbf_sum(a: Tensor, b: Tensor, sigma: float, block: int = 512) -> Tensor:
+    """Sum of exp(-|x - y|^2 / sigma^2) over the rows x of a and y of b; kernels are formed in blocks and not kept."""
+    x, y, scale = a.value, b.value, -2 / sigma**2
+    ga, gb, total, square = np.zeros_like(x), np.zeros_like(y), 0.0, (y * y).sum(1)
+    for at in range(0, len(x), block):
+        part = x[at : at + block]
+        k = np.exp(-((part * part).sum(1)[:, None] + square - 2 * part @ y.T) / sigma**2)
+        total += k.sum()
+        ga[at : at + block] = part * k.sum(1)[:, None] - k @ y
+        gb += y * k.sum(0)[:, None] - k.T @ part
+    return Tensor(total, ((a, lambda g: g * scale * ga), (b, lambda g: g * scale * gb)))
+
+
 def mmd(emb: Tensor, t: np.ndarray, sigma: float) -> Tensor | float:
     """Kernel distance of treated and control rows; 0 where an arm has a single row."""
     tr, co = np.flatnonzero(t == 1), np.flatnonzero(t == 0)
     n, m = len(tr), len(co)
     if n < 2 or m < 2:
         return 0.0
-    square = (emb * emb).sum(-1, keepdims=True)
+    p, et, ec = n / (n + m), emb[tr], emb[co]
+    return (4 * (1 - p) ** 2 / (m * (m - 1))) * (rbf_sum(ec, ec, sigma) - m) + (4 * p * p / (n * (n - 1))) * (rbf_sum(et, et, sigma) - n) - (8 * p * (1 - p) / (m * n)) * rbf_sum(et, ec, sigma)
+
+
+def multi_stack(inputs: int, hidden: tuple, tasks: int, task_hidden: tuple, name: str, rnd) -> dict[str, np.ndarray]:
+    """Weights of a multi-task network: a trunk, and a stack for each task on top of it."""
+    out = stack([inputs, *hidden], f"{name}.trunk", rnd)
+    for k in range(tasks):
+        out |= stack([hidden[-1], *task_hidden], f"{name}.task{k}", rnd)
+    return out
 
-    def kernel(a, b):
-        x, y = emb[a], emb[b]
-        cross = x @ Tensor(y.value.T, ((y, lambda g: g.T),))
-        d = square[a] + Tensor(square[b].value.T, ((square[b], lambda g: g.T),)) - 2.0 * cross
-        return (d * (-1 / sigma**2)).exp().sum()
 
-    p = n / (n + m)
-    return (4 * (1 - p) ** 2 / (m * (m - 1))) * (kernel(co, co) - m) + (4 * p * p / (n * (n - 1))) * (kernel(tr, tr) - n) - (8 * p * (1 - p) / (m * n)) * kernel(tr, co)
+def multi_task(p: P, name: str, x: Tensor, layers: int, tasks: int, task_layers: int, **options) -> list[Tensor]:
+    """Outputs of all tasks over one shared trunk (ReLU after its last layer, too)."""
+    trunk = dense(p, f"{name}.trunk", x, layers, True, **options)
+    return [dense(p, f"{name}.task{k}", trunk, task_layers, False, **options) for k in range(tasks)]
 
 
 class DebiasModel:
@@ -72,12 +93,14 @@ class DebiasModel:
 
     side: tuple = ()
 
-    def __init__(self, features: Iterable[str], label: str = "y", hidden: tuple = (16, 8), rate: float = 0.02, l2: float = 0.0, batch_norm: bool = False, dropout: float = 0.0, seed: int = 1024, **options):
+    def __init__(self, features: Iterable[str], label: str = "y", hidden: tuple = (16, 8), rate: float = 0.02, l2: float = 0.0, batch_norm: bool = False, dropout: float = 0.0, seed: int = 1024, batch_size: int | None = 256, workers: int = 8, **options):
+        self.batch_size, self.workers = batch_size, workers
         self.features, self.label, self.hidden, self.rate, self.l2, self.batch_norm, self.dropout, self.seed = list(features), label, tuple(hidden), rate, l2, batch_norm, dropout, seed
         self.options = self.defaults() | options
         if unknown := self.options.keys() - self.defaults().keys():
             raise ValueError(f"unknown options: {sorted(unknown)}")
         self.params: dict[str, np.ndarray] | None = None
+        self.extra: dict[str, np.ndarray] = {}  # of the fitted model, beside its parameters
         self.losses: list[float] = []
         self._result: DataFrame | None = None
 
@@ -107,11 +130,18 @@ class DebiasModel:
         rows = df.select(*(F.col(c).cast("double") for c in [*self.features, self.label]), *(F.col(c) for c in dict.fromkeys(names) if c not in self.features and c != self.label)).cache()
         try:
             self.params = self.init(np.random.default_rng(self.seed))
-            self._descend(rows, num_epochs)
+            if self.batch_size is None:
+                self._descend(rows, num_epochs)
+            else:
+                self._descend_batches(rows, num_epochs)
+            self.finish(rows)
         finally:
             rows.unpersist()
         return self
 
+    def finish(self, rows: DataFrame) -> None:
+        """What the fitted model needs beside its parameters."""
+
     def gradient(self, params: dict[str, np.ndarray], pdf: pd.DataFrame, epoch: int = 0) -> tuple[float, dict[str, np.ndarray]]:
         p = {k: Tensor(v) for k, v in params.items()}
         rnd = np.random.default_rng([self.seed, epoch, len(pdf)])
@@ -140,14 +170,66 @@ class DebiasModel:
             found = rows.mapInPandas(run, "i int, g double").groupBy("i").agg(F.sum("g").alias("g")).orderBy("i").toPandas()["g"].to_numpy()
             loss, n, flat = found[0], found[1], found[2:] / found[1]
             self.losses.append(float(loss / n))
-            at = 0
-            for k in keys:
-                size = self.params[k].size
-                g = flat[at : at + size].reshape(self.params[k].shape)
-                at += size
-                m[k] += (g - m[k]) * 0.1
-                v[k] += (g * g - v[k]) * 0.001
-                self.params[k] = self.params[k] - self.rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-7)
+            ends = np.cumsum([self.params[k].size for k in keys])
+            self._adam(self.params, m, v, {k: flat[e - self.params[k].size : e].reshape(self.params[k].shape) for k, e in zip(keys, ends)}, step)
+
+    def _adam(self, params: dict, m: dict, v: dict, g: dict, step: float) -> None:
+        """One step, in place."""
+        for k, x in g.items():
+            m[k] += (x - m[k]) * 0.1
+            v[k] += (x * x - v[k]) * 0.001
+            params[k] = params[k] - self.rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-7)
+
+    def _descend_batches(self, rows: DataFrame, epochs: int) -> None:
+        """An Adam step for each mini-batch in each of the workers; their results are averaged after an epoch."""
+        keys, size = sorted(self.params), self.batch_size
+        shapes = [self.params[k].shape for k in keys]
+        own = [F.col(f"`{c}`") for c in rows.columns]
+        dealt = rows.withColumn("__h", F.xxhash64(*own)).repartition(self.workers, "__h").sortWithinPartitions("__h", *own).drop("__h").cache()
+        flatten = lambda d: np.concatenate([d[k].ravel() for k in keys])
+
+        def parts(flat: np.ndarray) -> dict[str, np.ndarray]:
+            ends = np.cumsum([int(np.prod(x)) for x in shapes])
+            return {k: flat[e - int(np.prod(x)) : e].reshape(x).copy() for k, x, e in zip(keys, shapes, ends)}
+
+        state = np.concatenate([flatten(self.params), np.zeros(2 * sum(int(np.prod(x)) for x in shapes))])
+        step = 0.0
+        try:
+            for epoch in range(1, epochs + 1):
+                start = state, step
+
+                def run(batches):
+                    params, m, v = map(parts, np.split(start[0], 3))
+                    at, loss, n = start[1], 0.0, 0
+                    for pdf in batches:
+                        for i in range(0, len(pdf), size):
+                            some = pdf.iloc[i : i + size]
+                            one, g = self.gradient(params, some, epoch)
+                            at += 1
+                            self._adam(params, m, v, {k: x / len(some) for k, x in g.items()}, at)
+                            loss, n = loss + one, n + len(some)
+                    if n:
+                        flat = np.concatenate([[loss, n, at * n], np.concatenate([flatten(params), flatten(m), flatten(v)]) * n])
+                        yield pd.DataFrame({"i": np.arange(-3, len(flat) - 3), "g": flat})
+
+                found = dealt.mapInPandas(run, "i int, g double").groupBy("i").agg(F.sum("g").alias("g")).orderBy("i").toPandas()["g"].to_numpy()
+                if len(found):
+                    state, step = found[3:] / found[1], found[2] / found[1]
+                    self.losses.append(float(found[0] / found[1]))
+        finally:
+            dealt.unpersist()
+        self.params = parts(np.split(state, 3)[0])
+
+    def batch_losses(self, df: DataFrame, batch: str) -> DataFrame:
+        """(batch, n, loss, score): sums over each batch under the present parameters."""
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            p = {k: Tensor(v) for k, v in self.params.items()}
+            x, side = Tensor(pdf[self.features].to_numpy(float)), self._side(pdf)
+            loss = self.loss(p, x, pdf[self.label].to_numpy(float), side, None)
+            return pd.DataFrame({batch: [pdf[batch].iloc[0]], "n": [len(pdf)], "loss": [float(loss.value)], "score": [float(np.sum(self.score(p, x, side)))]})
+
+        return df.groupBy(batch).applyInPandas(run, f"`{batch}` {dict(df.dtypes)[batch]}, n bigint, loss double, score double")
 
     def predict(self, df: DataFrame, key: str = "event_id", name: str = "score") -> DataFrame:
         """(key, score): batch or streaming."""
@@ -205,23 +287,46 @@ class IPS(_OneTower):
         return (bce(_flat(self.net(p, "dnn", x, rnd=rnd)), y) * weight).sum() + ce.sum() * self.options["alpha"]
 
 
-class DR(_OneTower):
-    """Doubly robust: propensity, error imputation and outcome towers."""
+class DR(DebiasModel):
+    """Doubly robust: on a shared embedding, towers for the propensity, the imputed outcome and the debiased outcome.
+
+    The error of the last is taken against the label where the row was treated, over its propensity, and against the
+    imputed outcome everywhere. With ``classes`` above 2 the propensity is a softmax over treatment classes and class 0 is
+    untreated; with ``encode`` the treatment joins the embedding of both outcome towers through a layer of its own.
+    """
 
     side = ("treatment",)
 
     def defaults(self):
-        return {"treatment": "T", "min_propensity": 0.01}
+        return {"treatment": "T", "min_propensity": 0.01, "classes": 2, "encode": False, "encode_width": 4}
 
     def init(self, rnd):
-        return super().init(rnd) | stack([len(self.features), *self.hidden, 1], "prop", rnd) | stack([len(self.features), *self.hidden, 1], "guess", rnd)
+        h, o = self.hidden[-1], self.options
+        wide = h + (o["encode_width"] if o["encode"] else 0)
+        out = stack([len(self.features), *self.hidden], "emb", rnd) | stack([h, 1 if o["classes"] == 2 else o["classes"]], "prop", rnd) | stack([wide, 1], "impute", rnd) | stack([wide, 1], "dr", rnd)
+        return out | (stack([1, o["encode_width"]], "enc", rnd) if o["encode"] else {})
+
+    def _towers(self, p, x, t, rnd=None):
+        emb = self.net(p, "emb", x, len(self.hidden), rnd, last=True)
+        prop = self.net(p, "prop", emb, 1)
+        if self.options["encode"]:
+            emb = concat([emb, self.net(p, "enc", Tensor(t[:, None].astype(float)), 1, last=True)])
+        return prop, _flat(self.net(p, "impute", emb, 1)), _flat(self.net(p, "dr", emb, 1))
 
     def loss(self, p, x, y, side, rnd):
-        t = side["treatment"].astype(float)
-        prop = _flat(self.net(p, "prop", x, rnd=rnd))
-        weight = t / np.maximum(prop.sigmoid().value, self.options["min_propensity"])
-        e, guess = bce(_flat(self.net(p, "dnn", x, rnd=rnd)), y), _flat(self.net(p, "guess", x, rnd=rnd)).softplus()
-        return bce(prop, t).sum() + (e * weight).sum() + ((e.stop() - guess).power(2) * weight).sum() + ((e - guess.stop()) * weight).sum()
+        t, floor = side["treatment"], self.options["min_propensity"]
+        prop, impute, dr = self._towers(p, x, t, rnd)
+        if self.options["classes"] == 2:
+            own = bce(_flat(prop), t.astype(float))
+            share = np.maximum(_flat(prop).sigmoid().value, floor)
+        else:
+            own = softmax_ce(prop, t.astype(int))
+            share = np.maximum(np.exp(-own.value), floor)
+        guess = bce(dr, impute.sigmoid().value)
+        return own.sum() + (bce(impute, y) * (1 / share)).sum() + ((bce(dr, y) - guess) * ((t > 0) / share) + guess).sum()
+
+    def score(self, p, x, side):
+        return self._towers(p, x, side["treatment"])[2].sigmoid().value
 
 
 class CFR(DebiasModel):
@@ -276,7 +381,10 @@ class DICE(DebiasModel):
 
 
 class DMBR(DebiasModel):
-    """Interaction of the mean confounder embedding of the batch with the feature embedding."""
+    """Interaction of the mean confounder embedding with the feature embedding, beside the features, into a network.
+
+    In training the mean is the mini-batch's; the fitted model holds the mean over all rows that it was fitted on.
+    """
 
     side = ("confounder",)
 
@@ -285,19 +393,31 @@ class DMBR(DebiasModel):
 
     def init(self, rnd):
         h = self.hidden[-1]
-        return stack([len(self.features), *self.hidden], "emb", rnd) | stack([1, h], "conf", rnd) | stack([3 * h, 1], "out", rnd)
+        return stack([len(self.features), *self.hidden], "emb", rnd) | stack([1, h], "conf", rnd) | stack([len(self.features) + h, *self.hidden, 1], "out", rnd)
+
+    def _confounders(self, p, side):
+        return self.net(p, "conf", Tensor(side["confounder"].astype(float)[:, None]), 1, last=True)
 
-    def _logit(self, p, x, side, rnd=None):
+    def _logit(self, p, x, mean, rnd=None):
         emb = self.net(p, "emb", x, len(self.hidden), rnd, last=True)
-        c = self.net(p, "conf", Tensor(side["confounder"].astype(float)[:, None]), 1, last=True).mean(0, keepdims=True)
-        wide = emb * 0.0 + c
-        return _flat(self.net(p, "out", concat([emb, wide, fm([emb, wide])]), 1))
+        return _flat(self.net(p, "out", concat([x, fm([emb, emb * 0.0 + mean])]), rnd=rnd))
 
     def loss(self, p, x, y, side, rnd):
-        return bce(self._logit(p, x, side, rnd), y).sum()
+        return bce(self._logit(p, x, self._confounders(p, side).mean(0, keepdims=True), rnd), y).sum()
+
+    def finish(self, rows):
+        params, name, width = self.params, self.options["confounder"], self.hidden[-1]
+
+        def run(parts):
+            for pdf in parts:
+                total = self._confounders({k: Tensor(v) for k, v in params.items()}, {"confounder": pdf[name].to_numpy()}).value.sum(0)
+                yield pd.DataFrame({"i": np.arange(-1, width), "g": np.concatenate([[float(len(pdf))], total])})
+
+        found = rows.select(name).mapInPandas(run, "i int, g double").groupBy("i").agg(F.sum("g").alias("g")).orderBy("i").toPandas()["g"].to_numpy()
+        self.extra["mean"] = found[1:] / max(1.0, found[0]) if len(found) else np.zeros(width)
 
     def score(self, p, x, side):
-        return self._logit(p, x, side).sigmoid().value
+        return self._logit(p, x, Tensor(self.extra["mean"][None, :])).sigmoid().value
 
 
 class FAIRCO(_OneTower):
@@ -306,7 +426,7 @@ class FAIRCO(_OneTower):
     side = ("weight", "group")
 
     def defaults(self):
-        return {"weight": "W", "group": "G", "group_count": 5, "gamma": 0.01, "w": 0.01}
+        return {"weight": "W", "group": "G", "group_count": 2, "gamma": 0.01, "w": 0.01}
 
     def loss(self, p, x, y, side, rnd):
         logit = _flat(self.net(p, "dnn", x, rnd=rnd))
@@ -320,28 +440,42 @@ class FAIRCO(_OneTower):
 
 
 class MACR(DebiasModel):
-    """User and item heads beside the main one; scores are taken without their direct effect."""
+    """User and item networks of two tasks: a head for each one's direct effect, and embeddings whose product is the match.
+
+    ``user`` and ``item`` are lists of columns (by default the first half of the features and the rest). The match is
+    trained by the label, the heads beside it with small weights; scores take the match above ``sigma`` times both heads.
+    """
 
     def defaults(self):
-        return {"user": None, "item": None, "sigma": 0.001, "alpha": 1e-4, "beta": 1e-4}
+        return {"user": None, "item": None, "sigma": 0.001, "alpha": 1e-4, "beta": 1e-4, "task_hidden": (8,)}
 
-    def init(self, rnd):
+    def __init__(self, features, *args, **options):
+        super().__init__(features, *args, **options)
         half = max(1, len(self.features) // 2)
-        return stack([len(self.features), *self.hidden, 1], "dnn", rnd) | stack([half, 8, 1], "user", rnd) | stack([len(self.features) - half or 1, 8, 1], "item", rnd)
+        self.columns = {"user": list(self.options["user"] or self.features[:half]), "item": list(self.options["item"] or self.features[half:] or self.features[:1])}
+        self.features = list(dict.fromkeys([*self.features, *self.columns["user"], *self.columns["item"]]))
+
+    def init(self, rnd):
+        task, out = tuple(self.options["task_hidden"]), {}
+        for name, columns in self.columns.items():
+            out |= multi_stack(len(columns), self.hidden, 2, task, name, rnd) | stack([task[-1], 1], f"{name}.head", rnd)
+        return out
 
     def _heads(self, p, x, rnd=None):
-        half = max(1, len(self.features) // 2)
-        user, item = x[:, :half], x[:, half:] if len(self.features) > half else x[:, :1]
-        return _flat(self.net(p, "dnn", x, rnd=rnd)), _flat(self.net(p, "user", user, 2)), _flat(self.net(p, "item", item, 2))
+        heads, parts = [], []
+        for name, columns in self.columns.items():
+            direct, part = multi_task(p, name, x[:, [self.features.index(c) for c in columns]], len(self.hidden), 2, len(self.options["task_hidden"]), batch_norm=self.batch_norm, drop=self.dropout, rnd=rnd)
+            heads.append(_flat(self.net(p, f"{name}.head", direct, 1)))
+            parts.append(part)
+        return _flat(parts[0] * parts[1]), *heads
 
     def loss(self, p, x, y, side, rnd):
-        main, user, item = self._heads(p, x, rnd)
-        joint = main * user.sigmoid() * item.sigmoid()
-        return bce(joint, y).sum() + bce(user, y).sum() * self.options["alpha"] + bce(item, y).sum() * self.options["beta"]
+        match, user, item = self._heads(p, x, rnd)
+        return bce(match, y).sum() + bce(user, y).sum() * self.options["alpha"] + bce(item, y).sum() * self.options["beta"]
 
     def score(self, p, x, side):
-        main, user, item = self._heads(p, x)
-        return ((main - self.options["sigma"]) * user.sigmoid() * item.sigmoid()).value
+        match, user, item = self._heads(p, x)
+        return ((match - self.options["sigma"]) * user.sigmoid() * item.sigmoid()).value
 
 
 class PDA(DebiasModel):

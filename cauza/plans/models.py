@@ -8,7 +8,9 @@ from ..operators.debias import MODELS
 from .effects import evt
 from .trees import panel_frame
 
-EPOCHS = 8
+#: Of each network, with its default mini-batches.
+EPOCHS = 10
+OPTIONS = {"fairco": {"group_count": 5}, "macr": {"user": ["f1"], "item": ["f2"]}}
 #: Steps of a subproblem, which ends when it has converged; the limit of SciPy's L-BFGS-B.
 INNER_STEPS = 15_000
 
@@ -16,7 +18,7 @@ INNER_STEPS = 15_000
 def _fit(name: str):
     def query(spark, sf_dir):
         df = evt(spark, sf_dir).select("event_id", "f1", "f2", "y", "T", "W", "G")
-        model = MODELS[name](["f1", "f2"]).fit(df, EPOCHS)
+        model = MODELS[name](["f1", "f2"], **OPTIONS.get(name, {})).fit(df, EPOCHS)
         return model.predict(df).select("event_id", F.round("score", 6).alias("score"))
 
     query.__doc__ = f"Scores of all events by the {name} model."

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import discrete, effects, models, trees
+from . import discrete, effects, models, networks, trees
 
-MODULES = [discrete, trees, effects, models]
+MODULES = [discrete, trees, effects, networks, models]
 
 
 def queries() -> dict:
