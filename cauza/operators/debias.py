@@ -104,6 +104,9 @@ class DebiasModel:
         self.losses: list[float] = []
         self._result: DataFrame | None = None
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_result": None}  # tasks get the model without the last result, which only the driver can hold
+
     def defaults(self) -> dict:
         return {}
 

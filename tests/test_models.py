@@ -81,6 +81,58 @@ def test_training_ranks_labels(spark, name):
         MODELS[name](["f1"], nonsense=1)
 
 
+def test_kernel_sums_in_blocks():
+    from cauza.operators.autodiff import Tensor
+    from cauza.operators.debias import rbf_sum
+
+    r = np.random.default_rng(4)
+    a, b = Tensor(r.normal(size=(37, 3))), Tensor(r.normal(size=(21, 3)))
+    out = rbf_sum(a, b, 1.7, block=8)
+    d = ((a.value[:, None] - b.value[None]) ** 2).sum(-1)
+    assert np.isclose(out.value, np.exp(-d / 1.7**2).sum())
+    out.backward()
+    for x in (a, b):
+        old = x.value[2, 1]
+        x.value[2, 1] = old + 1e-6
+        up = float(rbf_sum(a, b, 1.7).value)
+        x.value[2, 1] = old - 1e-6
+        down = float(rbf_sum(a, b, 1.7).value)
+        x.value[2, 1] = old
+        assert abs((up - down) / 2e-6 - x.grad[2, 1]) < 1e-6
+
+
+def test_one_worker_is_the_plain_mini_batch_loop(spark):
+    pdf = batch(90, 3).assign(event_id=range(90))
+    model = MODELS["ipw"](["f1", "f2"], batch_size=16, workers=1).fit(spark.createDataFrame(pdf), 3)
+    again = MODELS["ipw"](["f1", "f2"], batch_size=16, workers=1)
+    order = spark.createDataFrame(pdf).select(*(F.col(c).cast("double") for c in ("f1", "f2", "y")), "W")
+    rows = order.withColumn("h", F.xxhash64("f1", "f2", "y", "W")).orderBy("h").toPandas()
+    params = again.init(np.random.default_rng(again.seed))
+    m, v = ({k: np.zeros_like(x) for k, x in params.items()} for _ in range(2))
+    step = 0
+    for epoch in (1, 2, 3):
+        for at in range(0, 90, 16):
+            step += 1
+            some = rows.iloc[at : at + 16]
+            again._adam(params, m, v, {k: g / len(some) for k, g in again.gradient(params, some, epoch)[1].items()}, step)
+    assert step == 18
+    assert all(np.allclose(params[k], model.params[k]) for k in params)
+
+
+def test_scores_do_not_depend_on_batches(spark):
+    df = spark.createDataFrame(batch(200, 5).assign(event_id=range(200)))
+    for name in ("dmbr", "macr", "dr"):
+        model = MODELS[name](["f1", "f2"]).fit(df, 1)
+        got = [{r.event_id: round(r.score, 9) for r in model.predict(df.repartition(n)).collect()} for n in (1, 7)]
+        assert got[0] == got[1]
+
+
+def test_more_treatment_classes(spark):
+    df = spark.createDataFrame(batch(120, 6).assign(event_id=range(120), K=lambda d: d.G % 3))
+    model = MODELS["dr"](["f1", "f2"], treatment="K", classes=3, encode=True).fit(df, 4)
+    assert model.losses[-1] < model.losses[0] and model.predict(df).count() == 120
+
+
 def test_expm_and_box():
     a = np.random.default_rng(0).normal(size=(5, 5))
     w, v = np.linalg.eig(a)
