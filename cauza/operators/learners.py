@@ -61,7 +61,7 @@ def cross_means(df: DataFrame, strata: str, fold: str, value: Column, name: str,
 
 
 def aipw_strata(df: DataFrame, strata: str, fold: str, y: str, w: str = "w") -> DataFrame:
-    """df with psi, the doubly robust pseudo-outcome from stratum means of the other fold."""
+    """df with psi, the doubly robust pseudo-outcome from stratum means of the other fold; null where that lacks an arm in the stratum."""
     out = cross_means(df, strata, fold, F.col(w).cast("double"), "__p")
     for d in (0, 1):
         out = cross_means(out, strata, fold, F.when(F.col(w) == d, F.col(y)), f"__m{d}")
@@ -167,7 +167,15 @@ class XLearner(InferenceModel):
 
 
 class _CrossFit(InferenceModel):
+    """fold_column: a column that numbers the folds from 0; without it a hash of the key does."""
+
+    def __init__(self, *args, fold_column: str | None = None, **kwargs):
+        super().__init__(*args, **kwargs)
+        self.fold_column = fold_column
+
     def _fold(self, df):
+        if self.fold_column:
+            return df.withColumn("__fold", F.col(self.fold_column).cast("int"))
         return df.withColumn("__fold", F.pmod(F.xxhash64(F.col(self.key), F.lit(self.seed)), F.lit(self.folds)).cast("int"))
 
     def _check(self, df):

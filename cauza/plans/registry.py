@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import discrete, effects, models, networks, trees
+from . import discrete, effects, learning, models, networks, trees
 
-MODULES = [discrete, trees, effects, networks, models]
+MODULES = [discrete, trees, effects, learning, networks, models]
 
 
 def queries() -> dict:
