@@ -76,14 +76,17 @@ def dropped_lines(docs: DataFrame, depth: int = DEPTH, similar: float = SIMILAR,
     """(id, th, pos) of the lines that are dropped."""
     lines = written(_lines(docs, depth, text, key), "lines")
     several = written(lines.groupBy("leaf").agg(F.min("line").alias("a"), F.max("line").alias("b")).filter("a != b").select("leaf"), "line-leaves")
-    members = among(lines.select("leaf", "line", "text"), several, {"leaf": F.col("leaf")}).groupBy("leaf", "line").agg(F.first("text").alias("text"))
+    # copies of a line meet in its task first; a leaf with one line that the filter lets through gives no template
+    members = split_by_filter(lines.select("leaf", "line", "text"), {"leaf": F.col("leaf")}, several)[1].groupBy("leaf", "line").agg(F.first("text").alias("text"))
     members = written(members.select("leaf", "line", F.split("text", " ").alias("tokens")), "line-members")
     follows = written(templates(members, depth, similar, levels), "line-templates")
-    named = written(lines.select("id", "th", "pos", "line").join(follows, "line", "left").select("id", "th", "pos", F.coalesce("template", "line").alias("template")), "line-names")
+    alone, asked = split_by_filter(lines.select("id", "th", "pos", "line"), {"line": F.col("line")}, follows)
+    named = asked.join(follows, "line", "left").select("id", "th", "pos", F.coalesce("template", "line").alias("template"))
+    named = written(named.unionByName(alone.withColumnRenamed("line", "template")), "line-names")
     recurring = named.groupBy("template", "id", "th").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.min("id").alias("first_id")).filter(F.col("docs") >= least_docs).select("template", "first_id")
     recurring = written(recurring, "line-recurring")
     discard(lines, several, members, follows)
-    return named.join(recurring, "template").filter(~F.col("id").eqNullSafe(F.col("first_id"))).select("id", "th", "pos")
+    return among(named, recurring, {"template": F.col("template")}).filter(~F.col("id").eqNullSafe(F.col("first_id"))).select("id", "th", "pos")
 
 
 def line_dedup(docs: DataFrame, depth: int = DEPTH, similar: float = SIMILAR, least_docs: int = LEAST_DOCS, text: str = "text", key: str = "doc_id", levels: int = LEVELS) -> DataFrame:
