@@ -35,7 +35,7 @@ WINDOW, HIDDEN = 128, 16
 ROWS, UPDATES, BATCH, RATE = 250, 300, 128, 0.02
 FOLDS = 5
 #: Lanes side by side, and the most scores that are held at once.
-LANES, HELD = 512, 24 << 20
+LANES, HELD = 512, 40 << 20
 
 
 def gates(x: np.ndarray, own: np.ndarray, c: np.ndarray, hidden: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -308,9 +308,9 @@ def positions(net: Net, text: bytes) -> list[str]:
 
 
 def by_length(batch: pa.RecordBatch, column: int, labels: int):
-    """Parts of a batch with texts of similar length, the shortest first, each of about as many bytes as HELD allows: lanes then stay full."""
+    """Parts of a batch with texts of similar length, the longest first, each of about as many bytes as HELD allows: lanes then stay full, and long texts have as many beside them as can be."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    order = np.argsort(size, kind="stable")
+    order = np.argsort(-size, kind="stable")
     part = (np.cumsum(size[order]) - size[order]) // max(1 << 20, HELD // max(1, labels))
     for some in np.split(order, np.flatnonzero(np.diff(part)) + 1):
         if len(some):
