@@ -1,7 +1,7 @@
 """Interventions on a causal graph by loopy belief propagation, and attribution by rules over it.
 
-Factors are counted by Spark, one grouped job, and collected: their size is bounded by the domains, not by the rows.
-Messages are arrays over the values of one node.
+Factors of all nodes are counted by one grouped job and collected: their size is bounded by the domains of a node and its
+parents, not by the rows, and checked. Messages are arrays over the values of one node.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .factors import COUNT, compress
 from .graph import CausalGraph
@@ -45,8 +46,9 @@ class Factor:
 class GraphInferModel:
     """P(node | conditions, do(treatment)) for every node of a graph."""
 
-    def __init__(self, graph: CausalGraph | None = None, column_names: Sequence[str] | None = None, treatment_name: str | None = None, label_name: str | None = None, num_iteration: int = 20, discovery=None):
+    def __init__(self, graph: CausalGraph | None = None, column_names: Sequence[str] | None = None, treatment_name: str | None = None, label_name: str | None = None, num_iteration: int = 20, discovery=None, most_cells: int = 5_000_000):
         self.graph, self.treatment_name, self.label_name, self.num_iteration, self.discovery = graph, treatment_name, label_name, num_iteration, discovery
+        self.most_cells = most_cells
         self.column_names = list(column_names) if column_names else (graph.names if graph else None)
         self.values: dict[str, np.ndarray] = {}
         self.result: dict | None = None
@@ -58,12 +60,17 @@ class GraphInferModel:
                 raise ValueError("a graph or a discovery method is needed")
             self.graph, _ = self.discovery.fit(df).get_result()
         names = self.graph.names
-        rows = compress(df.toDF(*self.column_names) if self.column_names and self.column_names != df.columns and len(self.column_names) == len(df.columns) else df, names).cache()
-        try:
-            # one small table for each family: rows are its observed combinations
-            tables = {n: rows.groupBy(n, *sorted(self.graph.parents[n])).agg({COUNT: "sum"}).toPandas().to_numpy() for n in names}
-        finally:
-            rows.unpersist()
+        if self.column_names and self.column_names != df.columns and len(self.column_names) == len(df.columns):
+            df = df.toDF(*self.column_names)
+        family = lambda i, n: F.struct(F.lit(i).alias("family"), F.array(*(F.col(f"`{c}`").cast("int") for c in [n, *sorted(self.graph.parents[n])])).alias("codes"))
+        stacked = compress(df, names).select(COUNT, F.explode(F.array(*(family(i, n) for i, n in enumerate(names)))).alias("f"))
+        cells = stacked.groupBy("f.family", "f.codes").agg(F.sum(COUNT).alias("n")).limit(self.most_cells + 1).toPandas()
+        if len(cells) > self.most_cells:
+            raise ValueError(f"more than {self.most_cells} combinations of nodes and parents: give nodes fewer parents or values")
+        tables = {}
+        for i, n in enumerate(names):
+            own = cells[cells["family"] == i]
+            tables[n] = np.column_stack([np.array(own["codes"].tolist(), float).reshape(len(own), -1), own["n"].to_numpy(float)])
         self.values = {n: np.unique(tables[n][:, 0]).astype(int) for n in names}
         self.factors, self.freq = {}, {}
         for n in names:
@@ -138,7 +145,8 @@ class Attribution:
         todo = [{n: int(v)} for n in features for v in model.values[n]]
         rnd, self.rules, singles, seen = random.Random(self.seed), [], [], set()
         for step in range(self.max_step):
-            scored = sorted(self._scores(spark, model, todo, treatment_value, label_value), key=lambda r: (-r[1], str(r[0])))
+            # rounded, so that rules of equal belief stand by name and not by the last bits
+            scored = sorted(self._scores(spark, model, todo, treatment_value, label_value), key=lambda r: (-round(r[1], 9), str(r[0])))
             if step == 0:
                 singles = [pair for rule, _ in scored for pair in rule.items()]
             self.rules += [r for r in scored if r[1] >= self.threshold]
@@ -153,7 +161,7 @@ class Attribution:
                         todo.append(grown)
             if not todo:
                 break
-        self.rules.sort(key=lambda r: (-r[1], str(r[0])))
+        self.rules.sort(key=lambda r: (-round(r[1], 9), str(r[0])))
         return self.rules
 
     @staticmethod

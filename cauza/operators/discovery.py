@@ -8,19 +8,28 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..logs import log
 from ..sources.frames import intake
 from .factors import compress, family_scores
 from .graph import CausalGraph
 
 
+def node_order(names: Sequence[str], seed: int | None, target: str | None = None) -> list[str]:
+    """The order in which nodes look for parents."""
+    order = list(names)
+    if seed is not None:
+        random.Random(seed).shuffle(order)
+    return order if target is None else [target, *(n for n in order if n != target)]
+
+
 class CausalSearchDiscovery:
-    """K2 search. Nodes come in a (seeded) random order, the target first; each takes the parent with the largest gain
+    """K2 search. Nodes come in a seeded random order (in column order if seed is None), the target first; each takes the parent with the largest gain
     until none gains more than edge_gain, has enough parents, or would close a cycle.
 
     legacy_gain measures a second parent against the score without parents, as the first one.
     """
 
-    def __init__(self, edge_gain: float = 20.0, max_parents: int | None = None, seed: int | None = None, legacy_gain: bool = False):
+    def __init__(self, edge_gain: float = 20.0, max_parents: int | None = None, seed: int | None = 0, legacy_gain: bool = False):
         self.edge_gain, self.max_parents, self.seed, self.legacy_gain = edge_gain, max_parents, seed, legacy_gain
         self.result: tuple[CausalGraph, float] | None = None
 
@@ -36,11 +45,7 @@ class CausalSearchDiscovery:
 
     def _search(self, rows: DataFrame, names: list[str], target: str | None) -> tuple[CausalGraph, float]:
         graph, limit = CausalGraph(names), self.max_parents if self.max_parents is not None else max(1, len(names) // 2)
-        order = list(names)
-        if self.seed is not None:
-            random.Random(self.seed).shuffle(order)
-        if target is not None:
-            order = [target, *(n for n in order if n != target)]
+        order = node_order(names, self.seed, target)
         scores = {names[0]: 0.0} | self._scores(rows, [(n, ()) for n in names])
         scores = {n: scores[n, ()] for n in names}
         alone = dict(scores)
@@ -51,6 +56,7 @@ class CausalSearchDiscovery:
                     break
                 families = [(node, tuple(sorted({*graph.parents[node], p}))) for p in options]
                 found = self._scores(rows, families)  # one job for all candidates of a step
+                log.info("%s: %d candidates", node, len(options))
                 base = alone[node] if self.legacy_gain else scores[node]
                 best = max(options, key=lambda p: (found[families[options.index(p)]], p))
                 score = found[families[options.index(best)]]

@@ -69,6 +69,16 @@ def factor(df: DataFrame, node: str, parents: Sequence[str]) -> DataFrame:
     return cells.crossJoin(F.broadcast(sizes)).select(*names, ((1 + F.col("n")) / (product + F.col("total"))).alias("score"))
 
 
+def sort_factor(f: DataFrame, by: str) -> DataFrame:
+    """Rows of a factor in the order of one column, then of the others."""
+    return f.orderBy(by, *(c for c in f.columns if c not in (by, "score")))
+
+
+def row_names(nodes: Sequence[str]) -> Column:
+    """What a row of a factor stands for, as text: ``x = 1 y = 2``."""
+    return F.concat_ws(" ", *(F.concat(F.lit(f"{n} = "), F.col(n).cast("string")) for n in nodes))
+
+
 def evidence(f: DataFrame, allowed: dict[str, Sequence[int]]) -> DataFrame:
     """Scores 0 where a column that allowed names has another value; columns that f lacks are passed over."""
     keep = F.lit(True)

@@ -87,15 +87,17 @@ class CausalGraph:
         return out.mutate(mutation, seed).remove_extra_parents(max_parents, seed)
 
     def mutate(self, rate: float, seed: int = 0) -> CausalGraph:
-        """Each ordered pair of nodes flips its edge with the probability rate."""
+        """Each ordered pair of nodes draws once: below half the rate its edge is added (unless that closes a cycle), below the rate it is removed."""
         rnd = random.Random(seed)
         for parent in self.names:
             for child in self.names:
-                if parent != child and rnd.random() < rate:
-                    if parent in self.parents[child]:
-                        self.remove_edge(parent, child)
-                    else:
-                        self.add_edge(parent, child)
+                drawn = rnd.random()
+                if parent == child or drawn >= rate:
+                    continue
+                if drawn < rate / 2:
+                    self.add_edge(parent, child)
+                else:
+                    self.remove_edge(parent, child)
         return self
 
     def remove_extra_parents(self, max_parents: int | None, seed: int = 0) -> CausalGraph:
@@ -139,8 +141,10 @@ def ancestors(edges: DataFrame) -> DataFrame:
     n = now.count()
     while True:
         step = now.alias("a").join(now.alias("b"), F.col("a.ancestor") == F.col("b.node")).select("a.node", "b.ancestor")
-        now = now.union(step).distinct().cache()
-        if (new := now.count()) == n:
+        before, now = now, now.union(step).distinct().cache()
+        new = now.count()
+        before.unpersist()
+        if new == n:
             return now
         n = new
 

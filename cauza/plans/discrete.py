@@ -6,14 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import factors as X
-from ..operators import graph as G
 from ..session import table
 
 NODES = ["x0", "x1", "x2", "x3", "x4", "x5"]
 FAMILIES = [("x0", []), ("x0", ["x1"]), ("x0", ["x1", "x2"]), ("x3", ["x4"]), ("x5", ["x0", "x1"])]
 GRAPH = {"x0": ["x1"], "x1": [], "x2": [], "x3": ["x2"], "x4": ["x3"], "x5": ["x0"]}
-EDGES = [("a", "b", 3.0), ("b", "c", 2.0), ("a", "c", 1.0), ("d", "c", 2.0), ("c", "e", 5.0), ("d", "e", 4.0), ("b", "e", 4.0)]
-MORE = [("a", "b"), ("e", "f"), ("b", "f")]
 EDGE_GAIN = 20.0
 
 
@@ -138,48 +135,6 @@ DEVIATION = f"""WITH {FACTOR}, a AS (SELECT x1, sum(score) / ((SELECT sum(score)
 b AS (SELECT x1, CASE WHEN x1 = 1 THEN count(*) / (SELECT count(*) FROM disc) ELSE 0 END AS score FROM disc GROUP BY x1) SELECT round(sum(abs(coalesce(a.score, 0) - coalesce(b.score, 0))), 9) AS deviation FROM a FULL JOIN b USING (x1)"""
 
 
-def _edges(spark) -> DataFrame:
-    return spark.createDataFrame(EDGES, "parent string, child string, weight double")
-
-
-def graph_ancestors(spark, sf_dir):
-    return G.ancestors(_edges(spark))
-
-
-def graph_is_cyclic(spark, sf_dir):
-    back = spark.createDataFrame([("e", "a", 1.0)], "parent string, child string, weight double")
-    return G.is_cyclic(_edges(spark)).withColumn("graph", F.lit("edges")).unionByName(G.is_cyclic(_edges(spark).union(back)).withColumn("graph", F.lit("with e-a")))
-
-
-def graph_merge_edges(spark, sf_dir):
-    return G.merge_edges(_edges(spark), spark.createDataFrame(MORE, "parent string, child string"))
-
-
-def graph_topk_parents(spark, sf_dir):
-    return G.top_parents(_edges(spark), 2)
-
-
-_E = "edges(parent, child, weight) AS (VALUES " + ", ".join(f"('{p}', '{c}', {w}::DOUBLE)" for p, c, w in EDGES) + ")"
-_REACH = "SELECT child AS node, parent AS ancestor FROM {e} UNION SELECT up.node, e.parent FROM up JOIN {e} e ON e.child = up.ancestor"
-ANCESTORS = f"WITH RECURSIVE {_E}, up AS ({_REACH.format(e='edges')}) SELECT node, ancestor FROM up"
-CYCLIC = f"WITH RECURSIVE {_E}, more AS (SELECT * FROM edges UNION ALL SELECT 'e', 'a', 1), up AS ({_REACH.format(e='more')}) SELECT count(*) FILTER (node = ancestor) > 0 AS is_cyclic, 'with e-a' AS graph FROM up UNION ALL SELECT count(*) FILTER (node = ancestor) > 0, 'edges' FROM ({ANCESTORS})"
-MERGE = f"WITH {_E} SELECT DISTINCT parent, child FROM (SELECT parent, child FROM edges UNION ALL VALUES {', '.join(f"('{p}', '{c}')" for p, c in MORE)})"
-TOPK = f"WITH {_E} SELECT * FROM (SELECT parent, child, weight, row_number() OVER (PARTITION BY child ORDER BY weight DESC, parent)::INT AS place FROM edges) WHERE place <= 2"
-
-
-def graph_do_belief(spark, sf_dir):
-    """Beliefs of all nodes after x5 is set, given x1."""
-    from ..operators.belief import GraphInferModel
-
-    graph = G.CausalGraph(NODES)
-    for child, parents in GRAPH.items():
-        for p in parents:
-            graph.add_edge(p, child)
-    model = GraphInferModel(graph=graph, treatment_name="x3", label_name="x4").fit(disc(spark, sf_dir))
-    beliefs = model.estimate({"x2": 1}, 5)
-    return spark.createDataFrame([(n, int(v), round(float(s), 9)) for n, (values, scores) in beliefs.items() for v, s in zip(values, scores)], "node string, value int, belief double")
-
-
 def attribution_step1(spark, sf_dir):
     """P(x1 = 1 | feature = value) of each single condition, best first."""
     rows = X.compress(disc(spark, sf_dir), NODES)
@@ -191,18 +146,9 @@ def attribution_step1(spark, sf_dir):
 ATTRIBUTION = f"WITH {DISC}, s AS (" + " UNION ALL ".join(f"SELECT '{n}' AS node, {n} AS value, round(count(*) FILTER (x1 = 1) / count(*), 9) AS score FROM disc GROUP BY {n}" for n in NODES if n != "x1") + ") SELECT * FROM s WHERE score >= 0.5 ORDER BY score DESC, node, value LIMIT 10"
 
 
-def k2_search(spark, sf_dir):
-    """Edges that the search finds."""
-    from ..operators.discovery import CausalSearchDiscovery
-
-    graph, _ = CausalSearchDiscovery().fit(disc(spark, sf_dir)).get_result()
-    return graph.frame(spark)
-
-
 QUERIES = {
     "k2_family_score": (k2_family_score, K2_FAMILY), "k2_graph_score": (k2_graph_score, K2_GRAPH), "k2_candidate_gain": (k2_candidate_gain, K2_GAIN), "k2_best_parent": (k2_best_parent, K2_BEST),
     "node_domains": (node_domains, DOMAINS), "node_frequencies": (node_frequencies, FREQUENCIES), "factor_parameters": (factor_parameters, f"WITH {FACTOR} SELECT x0, x1, x5, round(score, 10) AS score FROM factor"),
     "factor_evidence": (factor_evidence, EVIDENCE), "factor_normalise": (factor_normalise, NORMALISE), "factor_message": (factor_message, MESSAGE), "factor_do_marginal": (factor_do_marginal, DO_MARGINAL), "belief_deviation": (belief_deviation, DEVIATION),
-    "graph_ancestors": (graph_ancestors, ANCESTORS), "graph_is_cyclic": (graph_is_cyclic, CYCLIC), "graph_merge_edges": (graph_merge_edges, MERGE), "graph_topk_parents": (graph_topk_parents, TOPK),
-    "graph_do_belief": (graph_do_belief, None), "attribution_step1": (attribution_step1, ATTRIBUTION), "k2_search": (k2_search, None),
+    "attribution_step1": (attribution_step1, ATTRIBUTION),
 }
