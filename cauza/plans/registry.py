@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import discrete, effects, graphs, learning, models, networks, trees
+from . import discrete, effects, ensembles, graphs, learning, models, networks, trees
 
-MODULES = [discrete, graphs, trees, effects, learning, networks, models]
+MODULES = [discrete, graphs, trees, ensembles, effects, learning, networks, models]
 
 
 def queries() -> dict:
