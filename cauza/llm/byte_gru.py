@@ -35,7 +35,7 @@ WINDOW, HIDDEN = 128, 16
 ROWS, UPDATES, BATCH, RATE = 250, 300, 128, 0.02
 FOLDS = 5
 #: Lanes side by side, and the most scores that are held at once.
-LANES, HELD = 512, 40 << 20
+LANES, HELD = 512, 24 << 20
 
 
 def gates(x: np.ndarray, own: np.ndarray, c: np.ndarray, hidden: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -373,15 +373,15 @@ def recognised(docs: DataFrame, net: Net, least_score: float = 0.0, text: str =
     """The rows of docs, all columns, whose text has letters and a label with at least that score; that label takes the place of lang. Nothing is shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
     at, names = len(docs.columns), docs.columns
-    to = names.index(lang)
+    to, read = names.index(lang), names.index(text)
 
     def run(batches):
         for batch in batches:
-            for part in by_length(batch, at, len(shared.value.labels)):
-                label, score = _guess(shared.value, part.column(at + 1).to_pylist(), part.column(at).to_pylist())
+            for part in by_length(batch, read, len(shared.value.labels)):
+                label, score = _guess(shared.value, part.column(at).to_pylist(), part.column(read).to_pylist())
                 kept = pa.array([x != "und" and s >= least_score for x, s in zip(label, score, strict=True)], pa.bool_())
                 columns = [part.column(i) if i != to else pa.array(label, pa.string()) for i in range(at)]
                 yield pa.RecordBatch.from_arrays([c.filter(kept) for c in columns], part.schema.names[:at])
 
     # by place, so that names do not matter
-    return docs.select(*(F.col(f"`{c}`") for c in names), F.col(text).alias("read"), _letters(text).alias("letters")).mapInArrow(run, docs.schema)
+    return docs.select(*(F.col(f"`{c}`") for c in names), _letters(text).alias("letters")).mapInArrow(run, docs.schema)
