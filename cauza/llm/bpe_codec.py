@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import lean, slices
 
 OFFSET = 0x100
 TO_CHARS = {b: OFFSET + b for b in range(256)}
@@ -122,7 +122,7 @@ def encode_column(df: DataFrame, ranks_path: str, pattern: str, text: str = "tex
             for part in slices(batch, 1):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(codec.encode([x or "" for x in part.column(1).to_pylist()]), pa.binary())], [key, "ids"])
 
-    return df.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, ids binary")
+    return df.select(F.col(key), F.col(text)).mapInArrow(lean(run), f"`{key}` {dict(df.dtypes)[key]}, ids binary")
 
 
 def decode_column(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", key: str = "doc_id") -> DataFrame:
@@ -135,7 +135,7 @@ def decode_column(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids"
             for part in slices(batch, 1):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([codec.decode(x or b"") for x in part.column(1).to_pylist()], pa.binary())], [key, "data"])
 
-    return df.select(F.col(key), F.col(ids)).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, data binary")
+    return df.select(F.col(key), F.col(ids)).mapInArrow(lean(run), f"`{key}` {dict(df.dtypes)[key]}, data binary")
 
 
 def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -150,4 +150,4 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text",
                 columns = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([sha(x).hexdigest() for x in ids], pa.string()), pa.array([sha(codec.decode(x)).hexdigest() for x in ids], pa.string())]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return df.select(F.col(key), F.col(text)).mapInArrow(lean(run), f"`{key}` {dict(df.dtypes)[key]}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

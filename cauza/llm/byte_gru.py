@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import lean
+
 WINDOW, HIDDEN = 128, 16
 #: Labelled documents of each language, updates, windows of an update, step size.
 ROWS, UPDATES, BATCH, RATE = 250, 300, 128, 0.02
@@ -361,7 +363,7 @@ def predict(docs: DataFrame, net: Net, text: str = "text", key: str = "doc_id")
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(label, pa.string()), pa.array(score, pa.float64())], [key, "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col(key), is_held_out(F.col(key)).alias("held_out"), _letters(text).alias("letters"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(lean(run), f"`{key}` {dict(docs.dtypes)[key]}, held_out boolean, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
@@ -384,4 +386,4 @@ def recognised(docs: DataFrame, net: Net, least_score: float = 0.0, text: str =
                 yield pa.RecordBatch.from_arrays([c.filter(kept) for c in columns], part.schema.names[:at])
 
     # by place, so that names do not matter
-    return docs.select(*(F.col(f"`{c}`") for c in names), _letters(text).alias("letters")).mapInArrow(run, docs.schema)
+    return docs.select(*(F.col(f"`{c}`") for c in names), _letters(text).alias("letters")).mapInArrow(lean(run), docs.schema)

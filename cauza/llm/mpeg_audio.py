@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices
+from .common import as_bytes, lean, slices
 
 # Fixed values of ISO/IEC 11172-3 and 13818-3: kbit/s by header index, for (MPEG 1?, layer).
 BITRATES = {
@@ -253,7 +253,7 @@ def encode_column(df: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
                 raw = as_bytes(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, raw), pa.int64()), pa.array([encode(pad(x)) for x in raw], pa.binary())], [key, "n_bytes", "media"])
 
-    return df.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, {ENCODED}")
+    return df.select(F.col(key), F.col(text)).mapInArrow(lean(run), f"`{key}` {dict(df.dtypes)[key]}, {ENCODED}")
 
 
 def index_column(df: DataFrame, media: str = "media", key: str = "doc_id") -> DataFrame:
@@ -269,7 +269,7 @@ def index_column(df: DataFrame, media: str = "media", key: str = "doc_id") -> Da
                 ]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], [key, "payload", "frame_offsets", "n_frames", "samples", "sample_rate", "seconds_num", "seconds_den", "crc_good", "crc_bad", "resyncs", "skipped_bytes", "feature"])
 
-    return df.select(F.col(key), F.col(media)).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, {INDEXED}")
+    return df.select(F.col(key), F.col(media)).mapInArrow(lean(run), f"`{key}` {dict(df.dtypes)[key]}, {INDEXED}")
 
 
 DIGESTS = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, n_frames bigint, seconds_num bigint, seconds_den bigint, frame_offsets array<bigint>"
@@ -290,4 +290,4 @@ def digests(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
                 names = [x.split()[0] for x in DIGESTS.split(", ")]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True))], [key, *names])
 
-    return df.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, {DIGESTS}")
+    return df.select(F.col(key), F.col(text)).mapInArrow(lean(run), f"`{key}` {dict(df.dtypes)[key]}, {DIGESTS}")

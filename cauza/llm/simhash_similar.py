@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import among, as_bytes, discard, slices, written
+from .common import among, as_bytes, discard, lean, slices, written
 from .components import components
 from .simhash_vptree import Tree
 
@@ -76,7 +76,7 @@ def prints_of(docs: DataFrame, text: str, key: str, width: int) -> DataFrame:
                 sets = [shingles(x, width) for x in as_bytes(part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([long_print(s).tobytes() for s in sets], pa.binary())], [key, "node", "n", "print"])
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, node bigint, n bigint, print binary")
+    return docs.select(F.col(key), F.col(text)).mapInArrow(lean(run), f"`{key}` {dict(docs.dtypes)[key]}, node bigint, n bigint, print binary")
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
@@ -120,8 +120,8 @@ def candidates(nodes: DataFrame) -> DataFrame:
         if held:
             yield flush(held)
 
-    cells = nodes.select("node", "print").mapInArrow(deal, "cell int, node bigint, x bigint, y bigint")
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(search, "a bigint, b bigint").distinct()
+    cells = nodes.select("node", "print").mapInArrow(lean(deal), "cell int, node bigint, x bigint, y bigint")
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(lean(search), "a bigint, b bigint").distinct()
 
 
 class Sets:

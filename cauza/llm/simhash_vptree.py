@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices, written
+from .common import as_bytes, lean, slices, written
 from .components import components
 
 RADIUS, LEAF = 3, 64
@@ -61,7 +61,7 @@ def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", width:
                 found = np.array([fingerprint(x, width) for x in as_bytes(part.column(1))], np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.view(np.int64))], [key, "fp"])
 
-    return df.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, fp bigint")
+    return df.select(F.col(key), F.col(text)).mapInArrow(lean(run), f"`{key}` {dict(df.dtypes)[key]}, fp bigint")
 
 
 class Forest:
@@ -227,7 +227,7 @@ def links(nodes: DataFrame, shard: int = SHARD, shards: int = SHARDS, radius: in
         found = np.array(Tree(points.view(np.uint64), int((~guest).sum()), radius, leaf).forest.links, np.int64).reshape(-1, 2)
         return pa.table({"a": points[found[:, 0]], "b": points[found[:, 1]]})
 
-    dealt = nodes.select("fp").mapInArrow(deal, "shard int, fp bigint, guest boolean")
+    dealt = nodes.select("fp").mapInArrow(lean(deal), "shard int, fp bigint, guest boolean")
     return dealt.groupBy("shard").applyInArrow(search, "a bigint, b bigint")
 
 

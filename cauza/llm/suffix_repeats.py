@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, discard, shared_dir, slices, written
+from .common import as_bytes, discard, lean, shared_dir, slices, written
 
 WINDOW, GRAM, MOST, CHUNK, BLOCK = 50, 8, 50_000, 300_000, 8
 
@@ -98,7 +98,7 @@ def _count_anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 lists = [pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(np.concatenate([r[i] for r in rows]))).cast(pa.list_(pa.int64())) for i in (2, 3)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows]), *lists], ["id", "th", "n_words", "sha", "anchors", "windows"])
 
-    return docs.mapInArrow(run, "id bigint, th bigint, n_words bigint, sha string, anchors array<bigint>, windows array<bigint>")
+    return docs.mapInArrow(lean(run), "id bigint, th bigint, n_words bigint, sha string, anchors array<bigint>, windows array<bigint>")
 
 
 #: A suffix starts at each of places; its windows start lo to hi words to the left of that; words reach from the first to the last of them.
@@ -152,7 +152,7 @@ def _suffix_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 for at in range(0, len(out), 20_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[at : at + 20_000]), kinds, strict=True)], names)
 
-    return docs.mapInArrow(run, ROW)
+    return docs.mapInArrow(lean(run), ROW)
 
 
 def sorted_suffixes(flat: np.ndarray, at: np.ndarray, length: np.ndarray, depth: int, step: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -263,7 +263,7 @@ def _subtrees(rows: DataFrame, window: int, chunk: int) -> DataFrame:
         if held:
             yield flush(held)
 
-    return rows.select("k", "id", "th", "lo", "hi", "places", "words").repartition("k").sortWithinPartitions("k").mapInArrow(run, SPANS)
+    return rows.select("k", "id", "th", "lo", "hi", "places", "words").repartition("k").sortWithinPartitions("k").mapInArrow(lean(run), SPANS)
 
 
 def _windows(rows: DataFrame, window: int, bits: int) -> DataFrame:
@@ -284,7 +284,7 @@ def _windows(rows: DataFrame, window: int, bits: int) -> DataFrame:
                 k = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in columns[:2]]
                 yield pa.RecordBatch.from_arrays([*k, pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.list_(pa.int32())), pa.array(columns[5], pa.binary())], ["k1", "k2", "id", "th", "starts", "words"])
 
-    return rows.select("id", "th", "lo", "hi", "places", "words").mapInArrow(run, "k1 bigint, k2 bigint, id bigint, th bigint, starts array<int>, words binary")
+    return rows.select("id", "th", "lo", "hi", "places", "words").mapInArrow(lean(run), "k1 bigint, k2 bigint, id bigint, th bigint, starts array<int>, words binary")
 
 
 def _whole(rows: DataFrame, window: int, bits: int = 64) -> DataFrame:
@@ -351,5 +351,5 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int =
                     marked.append([{"a": int(a), "b": int(b)} for a, b in zip(edges[::2], edges[1::2], strict=True)])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts, pa.int64()), pa.array(marked, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(kept, pa.binary())], ["id", "th", "n_removed", "spans", "kept"])
 
-    kept = texts.join(spans, ["id", "th"]).mapInArrow(run, "id bigint, th bigint, n_removed bigint, spans array<struct<a:int,b:int>>, kept binary")
+    kept = texts.join(spans, ["id", "th"]).mapInArrow(lean(run), "id bigint, th bigint, n_removed bigint, spans array<struct<a:int,b:int>>, kept binary")
     return kept, counted.drop("anchors", "windows")

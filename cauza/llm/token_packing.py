@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import lean, slices
 
 LENGTH, BLOCK, PAD = 2048, 4 << 20, 50256
 
@@ -142,7 +142,7 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, length: int = LENGTH, b
         if keys:
             yield flush()
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
+    return docs.select(F.col(key), F.col(text)).mapInArrow(lean(run), schema)
 
 
 def unpack(packs: DataFrame) -> DataFrame:
@@ -159,7 +159,7 @@ def unpack(packs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field("doc_ids").type.value_type), pa.array(starts, pa.int32()), pa.array(ids, pa.binary())], ["doc_id", "piece_start", "ids"])
 
     kind = packs.schema["doc_ids"].dataType.elementType.simpleString()
-    return packs.select("ids", "cu_seqlens", "doc_ids", "piece_starts").mapInArrow(run, f"doc_id {kind}, piece_start int, ids binary")
+    return packs.select("ids", "cu_seqlens", "doc_ids", "piece_starts").mapInArrow(lean(run), f"doc_id {kind}, piece_start int, ids binary")
 
 
 def write_matrices(packs: DataFrame, path: str) -> None:
