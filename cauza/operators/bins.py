@@ -1,6 +1,10 @@
 """Bins of features: few-valued ones by a plan, others by a greedy scan over (value, count) tables.
 
 Zero has a bin of its own, bins include their upper bound, the last is infinite, NaN comes after it.
+
+Features with up to ``resolution`` distinct values are scanned value by value. Of others no task or driver could hold
+the values: they are counted between approximate quantiles, ``resolution`` of them, with the least and the greatest value
+of each range, and the scan runs over these ranges. A value that is more frequent than a range has one to itself.
 """
 
 from __future__ import annotations
@@ -30,10 +34,11 @@ def small_bounds(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return v.select("feature", (F.row_number().over(by) - 1).alias("bin"), F.coalesce((F.col("value") + F.lead("value").over(by)) / 2, F.lit(float("inf"))).alias("bound"))
 
 
-def greedy(values: np.ndarray, counts: np.ndarray, most: int, least_rows: int) -> list[float]:
-    """Upper bounds of at most ``most`` bins of about equal counts; values above the mean count stand alone."""
+def greedy(values: np.ndarray, counts: np.ndarray, most: int, least_rows: int, lows: np.ndarray | None = None) -> list[float]:
+    """Upper bounds of at most ``most`` bins of about equal counts; values above the mean count stand alone. lows: where values are the upper ends of ranges, their lower ends."""
     if not len(values):
         return []
+    lows = values if lows is None else lows
     ends: list[int] = []
     if len(values) <= most:
         held = 0
@@ -62,42 +67,79 @@ def greedy(values: np.ndarray, counts: np.ndarray, most: int, least_rows: int) -
                     mean = left / max(1, rest_bins)
     bounds: list[float] = []
     for i in ends:
-        b = float(np.nextafter((values[i] + values[i + 1]) / 2, np.inf))
+        b = float(np.nextafter((values[i] + lows[i + 1]) / 2, np.inf))
         if not bounds or b > np.nextafter(bounds[-1], np.inf):
             bounds.append(b)
     return [*bounds, float("inf")]
 
 
-def feature_bounds(values: np.ndarray, counts: np.ndarray, max_bin: int = 64, least_rows: int = 10, forced: Sequence[float] = ()) -> list[float]:
+def feature_bounds(values: np.ndarray, counts: np.ndarray, max_bin: int = 64, least_rows: int = 10, forced: Sequence[float] = (), lows: np.ndarray | None = None) -> list[float]:
     """Bounds of one feature: negatives, zero and positives apart, forced bounds kept."""
     order = np.argsort(values, kind="stable")
-    values, counts = values[order], counts[order]
+    values, counts, lows = values[order], counts[order], (values if lows is None else lows)[order]
     low, high = values < -ZERO, values > ZERO
     n_low, n_zero, n_high = counts[low].sum(), counts[~low & ~high].sum(), counts[high].sum()
     bounds: list[float] = []
     if n_low:
         share = max(1, int(n_low / max(1, n_low + n_high) * (max_bin - 1)))
-        bounds = greedy(values[low], counts[low], share, least_rows)
+        bounds = greedy(values[low], counts[low], share, least_rows, lows[low])
         bounds[-1] = -ZERO
     if n_high:
         room = max_bin - 1 - len(bounds) - (1 if n_zero or n_low else 0)
-        upper = greedy(values[high], counts[high], max(1, room), least_rows)
+        upper = greedy(values[high], counts[high], max(1, room), least_rows, lows[high])
         bounds += ([ZERO] if n_zero or n_low else []) + upper
     else:
         bounds.append(float("inf"))
     return sorted({*bounds, *forced})
 
 
-def fit_bins(df: DataFrame, features: Sequence[str], max_bin: int = 64, least_rows: int = 10, forced: dict | None = None) -> dict[str, list[float]]:
-    """Bounds of each feature. Values are counted on the cluster; one feature's distinct values are scanned in one task."""
+def ranges(df: DataFrame, features: Sequence[str], resolution: int) -> DataFrame:
+    """(feature, value, low, n): counts between approximate quantiles, with the greatest and the least value of each range. NaN and null are left out; zero is a range of its own."""
+    steps = [i / resolution for i in range(1, resolution)]
+    clean = df.select(*(F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double")).alias(f"c{i}") for i, f in enumerate(features)))
+    found = clean.agg(*(F.percentile_approx(f"c{i}", steps, 2 * resolution).alias(f"q{i}") for i in range(len(features)))).first()
+    points = []
+    for i in range(len(features)):
+        q = np.array(found[f"q{i}"] or [], float)
+        frequent = q[1:][q[1:] == q[:-1]]  # of more rows than a range: what lies below it gets a range of its own
+        points.append(np.unique(np.concatenate([q, np.nextafter(frequent, -np.inf), [-ZERO, ZERO]])))
+
+    def run(parts):
+        width = 2 * resolution + 3
+        n, low, high = np.zeros((len(points), width), np.int64), np.full((len(points), width), np.inf), np.full((len(points), width), -np.inf)
+        for pdf in parts:
+            for i, p in enumerate(points):
+                x = pdf.iloc[:, i].to_numpy(float)
+                x = x[~np.isnan(x)]
+                at = np.searchsorted(p, x, side="left")
+                n[i] += np.bincount(at, minlength=width)
+                np.minimum.at(low[i], at, x)
+                np.maximum.at(high[i], at, x)
+        i, at = np.nonzero(n)
+        yield pd.DataFrame({"i": i, "at": at, "n": n[i, at], "low": low[i, at], "value": high[i, at]})
+
+    names = F.array(*map(F.lit, features))
+    rows = clean.mapInPandas(run, "i int, at int, n bigint, low double, value double").groupBy("i", "at").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("value").alias("value"))
+    return rows.select(F.get(names, F.col("i")).alias("feature"), "value", "low", "n")
+
+
+def fit_bins(df: DataFrame, features: Sequence[str], max_bin: int = 64, least_rows: int = 10, forced: dict | None = None, resolution: int = 10_000) -> dict[str, list[float]]:
+    """Bounds of each feature. A feature's table of values or ranges, about ``resolution`` rows at most, is scanned in one task."""
     forced = forced or {}
+    sizes = df.agg(*(F.approx_count_distinct(F.col(f).cast("double"), 0.01).alias(f"n{i}") for i, f in enumerate(features))).first()
+    few = [f for i, f in enumerate(features) if sizes[f"n{i}"] <= resolution]
+    many = [f for f in features if f not in few]
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         name = pdf["feature"].iloc[0]
         found = pdf[pdf["value"].notna()]
-        return pd.DataFrame({"feature": [name], "bounds": [feature_bounds(found["value"].to_numpy(), found["n"].to_numpy(), max_bin, least_rows, forced.get(name, ()))]})
+        return pd.DataFrame({"feature": [name], "bounds": [feature_bounds(found["value"].to_numpy(), found["n"].to_numpy(), max_bin, least_rows, forced.get(name, ()), found["low"].to_numpy())]})
 
-    rows = value_counts(df, features).groupBy("feature").applyInPandas(scan, "feature string, bounds array<double>").collect()
+    tables = [value_counts(df, few).select("feature", "value", F.col("value").alias("low"), "n")] if few else []
+    if many:
+        tables.append(ranges(df, many, resolution))
+    both = tables[0] if len(tables) == 1 else tables[0].unionByName(tables[1])
+    rows = both.groupBy("feature").applyInPandas(scan, "feature string, bounds array<double>").collect()
     return {r["feature"]: list(r["bounds"]) for r in rows}
 
 

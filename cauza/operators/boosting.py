@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..logs import log, trace
 from ..sources.frames import CausalFrame
 from ..sources.shared import checkpointed
 from .bins import fit_bins, transform
@@ -175,6 +176,7 @@ class Boosting:
             self.trees.append(tree)
             since.append(tree)
             self.valid_losses.append(self._validate(state, since))
+            log.debug("tree %d: %d nodes, validation loss %g", k, len(tree.nodes), self.valid_losses[-1])
             if self._stop():
                 break
             if len(since) >= c.anchor:
@@ -221,9 +223,12 @@ class Boosting:
 
     def _grow(self, state: DataFrame, since: list[Tree], chosen: np.ndarray) -> Tree:
         c = self.config
-        tree, level = None, [0]
+        tree, level, held = None, [0], {}
         for depth in range(c.max_depth + 1):
-            stats = self._level(state, since, tree, level)
+            # left children are summed, right ones are what the parent has besides
+            stats = self._level(state, since, tree, [n for n in level if n % 2 or not n])
+            stats |= {n: {k: v - stats[n - 1][k] for k, v in held[(n - 1) // 2].items()} for n in level if n and n % 2 == 0}
+            held = stats
             if tree is None:
                 s = stats[0]
                 g, h = s["g"][0].sum(0), s["h"][0].sum(0)
@@ -235,7 +240,8 @@ class Boosting:
                 found = search({k: v[chosen] for k, v in stats[leaf].items()}, self.t0, c, self.did)
                 if found is None:
                     continue
-                f, b, _, theta, eta = found
+                f, b, cost, theta, eta = found
+                trace("leaf %d: feature %d, bin %d, cost %g", leaf, chosen[f], b, cost)
                 node, feature = tree.nodes[leaf], int(chosen[f])
                 node.feature, node.bin = feature, b
                 node.bound = self.bounds[self.features[feature]][b] if b < len(self.bounds[self.features[feature]]) else float("inf")

@@ -54,6 +54,16 @@ def countby(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFr
     return df.groupBy(*keys).agg(F.sum(any_value.cast("long")).alias("n"))
 
 
+def sumby_stacked(df: DataFrame, features: Sequence[str], arm: str, values: Sequence[str], transform=lambda c: c) -> DataFrame:
+    """sumby() by arm and bin for all features in one pass: (feature, bin, w, sums)."""
+    return sumby(stack(df, features, [F.col(arm).alias("w"), *values]), ["feature", "bin", "w"], values, transform)
+
+
+def countby_stacked(df: DataFrame, features: Sequence[str], arm: str, values: Sequence[str]) -> DataFrame:
+    """countby() by arm and bin for all features in one pass: (feature, bin, w, n)."""
+    return countby(stack(df, features, [F.col(arm).alias("w"), *values]), ["feature", "bin", "w"], values)
+
+
 def groupby(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """count, mean, min, max and variance of the values that are numbers; NaN mean for groups without one."""
     x = F.when(~F.isnan(value), F.col(value))

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.frames import intake
 from .graph import CausalGraph
 
 
@@ -96,7 +97,9 @@ class CausalRegressionDiscovery:
         g1 = np.einsum("njm,nk->jmk", back, x)
         return 0.5 * float((error**2).sum()), np.concatenate([g1.ravel(), -g1.ravel(), back.sum(0).ravel(), np.einsum("nj,njm->jm", error, hidden).ravel(), error.sum(0)])
 
-    def fit(self, df: DataFrame, names: list[str] | None = None) -> CausalRegressionDiscovery:
+    def fit(self, source, names: list[str] | None = None, spark=None) -> CausalRegressionDiscovery:
+        """source: a DataFrame (names choose columns), or what intake() takes."""
+        df = source if isinstance(source, DataFrame) else intake(spark, source, names)
         names = names or df.columns
         d, m = len(names), self.hidden
         n_w = d * m * d

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import learners as L
 from ..session import table
-from ..sources.frames import key_values, recode
 from .trees import PANEL, panel_frame
 
 TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -185,28 +184,6 @@ FM_SQL = f"WITH {EMB} SELECT vec_id, round(list_sum(list_transform(range(8), lam
 DMBR_SQL = f"""WITH {EMB}, x AS (SELECT batch, w, unnest(v) AS c, unnest(range(64)) AS i FROM emb), own AS (SELECT batch, w, i, avg(c) AS o FROM x GROUP BY ALL), tot AS (SELECT batch, i, avg(c) AS a FROM x GROUP BY ALL)
 SELECT batch, w, round(sum(o * a), 9) AS score FROM own JOIN tot USING (batch, i) GROUP BY ALL"""
 
-KV = [(1, "a:1,b:2.5"), (2, "b:3"), (3, ""), (4, "c:x,a:-4"), (5, None)]
-ARMS = [(1, "yes"), (2, "no"), (3, "maybe"), (4, None)]
-
-
-def kv_parse(spark, sf_dir):
-    rows = spark.createDataFrame(KV, "id int, text string")
-    dense = key_values(F.col("text"), ["a", "b", "c"], -1.0)
-    return rows.select("id", *(F.get(dense, F.lit(i)).alias(k) for i, k in enumerate("abc")))
-
-
-def csv_recode(spark, sf_dir):
-    rows = spark.createDataFrame(ARMS, "id int, treatment string")
-    return rows.select("id", recode(F.col("treatment"), {"yes": 1, "no": 0}).alias("treatment"))
-
-
-def _kv(k: str) -> str:
-    return f"coalesce(try_cast(nullif(regexp_extract(text, '(^|,){k}:([^,]*)', 2), '') AS DOUBLE), -1) AS {k}"
-
-
-def _values(rows) -> str:
-    return ", ".join("(" + ", ".join("NULL" if x is None else repr(x) for x in r) + ")" for r in rows)
-
 
 QUERIES = {
     "tlearner_ols": (tlearner_ols, f"WITH {LINES} SELECT x, round(avg(a1 - a0 + (b1 - b0) * x), 8) AS effect, count(*) AS n FROM p, l GROUP BY x"), "slearner_ols": (slearner_ols, S_SQL), "xlearner_ols": (xlearner_ols, X_SQL),
@@ -221,6 +198,4 @@ QUERIES = {
     "fairco_merit_gap": (fairco_merit_gap, f"WITH {EVT}, r AS (SELECT g, avg(1 / (1 + exp(-z))) / avg(w) AS r FROM evt GROUP BY g) SELECT round(0.01 / 2 * sum(abs(a.r - b.r)), 9) AS gap FROM r a, r b"),
     "mmd_rbf": (mmd_rbf, MMD_SQL), "pairwise_sqdist": (pairwise_sqdist, f"WITH {EMB} SELECT a, b, round(d, 7) AS d FROM pairs WHERE a < b"),
     "fm_interaction": (fm_interaction, FM_SQL), "dmbr_confounder_mean": (dmbr_confounder_mean, DMBR_SQL),
-    "kv_parse": (kv_parse, f"SELECT id, {_kv('a')}, {_kv('b')}, {_kv('c')} FROM (VALUES {_values(KV)}) r(id, text)"),
-    "csv_recode": (csv_recode, f"SELECT id, CASE treatment WHEN 'yes' THEN 1 WHEN 'no' THEN 0 END AS treatment FROM (VALUES {_values(ARMS)}) r(id, treatment)"),
 }

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import discrete, effects, ensembles, graphs, learning, models, networks, trees
+from . import binning, discrete, effects, ensembles, graphs, inputs, learning, models, networks, trees
 
-MODULES = [discrete, graphs, trees, ensembles, effects, learning, networks, models]
+MODULES = [discrete, graphs, trees, binning, ensembles, effects, learning, networks, inputs, models]
 
 
 def queries() -> dict:

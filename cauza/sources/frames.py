@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import importlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,6 +58,14 @@ class CausalFrame:
         if not 0 <= self.treat_dt < self.n_period:
             raise ValueError("treat_dt has to be a period")
 
+    def subset(self, rows: Column | None = None, features: list[str] | None = None) -> CausalFrame:
+        """The rows that hold and some of the features; roles, panel and bins (columns of the frame) stay as they are."""
+        if unknown := set(features or []) - set(self.features):
+            raise ValueError(f"no features: {sorted(unknown)}")
+        kept = [f for f in self.features if features is None or f in features]
+        df = (self.df if rows is None else self.df.filter(rows)).drop(*(f for f in self.features if f not in kept))
+        return replace(self, df=df, features=kept)
+
     def check(self) -> CausalFrame:
         """One pass over the rows: outcomes of n_period values, treatment 0 or 1."""
         bad = self.df.agg(F.sum(((F.size(self.outcomes) != self.n_period) | F.col(self.outcomes).isNull()).cast("int")).alias("y"), F.sum((~F.coalesce(F.col(self.treatment).isin(0, 1), F.lit(False))).cast("int")).alias("w")).first()

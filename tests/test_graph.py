@@ -90,3 +90,46 @@ def test_attribution(rows):
     model = GraphInferModel(graph=g, treatment_name="b", label_name="d").fit(rows)
     rules = Attribution(0.6, max_step=2, inferencer=model).attribute(rows, 1, 2)
     assert rules and rules[0][0].get("c") == 1 and all(s >= 0.6 for _, s in rules) and [s for _, s in rules] == sorted((s for _, s in rules), reverse=True)
+
+
+def test_mutation_adds_and_removes():
+    from cauza.operators.graph import CausalGraph
+
+    names = [f"n{i}" for i in range(12)]
+    start = CausalGraph(names).random_init(3, seed=1)
+    for rate in (0.0, 0.3, 1.0):
+        own = start.copy().mutate(rate, seed=5)
+        assert not own.is_cyclic()
+        assert (set(own.edges()) == set(start.edges())) == (rate == 0)
+    gone = set(start.edges()) - set(start.copy().mutate(1.0, seed=5).edges())
+    kept = set(start.edges()) & set(start.copy().mutate(1.0, seed=5).edges())
+    assert gone and kept  # about half of the draws remove, the other half would add what is there
+
+
+def test_order_and_size_limits(spark):
+    import pytest
+
+    from cauza.operators.belief import GraphInferModel
+    from cauza.operators.discovery import node_order
+    from cauza.operators.graph import CausalGraph
+
+    names = list("abcdef")
+    assert node_order(names, None) == names and sorted(node_order(names, 0)) == names and node_order(names, 0) != names
+    assert node_order(names, 3, "d")[0] == "d"
+    df = spark.createDataFrame([(i % 3, i % 2) for i in range(30)], "a int, b int")
+    graph = CausalGraph(["a", "b"])
+    graph.add_edge("a", "b")
+    with pytest.raises(ValueError):
+        GraphInferModel(graph=graph, treatment_name="a", label_name="b", most_cells=5).fit(df)
+    assert GraphInferModel(graph=graph, treatment_name="a", label_name="b").fit(df).estimate({}, 1, 0) == pytest.approx(0.5, abs=1e-6)
+
+
+def test_logging_levels(caplog):
+    from cauza.logs import TRACE, log, set_level, trace
+
+    set_level("trace")
+    with caplog.at_level(TRACE, "cauza"):
+        trace("leaf %d", 3)
+        log.info("tree")
+    assert [r.levelname for r in caplog.records] == ["TRACE", "INFO"]
+    set_level("WARNING")

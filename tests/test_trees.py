@@ -112,3 +112,47 @@ def test_frame_checks(spark):
         CausalFrame(df, ["x"], n_period=2, treat_dt=2)
     with pytest.raises(ValueError):
         CausalFrame(df, ["x"], n_period=2, treat_dt=1).check()
+
+
+def test_bins_of_ranges_are_close_to_exact_ones(spark):
+    rnd = np.random.default_rng(3)
+    x = np.concatenate([rnd.normal(size=20_000), np.zeros(700), np.full(900, 2.5), [np.nan] * 5])
+    df = spark.createDataFrame(pd.DataFrame({"x": x})).repartition(5)
+    exact = B.fit_bins(df, ["x"], 32, 10, resolution=1_000_000)["x"]
+    rough = B.fit_bins(df, ["x"], 32, 10, resolution=500)["x"]
+    assert abs(len(rough) - len(exact)) <= 1 and rough[-1] == float("inf")
+    share = lambda b: np.bincount(B.transform(x[~np.isnan(x)], b), minlength=len(b)) / len(x)
+    assert np.abs(np.cumsum(share(rough))[: len(exact) - 1][:20] - np.cumsum(share(exact))[: len(rough) - 1][:20]).max() < 0.01
+    zero = B.transform(np.array([0.0]), rough)[0]
+    assert share(rough)[zero] == 700 / len(x)  # zero alone
+    rows = B.ranges(df, ["x"], 500).toPandas()
+    assert rows["n"].sum() == len(x) - 5 and (rows["low"] <= rows["value"]).all() and len(rows) <= 503
+    assert rows[(rows["low"] == 2.5) & (rows["value"] == 2.5)]["n"].sum() == 900  # a frequent value alone
+
+
+def test_right_children_by_subtraction(spark):
+    from cauza.operators import boosting as G
+
+    rnd = np.random.default_rng(1)
+    n = 1200
+    pdf = pd.DataFrame({"id": range(n), "a": rnd.normal(size=n), "b": rnd.normal(size=n), "w": rnd.integers(0, 2, n)})
+    pdf["y"] = [list(map(float, row)) for row in rnd.normal(size=(n, 3)) + pdf[["a"]].to_numpy() * np.array([0, 0, 1]) * pdf[["w"]].to_numpy()]
+    frame = CausalFrame(spark.createDataFrame(pdf), ["a", "b"], n_period=3, treat_dt=2)
+    asked, plain = [], G.Boosting._level
+
+    class Left(G.GradientBoostingCausalRegressionTree):
+        def _level(self, state, since, tree, level):
+            asked.append(list(level))
+            return super()._level(state, since, tree, level)
+
+    class Both(G.GradientBoostingCausalRegressionTree):
+        """Sums every child."""
+
+        def _level(self, state, since, tree, level):
+            out = plain(self, state, since, tree, sorted({*level, *(k + 1 for k in level if k)}))
+            return {k: v if k % 2 or not k else {n: np.array(x) for n, x in v.items()} for k, v in out.items()}
+
+    models = [cls(G.Config(n_estimators=2, max_depth=3)).fit(frame) for cls in (Left, Both)]
+    assert all(k % 2 or not k for level in asked for k in level)
+    assert [[(k, x.feature, x.bin) for k, x in sorted(t.nodes.items())] for t in models[0].trees] == [[(k, x.feature, x.bin) for k, x in sorted(t.nodes.items())] for t in models[1].trees]
+    assert all(np.allclose(x.theta, models[1].trees[i].nodes[k].theta) for i, t in enumerate(models[0].trees) for k, x in t.nodes.items())
