@@ -4,8 +4,11 @@
 CRC-32, a Xing frame with frame count, byte count and seek table, then CRC-protected Layer III frames whose side
 information says "no audio" so that the rest of the frame is ancillary data, and an ID3v1 tag. ``index`` reads any
 byte string: it skips tags, finds frames by header and by the header that has to follow, goes on at the next sync
-word after damage, verifies the CRC-16 of each protected frame, reads Xing, Info and VBRI tables, and returns exact
-durations (samples over rate, a fraction) with the byte offset of every frame.
+word after damage, verifies the CRC-16 of protected frames, reads Xing, Info and VBRI tables, and returns exact
+durations (samples over rate, a fraction) with the byte offset of every frame. Where three headers in a row agree on
+another layer, rate or mono mode, the stream goes on with that. Not verified are the CRC-16 of Layer II and of
+joint-stereo Layer I frames (the bits it covers depend on allocation tables; they count neither as good nor as bad) and
+the CRC in extended headers of ID3v2.4. Of VBRI tables the counts are read, of Xing tables the seek entries, too.
 
 Defined cases: null text counts as empty; an empty payload is 64 bytes of 0; a null or empty stream has no frames,
 duration 0 and an empty payload; repeated rows give repeated results; other columns of the input are not read.
@@ -80,14 +83,22 @@ def header(word: int) -> Header | None:
     return Header(length, samples, rate, kbps, not (word >> 16) & 1, side, (version, layer, rate, mono))
 
 
+def _crc_row(byte: int) -> int:
+    value = byte << 8
+    for _ in range(8):
+        value = (value << 1 ^ 0x8005 if value & 0x8000 else value << 1) & 0xFFFF
+    return value
+
+
+CRC_TABLE = [_crc_row(b) for b in range(256)]
+
+
 @lru_cache(maxsize=65536)
 def crc16(data: bytes) -> int:
     """CRC-16 with polynomial 0x8005, most significant bit first, from 0xFFFF."""
     value = 0xFFFF
     for byte in data:
-        value ^= byte << 8
-        for _ in range(8):
-            value = (value << 1 ^ 0x8005 if value & 0x8000 else value << 1) & 0xFFFF
+        value = (value << 8 & 0xFFFF) ^ CRC_TABLE[value >> 8 ^ byte]
     return value
 
 
@@ -153,6 +164,7 @@ class Index(NamedTuple):
     skipped: int
     vbr: str
     table_ok: bool | None
+    seek_ok: bool | None
     tag_crc: bool | None
     old_tag: bool
     payload: bytes
@@ -185,13 +197,31 @@ def _table(data: bytes, at: int, h: Header) -> tuple[str, tuple | None]:
             for bit in (1, 2):
                 values.append(int.from_bytes(data[p : p + 4], "big") if flags & bit else None)
                 p += 4 * bool(flags & bit)
-            return name.decode(), tuple(values)
+            return name.decode(), (*values, data[p : p + 100] if flags & 4 else None)
     if data[at + 36 : at + 40] == b"VBRI":
         size, frames = struct.unpack(">II", data[at + 46 : at + 54].ljust(8, b"\0"))
-        return "VBRI", (frames, size)
+        return "VBRI", (frames, size, None)
     return "", None
 
 
+def _seek_ok(toc: bytes, offsets: list[int], end: int) -> bool:
+    """Whether entry i, in 256ths of the bytes, is where the frame at i hundredths of the frames starts, rounded down."""
+    first, total = offsets[0], end - offsets[0]
+    return len(toc) == 100 and all(t == 256 * (offsets[i * len(offsets) // 100] - first) // total for i, t in enumerate(toc))
+
+
+def _agree(data: bytes, at: int, end: int, n: int) -> bool:
+    """Whether n headers of one kind follow one another from that offset."""
+    kinds = set()
+    for _ in range(n):
+        h = header(int.from_bytes(data[at : at + 4], "big")) if at + 4 <= end else None
+        if h is None:
+            return False
+        kinds.add(h.kind)
+        at += h.length
+    return len(kinds) == 1
+
+
 def index(data: bytes) -> Index:
     """Frames, tags, tables, checksums and payload of any byte string."""
     data = data or b""
@@ -205,15 +235,17 @@ def index(data: bytes) -> Index:
     while pos + 4 <= end:
         h = header(int.from_bytes(data[pos : pos + 4], "big"))
         after = pos + h.length if h else 0
-        fits = h is not None and after <= end and (kind is None or h.kind == kind)
-        if fits and after + 4 <= end:  # sync words also occur in data: another header has to follow
+        fits = h is not None and after <= end
+        if fits and kind not in (None, h.kind):
+            fits = _agree(data, pos, end, 3)
+        elif fits and after + 4 <= end:  # sync words also occur in data: another header has to follow, or three of another kind
             following = header(int.from_bytes(data[after : after + 4], "big"))
-            fits = following is not None and following.kind == h.kind
+            fits = following is not None and (following.kind == h.kind or _agree(data, after, end, 3))
         if not fits:
             found = data.find(b"\xff", pos + 1, end)
             resyncs, skipped, pos = resyncs + 1, skipped + (found if found >= 0 else end) - pos, found if found >= 0 else end
             continue
-        kind = kind or h.kind
+        kind = h.kind
         if h.protected and h.side:
             check = crc16(data[pos + 2 : pos + 4] + data[pos + 6 : pos + 6 + h.side]) == int.from_bytes(data[pos + 4 : pos + 6], "big")
             good, bad = good + check, bad + (not check)
@@ -231,13 +263,14 @@ def index(data: bytes) -> Index:
     duration = sum((Fraction(n, r) for r, n in by_rate.items()), duration)
     payload = b"".join(parts)
     table_ok = None if table is None else table[0] in (None, len(offsets)) and table[1] in (None, pos - (first_at or 0))
-    return Index(offsets, samples, duration, rate, tuple(sorted(kbps)), good, bad, resyncs, skipped, vbr, table_ok, tag_crc, old_tag, payload if length is None else payload[:length])
+    seek_ok = None if table is None or table[2] is None else bool(offsets) and _seek_ok(table[2], offsets, pos)
+    return Index(offsets, samples, duration, rate, tuple(sorted(kbps)), good, bad, resyncs, skipped, vbr, table_ok, seek_ok, tag_crc, old_tag, payload if length is None else payload[:length])
 
 
 def feature(x: Index) -> str:
     """One line that says all of an index, the seek offsets by their digest."""
     seek = hashlib.sha256(struct.pack(f"<{len(x.offsets)}q", *x.offsets)).hexdigest()[:16]
-    return f"rate={x.rate};frames={len(x.offsets)};samples={x.samples};seconds={x.duration.numerator}/{x.duration.denominator};kbps={','.join(map(str, x.kbps))};crc={x.crc_good}/{x.crc_good + x.crc_bad};resyncs={x.resyncs};table={x.vbr}:{x.table_ok};tag={x.tag_crc};seek={seek}"
+    return f"rate={x.rate};frames={len(x.offsets)};samples={x.samples};seconds={x.duration.numerator}/{x.duration.denominator};kbps={','.join(map(str, x.kbps))};crc={x.crc_good}/{x.crc_good + x.crc_bad};resyncs={x.resyncs};table={x.vbr}:{x.table_ok}:{x.seek_ok};tag={x.tag_crc};seek={seek}"
 
 
 ENCODED = "n_bytes bigint, media binary"

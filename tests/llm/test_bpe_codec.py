@@ -41,5 +41,15 @@ def test_memory_of_pretokens_is_bounded(monkeypatch):
 def test_every_token_encodes_to_itself():
     ranks = B.read_ranks(PATH)
     codec = B.Codec(B.model_bytes(ranks), P.PATTERN)
-    tokens = list(ranks)[::7]
+    tokens = list(ranks)
     assert codec.model.encode([B.byte_chars(t) for t in tokens], num_threads=1) == [[ranks[t]] for t in tokens]
+
+
+def test_very_long_texts(spark):
+    ref = tiktoken.Encoding("ref", pat_str=P.PATTERN, mergeable_ranks=B.read_ranks(PATH), special_tokens={})
+    texts = ["".join(f"w{i} é\n" for i in range(120_000)), "z" * 60_000, " " * 200_000, "ab" * 30_000 + "🙂"]
+    got = {r.doc_id: r for r in B.round_trip(spark.createDataFrame(list(enumerate(texts)) + [(None, "x")], "doc_id bigint, text string"), PATH, P.PATTERN).collect()}
+    for i, t in enumerate(texts):
+        ids = ref.encode_ordinary(t)
+        assert got[i].n_tokens == len(ids) and got[i].ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest() and got[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+    assert got[None].n_tokens == 1

@@ -62,3 +62,61 @@ def test_columns(spark):
     back = M.index_column(M.encode_column(df)).collect()
     assert all(bytes(r.payload) == M.pad((texts[r.doc_id] or "").encode()) for r in back) and len(back) == len(texts)
     assert M.digests(df.limit(0)).collect() == []
+
+
+def walk(data):
+    """Frames of a stream that is known to be mono MPEG-1 Layer III at 32,000 Hz, by the plain formulas and a bitwise CRC."""
+    at = 10 + (data[6] << 21 | data[7] << 14 | data[8] << 7 | data[9])
+    end, frames, good, payload = len(data) - 128, [], 0, b""
+    rates = [0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320]
+    while at < end:
+        assert data[at] == 0xFF and data[at + 1] == 0xFA and data[at + 3] == 0xC0
+        kbps = rates[data[at + 2] >> 4]
+        length = 144 * kbps * 1000 // 32000
+        value = 0xFFFF
+        for byte in data[at + 2 : at + 4] + data[at + 6 : at + 23]:
+            for k in range(7, -1, -1):
+                top = value >> 15 ^ byte >> k & 1
+                value = value << 1 & 0xFFFF
+                value ^= 0x8005 if top else 0
+        good += value == int.from_bytes(data[at + 4 : at + 6], "big")
+        payload += data[at + 23 : at + length] if frames else b""
+        frames.append((at, kbps))
+        at += length
+    return frames, good, payload, at == end
+
+
+def test_index_against_a_plain_walker(spark, sf_dir):
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()][:60] + ["", "\x00" * 5000]
+    for text in texts:
+        raw = text.encode()
+        data = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        stored = M.encode(data)
+        frames, good, payload, whole = walk(stored)
+        x = M.index(stored)
+        assert whole and x.offsets == [f[0] for f in frames] and (x.crc_good, x.crc_bad) == (good, 0) and good == len(frames)
+        assert payload[: len(data)] == data == x.payload and not payload[len(data) :].strip(b"\0")
+        said = dict(part.split("=", 1) for part in M.feature(x).split(";"))
+        seconds = Fraction(1152 * (len(frames) - 1), 32000)
+        assert (said["frames"], said["samples"], said["rate"]) == (str(len(frames)), str(1152 * (len(frames) - 1)), "32000")
+        assert said["seconds"] == f"{seconds.numerator}/{seconds.denominator}" and said["kbps"] == ",".join(map(str, sorted({f[1] for f in frames[1:]})))
+        assert said["crc"] == f"{good}/{good}" and said["table"] == "Xing:True:True" and said["resyncs"] == "0"
+        assert said["seek"] == hashlib.sha256(b"".join(struct.pack("<q", f[0]) for f in frames)).hexdigest()[:16]
+
+
+def test_seek_table_and_a_change_of_kind():
+    stored = bytearray(M.encode(M.pad(b"q" * 90_000)))
+    assert M.index(bytes(stored)).seek_ok
+    at = stored.index(b"Xing") + 16 + 50
+    stored[at] ^= 9
+    assert M.index(bytes(stored)).seek_ok is False and M.index(bytes(stored)).table_ok
+    mono, wide = 0xFFFB_8000 | 0xC0, 0xFFFB_8400  # 44,100 Hz mono, then 48,000 Hz stereo
+    one, two = (struct.pack(">I", w).ljust(M.header(w).length, b"\0") for w in (mono, wide))
+    x = M.index(one * 4 + two * 5)
+    assert len(x.offsets) == 9 and x.resyncs == 0 and x.duration == Fraction(4 * 1152, 44100) + Fraction(5 * 1152, 48000)
+    assert len(M.index(one * 4 + two * 2 + one * 4).offsets) == 7  # two headers alone are damage, and so is the frame that no header of its kind follows
+
+
+def test_null_identifiers(spark):
+    df = spark.createDataFrame([(None, "a"), (None, "b"), (3, None)], "doc_id bigint, text string")
+    assert sorted((r.doc_id is None, r.n_bytes) for r in M.digests(df).collect()) == [(False, 0), (True, 1), (True, 1)]
