@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -22,7 +24,9 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         if now.isEmpty():
             if not (sc.master == "local" or sc.master.startswith("local[")):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="cauza-"))
+            folder = tempfile.mkdtemp(prefix="cauza-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            sc.setCheckpointDir("file://" + folder)
             now = sc._jsc.sc().getCheckpointDir()
         base = now.get()
     _made.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")

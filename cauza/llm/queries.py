@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe_codec, budget_mix, byte_gru, exact_dedup, line_templates, mpeg_audio, preference, simhash_vptree, suffix_repeats, token_packing
+from .common import clean
+
+
+__all__ = ["clean", "oracle_sql", "queries"]
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
