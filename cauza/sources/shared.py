@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,7 +17,11 @@ def shared_folder(spark: SparkSession) -> str:
         base = sc.getConf().get("spark.checkpoint.dir")
         if not base and not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="cauza-"))
+        if not base:
+            folder = tempfile.mkdtemp(prefix="cauza-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            base = "file://" + folder
+        sc.setCheckpointDir(base)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
