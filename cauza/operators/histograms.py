@@ -70,18 +70,24 @@ def groupby(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(x).alias("n"), F.coalesce(F.avg(x), F.lit(float("nan"))).alias("mean"), F.min(x).alias("low"), F.max(x).alias("high"), F.var_pop(x).alias("variance"))
 
 
-def scan(hist: DataFrame, arms: int = 2, extra: Sequence[str] = ()) -> DataFrame:
-    """Left (side 0) and right (side 1) sums of each split `bin <= b`, for every arm and period: long, dense."""
-    values = [c for c in (*SUMS, *extra) if c in hist.columns]
-    cells = hist.select("leaf", "feature", "bin").distinct()
-    periods = hist.select("t").distinct()
-    grid = cells.crossJoin(F.broadcast(periods)).withColumn("w", F.explode(F.array(*map(F.lit, range(arms)))))  # a few periods
-    dense = grid.join(hist, list(CELL), "left").na.fill(0, [*values, "n"])
-    by = W.partitionBy("leaf", "feature", "w", "t")
-    until = by.orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
-    sides = dense.select(*CELL, *(F.sum(v).over(until).alias(f"l_{v}") for v in [*values, "n"]), *(F.sum(v).over(by).alias(f"a_{v}") for v in [*values, "n"]))
-    pair = F.array(*(F.struct(F.lit(s).alias("side"), *((F.col(f"l_{v}") if s == 0 else F.col(f"a_{v}") - F.col(f"l_{v}")).alias(v) for v in [*values, "n"])) for s in (0, 1)))
-    return sides.select(*CELL, F.explode(pair).alias("s")).select(*CELL, "s.*")
+def scan(hist: DataFrame, arms: int = 2, extra: Sequence[str] = (), periods: int | None = None) -> DataFrame:
+    """Left (side 0) and right (side 1) sums of each split `bin <= b`, for every arm and period: long, dense.
+
+    Arms and periods become columns of one row for each bin, so that one window over bins makes all running sums; what
+    follows stays partitioned by leaf and feature. Without periods, one job asks for them.
+    """
+    values = [*(c for c in (*SUMS, *extra) if c in hist.columns), "n"]
+    periods = periods if periods is not None else (hist.agg(F.max("t")).first()[0] or 0) + 1
+    cells = [(w, t) for w in range(arms) for t in range(periods)]
+    here = lambda v, w, t: F.coalesce(F.sum(F.when((F.col("w") == w) & (F.col("t") == t), F.col(v))), F.lit(0))
+    wide = hist.groupBy("leaf", "feature", "bin").agg(*(here(v, w, t).alias(f"{v}_{w}_{t}") for v in values for w, t in cells))
+    by = W.partitionBy("leaf", "feature").orderBy("bin")
+    until, every = by.rowsBetween(W.unboundedPreceding, 0), by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    names = [f"{v}_{w}_{t}" for v in values for w, t in cells]
+    sums = wide.select("leaf", "feature", "bin", *(F.sum(n).over(until).alias(f"l_{n}") for n in names), *(F.sum(n).over(every).alias(f"a_{n}") for n in names))
+    side = lambda s, n: F.col(f"l_{n}") if s == 0 else F.col(f"a_{n}") - F.col(f"l_{n}")
+    rows = F.array(*(F.struct(F.lit(w).alias("w"), F.lit(t).alias("t"), F.lit(s).alias("side"), *(side(s, f"{v}_{w}_{t}").alias(v) for v in values)) for w, t in cells for s in (0, 1)))
+    return sums.select("leaf", "feature", "bin", F.explode(rows).alias("s")).select("leaf", "feature", "bin", "s.*")
 
 
 def _quadratic(v: Column, g: Column, h: Column, lambd: float) -> Column:
@@ -118,22 +124,21 @@ def did_costs(sides: DataFrame, periods: int, t0: int, lambd: float = 5.0, coeff
     before = F.col("t") < t0
     divisor = F.col("n_0") if own_divisor else F.col("n_1")
     mean = (F.col("eta_0") / F.col("n_0") + F.col("eta_1") / F.col("n_1")) / 2 if "eta" in rows.columns else F.lit(0.0)
+    side = W.partitionBy("leaf", "feature", "bin", "side")
     up = F.sum(F.when(before, F.col("cg_1") / F.col("n_1") - F.col("cg_0") / F.col("n_0") + F.col("ch_1") * F.col("other_1") / F.col("n_1") - F.col("ch_0") * F.col("other_0") / divisor + parallel_l2 * mean).otherwise(0.0))
     down = F.sum(F.when(before, F.col("ch_1") / F.col("n_1") + F.col("ch_0") / F.col("n_0")).otherwise(0.0))
-    child = wide.groupBy("leaf", "feature", "bin", "side").agg(up.alias("up"), down.alias("down"), F.max("n_0").alias("n0"), F.max("n_1").alias("n1"), F.max(mean).alias("mean_eta"))
-    eta = F.coalesce(F.try_divide(-F.col("up"), F.col("down") + t0 * parallel_l2), F.lit(0.0))
-    child = child.withColumn("eta", eta)
-    joined = wide.join(child.select("leaf", "feature", "bin", "side", F.col("eta").alias("shift")), ["leaf", "feature", "bin", "side"])
+    wide = wide.withColumns({"up": up.over(side), "down": down.over(side), "n0": F.max("n_0").over(side), "n1": F.max("n_1").over(side), "mean_eta": F.max(mean).over(side)})
+    wide = wide.withColumn("shift", F.coalesce(F.try_divide(-F.col("up"), F.col("down") + t0 * parallel_l2), F.lit(0.0)))
 
     def cost(d: int) -> Column:
         pre = _quadratic(F.col(f"other_{d}") + (2 * d - 1) * F.col("shift"), F.col(f"cg_{d}"), F.col(f"ch_{d}"), lambd) / (F.col(f"n_{d}") * t0) if t0 else F.lit(0.0)
         post = coeff * _quadratic(F.col(f"theta_{d}"), F.col(f"g_{d}"), F.col(f"h_{d}"), lambd) / (F.col(f"n_{d}") * (periods - t0))
         return F.when(before, pre).otherwise(post)
 
-    sums = joined.groupBy("leaf", "feature", "bin", "side").agg(F.sum(cost(0) + cost(1)).alias("sum")).join(child, ["leaf", "feature", "bin", "side"])
-    penalty = parallel_l2 * (0.5 * F.col("eta") * F.col("eta") + F.col("eta") * F.col("mean_eta"))
+    sums = wide.groupBy("leaf", "feature", "bin", "side").agg(F.sum(cost(0) + cost(1)).alias("sum"), *(F.first(c).alias(c) for c in ("n0", "n1", "mean_eta", "shift")))
+    penalty = parallel_l2 * (0.5 * F.col("shift") * F.col("shift") + F.col("shift") * F.col("mean_eta"))
     total = (F.col("sum") + penalty) * (F.col("n0") + F.col("n1")) / 2
-    out = sums.groupBy("leaf", "feature", "bin").agg(F.sum(total).alias("loss"), F.max(F.when(F.col("side") == 0, F.col("eta"))).alias("eta_l"), F.max(F.when(F.col("side") == 1, F.col("eta"))).alias("eta_r"), F.count(F.lit(1)).alias("sides"))
+    out = sums.groupBy("leaf", "feature", "bin").agg(F.sum(total).alias("loss"), *(F.max(F.when(F.col("side") == s, F.col("shift"))).alias(n) for s, n in ((0, "eta_l"), (1, "eta_r"))), F.count(F.lit(1)).alias("sides"))
     return out.filter("sides = 2").drop("sides")
 
 

@@ -142,7 +142,7 @@ SELECT feature, bin::INT AS bin, coalesce((value + next) / 2, 'inf'::DOUBLE) AS
 
 
 def _costs(spark, sf_dir, kind: str) -> DataFrame:
-    sides = H.scan(hist(spark, sf_dir))
+    sides = H.scan(hist(spark, sf_dir), periods=T)
     return H.gbct_costs(sides, T, T0, LAMBD, COEFF) if kind == "gbct" else H.did_costs(sides, T, T0, LAMBD, COEFF)
 
 
@@ -155,11 +155,11 @@ def split_scan_did(spark, sf_dir):
 
 
 def split_scan_vanilla(spark, sf_dir):
-    return H.vanilla_gains(H.scan(hist(spark, sf_dir)), T, T0, COEFF, 3.0).select("feature", "bin", F.round("gain", 5).alias("gain"))
+    return H.vanilla_gains(H.scan(hist(spark, sf_dir), periods=T), T, T0, COEFF, 3.0).select("feature", "bin", F.round("gain", 5).alias("gain"))
 
 
 def split_scan_vanilla2(spark, sf_dir):
-    return H.vanilla_gains(H.scan(hist(spark, sf_dir)), T, T0, COEFF, 3.0, by_theta=True).select("feature", "bin", F.round("gain", 7).alias("gain"))
+    return H.vanilla_gains(H.scan(hist(spark, sf_dir), periods=T), T, T0, COEFF, 3.0, by_theta=True).select("feature", "bin", F.round("gain", 7).alias("gain"))
 
 
 _SIDE = "side AS (SELECT feature, bin, t, sum(g) FILTER (side = 0) AS g0, sum(g) FILTER (side = 1) AS g1, sum(h) FILTER (side = 0) AS h0, sum(h) FILTER (side = 1) AS h1, sum(n) FILTER (side = 0)::DOUBLE AS n0, sum(n) FILTER (side = 1)::DOUBLE AS n1 FROM sides GROUP BY ALL)"
@@ -168,7 +168,7 @@ VANILLA2 = f"WITH {SIDES}, {_SIDE} SELECT feature, bin, round(sum(CASE WHEN t <
 
 
 def _best(spark, sf_dir, kind: str) -> DataFrame:
-    sides = H.scan(hist(spark, sf_dir))
+    sides = H.scan(hist(spark, sf_dir), periods=T)
     costs = H.gbct_costs(sides, T, T0, LAMBD, COEFF) if kind == "gbct" else H.did_costs(sides, T, T0, LAMBD, COEFF)
     return H.best_split(costs, H.admissible(sides))
 
@@ -256,7 +256,7 @@ def effect_nd(spark, sf_dir):
 
 def did_effect_stump(spark, sf_dir):
     """theta_1 - theta_0 after treatment less the shift eta of the leaf (arms are shifted by eta and -eta)."""
-    best = H.did_costs(H.scan(hist(spark, sf_dir)), T, T0, LAMBD, COEFF).filter("feature = 0 and bin = 12")
+    best = H.did_costs(H.scan(hist(spark, sf_dir), periods=T), T, T0, LAMBD, COEFF).filter("feature = 0 and bin = 12")
     eta = best.select(F.explode(F.array(F.struct(F.lit(1).alias("leaf"), F.col("eta_l").alias("eta")), F.struct(F.lit(2).alias("leaf"), F.col("eta_r").alias("eta")))).alias("e")).select("e.*")
     out = gbct_effect_stump(spark, sf_dir).select("leaf", "effect").join(F.broadcast(eta), "leaf")
     return out.select("leaf", F.round("eta", 7).alias("eta"), F.round(F.col("effect") - F.col("eta"), 7).alias("debiased"))
