@@ -2,10 +2,35 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, lean, written
+
+
+def stars(edges: DataFrame) -> DataFrame:
+    """(a, b): for the edges (a, b) that each task reads, every node with the least one that it hangs together with there."""
+
+    def run(batches):
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = x = up.get(y, y)
+            return x
+
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = root(x), root(y)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+        nodes = list(up)
+        for at in range(0, len(nodes), 100_000):
+            some = nodes[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(map(root, some), pa.int64())], ["a", "b"])
+
+    return edges.mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,7 +41,9 @@ def components(edges: DataFrame) -> DataFrame:
     nothing changes. Least neighbours are aggregates with partial sums before the shuffle, and the joins with them are
     split by Spark where a hub is hot. The table of a round goes when the next one is written.
     """
-    now = written(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    found = written(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    now = written(stars(found), "links")
+    discard(found)
     seen = None
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

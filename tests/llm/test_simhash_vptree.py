@@ -127,3 +127,16 @@ def test_tables_make_trees(spark):
     assert shards.leaves >= 64
     assert sum(t.nodes for t in trees) >= 64
     assert sum(t.compared for t in trees) < 0.2 * len(points) ** 2
+
+
+def test_components_of_chains_stars_and_rings(spark):
+    from cauza.llm.components import components
+
+    rnd = random.Random(6)
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 50)] + [(2000 + i, 2000 + (i + 1) % 40) for i in range(40)] + [(5, 5), (-7, -9), (-9, -7), (-9, -8)]
+    rnd.shuffle(edges)
+    df = spark.createDataFrame(edges, "a bigint, b bigint")
+    got = {r.node: r.root for r in components(df.repartition(7)).collect()}
+    want = {i: 0 for i in range(301)} | {1000 + i: 1000 for i in range(50)} | {2000 + i: 2000 for i in range(40)} | {-7: -9, -8: -9, -9: -9}
+    assert got == want
+    assert components(df.limit(0)).collect() == []
