@@ -6,7 +6,9 @@ pairs lets the triangle inequality prune nothing. So fingerprints have WORDS tim
 shingles, and are searched in VIEWS: each view is BLOCK of their bits, and fingerprints that agree in these make a
 cell. A pair of similarity s agrees in a bit with probability p = 1 - arccos(2s / (1 + s)) / pi, 0.848 at 0.8, and meets
 in a cell with 1 - (1 - p^12)^32, 0.99 at 0.8, 0.9995 at 0.85. Cells are searched by vantage-point trees over 128 other
-bits; RADIUS holds 0.999 of the pairs of similarity 0.8, and of unlike pairs one in 10^8.
+bits; RADIUS holds 0.999 of the pairs of similarity 0.8, and of unlike pairs one in 10^8. The first FIRST views are
+searched alone, and what hangs together after them is left apart in the others, so that a large group of near copies
+does not give its links once for each view.
 
 Links so found only bring texts together; the similarity is then counted exactly over their shingles. A group of
 candidates is compared in one task; a group of over ``most_texts`` texts or ``most_shingles`` shingles is cut into
@@ -31,7 +33,7 @@ from .components import components
 from .simhash_vptree import Tree
 
 WIDTH, LEAST, SEED = 5, 0.8, 42
-WORDS, VIEWS, BLOCK, RADIUS, LEAF = 6, 32, 12, 32, 64
+WORDS, VIEWS, FIRST, BLOCK, RADIUS, LEAF = 6, 32, 4, 12, 32, 64
 MOST_TEXTS, MOST_SHINGLES = 2_000, 2_000_000
 SHIFT, FACTOR = np.random.default_rng(SEED).integers(0, 1 << 63, (2, WORDS), np.uint64)
 FACTOR = FACTOR * np.uint64(2) + np.uint64(1)
@@ -79,34 +81,35 @@ def prints_of(docs: DataFrame, text: str, key: str, width: int) -> DataFrame:
     return docs.select(F.col(key), F.col(text)).mapInArrow(lean(run), f"`{key}` {dict(docs.dtypes)[key]}, node bigint, n bigint, print binary")
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b): links that connect all nodes (node, print) which chains of pairs within RADIUS, met in a cell, connect."""
+def _links_of(nodes: DataFrame, first: int, last: int) -> DataFrame:
+    """(a, b): links between the labels of nodes (label, print) whose fingerprints are within RADIUS and meet in a cell of the views from first up to last: in a cell, as many as connect what is not of one label."""
 
     def deal(batches):
-        view = np.arange(VIEWS, dtype=np.int32)
+        view = np.arange(first, last, dtype=np.int32)
         home = view * BLOCK // 64  # the word that a view's first bit is in; the 128 other bits start behind its last
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 words = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u8").reshape(-1, WORDS)
-                bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")[:, : VIEWS * BLOCK].reshape(-1, VIEWS, BLOCK)
+                bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")[:, first * BLOCK : last * BLOCK].reshape(-1, len(view), BLOCK)
                 block = bits.astype(np.int32) @ (1 << np.arange(BLOCK, dtype=np.int32))
-                node = np.repeat(part.column(0).to_numpy(), VIEWS)
+                label = np.repeat(part.column(0).to_numpy(), len(view))
                 other = [words[:, (home + k) % WORDS].reshape(-1).view(np.int64) for k in (2, 3)]
-                yield pa.RecordBatch.from_arrays([pa.array((block | view << BLOCK).reshape(-1)), pa.array(node), *map(pa.array, other)], ["cell", "node", "x", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array((block | view << BLOCK).reshape(-1)), pa.array(label), *map(pa.array, other)], ["cell", "label", "x", "y"])
 
     def search(batches):
         held: list = []
 
         def flush(some):
-            cell, node, x, y = (np.concatenate([b.column(i).to_numpy() for b in some]) for i in range(4))
+            cell, label, x, y = (np.concatenate([b.column(i).to_numpy() for b in some]) for i in range(4))
             edges = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
             points, out = np.stack([x, y], axis=1).view(np.uint64), []
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if b - a > 1:
-                    out += [(a + i, a + j) for i, j in Tree(points[a:b], None, RADIUS, LEAF).forest.links]
+                own = label[a:b]
+                if (own != own[0]).any():
+                    out += [(a + i, a + j) for i, j in Tree(points[a:b], None, RADIUS, LEAF, own).forest.links]
             found = np.array(out, np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(node[found[:, 0]]), pa.array(node[found[:, 1]])], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(label[found[:, 0]]), pa.array(label[found[:, 1]])], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -120,10 +123,18 @@ def candidates(nodes: DataFrame) -> DataFrame:
         if held:
             yield flush(held)
 
-    cells = nodes.select("node", "print").mapInArrow(lean(deal), "cell int, node bigint, x bigint, y bigint")
+    cells = nodes.select("label", "print").mapInArrow(lean(deal), "cell int, label bigint, x bigint, y bigint")
     return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(lean(search), "a bigint, b bigint").distinct()
 
 
+def candidates(nodes: DataFrame) -> DataFrame:
+    """(node, root): nodes (node, print) that hang together by chains of pairs within RADIUS, met in a cell; those alone are left out."""
+    first = written(components(_links_of(nodes.select(F.col("node").alias("label"), "print"), 0, FIRST)), "first-components")
+    labelled = nodes.join(first, "node", "left").select(F.coalesce("root", "node").alias("label"), "print")
+    more = _links_of(labelled, FIRST, VIEWS)
+    return components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+
 class Sets:
     """The shingle sets of a task's nodes, and their fingerprints."""
 
@@ -169,7 +180,7 @@ class Sets:
 
 def links(docs: DataFrame, nodes: DataFrame, width: int, least: float, text: str, key: str, most_texts: int, most_shingles: int) -> DataFrame:
     """(a, b): checked links that connect all nodes which a chain of checked candidates connects."""
-    together = components(candidates(nodes))
+    together = candidates(nodes)
     members = nodes.drop("print").join(together, "node").select("node", "least", "n", "root")
     size = members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / most_texts), F.ceil(F.sum("n") / most_shingles)).cast("int").alias("g"))
     members = written(members.join(written(size, "group-sizes"), "root").select("root", "least", "node", "g", F.pmod(F.xxhash64("node"), "g").cast("int").alias("i")), "candidates")

@@ -109,11 +109,14 @@ def boundary(d: np.ndarray) -> int:
 
 
 class Tree:
-    """A vantage-point tree over members; guests are queries that are no members. points: [n] or [n, words]. Counts nodes and comparisons."""
+    """A vantage-point tree over members; guests are queries that are no members. points: [n] or [n, words]; points of one label hang together from the start. Counts nodes and comparisons."""
 
-    def __init__(self, points: np.ndarray, members: int | None = None, radius: int = RADIUS, leaf: int = LEAF):
+    def __init__(self, points: np.ndarray, members: int | None = None, radius: int = RADIUS, leaf: int = LEAF, labels: np.ndarray | None = None):
         self.points, self.radius, self.leaf, self.words = points, radius, leaf, points.shape[1] if points.ndim > 1 else 1
         self.forest, self.nodes, self.compared = Forest(len(points)), 0, 0
+        if labels is not None:
+            _, first, place = np.unique(labels, return_index=True, return_inverse=True)
+            self.forest.up = first[place].tolist()
         n = len(points) if members is None else members
         self._walk(np.arange(n), np.arange(n, len(points)))
 

@@ -117,6 +117,18 @@ def test_whole_table(spark, sf_dir):
     assert got == want
 
 
+def test_labels_hang_together_from_the_start():
+    points = np.array(planted(400, 21), np.uint64)
+    labels = np.arange(len(points)) % 50
+    found = V.Tree(points, labels=labels).forest.links
+    plain = brute_components([int(p) for p in points])
+    first = {}
+    same = [(i, first.setdefault(int(k), i)) for i, k in enumerate(labels)]
+    want = partition(len(points), [*same, *((i, r) for i, r in enumerate(plain))])
+    assert partition(len(points), [*same, *found]) == want
+    assert len(found) == 50 - len(set(want)) and all(labels[i] != labels[j] for i, j in found)
+
+
 def test_tables_make_trees(spark):
     """The partitioning and the trees below it exist on the driver's tables, not only on large ones."""
     nodes = V.fingerprints(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).select("fp").distinct()
