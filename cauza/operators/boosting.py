@@ -170,17 +170,20 @@ class Boosting:
         state = checkpointed(self._bin(state))
         since: list[Tree] = []
         rnd = np.random.default_rng(c.seed)
+        root, _ = self._level(state, since, None, [0])
         for k in range(c.n_estimators):
             chosen = np.sort(rnd.permutation(len(self.features))[: max(1, round(c.subfeature * len(self.features)))])
-            tree = self._grow(state, since, chosen)
+            tree = self._grow(state, since, chosen, root)
             self.trees.append(tree)
             since.append(tree)
-            self.valid_losses.append(self._validate(state, since))
-            log.debug("tree %d: %d nodes, validation loss %g", k, len(tree.nodes), self.valid_losses[-1])
-            if self._stop():
-                break
             if len(since) >= c.anchor:
                 state, since = checkpointed(self._replay(state, since)), []
+            # one pass: how good the ensemble is by now, and the root of the next tree
+            root, loss = self._level(state, since, None, [0])
+            self.valid_losses.append(loss)
+            log.debug("tree %d: %d nodes, validation loss %g", k, len(tree.nodes), loss)
+            if self._stop():
+                break
         best = int(np.argmin(self.valid_losses))
         self.trees = self.trees[: best + 1]
         return self
@@ -221,12 +224,13 @@ class Boosting:
 
         return state.mapInPandas(run, state.schema)
 
-    def _grow(self, state: DataFrame, since: list[Tree], chosen: np.ndarray) -> Tree:
+    def _grow(self, state: DataFrame, since: list[Tree], chosen: np.ndarray, root: dict) -> Tree:
+        """A tree from the sums of its root; one job for each level below."""
         c = self.config
         tree, level, held = None, [0], {}
         for depth in range(c.max_depth + 1):
             # left children are summed, right ones are what the parent has besides
-            stats = self._level(state, since, tree, [n for n in level if n % 2 or not n])
+            stats = root if tree is None else self._level(state, since, tree, [n for n in level if n % 2])[0]
             stats |= {n: {k: v - stats[n - 1][k] for k, v in held[(n - 1) // 2].items()} for n in level if n and n % 2 == 0}
             held = stats
             if tree is None:
@@ -255,21 +259,27 @@ class Boosting:
                 break
         return tree
 
-    def _level(self, state: DataFrame, since: list[Tree], tree: Tree | None, level: list[int]) -> dict[int, dict[str, np.ndarray]]:
-        """Sums of each leaf of a level: one job."""
+    def _level(self, state: DataFrame, since: list[Tree], tree: Tree | None, level: list[int]) -> tuple[dict[int, dict[str, np.ndarray]], float]:
+        """Sums of each leaf of a level, and the validation loss of the trees so far (mean pre-period loss at cpred plus coeff times the mean post-period loss at pred): one job."""
         c, m, width, periods, arrays = self.config, len(self.features), self.width, self.periods, self.loss.arrays
         columns = [f"s{i}" for i in range(4 * periods + 2)]
         size = len(level) * m * width * 2
 
+        t0 = self.t0
+
         def run(parts):
-            total = np.zeros((4 * periods + 2, size))
+            total, pre, post = np.zeros((4 * periods + 2, size)), 0.0, 0.0
             for pdf in parts:
-                pdf = pdf[pdf["share"] < c.subsample]
                 if not len(pdf):
                     continue
                 bins, w, y, pred, cpred, eta = self._apply(pdf, since)
+                inside = pdf["share"].to_numpy() < c.subsample
+                if tree is None:
+                    held = ~inside if c.subsample < 1 else inside
+                    pre += float(arrays(y[held, :t0], cpred[held, :t0])[0].sum())
+                    post += float(arrays(y[held, t0:], pred[held, t0:])[0].sum())
                 leaf = tree.leaves(bins) if tree is not None else np.zeros(len(bins), np.int64)
-                here = np.isin(leaf, level)
+                here = np.isin(leaf, level) & inside
                 place = np.searchsorted(level, leaf[here])
                 _, g, h = arrays(y[here], pred[here])
                 _, cg, ch = arrays(y[here], cpred[here])
@@ -279,28 +289,17 @@ class Boosting:
                     for i, v in enumerate(sums):
                         total[i] += np.bincount(key, v, size)
             cells = np.flatnonzero(total[-1])
-            yield pd.DataFrame({"cell": cells, **{k: total[i, cells] for i, k in enumerate(columns)}})
+            yield pd.DataFrame({"cell": np.append(cells, -1), **{k: np.append(total[i, cells], (pre, post)[i] if i < 2 else 0.0) for i, k in enumerate(columns)}})
 
         rows = state.mapInPandas(run, "cell bigint, " + ", ".join(f"{k} double" for k in columns)).groupBy("cell").agg(*(F.sum(k).alias(k) for k in columns)).toPandas()
+        losses, rows = rows[rows["cell"] < 0], rows[rows["cell"] >= 0]
+        loss = float(losses["s0"].sum() / max(1, t0) + c.coeff * losses["s1"].sum() / (periods - t0))
         full = np.zeros((4 * periods + 2, size))
         full[:, rows["cell"].to_numpy()] = rows[columns].to_numpy().T
         shape = (len(level), m, width, 2)
         parts = {k: np.moveaxis(full[i * periods : (i + 1) * periods].reshape(periods, *shape), 0, -1) for i, k in enumerate(("g", "h", "cg", "ch"))}
         parts |= {"e": full[-2].reshape(shape), "n": full[-1].reshape(shape)}
-        return {leaf: {k: v[i] for k, v in parts.items()} for i, leaf in enumerate(level)}
-
-    def _validate(self, state: DataFrame, since: list[Tree]) -> float:
-        """Mean pre-period loss at cpred plus coeff times the mean post-period loss at pred."""
-        t0, periods, c, arrays = self.t0, self.periods, self.config, self.loss.arrays
-
-        def run(parts):
-            for pdf in parts:
-                _, _, y, pred, cpred, _ = self._apply(pdf, since)
-                yield pd.DataFrame({"pre": [float(arrays(y[:, :t0], cpred[:, :t0])[0].sum())], "post": [float(arrays(y[:, t0:], pred[:, t0:])[0].sum())]})
-
-        held = state.filter(F.col("share") >= c.subsample) if c.subsample < 1 else state
-        r = held.mapInPandas(run, "pre double, post double").agg(F.sum("pre").alias("pre"), F.sum("post").alias("post")).first()
-        return (r.pre or 0.0) / max(1, t0) + c.coeff * (r.post or 0.0) / (periods - t0)
+        return {leaf: {k: v[i] for k, v in parts.items()} for i, leaf in enumerate(level)}, loss
 
     def score(self, df: DataFrame, value, schema: str, key: str = "id") -> DataFrame:
         """(key, value of (bins -> array) for the rows): works on batch and streaming frames alike."""

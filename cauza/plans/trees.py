@@ -276,7 +276,7 @@ def _fit(spark, sf_dir, kind: str) -> DataFrame:
         df = df.withColumn("y", F.array((F.get("y", F.lit(6)) > 0).cast("double")))
         frame = CausalFrame(df, ["c_acctbal", "nation"], n_period=1, treat_dt=0)
     cls = {"gbct": B.GradientBoostingCausalRegressionTree, "did": B.DifferenceInDifferencesRegressionTree, "uplift": B.GradientBoostingUpliftTree}[kind]
-    model = cls(B.Config(n_estimators=8, max_depth=2)).fit(frame)
+    model = cls(B.Config()).fit(frame)
     return model.predict(frame, "effect").select("id", F.round(F.get("effect", F.lit(0)), 6).alias("effect"))
 
 

@@ -149,8 +149,8 @@ def test_right_children_by_subtraction(spark):
         """Sums every child."""
 
         def _level(self, state, since, tree, level):
-            out = plain(self, state, since, tree, sorted({*level, *(k + 1 for k in level if k)}))
-            return {k: v if k % 2 or not k else {n: np.array(x) for n, x in v.items()} for k, v in out.items()}
+            out, loss = plain(self, state, since, tree, sorted({*level, *(k + 1 for k in level if k)}))
+            return out, loss
 
     models = [cls(G.Config(n_estimators=2, max_depth=3)).fit(frame) for cls in (Left, Both)]
     assert all(k % 2 or not k for level in asked for k in level)
