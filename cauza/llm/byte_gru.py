@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import lean
+from .common import as_bytes, lean
 
 WINDOW, HIDDEN = 128, 16
 #: Labelled documents of each language, updates, windows of an update, step size.
@@ -38,6 +38,8 @@ ROWS, UPDATES, BATCH, RATE = 250, 300, 128, 0.02
 FOLDS = 5
 #: Lanes side by side, and the most scores that are held at once.
 LANES, HELD = 512, 24 << 20
+#: Steps whose scores are taken together.
+SPAN = 16
 
 
 def gates(x: np.ndarray, own: np.ndarray, c: np.ndarray, hidden: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,11 +161,11 @@ class Net:
 
 
 class Runner:
-    """States of lanes, stepped in one or both directions at once: [directions, lanes, hidden]. Gates lie in separate rows, so that numpy works on whole arrays; halves from the sigmoids, 0.5 tanh(x / 2) + 0.5, are worked into the tables."""
+    """States of lanes, stepped in one or both directions at once: [directions, lanes, hidden]. Gates lie in separate rows, so that numpy works on whole arrays; halves from the sigmoids, 0.5 tanh(x / 2) + 0.5, are worked into the tables. The last SPAN states are kept, and scored together."""
 
     def __init__(self, net: Net, ways: str, n: int):
         h, p = net.hidden, net.p
-        self.ways, self.h = ways, np.zeros((len(ways), n, h), np.float32)
+        self.states, self.i, self.saved = np.zeros((SPAN + 1, len(ways), n, h), np.float32), 0, []
         split = lambda x: x.reshape(*x.shape[:-1], 3, h)
         scale = np.array([0.5, 0.5, 1], np.float32)[:, None]
         rows = np.stack([split(p[f"w{w}"]) * scale for w in ways])  # direction, byte, gate
@@ -173,11 +175,19 @@ class Runner:
         self.v = np.stack([p[f"v{w}"].T for w in ways])
         self.at = (np.arange(3 * len(ways)) * 256).reshape(3, len(ways), 1)
         self.own = np.empty((3, len(ways), n, h), np.float32)
-        self.pre, self.half = np.empty_like(self.own), np.empty_like(self.h)
+        self.pre, self.half = np.empty_like(self.own), np.empty((len(ways), n, h), np.float32)
+
+    @property
+    def h(self) -> np.ndarray:
+        return self.states[self.i]
+
+    @property
+    def full(self) -> bool:
+        return self.i == SPAN
 
     def step(self, byte: np.ndarray) -> None:
         """One more byte in each lane, byte: [directions, lanes]."""
-        h, own, pre, half = self.h, self.own, self.pre, self.half
+        h, after, own, pre, half = self.states[self.i], self.states[self.i + 1], self.own, self.pre, self.half
         np.take(self.rows, self.at + byte, axis=0, out=pre, mode="clip")
         np.matmul(h, self.u, out=own)
         rz, n, last = pre[:2], pre[2], own[2]
@@ -191,13 +201,27 @@ class Runner:
         # h = n + z (h - n)
         np.subtract(h, n, out=half)
         half *= rz[1]
-        h += n
-        h += half
-        h *= 0.5
+        half += h
+        half += n
+        np.multiply(half, np.float32(0.5), out=after)
+        self.i += 1
+
+    def clear(self, way: int, lanes: list[int]) -> None:
+        """Empty states for lanes in which another text starts; the ones before are still to be scored."""
+        now = self.states[self.i, way]
+        if self.i:
+            self.saved.append((self.i, way, lanes, now[lanes]))
+        now[lanes] = 0
 
     def scores(self) -> np.ndarray:
-        """[directions, labels, lanes]."""
-        return self.v @ self.h.transpose(0, 2, 1)
+        """[steps, directions, labels, lanes] of the states since the last call."""
+        for i, way, lanes, values in self.saved:
+            self.states[i, way, lanes] = values
+        self.saved = []
+        out = self.v @ self.states[1 : self.i + 1].transpose(0, 1, 3, 2)
+        self.states[0] = self.states[self.i]
+        self.i = 0
+        return out
 
 
 def lanes(sizes: np.ndarray, most: int = LANES) -> list[list[int]]:
@@ -251,14 +275,15 @@ def scored(net: Net, texts: list[bytes], held: int = HELD):
         for t in range(steps):
             back = steps - 1 - t
             if t in starts:
-                run.h[0, starts[t]] = 0
+                run.clear(0, starts[t])
             if back in ends:
-                run.h[1, ends[back]] = 0
+                run.clear(1, ends[back])
             both[0], both[1] = data[t], data[back]
             run.step(both)
-            score = run.scores()
-            x[t] += score[0]
-            x[back] += score[1]
+            if run.full or not back:
+                score = run.scores()
+                x[t + 1 - len(score) : t + 1] += score[:, 0]
+                x[back : back + len(score)] += score[::-1, 1]
         yield from finish(0, steps, x)
         return
 
@@ -268,10 +293,12 @@ def scored(net: Net, texts: list[bytes], held: int = HELD):
     def forward(a: int, b: int, out: np.ndarray | None) -> None:
         for t in range(a, b):
             if t in starts:
-                first.h[0, starts[t]] = 0
+                first.clear(0, starts[t])
             first.step(data[t][None])
-            if out is not None:
-                out[t - a] = first.scores()[0]
+            if first.full or t == b - 1:
+                score = first.scores()
+                if out is not None:
+                    out[t + 1 - len(score) - a : t + 1 - a] = score[:, 0]
 
     for a in range(0, steps, block):
         kept[a] = first.h.copy()
@@ -284,23 +311,28 @@ def scored(net: Net, texts: list[bytes], held: int = HELD):
         forward(a, b, x)
         for t in range(b - 1, a - 1, -1):
             if t in ends:
-                second.h[0, ends[t]] = 0
+                second.clear(0, ends[t])
             second.step(data[t][None])
-            x[t - a] += second.scores()[0]
+            if second.full or t == a:
+                score = second.scores()
+                x[t - a : t - a + len(score)] += score[::-1, 0]
         yield from finish(a, b, x)
 
 
 def pooled(net: Net, texts: list[bytes], held: int = HELD) -> np.ndarray:
     """Mean probabilities over the positions of each text, [texts, labels]; zeros for an empty one."""
-    total = np.zeros((len(texts) + 1, len(net.labels)))
+    total = np.zeros((len(texts), len(net.labels)))
     for owner, x in scored(net, texts, held):
-        at = owner.reshape(-1) + 1
-        least = int(at.min())
-        at -= least
-        for label in range(len(net.labels)):
-            sums = np.bincount(at, x[:, label].reshape(-1))
-            total[least : least + len(sums), label] += sums
-    return total[1:] / np.maximum(1, np.array(list(map(len, texts)), np.int64))[:, None]
+        first, last = owner[0], owner[-1]
+        one = np.flatnonzero((first == last) & (first >= 0))  # lanes within one text, most of them
+        total[first[one]] += x.sum(axis=0)[:, one].T
+        for lane in np.flatnonzero(first != last).tolist():
+            edges = np.flatnonzero(np.r_[True, owner[1:, lane] != owner[:-1, lane]])
+            sums = np.add.reduceat(x[:, :, lane], edges, axis=0)
+            for i, own in zip(owner[edges, lane].tolist(), sums, strict=True):
+                if i >= 0:
+                    total[i] += own
+    return total / np.maximum(1, np.array(list(map(len, texts)), np.int64))[:, None]
 
 
 def positions(net: Net, text: bytes) -> list[str]:
@@ -339,11 +371,11 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     return net
 
 
-def _guess(net: Net, letters: list[bool], texts: list[str | None]) -> tuple[list[str], list[float]]:
+def _guess(net: Net, letters: list[bool], texts: list[bytes]) -> tuple[list[str], list[float]]:
     """Label and score of each text."""
     if not net.labels:
         return ["und"] * len(texts), [0.0] * len(texts)
-    p = pooled(net, [(x or "").encode() if ok else b"" for x, ok in zip(texts, letters, strict=True)])
+    p = pooled(net, [x if ok else b"" for x, ok in zip(texts, letters, strict=True)])
     best, score = p.argmax(axis=1).tolist(), p.max(axis=1).clip(0, 1).round(5).tolist()
     return [net.labels[b] if ok else "und" for b, ok in zip(best, letters, strict=True)], [s if ok else 0.0 for s, ok in zip(score, letters, strict=True)]
 
@@ -359,7 +391,7 @@ def predict(docs: DataFrame, net: Net, text: str = "text", key: str = "doc_id")
     def run(batches):
         for batch in batches:
             for part in by_length(batch, 3, len(shared.value.labels)):
-                label, score = _guess(shared.value, part.column(2).to_pylist(), part.column(3).to_pylist())
+                label, score = _guess(shared.value, part.column(2).to_pylist(), as_bytes(part.column(3)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(label, pa.string()), pa.array(score, pa.float64())], [key, "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col(key), is_held_out(F.col(key)).alias("held_out"), _letters(text).alias("letters"), F.col(text).alias("text"))
@@ -380,7 +412,7 @@ def recognised(docs: DataFrame, net: Net, least_score: float = 0.0, text: str =
     def run(batches):
         for batch in batches:
             for part in by_length(batch, read, len(shared.value.labels)):
-                label, score = _guess(shared.value, part.column(at).to_pylist(), part.column(read).to_pylist())
+                label, score = _guess(shared.value, part.column(at).to_pylist(), as_bytes(part.column(read)))
                 kept = pa.array([x != "und" and s >= least_score for x, s in zip(label, score, strict=True)], pa.bool_())
                 columns = [part.column(i) if i != to else pa.array(label, pa.string()) for i in range(at)]
                 yield pa.RecordBatch.from_arrays([c.filter(kept) for c in columns], part.schema.names[:at])
