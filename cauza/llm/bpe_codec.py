@@ -108,17 +108,9 @@ class Codec:
         return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-#: Of this worker: building a model's tables takes far longer than a small task.
-_codecs: dict[tuple, Codec] = {}
-
-
 def _codec(model, pattern: str) -> Codec:
-    key = (hashlib.sha256(model.value).digest(), pattern)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(model.value, pattern)
-    _codecs[key].seen = {}  # each task remembers anew, so that an idle worker holds little
-    return _codecs[key]
+    """One for each task: kept in a worker, model and remembered pre-tokens would count beside the JVM in every later task."""
+    return Codec(model.value, pattern)
 
 
 def encode_column(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
