@@ -120,7 +120,7 @@ def encode_column(df: DataFrame, ranks_path: str, pattern: str, text: str = "tex
     def run(batches):
         codec = _codec(model, pattern)
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, 2 << 20):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(codec.encode([x or "" for x in part.column(1).to_pylist()]), pa.binary())], [key, "ids"])
 
     return df.select(F.col(key), F.col(text)).mapInArrow(lean(run), f"`{key}` {dict(df.dtypes)[key]}, ids binary")
@@ -133,7 +133,7 @@ def decode_column(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids"
     def run(batches):
         codec = _codec(model, pattern)
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, 2 << 20):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([codec.decode(x or b"") for x in part.column(1).to_pylist()], pa.binary())], [key, "data"])
 
     return df.select(F.col(key), F.col(ids)).mapInArrow(lean(run), f"`{key}` {dict(df.dtypes)[key]}, data binary")
@@ -146,7 +146,7 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text",
     def run(batches):
         codec, sha = _codec(model, pattern), hashlib.sha256
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, 2 << 20):
                 ids = codec.encode([x or "" for x in part.column(1).to_pylist()])
                 columns = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([sha(x).hexdigest() for x in ids], pa.string()), pa.array([sha(codec.decode(x)).hexdigest() for x in ids], pa.string())]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], [key, "n_tokens", "ids_sha256", "decoded_sha256"])

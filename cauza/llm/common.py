@@ -107,15 +107,15 @@ def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 8 << 20):
     yield batch.slice(start)
 
 
-#: Bits of the filter that keeps rows from being shuffled: 8 MB, whatever the data.
-FILTER_BITS = 1 << 26
+#: Bits of the filter that keeps rows from being shuffled, whatever the data: 1 MB for documents, 8 MB for lines. Executors hold a filter for a while after its use.
+FILTER_BITS, LINE_BITS = 1 << 23, 1 << 26
 
 
-def split_by_filter(rows: DataFrame, keys: dict[str, Column], some: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_by_filter(rows: DataFrame, keys: dict[str, Column], some: DataFrame, filter_bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
     """(rows surely not in some, the rest): some has the columns keys. A bitmap of hashes is broadcast; it only saves shuffling, a row in the second part may still not be in some."""
     tag = uuid.uuid4().hex  # of column names, so that they meet no others
     bucket, place, bits = f"bucket_{tag}", f"place_{tag}", f"bits_{tag}"
-    spot = lambda of: F.pmod(F.xxhash64(*of), F.lit(FILTER_BITS)) + 1
+    spot = lambda of: F.pmod(F.xxhash64(*of), F.lit(filter_bits)) + 1
     marks = some.select(spot([F.col(k) for k in keys]).alias("x")).groupBy(F.bitmap_bucket_number("x").alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias(bits))
     marks = written(marks, "filter")
     own = list(keys.values())
@@ -141,9 +141,9 @@ def leave(docs: DataFrame, gone: DataFrame, keys: dict[str, Column]) -> DataFram
     return safe.unionByName(asked.join(other, _equal(keys, other, names), "left_anti"))
 
 
-def among(docs: DataFrame, some: DataFrame, keys: dict[str, Column]) -> DataFrame:
+def among(docs: DataFrame, some: DataFrame, keys: dict[str, Column], filter_bits: int = FILTER_BITS) -> DataFrame:
     """The rows of docs whose keys are in some, with the other columns of some. Only rows that the bitmap cannot rule out are shuffled."""
-    _, asked = split_by_filter(docs, keys, some)
+    _, asked = split_by_filter(docs, keys, some, filter_bits)
     names = {k: f"__k{i}" for i, k in enumerate(keys)}
     other = some.select(*(F.col(k).alias(n) for k, n in names.items()), *(c for c in some.columns if c not in keys))
     return asked.join(other, _equal(keys, other, names)).drop(*names.values())

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import among, discard, split_by_filter, written
+from .common import LINE_BITS, among, discard, split_by_filter, written
 
 DEPTH, SIMILAR, LEAST_DOCS, LEVELS = 3, 0.5, 3, 3
 SPACE = r"[\x20\x09-\x0D]"
@@ -77,23 +77,23 @@ def dropped_lines(docs: DataFrame, depth: int = DEPTH, similar: float = SIMILAR,
     lines = written(_lines(docs, depth, text, key), "lines")
     several = written(lines.groupBy("leaf").agg(F.min("line").alias("a"), F.max("line").alias("b")).filter("a != b").select("leaf"), "line-leaves")
     # copies of a line meet in its task first; a leaf with one line that the filter lets through gives no template
-    members = split_by_filter(lines.select("leaf", "line", "text"), {"leaf": F.col("leaf")}, several)[1].groupBy("leaf", "line").agg(F.first("text").alias("text"))
+    members = split_by_filter(lines.select("leaf", "line", "text"), {"leaf": F.col("leaf")}, several, LINE_BITS)[1].groupBy("leaf", "line").agg(F.first("text").alias("text"))
     members = written(members.select("leaf", "line", F.split("text", " ").alias("tokens")), "line-members")
     follows = written(templates(members, depth, similar, levels), "line-templates")
-    alone, asked = split_by_filter(lines.select("id", "th", "pos", "line"), {"line": F.col("line")}, follows)
+    alone, asked = split_by_filter(lines.select("id", "th", "pos", "line"), {"line": F.col("line")}, follows, LINE_BITS)
     named = asked.join(follows, "line", "left").select("id", "th", "pos", F.coalesce("template", "line").alias("template"))
     named = written(named.unionByName(alone.withColumnRenamed("line", "template")), "line-names")
     recurring = named.groupBy("template", "id", "th").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.min("id").alias("first_id")).filter(F.col("docs") >= least_docs).select("template", "first_id")
     recurring = written(recurring, "line-recurring")
     discard(lines, several, members, follows)
-    return among(named, recurring, {"template": F.col("template")}).filter(~F.col("id").eqNullSafe(F.col("first_id"))).select("id", "th", "pos")
+    return among(named, recurring, {"template": F.col("template")}, LINE_BITS).filter(~F.col("id").eqNullSafe(F.col("first_id"))).select("id", "th", "pos")
 
 
 def line_dedup(docs: DataFrame, depth: int = DEPTH, similar: float = SIMILAR, least_docs: int = LEAST_DOCS, text: str = "text", key: str = "doc_id", levels: int = LEVELS) -> DataFrame:
     """(key, n_lines, n_dropped, kept_text) for each row of docs."""
     drops = written(dropped_lines(docs, depth, similar, least_docs, text, key, levels).groupBy("id", "th").agg(F.collect_set("pos").alias("drops")), "line-drops")
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    whole, asked = split_by_filter(rows, {"id": F.col("id"), "th": F.col("th")}, drops)
+    whole, asked = split_by_filter(rows, {"id": F.col("id"), "th": F.col("th")}, drops, LINE_BITS)
     both = asked.alias("a").join(drops.alias("b"), F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.th") == F.col("b.th")), "left").select("a.*", "drops")
     both = both.unionByName(whole.withColumn("drops", F.lit(None).cast("array<int>"))).select("id", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"), "drops")
     kept = F.when(F.col("drops").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda line, i: ~F.array_contains("drops", i)))
