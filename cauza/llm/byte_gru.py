@@ -10,7 +10,8 @@ does not grow with the length of a text: where the scores of all positions would
 starts of blocks, and from the last block to the first the scores of a block are computed again.
 
 The network is trained in numpy by backpropagation through time with Adam, on windows of ``WINDOW`` bytes of whole texts,
-each with its document's language as target. Training reads a bounded sample: for each language, the ``rows`` labelled
+each with its document's language as target; every other window goes over into a second text at a random place, so that
+states learn to leave a language where it ends. Training reads a bounded sample: for each language, the ``rows`` labelled
 documents with the least hashes among those whose CRC-32 of the identifier's text is not divisible by ``folds`` and whose
 text is not empty; the rest is held out. The sample is drawn within each language, so that rare ones are learned too.
 
@@ -37,7 +38,7 @@ WINDOW, HIDDEN = 128, 16
 ROWS, UPDATES, BATCH, RATE = 250, 300, 128, 0.02
 FOLDS = 5
 #: Lanes side by side, and the most scores that are held at once.
-LANES, HELD = 512, 24 << 20
+LANES, HELD = 512, 16 << 20
 #: Steps whose scores are taken together.
 SPAN = 16
 
@@ -91,7 +92,7 @@ class Net:
         return out
 
     def gradients(self, data: np.ndarray, mask: np.ndarray, target: np.ndarray) -> tuple[float, dict]:
-        """Mean cross entropy over all positions of windows [positions, lanes], and its gradients by backpropagation through time."""
+        """Mean cross entropy over all positions of windows [positions, lanes], and its gradients by backpropagation through time. target: of each lane, or of each position."""
         p, hidden, total = self.p, self.hidden, mask.sum()
         kind = p["d"].dtype
         held, states = {"f": [], "b": []}, {}
@@ -102,9 +103,9 @@ class Net:
                 out.append(h)
             states[way] = np.stack(out if way == "f" else out[::-1])
         e = softmax(states["f"] @ p["vf"] + states["b"] @ p["vb"] + p["d"])
-        lanes = np.arange(data.shape[1])
-        loss = -float((np.log(e[:, lanes, target] + 1e-9) * mask).sum() / total)
-        e[:, lanes, target] -= 1
+        aim = (np.arange(len(data))[:, None], np.arange(data.shape[1]), target)
+        loss = -float((np.log(e[aim] + 1e-9) * mask).sum() / total)
+        e[aim] -= 1
         e *= (mask / total)[:, :, None]
         g = {"d": e.sum(axis=(0, 1))}
         flat = data.reshape(-1)
@@ -136,7 +137,7 @@ class Net:
         return range(n) if way == "f" else range(n - 1, -1, -1)
 
     def fit(self, texts: list[bytes], target: np.ndarray, updates: int = UPDATES, batch: int = BATCH, rate: float = RATE, seed: int = 3, window: int = WINDOW) -> list[float]:
-        """Adam over batches with equal shares of the languages: a text, then one of its windows, at random; returns the losses."""
+        """Adam over batches with equal shares of the languages: a text, then one of its windows, at random, every other one continued by a second text; returns the losses."""
         rnd, losses = np.random.default_rng(seed), []
         self.known = np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=256) > 0
         of = [np.flatnonzero(target == k) for k in range(len(self.labels))]
@@ -144,11 +145,18 @@ class Net:
         for step in range(1, updates + 1):
             pick = np.concatenate([rnd.choice(x, max(1, batch // len(of))) for x in of])
             data, mask = np.zeros((window, len(pick)), np.uint8), np.zeros((window, len(pick)), np.float32)
+            aim = np.tile(target[pick], (window, 1))
             for lane, i in enumerate(pick.tolist()):
+                end = window if lane % 2 else int(rnd.integers(1, window))
                 at = int(rnd.integers(0, max(1, len(texts[i]) - window + 1)))
-                some = np.frombuffer(texts[i][at : at + window], np.uint8)
-                data[: len(some), lane], mask[: len(some), lane] = some, 1
-            loss, g = self.gradients(data, mask, target[pick])
+                some = texts[i][at : at + end]
+                if end < window:
+                    i = int(rnd.choice(pick))
+                    aim[len(some) :, lane] = target[i]
+                    at = int(rnd.integers(0, max(1, len(texts[i]) - window + 1)))
+                    some += texts[i][at : at + window - len(some)]
+                data[: len(some), lane], mask[: len(some), lane] = np.frombuffer(some, np.uint8), 1
+            loss, g = self.gradients(data, mask, aim)
             losses.append(loss)
             now = rate * (1 - step / (updates + 1))
             scale = min(1, 1 / (np.sqrt(sum(float((x * x).sum()) for x in g.values())) + 1e-9))
@@ -245,7 +253,7 @@ def scored(net: Net, texts: list[bytes], held: int = HELD):
         return
     sizes = [sum(len(texts[i]) for i in row) for row in rows]
     steps, n, k = max(sizes), len(rows), len(net.labels)
-    data, owner = np.zeros((n, steps), np.uint8), np.full((n, steps), -1, np.int32)
+    data, owner = np.zeros((n, steps), np.uint8), np.full((n, steps), -1, np.int16 if len(texts) < 1 << 15 else np.int32)
     starts, ends = {}, {}
     for lane, row in enumerate(rows):
         at = 0
@@ -256,7 +264,8 @@ def scored(net: Net, texts: list[bytes], held: int = HELD):
             starts.setdefault(at, []).append(lane)
             ends.setdefault(end - 1, []).append(lane)
             at = end
-    data, owner = np.ascontiguousarray(data.T), np.ascontiguousarray(owner.T)
+    data = np.ascontiguousarray(data.T)
+    owner = np.ascontiguousarray(owner.T)
 
     def finish(a: int, b: int, x: np.ndarray):
         for end in range(b, a, -256):  # in the cache
@@ -341,11 +350,11 @@ def positions(net: Net, text: bytes) -> list[str]:
     return [net.labels[i] for i in np.concatenate(best).tolist()] if best else []
 
 
-def by_length(batch: pa.RecordBatch, column: int, labels: int):
-    """Parts of a batch with texts of similar length, the longest first, each of about as many bytes as HELD allows: lanes then stay full, and long texts have as many beside them as can be."""
+def by_length(batch: pa.RecordBatch, column: int, labels: int, held: int = HELD):
+    """Parts of a batch with texts of similar length, the longest first, each of about as many bytes as held scores allow: lanes then stay full, and long texts have as many beside them as can be."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     order = np.argsort(-size, kind="stable")
-    part = (np.cumsum(size[order]) - size[order]) // max(1 << 20, HELD // max(1, labels))
+    part = (np.cumsum(size[order]) - size[order]) // max(1 << 20, held // max(1, labels))
     for some in np.split(order, np.flatnonzero(np.diff(part)) + 1):
         if len(some):
             yield batch.take(pa.array(some))
@@ -371,11 +380,11 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     return net
 
 
-def _guess(net: Net, letters: list[bool], texts: list[bytes]) -> tuple[list[str], list[float]]:
+def _guess(net: Net, letters: list[bool], texts: list[bytes], held: int = HELD) -> tuple[list[str], list[float]]:
     """Label and score of each text."""
     if not net.labels:
         return ["und"] * len(texts), [0.0] * len(texts)
-    p = pooled(net, [x if ok else b"" for x, ok in zip(texts, letters, strict=True)])
+    p = pooled(net, [x if ok else b"" for x, ok in zip(texts, letters, strict=True)], held)
     best, score = p.argmax(axis=1).tolist(), p.max(axis=1).clip(0, 1).round(5).tolist()
     return [net.labels[b] if ok else "und" for b, ok in zip(best, letters, strict=True)], [s if ok else 0.0 for s, ok in zip(score, letters, strict=True)]
 
@@ -403,16 +412,16 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", key: str =
     return predict(docs, train(docs, text, lang, key), text, key)
 
 
-def recognised(docs: DataFrame, net: Net, least_score: float = 0.0, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of docs, all columns, whose text has letters and a label with at least that score; that label takes the place of lang. Nothing is shuffled."""
+def recognised(docs: DataFrame, net: Net, least_score: float = 0.0, text: str = "text", lang: str = "lang", held: int = HELD) -> DataFrame:
+    """The rows of docs, all columns, whose text has letters and a label with at least that score; that label takes the place of lang. Nothing is shuffled. held: scores at once, see HELD."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
     at, names = len(docs.columns), docs.columns
     to, read = names.index(lang), names.index(text)
 
     def run(batches):
         for batch in batches:
-            for part in by_length(batch, read, len(shared.value.labels)):
-                label, score = _guess(shared.value, part.column(at).to_pylist(), as_bytes(part.column(read)))
+            for part in by_length(batch, read, len(shared.value.labels), held):
+                label, score = _guess(shared.value, part.column(at).to_pylist(), as_bytes(part.column(read)), held)
                 kept = pa.array([x != "und" and s >= least_score for x, s in zip(label, score, strict=True)], pa.bool_())
                 columns = [part.column(i) if i != to else pa.array(label, pa.string()) for i in range(at)]
                 yield pa.RecordBatch.from_arrays([c.filter(kept) for c in columns], part.schema.names[:at])

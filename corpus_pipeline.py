@@ -23,6 +23,8 @@ from cauza.llm.common import among, leave, written
 
 #: Of the way from chance to certainty that the score of the best language must go; see language().
 LEAST_CONFIDENCE = 1 / 3
+#: Scores that a worker holds at once: fewer than op4, as later in a session the JVM beside it keeps all of its heap.
+HELD = 8 << 20
 SHARE, EPOCHS = 90, 1
 
 
@@ -30,7 +32,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has letters and a language; lang becomes the predicted one. The score is a mean probability, and chance is one by the number of languages."""
     net = byte_gru.train(docs)
     chance = 1 / max(1, len(net.labels))
-    return byte_gru.recognised(docs, net, chance + LEAST_CONFIDENCE * (1 - chance))
+    return byte_gru.recognised(docs, net, chance + LEAST_CONFIDENCE * (1 - chance), held=HELD)
 
 
 def _thinned(docs: DataFrame, found: DataFrame, stays: Column, keys: dict[str, Column]) -> DataFrame:

@@ -24,6 +24,46 @@ def test_gradients_by_finite_differences():
         assert abs((up - down) / 2e-6 - g[k][at]) < 1e-6
 
 
+def test_gradients_with_a_target_for_each_position():
+    net = G.Net(["a", "b", "c"], 3)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    rnd = np.random.default_rng(1)
+    data, mask, target = rnd.integers(0, 256, (7, 4)).astype(np.uint8), np.ones((7, 4)), rnd.integers(0, 3, (7, 4))
+    _, g = net.gradients(data, mask, target)
+    for k, v in net.p.items():
+        at = np.unravel_index(np.abs(g[k]).argmax(), v.shape)
+        up, down = (net.gradients(data, mask, target)[0] for v[at] in (v[at] + 1e-6, v[at] - 1e-6))
+        assert abs((up - down) / 2e-6 - g[k][at]) < 1e-6
+
+
+def test_labels_change_where_the_language_does():
+    rnd = np.random.default_rng(4)  # two languages with the same letters
+    word = [[b"abc ", b"bca ", b"cab "], [b"acb ", b"bac ", b"cba "]]
+    text = lambda k, n: b"".join(word[k][i] for i in rnd.integers(0, 3, n))
+    net = G.Net(["one", "two"], 8)
+    net.fit([text(k, 100) for k in (0, 1) for _ in range(40)], np.repeat([0, 1], 40), 150)
+    found = G.positions(net, text(0, 100) + text(1, 100) + text(0, 100))
+    assert [sum(x == "two" for x in found[i : i + 360]) > 180 for i in (20, 420, 820)] == [False, True, False]
+    assert sum(x == y for x, y in zip(found, ["one"] * 400 + ["two"] * 400 + ["one"] * 400)) >= 1160
+
+
+def test_memory_of_the_pipelines_scores_is_bounded():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    import corpus_pipeline as C
+
+    net = G.Net(["a", "b", "c", "d"], 1)
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * 3000] * 2000)], ["text"])  # 6 MB
+    tracemalloc.start()
+    for part in G.by_length(batch, 0, 4, C.HELD):
+        G.pooled(net, G.as_bytes(part.column(0)), C.HELD)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 70e6
+
+
 def plain(net, text):
     """Probabilities of each position by one scalar at a time: both states, gates and softmax, for a single text."""
     sig, h = lambda v: 1 / (1 + math.exp(-v)), net.hidden
