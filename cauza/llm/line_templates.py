@@ -10,9 +10,11 @@ constant (two lines at least; ties go to the first position), where the same is
 line that follows none is a template of its own. A template that occurs in at least ``least_docs`` documents recurs: the
 document with the smallest identifier keeps such lines, all others lose them.
 
-Lines travel as digests; tokens only of leaves with more than one distinct line. Counts are partial sums before each
-shuffle; joins on hot lines are sort-merge joins of two plain exchanges, which Spark splits where a key is hot. Texts of
-documents without dropped lines are not shuffled.
+Lines travel as digests; texts only of leaves with more than one distinct line. Where all lines of a leaf together have
+at most ``SMALL`` characters, its distinct lines meet in one task by one exchange, and all levels of the tree are windows
+inside it; larger leaves are dealt out by token, level by level, with the same result. Counts are partial sums before
+each shuffle; joins on hot lines are sort-merge joins of two plain exchanges, which Spark splits where a key is hot.
+Texts of documents without dropped lines are not shuffled.
 
 Defined cases: null text counts as empty, and stays an empty line; lines of white space are kept and have no template;
 a document is a row's identifier and text, so rows repeated as a whole count as one and get the same result; a line of
@@ -22,11 +24,14 @@ no more than ``depth`` tokens is alone in its leaf; an empty table gives no rows
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import LINE_BITS, among, discard, split_by_filter, written
 
 DEPTH, SIMILAR, LEAST_DOCS, LEVELS = 3, 0.5, 3, 3
+#: Characters of a leaf that is one task's: rows and copies counted.
+SMALL = 8 << 20
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
 
@@ -50,10 +55,37 @@ def _lines(docs: DataFrame, depth: int, text: str, key: str) -> DataFrame:
     return rows.select("id", "th", "pos", "text", F.unhex(F.md5(path.cast("binary"))).alias("leaf"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("line"))
 
 
+def _name(*parts: Column) -> Column:
+    return F.unhex(F.md5(F.concat_ws(" ", *parts).cast("binary")))
+
+
+def templates_within(leaves: DataFrame, depth: int = DEPTH, similar: float = SIMILAR, levels: int = LEVELS) -> DataFrame:
+    """templates() of leaves (leaf, texts: its distinct lines) whose lines fit a task. Everything is grouped by leaf and more, so that rows stay where the leaf is."""
+    lines = leaves.filter(F.size("texts") > 1).select("leaf", F.explode("texts").alias("text")).withColumn("line", F.unhex(F.md5(F.col("text").cast("binary"))))
+    tokens = F.split("text", " ")
+    parts = F.filter(F.transform(tokens, lambda t, j: F.struct(j.alias("j"), t.alias("token"))), lambda p: p["j"] >= depth)
+    now = lines.select("leaf", F.col("leaf").alias("node"), "line", F.size(tokens).alias("n"), F.lit(None).cast("binary").alias("template"), parts.alias("parts"))
+    for _ in range(levels):
+        # lines with a template or without a node below have no parts and stay one row
+        of = now.withColumn("of", F.count(F.lit(1)).over(W.partitionBy("leaf", "node")))
+        at = of.select("leaf", "node", "line", "n", "template", "of", F.explode_outer("parts").alias("p")).select("*", F.col("p.j").alias("j"), F.col("p.token").alias("token")).drop("p")
+        at = at.withColumn("k", F.count(F.lit(1)).over(W.partitionBy("leaf", "node", "j", "token")))
+        mark = F.when(F.col("j").isNotNull() & (F.col("k") > 1), F.struct("k", (-F.col("j")).alias("j"), "token", (2 * F.col("k") > F.col("of")).alias("constant")))
+        held = at.groupBy("leaf", "node", "line").agg(*(F.first(c).alias(c) for c in ("n", "template")), F.collect_list(mark).alias("marks"))
+        fixed = F.size(F.filter("marks", lambda m: m["constant"]))
+        pick = F.array_max(F.filter("marks", lambda m: ~m["constant"]))
+        held = held.select("leaf", "node", "line", "n", "template", "marks", ((F.size("marks") > 0) & (fixed >= similar * (F.col("n") - depth))).alias("follows"), pick.alias("pick"))
+        goes = ~F.col("follows") & F.col("pick").isNotNull()
+        below = F.when(goes, _name(F.hex("node"), F.col("pick.j").cast("string"), F.col("pick.token")))
+        # a token that is alone in its node is alone below it too
+        left = F.when(goes, F.transform("marks", lambda m: F.struct((-m["j"]).alias("j"), m["token"].alias("token"))))
+        now = held.select("leaf", below.alias("node"), "line", "n", F.when(F.col("follows"), _name(F.lit("template"), F.hex("node"))).otherwise(F.col("template")).alias("template"), left.alias("parts"))
+    return now.filter(F.col("template").isNotNull()).select("line", "template")
+
+
 def templates(members: DataFrame, depth: int = DEPTH, similar: float = SIMILAR, levels: int = LEVELS) -> DataFrame:
     """(line, template) of the distinct lines members (leaf, line, tokens) that follow one."""
     now, found = members.select(F.col("leaf").alias("node"), "line", "tokens"), []
-    name = lambda *parts: F.unhex(F.md5(F.concat_ws(" ", *parts).cast("binary")))
     for _ in range(levels):
         at = now.select("node", "line", F.size("tokens").alias("n"), F.posexplode("tokens").alias("j", "token")).filter(F.col("j") >= depth)
         counts = at.groupBy("node", "j", "token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
@@ -62,8 +94,8 @@ def templates(members: DataFrame, depth: int = DEPTH, similar: float = SIMILAR,
         pick = F.max(F.when(~F.col("constant"), F.struct("k", (-F.col("j")).alias("j"), "token")))
         held = written(at.join(marks, ["node", "j", "token"]).groupBy("node", "line").agg(F.first("n").alias("n"), F.sum(F.col("constant").cast("int")).alias("fixed"), pick.alias("pick")), "line-scores")
         follows = F.col("fixed") >= similar * (F.col("n") - depth)
-        found.append(held.filter(follows).select("line", name(F.lit("template"), F.hex("node")).alias("template")))
-        below = held.filter(~follows & F.col("pick").isNotNull()).select("line", name(F.hex("node"), F.col("pick.j").cast("string"), F.col("pick.token")).alias("node"))
+        found.append(held.filter(follows).select("line", _name(F.lit("template"), F.hex("node")).alias("template")))
+        below = held.filter(~follows & F.col("pick").isNotNull()).select("line", _name(F.hex("node"), F.col("pick.j").cast("string"), F.col("pick.token")).alias("node"))
         now = written(now.drop("node").join(below, "line"), "line-rest")
         discard(marks)
     out = found[0]
@@ -72,20 +104,29 @@ def templates(members: DataFrame, depth: int = DEPTH, similar: float = SIMILAR,
     return out
 
 
-def dropped_lines(docs: DataFrame, depth: int = DEPTH, similar: float = SIMILAR, least_docs: int = LEAST_DOCS, text: str = "text", key: str = "doc_id", levels: int = LEVELS) -> DataFrame:
+def dropped_lines(docs: DataFrame, depth: int = DEPTH, similar: float = SIMILAR, least_docs: int = LEAST_DOCS, text: str = "text", key: str = "doc_id", levels: int = LEVELS, small: int = SMALL) -> DataFrame:
     """(id, th, pos) of the lines that are dropped."""
     lines = written(_lines(docs, depth, text, key), "lines")
-    several = written(lines.groupBy("leaf").agg(F.min("line").alias("a"), F.max("line").alias("b")).filter("a != b").select("leaf"), "line-leaves")
-    # copies of a line meet in its task first; a leaf with one line that the filter lets through gives no template
-    members = split_by_filter(lines.select("leaf", "line", "text"), {"leaf": F.col("leaf")}, several, LINE_BITS)[1].groupBy("leaf", "line").agg(F.first("text").alias("text"))
-    members = written(members.select("leaf", "line", F.split("text", " ").alias("tokens")), "line-members")
-    follows = written(templates(members, depth, similar, levels), "line-templates")
+    size = F.sum(F.length("text").cast("long"))
+    several = written(lines.groupBy("leaf").agg(F.min("line").alias("a"), F.max("line").alias("b"), size.alias("size")).filter("a != b").select("leaf", "size"), "line-leaves")
+    # a leaf with one line that the filter lets through gives no template
+    shared, large = split_by_filter(lines.select("leaf", "line", "text"), {"leaf": F.col("leaf")}, several, LINE_BITS)[1], several.filter(F.col("size") > small)
+    spread = not large.isEmpty()
+    if spread:
+        shared, members = split_by_filter(shared, {"leaf": F.col("leaf")}, large, LINE_BITS)
+        # copies of a line meet in its task first
+        members = members.groupBy("leaf", "line").agg(F.first("text").alias("text"))
+        members = written(members.select("leaf", "line", F.split("text", " ").alias("tokens")), "line-members")
+    follows = templates_within(shared.groupBy("leaf").agg(F.collect_set("text").alias("texts")), depth, similar, levels)
+    if spread:
+        follows = follows.unionByName(templates(members, depth, similar, levels))
+    follows = written(follows, "line-templates")
     alone, asked = split_by_filter(lines.select("id", "th", "pos", "line"), {"line": F.col("line")}, follows, LINE_BITS)
     named = asked.join(follows, "line", "left").select("id", "th", "pos", F.coalesce("template", "line").alias("template"))
     named = written(named.unionByName(alone.withColumnRenamed("line", "template")), "line-names")
     recurring = named.groupBy("template", "id", "th").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.min("id").alias("first_id")).filter(F.col("docs") >= least_docs).select("template", "first_id")
     recurring = written(recurring, "line-recurring")
-    discard(lines, several, members, follows)
+    discard(lines, several, follows, *([members] if spread else []))
     return among(named, recurring, {"template": F.col("template")}, LINE_BITS).filter(~F.col("id").eqNullSafe(F.col("first_id"))).select("id", "th", "pos")
 
 

@@ -66,6 +66,26 @@ def test_leading_tokens_alone_are_no_template(spark):
     assert all(r.n_dropped == 0 for r in T.line_dedup(df).collect())
 
 
+def test_small_leaves_meet_in_one_exchange(spark):
+    """All levels of the tree stay inside the tasks that hold the leaves, and agree with the tree that is dealt out by token."""
+    families = ("was fixed by", "could not find", "has been closed")
+    texts = {f"p q r {f} {chr(97 + i % 26)}x {chr(97 + i // 3)}y" for f in families for i in range(60)} | {f"s t u v{chr(97 + i)} w w" for i in range(9)} | {f"s t u {chr(97 + i)} {i} {i}" for i in range(30)}
+    lines = spark.createDataFrame([(t[:5].encode(), t) for t in sorted(texts)], "leaf binary, text string")
+    within = T.templates_within(lines.groupBy("leaf").agg(F.collect_set("text").alias("texts")))
+    plan = within._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1
+    members = lines.select("leaf", F.unhex(F.md5(F.col("text").cast("binary"))).alias("line"), F.split("text", " ").alias("tokens"))
+    rows = lambda df: sorted((bytes(r.line), bytes(r.template)) for r in df.collect())
+    found = rows(within)
+    assert found == rows(T.templates(members)) and len({t for _, t in found}) > 3
+
+
+def test_large_leaves_are_dealt_out(spark):
+    df = frame(spark, ROWS)
+    drops = lambda small: sorted((r.id, r.pos) for r in T.dropped_lines(df, small=small).collect())
+    assert drops(T.SMALL) == drops(0) == drops(120) != []
+
+
 def test_empty(spark):
     assert T.line_dedup(frame(spark, ROWS).limit(0)).collect() == []
 
