@@ -26,7 +26,7 @@ from .common import lean, slices
 OFFSET = 0x100
 TO_CHARS = {b: OFFSET + b for b in range(256)}
 #: Distinct pre-tokens that a worker remembers, and the longest that it remembers.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 100_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -93,10 +93,11 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; one call of the model for all new pre-tokens."""
         cut = list(map(self.cut, texts))
-        missing = list(set().union(*cut).difference(self.seen))
-        if len(self.seen) + len(missing) > REMEMBERED:
-            self.seen = {}
-            missing = list(set().union(*cut))
+        asked = set().union(*cut)
+        missing = list(asked.difference(self.seen))
+        if len(self.seen) + len(missing) > REMEMBERED:  # what these texts have stays, frequent ones among them
+            self.seen = {p: self.seen[p] for p in asked.intersection(self.seen)}
+        del asked
         if missing:
             self.seen.update(zip(missing, self._new(missing), strict=True))
         out = [b"".join(map(self.seen.__getitem__, parts)) for parts in cut]
@@ -120,7 +121,7 @@ def encode_column(df: DataFrame, ranks_path: str, pattern: str, text: str = "tex
     def run(batches):
         codec = _codec(model, pattern)
         for batch in batches:
-            for part in slices(batch, 1, 2 << 20):
+            for part in slices(batch, 1, 1 << 20):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(codec.encode([x or "" for x in part.column(1).to_pylist()]), pa.binary())], [key, "ids"])
 
     return df.select(F.col(key), F.col(text)).mapInArrow(lean(run), f"`{key}` {dict(df.dtypes)[key]}, ids binary")
@@ -133,7 +134,7 @@ def decode_column(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids"
     def run(batches):
         codec = _codec(model, pattern)
         for batch in batches:
-            for part in slices(batch, 1, 2 << 20):
+            for part in slices(batch, 1, 1 << 20):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([codec.decode(x or b"") for x in part.column(1).to_pylist()], pa.binary())], [key, "data"])
 
     return df.select(F.col(key), F.col(ids)).mapInArrow(lean(run), f"`{key}` {dict(df.dtypes)[key]}, data binary")
@@ -146,7 +147,7 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text",
     def run(batches):
         codec, sha = _codec(model, pattern), hashlib.sha256
         for batch in batches:
-            for part in slices(batch, 1, 2 << 20):
+            for part in slices(batch, 1, 1 << 20):
                 ids = codec.encode([x or "" for x in part.column(1).to_pylist()])
                 columns = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([sha(x).hexdigest() for x in ids], pa.string()), pa.array([sha(codec.decode(x)).hexdigest() for x in ids], pa.string())]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], [key, "n_tokens", "ids_sha256", "decoded_sha256"])

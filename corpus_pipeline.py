@@ -24,7 +24,7 @@ from cauza.llm.common import among, leave, written
 #: Of the way from chance to certainty that the score of the best language must go; see language().
 LEAST_CONFIDENCE = 1 / 3
 #: Scores that a worker holds at once: fewer than op4, as later in a session the JVM beside it keeps all of its heap.
-HELD = 8 << 20
+HELD = 4 << 20
 SHARE, EPOCHS = 90, 1
 
 

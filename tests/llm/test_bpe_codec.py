@@ -53,3 +53,26 @@ def test_very_long_texts(spark):
         ids = ref.encode_ordinary(t)
         assert got[i].n_tokens == len(ids) and got[i].ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest() and got[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
     assert got[None].n_tokens == 1
+
+
+def test_memory_of_many_pretokens(monkeypatch):
+    import tracemalloc
+
+    codec = B.Codec(B.model_bytes(B.read_ranks(PATH)), P.PATTERN)
+    monkeypatch.setattr(codec, "_new", lambda parts: [p.encode().ljust(12) for p in parts])
+    tracemalloc.start()
+    for k in range(30):
+        codec.encode([" ".join(f"{'abcdefghij'[k % 10]}{i:x}".translate(str.maketrans("0123456789", "klmnopqrst")) + "uv"[k // 10 % 2] for i in range(9000))])
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert 0 < len(codec.seen) <= 100_000 and held < 25e6
+
+
+def test_frequent_pretokens_stay(monkeypatch):
+    codec, new = B.Codec(B.model_bytes(B.read_ranks(PATH)), P.PATTERN), []
+    encode = codec._new
+    monkeypatch.setattr(codec, "_new", lambda parts: (new.extend(parts), encode(parts))[1])
+    monkeypatch.setattr(B, "REMEMBERED", 60)
+    for k in range(12):
+        codec.encode(["the " + " ".join(chr(97 + k) + chr(97 + i) for i in range(20))])
+    assert new.count("the") == 1

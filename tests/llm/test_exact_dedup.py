@@ -94,3 +94,16 @@ def test_filter_rules_out_only_what_is_not_there(spark):
     assert safe.count() + asked.count() == 5000 and asked.count() < 900
     assert sorted(r.id for r in leave(docs, some, {"id": F.col("id")}).collect()) == [i for i in range(4999) if i % 7]
     assert leave(docs, some.limit(0), {"id": F.col("id")}).count() == 5000
+
+
+def test_state_stores_are_closed(spark, sf_dir):
+    before = _open_stores(spark)
+    assert X.exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).count() > 0
+    assert _open_stores(spark) <= before
+
+
+def _open_stores(spark):
+    kind = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.execution.streaming.state.StateStore$")
+    fields = [f for f in kind.getDeclaredFields() if f.getName().endswith("loadedProviders")]
+    fields[0].setAccessible(True)
+    return fields[0].get(kind.getField("MODULE$").get(None)).size()
