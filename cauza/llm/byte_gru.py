@@ -39,6 +39,8 @@ ROWS, UPDATES, BATCH, RATE = 250, 300, 128, 0.02
 FOLDS = 5
 #: Lanes side by side, and the most scores that are held at once.
 LANES, HELD = 512, 16 << 20
+#: What a step costs whatever the number of lanes, in lanes.
+STEP = 100
 #: Steps whose scores are taken together.
 SPAN = 16
 
@@ -233,16 +235,22 @@ class Runner:
 
 
 def lanes(sizes: np.ndarray, most: int = LANES) -> list[list[int]]:
-    """Texts of each lane, the longest first into the lane that is shortest; no lane is much longer than the longest text."""
-    if not len(sizes) or not int(sizes.max()):
+    """Texts of each lane, the longest first into the lane that is shortest. Of some numbers of lanes, from the one that the longest text fills to one lane a text, the one with the least work; no lane is much longer than the longest text."""
+    order = [i for i in np.argsort(-sizes, kind="stable").tolist() if sizes[i]]
+    if not order:
         return []
-    n = max(1, min(most, int(sizes.sum()) // int(sizes.max())))
-    heap, out = [(0, i) for i in range(n)], [[] for _ in range(n)]
-    for i in np.argsort(-sizes, kind="stable").tolist():
-        if sizes[i]:
+    size = sizes.tolist()
+    least = max(1, min(most, sum(size) // size[order[0]]))
+    best, out = None, []
+    for n in sorted({least + (min(most, len(order)) - least) * i // 4 for i in range(5)}):
+        heap, rows = [(0, i) for i in range(n)], [[] for _ in range(n)]
+        for i in order:
             held, lane = heap[0]
-            out[lane].append(i)
-            heapq.heapreplace(heap, (held + int(sizes[i]), lane))
+            rows[lane].append(i)
+            heapq.heapreplace(heap, (held + size[i], lane))
+        work = max(heap)[0] * (n + STEP)
+        if best is None or work < best:
+            best, out = work, rows
     return out
 
 
@@ -296,7 +304,9 @@ def scored(net: Net, texts: list[bytes], held: int = HELD):
         yield from finish(0, steps, x)
         return
 
+    # whole blocks last: where scores are a little too many, only the short first block is computed twice
     block, kept = max(1, held // (n * k)), {}
+    cuts = [0, *range((steps - 1) % block + 1, steps + 1, block)]
     first, second = Runner(net, "f", n), Runner(net, "b", n)
 
     def forward(a: int, b: int, out: np.ndarray | None) -> None:
@@ -309,12 +319,11 @@ def scored(net: Net, texts: list[bytes], held: int = HELD):
                 if out is not None:
                     out[t + 1 - len(score) - a : t + 1 - a] = score[:, 0]
 
-    for a in range(0, steps, block):
+    for a, b in zip(cuts, cuts[1:]):
         kept[a] = first.h.copy()
-        if a + block < steps:
-            forward(a, a + block, None)
-    for a in range((steps - 1) // block * block, -1, -block):
-        b = min(a + block, steps)
+        if b < steps:
+            forward(a, b, None)
+    for a, b in zip(cuts[-2::-1], cuts[:0:-1]):
         x = np.empty((b - a, k, n), np.float32)
         first.h[:] = kept.pop(a)
         forward(a, b, x)
@@ -351,10 +360,10 @@ def positions(net: Net, text: bytes) -> list[str]:
 
 
 def by_length(batch: pa.RecordBatch, column: int, labels: int, held: int = HELD):
-    """Parts of a batch with texts of similar length, the longest first, each of about as many bytes as held scores allow: lanes then stay full, and long texts have as many beside them as can be."""
+    """Parts of a batch with texts of similar length, the longest first: lanes then stay full, and long texts have as many beside them as can be. The scores of a part take 7/8 of those held, so that with the lanes' uneven ends they still are, and states are not computed twice; only a longer text alone is worked in blocks."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     order = np.argsort(-size, kind="stable")
-    part = (np.cumsum(size[order]) - size[order]) // max(1 << 20, held // max(1, labels))
+    part = (np.cumsum(size[order]) - size[order]) // max(1 << 19, held // max(1, labels) * 7 // 8)
     for some in np.split(order, np.flatnonzero(np.diff(part)) + 1):
         if len(some):
             yield batch.take(pa.array(some))

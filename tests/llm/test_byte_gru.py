@@ -154,3 +154,19 @@ def test_recognised_names_the_language_and_rejects_what_has_none(spark):
     odd = [(900, "abcde " * 200 + "vwxyz " * 200, "one", None), (901, "\u043f\u0440\u0438\u0432\u0435\u0442 " * 40, None, "s"), (902, None, "one", "s"), (903, "...", "two", "s"), (904, "vwxyz " * 9, "one", "s")]
     got = {r.doc_id: r.lang for r in G.recognised(spark.createDataFrame(rows + odd, df.schema), net, 0.66).collect()}
     assert got == {r[0]: r[2] for r in rows} | {904: "two"}
+
+
+def test_states_of_parts_are_computed_once(monkeypatch):
+    """Each direction reads little more than the bytes; more only where scores do not fit."""
+    import pyarrow as pa
+
+    net, read = G.Net(["a", "b", "c", "d"], 1), []
+    step = G.Runner.step
+    monkeypatch.setattr(G.Runner, "step", lambda self, byte: (read.append(byte.size), step(self, byte))[1])
+    sizes = np.random.default_rng(1).integers(1000, 3000, 2000).tolist()
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * n for n in sizes])], ["text"])
+    for held in (4 << 20, 8 << 20):
+        read.clear()
+        for part in G.by_length(batch, 0, 4, held):
+            G.pooled(net, G.as_bytes(part.column(0)), held)
+        assert sum(read) < 2 * 1.3 * sum(sizes)
