@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, budget_mix, byte_gru, exact_dedup, line_templates, mpeg_audio, preference, simhash_vptree, suffix_repeats, token_packing
+from . import bpe_codec, budget_mix, byte_gru, divergence_audit, exact_dedup, line_templates, mpeg_audio, preference, simhash_vptree, suffix_repeats, token_packing
 from .common import clean
 
 
@@ -71,6 +71,11 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe
     return bpe_codec.round_trip(_documents(spark, sf_dir), public_tokenizers.path(vocabulary), public_tokenizers.PATTERN)
 
 
+def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source of every language against the others, and the terms that set it apart."""
+    return divergence_audit.audit(_documents(spark, sf_dir))
+
+
 def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -83,6 +88,7 @@ def queries() -> dict:
         "op4_byte_gru": op4_byte_gru,
         "op7_mpeg_audio": op7_mpeg_audio,
         "op10_bpe_codec": op10_bpe_codec,
+        "op11_divergence_audit": op11_divergence_audit,
     }
 
 
@@ -92,4 +98,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_line_templates": line_templates.SQL,
         "op5_preference": preference.SQL,
         "op6_budget_mix": budget_mix.SQL,
+        "op11_divergence_audit": divergence_audit.SQL,
     }
