@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, budget_mix, byte_gru, divergence_audit, exact_dedup, line_templates, mpeg_audio, preference, simhash_vptree, suffix_repeats, token_packing
+from . import bpe_codec, budget_mix, byte_gru, divergence_audit, exact_dedup, importance_resample, line_templates, mpeg_audio, preference, simhash_vptree, suffix_repeats, token_packing
 from .common import clean
 
 
@@ -76,6 +76,11 @@ def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_audit.audit(_documents(spark, sf_dir))
 
 
+def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of all documents of 20 words or more, drawn towards the benchmark's words."""
+    return importance_resample.resample(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -89,6 +94,7 @@ def queries() -> dict:
         "op7_mpeg_audio": op7_mpeg_audio,
         "op10_bpe_codec": op10_bpe_codec,
         "op11_divergence_audit": op11_divergence_audit,
+        "op12_importance_resample": op12_importance_resample,
     }
 
 
@@ -99,4 +105,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_preference": preference.SQL,
         "op6_budget_mix": budget_mix.SQL,
         "op11_divergence_audit": divergence_audit.SQL,
+        "op12_importance_resample": importance_resample.SQL,
     }
