@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, budget_mix, byte_gru, divergence_audit, exact_dedup, importance_resample, line_templates, mpeg_audio, preference, simhash_vptree, suffix_repeats, token_packing
+from . import bpe_codec, budget_mix, byte_gru, chosen_path, divergence_audit, exact_dedup, importance_resample, line_templates, mpeg_audio, preference, simhash_vptree, suffix_repeats, token_packing
 from .common import clean
 
 
@@ -81,6 +81,11 @@ def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resample.resample(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op13_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose sets of three-word shingles have a Jaccard similarity of 0.85 or more."""
+    return chosen_path.near_dedup(_documents(spark, sf_dir))
+
+
 def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -95,6 +100,7 @@ def queries() -> dict:
         "op10_bpe_codec": op10_bpe_codec,
         "op11_divergence_audit": op11_divergence_audit,
         "op12_importance_resample": op12_importance_resample,
+        "op13_chosen_path": op13_chosen_path,
     }
 
 
