@@ -36,7 +36,7 @@ from .common import as_bytes, lean, slices, written
 
 LEAST_DOCS, SMOOTHING, TOP = 30, 5, 50
 #: Counts in a task's matrix, and bytes of text that are looked at together.
-PART, PIECE = 500_000, 2 << 20
+PART, PIECE = 20_000, 2 << 20
 
 #: Each byte's place in a term: itself, its lower case, or 0 outside of terms.
 LOOKUP = np.arange(256, dtype=np.uint8)
