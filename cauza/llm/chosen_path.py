@@ -8,17 +8,18 @@ that all nodes agree on, and a node goes down to a child for each of its chosen
 on the average, two of similarity ``least`` meet again in one child, and unlike ones part. Children are rows (path, node);
 Spark counts them by path, and each level is one exchange of the rows whose path has several nodes. A branch of ``limit``
 nodes or fewer is a leaf: its nodes are compared exhaustively by sketches (4 bits of each token). One that is larger
-branches again, ``depth`` times at most. Larger ones that remain are nodes too alike to part: they are compared in blocks.
+branches again, ``depth`` times at most, and no more once it keeps ALIKE of its parent's nodes: these are too alike to
+part. It is compared in slices, each with the branch's least node, its hub; and when it is known what hangs together, each
+node that does not hang together with the hub is compared with every slice.
 
 A pair of similarity ``least`` survives a level in a tree with 1 - 1/e = 0.63, two with 0.47, three with 0.37, four with
-0.31, so that TREES = 20 independent trees find it with 1 - 10^-9, 1 - 3*10^-6, 1 - 10^-4 and 0.9994, more alike ones
-more surely; a leaf's sketches let 4.5 standard deviations pass. FIRST further trees come before: what hangs together
-after them has one label, branches of one label end, and blocks are compared with their hub alone.
+0.31, so that TREES = 24 independent trees find it with 1 - 4*10^-11, 1 - 3*10^-7, 1 - 10^-5 and 0.9999, more alike ones
+more surely; a leaf's sketches let 4.5 standard deviations pass.
 
 What leaves bring together are candidates; the links are checked on the full sets. A group of candidates that hangs
-together is compared in one task, every pair that is not yet connected. A group of over ``most_texts`` texts or
-``most_shingles`` shingles is compared with its hub, in slices, and what the hub does not link leaf by leaf: no task holds
-more than a slice or a leaf, and the work is linear in the group.
+together is worked through in one task, where every pair that is not yet connected is looked at. A group of over
+``most_texts`` texts or ``most_shingles`` shingles is worked through in slices, each with the group's hub, and what then is
+of several components leaf by leaf: no task holds more than a slice or a leaf, and the work is linear in the group.
 
 Equality of shingles and sets rests on 64-bit hashes.
 
@@ -37,11 +38,11 @@ from pyspark.sql import functions as F
 
 from .common import among, as_bytes, discard, lean, slices, written
 from .components import components
-from .simhash_similar import Sets, node_of, shingles
+from .simhash_similar import node_of, shingles
 from .simhash_vptree import Forest
 
 WIDTH, LEAST = 3, 0.85
-TOKENS, FIRST, TREES, DEPTH, LIMIT = 64, 4, 20, 4, 256
+TOKENS, TREES, DEPTH, LIMIT, ALIKE = 64, 24, 4, 256, 0.6
 MOST_TEXTS, MOST_SHINGLES = 2_000, 2_000_000
 SHIFT, FACTOR = np.random.default_rng(13).integers(0, 1 << 63, (2, TOKENS), np.uint64)
 FACTOR = FACTOR * np.uint64(2) + np.uint64(1)
@@ -102,8 +103,8 @@ def signatures(docs: DataFrame, text: str, key: str, width: int) -> DataFrame:
     return docs.select(F.col(key), F.col(text)).mapInArrow(lean(run), f"`{key}` {dict(docs.dtypes)[key]}, node bigint, n bigint, tokens binary")
 
 
-def _children(rows: DataFrame, least: float, first: int = 0, last: int = 0) -> DataFrame:
-    """(path, node, label) of the children of rows (path, node, label, tokens); where path is null, of the roots of the trees from first up to last."""
+def _children(rows: DataFrame, least: float, trees: int = 0) -> DataFrame:
+    """(path, node, above) of the children of rows (path, node, n, tokens), above being their branch's n; where path is null, of the roots of all trees."""
 
     def run(batches):
         for batch in batches:
@@ -111,46 +112,68 @@ def _children(rows: DataFrame, least: float, first: int = 0, last: int = 0) -> D
                 part = batch.slice(at, 4096)
                 tokens = np.frombuffer(b"".join(part.column(3).to_pylist()), "<u4").reshape(-1, TOKENS) + PLACES
                 if part.column(0).null_count:
-                    branches = [np.full(len(tokens), _mix(np.array([tree + 1], np.uint64))[0]) for tree in range(first, last)]
+                    branches = [np.full(len(tokens), _mix(np.array([tree + 1], np.uint64))[0]) for tree in range(trees)]
                 else:
                     branches = [part.column(0).to_numpy().view(np.uint64)]
                 for branch in branches:
                     row, path = chosen(tokens, branch, least)
                     row = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), part.column(1).take(row), part.column(2).take(row)], ["path", "node", "label"])
+                    yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), part.column(1).take(row), part.column(2).take(row)], ["path", "node", "above"])
 
-    return rows.select("path", "node", "label", "tokens").mapInArrow(lean(run), "path bigint, node bigint, label bigint")
+    return rows.select("path", "node", F.col("n").cast("long").alias("n"), "tokens").mapInArrow(lean(run), "path bigint, node bigint, above bigint")
 
 
-def _blocks(large: DataFrame, limit: int, all_pairs: bool) -> DataFrame:
-    """Leaves of branches (path, node, label, n, hub) that do not part: slices with their hub, or slices in pairs."""
-    n, own = F.ceil(F.col("n") / limit).cast("int"), F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / limit)).cast("int")
-    every = F.sequence(F.lit(0), n - 1)
-    if all_pairs:
-        cut = large.select("path", "node", "label", own.alias("i"), F.explode(every).alias("j"))
-        return cut.select(F.xxhash64("path", F.least("i", "j"), F.greatest("i", "j")).alias("path"), "node", "label")
-    cut = large.select("path", "node", "label", F.explode(F.when(F.col("node") == F.col("hub"), every).otherwise(F.array(own))).alias("i"))
-    return cut.select(F.xxhash64("path", "i").alias("path"), "node", "label")
-
-
-def leaves(nodes: DataFrame, labels: DataFrame | None, least: float, first: int, last: int, depth: int, limit: int) -> DataFrame:
-    """(path, node, label): leaves, with nodes of several labels, of the trees from first up to last over nodes (node, tokens)."""
-    roots = nodes.select("node", "tokens", F.lit(None).cast("long").alias("path"))
-    roots = roots.withColumn("label", F.col("node")) if labels is None else roots.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node"))
-    rows, out = written(_children(roots, least, first, last), "paths"), None
+def leaves(nodes: DataFrame, least: float, trees: int, depth: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(path, node) of the leaves with several nodes, and (path, node, n, hub) of branches that do not part, of trees over nodes (node, tokens)."""
+    rows = written(_children(nodes.select("node", "tokens", F.lit(None).cast("long").alias("path"), F.lit(1 << 62).alias("n")), least, trees), "paths")
+    small, dense = [], []
     for level in range(1, depth + 1):
-        by = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub"), F.min("label").alias("a"), F.max("label").alias("b"))
-        members = written(rows.join(by.filter("a < b").drop("a", "b"), "path"), "branches")
+        by = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub"), F.max("above").alias("above")).filter("n > 1")
+        members = written(rows.select("path", "node").join(by, "path"), "branches")
         discard(rows)
-        small, large = members.filter(F.col("n") <= limit).select("path", "node", "label"), members.filter(F.col("n") > limit)
-        out = small if out is None else out.unionByName(small)
-        if large.isEmpty():
+        small.append(members.filter(F.col("n") <= limit).select("path", "node"))
+        large = members.filter(F.col("n") > limit)
+        stays = F.lit(True) if level == depth else F.col("n") >= ALIKE * F.col("above")
+        dense.append(large.filter(stays).select("path", "node", "n", "hub"))
+        parting = large.filter(~stays)
+        if level == depth or parting.isEmpty():
             break
-        if level == depth:
-            out = out.unionByName(_blocks(large, limit, labels is not None))
-        else:
-            rows = written(_children(large.join(nodes.select("node", "tokens"), "node"), least), "paths")
-    return out
+        rows = written(_children(parting.select("path", "node", "n").join(nodes.select("node", "tokens"), "node"), least), "paths")
+    union = lambda parts: parts[0] if len(parts) == 1 else union([parts[0].unionByName(parts[1]), *parts[2:]])
+    return union(small), union(dense)
+
+
+def _slices(dense: DataFrame, limit: int, spread) -> DataFrame:
+    """(path, node, label) of branches (path, node, label, n) cut into slices; nodes that are to be spread go to each of them."""
+    parts = F.ceil(F.col("n") / limit).cast("int")
+    dealt = F.when(spread, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", "path"), parts).cast("int")))
+    return dense.select("path", "node", "label", F.explode(dealt).alias("i")).select(F.xxhash64("path", "i").alias("path"), "node", "label")
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows whose path holds several labels."""
+    several = rows.groupBy("path").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("path")
+    return rows.join(several, "path")
+
+
+def _spread(dense: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
+    """Slices of branches that are not of one label, with the nodes spread that are not of their hub's."""
+    named = _mixed(dense.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    named = named.join(labels.select(F.col("node").alias("hub"), F.col("label").alias("chief")), "hub", "left")
+    return _slices(named, limit, F.col("label") != F.coalesce("chief", "hub"))
+
+
+def candidates(nodes: DataFrame, small: DataFrame, dense: DataFrame, least: float, limit: int) -> DataFrame:
+    """(node, root): nodes that hang together by sketches alike; those alone are left out."""
+    own = F.col("node").alias("label")
+    first = small.select("path", "node", own).unionByName(_slices(dense.select("path", "node", own, "n", "hub"), limit, F.col("node") == F.col("hub")))
+    root = written(components(compared(first, nodes, least)), "labels")
+    if dense.isEmpty():
+        return root
+    more = written(compared(_spread(dense, root.withColumnRenamed("root", "label"), limit), nodes, least), "label-links")
+    if more.isEmpty():
+        return root
+    return written(components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "labels")
 
 
 def compared(found: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -203,56 +226,117 @@ def compared(found: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return rows.repartition("path").sortWithinPartitions("path").mapInArrow(lean(run), "a bigint, b bigint").distinct()
 
 
-def _checked(rows: DataFrame, by: list[str], width: int, least: float, hub: bool = False) -> DataFrame:
-    """(a, b): a spanning forest of the similar pairs in each group of rows (node, root, text); with hub, its links alone."""
+class Sets:
+    """Nodes with their sets and sketches, and labels of what is known to hang together."""
+
+    def __init__(self, table: pa.Table, least: float):
+        self.names, self.label = (table.column(c).to_numpy() for c in ("node", "label"))
+        self.least, self.enough = least, least_agreeing(least)
+        self.sketches = sketch(np.frombuffer(b"".join(table.column("tokens").to_pylist()), "<u4").reshape(-1, TOKENS))
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        values, place = np.unique(np.concatenate(sets), return_inverse=True)
+        self.parts, self.mark = np.split(place, np.cumsum(self.sizes)[:-1]), np.zeros(len(values), bool)
+
+    def similar(self, x: int, others: np.ndarray) -> np.ndarray:
+        """Those of others whose similarity with x is ``least`` or more."""
+        near = agreeing(self.sketches[others], self.sketches[x]) >= self.enough
+        asked = others[near & (np.minimum(self.sizes[others], self.sizes[x]) >= self.least * np.maximum(self.sizes[others], self.sizes[x]) - 1e-9)]
+        if not len(asked):
+            return asked
+        self.mark[self.parts[x]] = True
+        shared = np.add.reduceat(self.mark[np.concatenate([self.parts[i] for i in asked])], np.r_[0, np.cumsum(self.sizes[asked])[:-1]], dtype=np.int64)
+        self.mark[self.parts[x]] = False
+        return asked[shared >= self.least * (self.sizes[asked] + self.sizes[x] - shared) - 1e-9]
+
+    def forest(self) -> tuple[np.ndarray, list[tuple[int, int]]]:
+        """The component of each row, and links between rows of unlike labels that make them."""
+        out, links, rest = np.full(len(self.names), -1), [], np.arange(len(self.names))
+        while len(rest):
+            stack = rest[self.label[rest] == self.label[rest[0]]].tolist()
+            start, rest = stack[0], rest[self.label[rest] != self.label[rest[0]]]
+            out[stack] = start
+            while stack and len(rest):
+                x = stack.pop()
+                hit = self.similar(x, rest)
+                if len(hit):
+                    links += [(x, int(i)) for i in hit]
+                    here = np.isin(self.label[rest], self.label[hit])
+                    stack += rest[here].tolist()
+                    out[rest[here]] = start
+                    rest = rest[~here]
+        return out, links
+
+
+def _components_in(rows: DataFrame, by: list[str], least: float) -> DataFrame:
+    """(node, label): in each group of rows (root, node, set, tokens), the component's least node, or the group's root for its own component."""
+
+    def one(table: pa.Table) -> pa.Table:
+        table = table.append_column("label", table.column("node"))
+        own, root = Sets(table, least), table.column("root")[0].as_py()
+        of, _ = own.forest()
+        chief = np.full(len(of), np.iinfo(np.int64).max)
+        np.minimum.at(chief, of, own.names)
+        for i in np.flatnonzero(own.names == root):
+            chief[of[i]] = root
+        return pa.table({"node": own.names, "label": chief[of]})
+
+    return rows.groupBy(*by).applyInArrow(one, "node bigint, label bigint")
+
+
+def _links_in(rows: DataFrame, least: float) -> DataFrame:
+    """(a, b): links between labels in each path of rows (path, node, label, set, tokens)."""
 
     def one(table: pa.Table) -> pa.Table:
-        own = Sets(table, width)
-        if not hub:
-            return own.table(own.forest(least))
-        chief = table.column("root")[0].as_py()
-        if chief not in own.names:
-            return own.table([])
-        x = own.names.index(chief)
-        return own.table([(x, int(j)) for j in own.similar(x, np.flatnonzero(np.arange(len(own.names)) != x), least)])
-
-    return rows.groupBy(*by).applyInArrow(one, "a bigint, b bigint")
-
-
-def links(docs: DataFrame, nodes: DataFrame, width: int = WIDTH, least: float = LEAST, first: int = FIRST, trees: int = TREES, depth: int = DEPTH, limit: int = LIMIT, text: str = "text", key: str = "doc_id", most_texts: int = MOST_TEXTS, most_shingles: int = MOST_SHINGLES) -> DataFrame:
-    """(a, b): checked links that connect the nodes (node, least, n, tokens) of similarity ``least`` or more."""
-    near = leaves(nodes, None, least, 0, first, depth, limit)
-    labels = written(components(compared(near, nodes, least)), "labels")
-    far = written(leaves(nodes, labels, least, first, first + trees, depth, limit), "leaves")
-    more = compared(far, nodes, least)
-    together = components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    members = nodes.select("node", "least", "n").join(together, "node")
+        own = Sets(table, least)
+        links = np.array(own.forest()[1], np.int64).reshape(-1, 2)
+        return pa.table({"a": own.label[links[:, 0]], "b": own.label[links[:, 1]]})
+
+    return rows.groupBy("path").applyInArrow(one, "a bigint, b bigint")
+
+
+def _sets(rows: DataFrame, width: int) -> DataFrame:
+    """(root, node, g, set, tokens) from rows (root, node, g, text); a text that is not the node's goes."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 3):
+                found = [(i, own) for i, (node, x) in enumerate(zip(part.column(1).to_pylist(), as_bytes(part.column(3)), strict=True)) if node_of(own := shingles(x, width)) == node]
+                kept = part.select([0, 1, 2]).take(pa.array([i for i, _ in found], pa.int64()))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([x.tobytes() for _, x in found], pa.binary()), pa.array([minwise(x).tobytes() for _, x in found], pa.binary())], ["root", "node", "g", "set", "tokens"])
+
+    return rows.select("root", "node", "g", "text").mapInArrow(lean(run), "root bigint, node bigint, g int, set binary, tokens binary")
+
+
+def clusters(docs: DataFrame, nodes: DataFrame, width: int = WIDTH, least: float = LEAST, trees: int = TREES, depth: int = DEPTH, limit: int = LIMIT, text: str = "text", key: str = "doc_id", most_texts: int = MOST_TEXTS, most_shingles: int = MOST_SHINGLES) -> DataFrame:
+    """(node, label): the component of those nodes (node, least, n, tokens) that have a candidate, by links of similarity ``least`` or more."""
+    small, dense = leaves(nodes, least, trees, depth, limit)
+    members = nodes.select("node", "least", "n").join(candidates(nodes, small, dense, least, limit), "node")
     size = members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / most_texts), F.ceil(F.sum("n") / most_shingles)).cast("int").alias("g"))
     members = written(members.join(written(size, "group-sizes"), "root").select("root", "least", "node", "g"), "candidates")
     own = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    texts = written(among(own, members, {"least": F.col("id")}).select("root", "node", "g", "text"), "candidate-texts")
-    found = _checked(texts.filter("g = 1"), ["root"], width, least)
-    large = texts.filter("g > 1")
+    # a node's least key may be on other texts too, and on several rows of its own
+    sets = written(_sets(among(own, members, {"least": F.col("id")}), width).dropDuplicates(["node"]), "candidate-sets")
+    found = _components_in(sets.filter("g = 1"), ["root"], least)
+    large = sets.filter("g > 1")
     if large.isEmpty():
         return found
-    is_hub = F.col("node") == F.col("root")
-    dealt = F.when(is_hub, F.sequence(F.lit(0), F.col("g") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), "g").cast("int")))
-    star = written(_checked(large.select("root", "node", "text", F.explode(dealt).alias("i")), ["root", "i"], width, least, True), "hub-links")
-    # leaf by leaf: leaves of the later trees, and of the first ones anew, that hold nodes of several components by now
-    known = large.select("node", "root").distinct().join(star.select(F.col("b").alias("node"), F.lit(True).alias("linked")).distinct(), "node", "left")
-    known = written(known.select("node", F.when(F.col("linked") | is_hub, F.col("root")).otherwise(F.col("node")).alias("now")), "hub-labels")
-    held = written(far.unionByName(leaves(nodes.join(known, "node", "left_semi"), known.withColumnRenamed("now", "root"), least, 0, first, depth, limit)).select("path", "node").join(known, "node"), "large-leaves")
-    mixed = held.groupBy("path").agg(F.min("now").alias("a"), F.max("now").alias("b")).filter("a < b").select("path")
-    rest = held.join(mixed, "path").select("path", "node").join(large.select("node", "root", "text"), "node")
-    return found.unionByName(star).unionByName(_checked(rest, ["path"], width, least))
+    dealt = F.when(F.col("node") == F.col("root"), F.sequence(F.lit(0), F.col("g") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), "g").cast("int")))
+    cut = large.select("root", "node", "set", "tokens", F.explode(dealt).alias("i"))
+    known = written(_components_in(cut, ["root", "i"], least).distinct(), "slice-components")
+    some = small.join(known, "node").unionByName(_spread(dense.join(known.select("node"), "node", "left_semi"), known, limit))
+    rest = written(_mixed(some), "mixed-leaves").join(large.select("node", "set", "tokens"), "node")
+    links = written(_links_in(rest, least), "leaf-links")
+    root = components(known.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links))
+    return found.unionByName(known.join(root, "node", "left").select("node", F.coalesce("root", "label").alias("label")))
 
 
 def near_dedup(docs: DataFrame, width: int = WIDTH, least: float = LEAST, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """One row for each row of docs: key, n_shingles, component_id (the least key of its component), kept."""
     found = written(signatures(docs, text, key, width), "signatures")
     nodes = written(found.filter("n > 0").groupBy("node").agg(F.min(key).alias("least"), F.first("n").alias("n"), F.first("tokens").alias("tokens")), "signature-nodes")
-    root = components(links(docs, nodes, width, least, text=text, key=key, **options))
-    named = nodes.join(root, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    root = clusters(docs, nodes, width, least, text=text, key=key, **options)
+    named = nodes.join(root, "node", "left").select("node", "least", F.coalesce("label", "node").alias("root"))
     label = written(named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id"), "component-names")
     discard(nodes)
     full = found.filter("n > 0").select(key, "n", "node").join(label, "node").select(key, F.col("n").alias("n_shingles"), "component_id")

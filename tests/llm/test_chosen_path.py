@@ -121,7 +121,8 @@ def test_recall_of_the_trees(spark):
     rows = spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(values)], "node bigint, tokens binary")
 
     def met(limit, depth):
-        found = C.leaves(rows, None, 0.85, 0, 20, depth, limit)
+        small, dense = C.leaves(rows, 0.85, C.TREES, depth, limit)
+        found = small.unionByName(dense.select("path", "node"))
         pairs = found.groupBy("path", F.expr("node div 2").alias("pair")).count().filter("count = 2").select("pair").distinct()
         return pairs.count() / 400
 
