@@ -5,6 +5,14 @@ the factual and the opposite arm's predictions, and sum them by (leaf, feature,
 aggregation, whose size depends on leaves, features and bins alone. The split search runs on that table on the driver.
 Predictions are written to a checkpoint every few trees, so that neither lineage nor replay grows.
 
+With ``subsample`` below 1 each tree draws its own rows, by a hash of key and tree, and its validation loss is that of the
+rows it did not draw. Features of which no bound leaves min_points rows on both sides are flagged trivial, and no tree
+looks at them. Categorical features become codes by a dictionary (places in order of frequency, one for the rest, missing
+ones as NaN), which the model keeps.
+
+Fitted trees score as Columns on raw values (x <= bound; NaN and null to the right, as their bin is the last), so that
+neither bins nor Python are needed there.
+
 pred follows theta of the own arm, cpred theta of the opposite one. Before treatment cost is taken at cpred, after it
 at pred.
 """
@@ -16,13 +24,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..logs import log, trace
 from ..sources.frames import CausalFrame
 from ..sources.shared import checkpointed
-from .bins import fit_bins, transform
+from .bins import category_bounds, category_code, fit_bins, fit_categories, transform, trivial
 from .losses import Logistic, Square
 
 
@@ -50,6 +59,24 @@ class Config:
     seed: int = 0
 
 
+#: Rows of a fit: bins, arm, outcomes, predictions of the own and the opposite arm, shift, hash of the key.
+STATE = "x array<int>, w int, y array<double>, pred array<double>, cpred array<double>, eta double, unit bigint"
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Lists of one length as rows; null values as NaN."""
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False)).reshape(-1, width)
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(np.ascontiguousarray(rows).reshape(-1)))
+
+
+def _double(x: float) -> str:
+    """A double as SQL."""
+    return f"{float(x)!r}D" if np.isfinite(x) else f"double('{float(x)}')"
+
+
 @dataclass
 class Node:
     level: int
@@ -147,38 +174,66 @@ def search(stats: dict[str, np.ndarray], t0: int, c: Config, did: bool = False):
     return int(f), int(b), float(cost[f, b]), (tl[f, b], tr[f, b]), (float(el[f, b]), float(er[f, b]))
 
 
+def drawn(units: np.ndarray, tree: int, seed: int = 0) -> np.ndarray:
+    """A number from 0 up to 1 for each row (units: hashes of keys, of 32 bits) and a tree."""
+    mask = np.uint64(0xFFFFFFFF)
+    x = units.astype(np.uint64) ^ np.uint64((tree * 0x9E3779B1 + seed * 0x7FEB352D) & 0xFFFFFFFF)
+    for factor, shift in ((0x85EBCA6B, 13), (0xC2B2AE35, 16)):
+        x = x * np.uint64(factor) & mask
+        x ^= x >> np.uint64(shift)
+    return x / 4294967296.0
+
+
+def unit(key: Column) -> Column:
+    """The first 32 bits of a key's MD5."""
+    return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("bigint")
+
+
 class Boosting:
     """Shared loop; subclasses choose the loss and whether arms have a shift."""
 
     did = False
     loss = Square()
 
-    def __init__(self, config: Config | None = None, bounds: dict[str, list[float]] | None = None):
-        self.config, self.bounds = config or Config(), bounds
+    def __init__(self, config: Config | None = None, bounds: dict[str, list[float]] | None = None, dictionaries: dict[str, list[str]] | None = None):
+        self.config, self.bounds, self.dictionaries = config or Config(), bounds, dict(dictionaries or {})
         self.trees: list[Tree] = []
         self.valid_losses: list[float] = []
+        self.trivial: list[str] = []
+
+    def _values(self, df: DataFrame) -> list[Column]:
+        """The features as numbers."""
+        return [category_code(df, f, self.dictionaries[f]) if f in self.dictionaries else F.col(f).cast("double") for f in self.features]
 
     def fit(self, frame: CausalFrame) -> Boosting:
         c = self.config
         self.features, self.t0, self.periods = frame.features, frame.treat_dt, frame.n_period
         frame.check()
-        self.bounds = self.bounds or fit_bins(frame.df, frame.features, c.max_bin, c.min_points_per_bin)
+        for f in frame.categorical:
+            self.dictionaries.setdefault(f, fit_categories(frame.df, f, c.max_bin))
+        known = {f: category_bounds(d) for f, d in self.dictionaries.items()} | (self.bounds or {})
+        if rest := [f for f in self.features if f not in known]:
+            known |= fit_bins(frame.df, rest, c.max_bin, c.min_points_per_bin)
+        self.bounds = {f: known[f] for f in self.features}
         self.width = max(len(b) for b in self.bounds.values()) + 1
         zeros = F.array(*[F.lit(float(c.init))] * self.periods)
-        share = F.pmod(F.xxhash64(F.col(frame.key), F.lit(c.seed)), F.lit(10_000)) / 10_000.0
-        state = frame.df.select(F.array(*(F.col(f).cast("double") for f in frame.features)).alias("x"), F.col(frame.treatment).cast("int").alias("w"), F.col(frame.outcomes).cast("array<double>").alias("y"), zeros.alias("pred"), zeros.alias("cpred"), F.lit(0.0).alias("eta"), share.alias("share"))
+        units = unit(F.col(frame.key)) if c.subsample < 1 else F.lit(0).cast("bigint")
+        state = frame.df.select(F.array(*self._values(frame.df)).alias("x"), F.col(frame.treatment).cast("int").alias("w"), F.col(frame.outcomes).cast("array<double>").alias("y"), zeros.alias("pred"), zeros.alias("cpred"), F.lit(0.0).alias("eta"), units.alias("unit"))
         state = checkpointed(self._bin(state))
         since: list[Tree] = []
         rnd = np.random.default_rng(c.seed)
+        self._turn = 0  # the tree that is to be grown
         root, _ = self._level(state, since, None, [0])
+        useful = self._useful(root[0]["n"].sum(-1))
         for k in range(c.n_estimators):
-            chosen = np.sort(rnd.permutation(len(self.features))[: max(1, round(c.subfeature * len(self.features)))])
+            chosen = np.sort(rnd.permutation(useful)[: max(1, round(c.subfeature * len(useful)))])
             tree = self._grow(state, since, chosen, root)
             self.trees.append(tree)
             since.append(tree)
             if len(since) >= c.anchor:
                 state, since = checkpointed(self._replay(state, since)), []
             # one pass: how good the ensemble is by now, and the root of the next tree
+            self._turn = k + 1
             root, loss = self._level(state, since, None, [0])
             self.valid_losses.append(loss)
             log.debug("tree %d: %d nodes, validation loss %g", k, len(tree.nodes), loss)
@@ -188,6 +243,12 @@ class Boosting:
         self.trees = self.trees[: best + 1]
         return self
 
+    def _useful(self, counts: np.ndarray) -> np.ndarray:
+        """Features that a bound could split, by the rows [features, bins] of the first root; the others are named in trivial."""
+        none = [trivial(self.bounds[f], counts[i], self.config.min_points) for i, f in enumerate(self.features)]
+        self.trivial = [f for f, t in zip(self.features, none, strict=True) if t]
+        return np.flatnonzero(~np.array(none)) if not all(none) else np.arange(len(none))
+
     def _stop(self) -> bool:
         c, best = self.config, int(np.argmin(self.valid_losses))
         worse = self.valid_losses[-1] > self.valid_losses[best] * (1 + c.tol)
@@ -197,32 +258,34 @@ class Boosting:
     def _bin(self, df: DataFrame) -> DataFrame:
         bounds = [self.bounds[f] for f in self.features]
 
-        @F.pandas_udf("array<int>")
-        def to_bins(x: pd.Series) -> pd.Series:
-            values = np.array(x.tolist(), float)
-            return pd.Series(list(np.stack([transform(values[:, i], b) for i, b in enumerate(bounds)], 1)))
+        def run(batches):
+            for batch in batches:
+                values = _matrix(batch.column(0), len(bounds))
+                bins = np.stack([transform(values[:, i], b) for i, b in enumerate(bounds)], 1)
+                yield pa.RecordBatch.from_arrays([_lists(bins), *batch.columns[1:]], batch.schema.names)
 
-        return df.withColumn("x", to_bins("x"))
+        return df.mapInArrow(run, STATE)
 
-    def _apply(self, pdf: pd.DataFrame, trees: list[Tree]):
+    def _apply(self, batch: pa.RecordBatch, trees: list[Tree]):
         """(bins, w, y, pred, cpred, eta) with the trees' steps added."""
-        matrix = lambda c: np.array(pdf[c].tolist(), float)
-        bins, w, y, pred, cpred, eta = matrix("x").astype(np.int64), pdf["w"].to_numpy(), matrix("y"), matrix("pred"), matrix("cpred"), pdf["eta"].to_numpy().astype(float)
-        rows, rate = np.arange(len(pdf)), self.config.learning_rate
+        bins, w = _matrix(batch.column(0), len(self.features)).astype(np.int64), batch.column(1).to_numpy()
+        y, pred, cpred = (_matrix(batch.column(i), self.periods) for i in (2, 3, 4))
+        eta = batch.column(5).to_numpy()
+        rows, rate = np.arange(len(w)), self.config.learning_rate
         for tree in trees:
             theta, e = tree.values(bins)
-            pred += rate * theta[rows, w]
-            cpred += rate * (theta[rows, 1 - w] - np.where(w == 0, e, -e)[:, None])
+            pred = pred + rate * theta[rows, w]
+            cpred = cpred + rate * (theta[rows, 1 - w] - np.where(w == 0, e, -e)[:, None])
             eta = eta + rate * e
         return bins, w, y, pred, cpred, eta
 
     def _replay(self, state: DataFrame, trees: list[Tree]) -> DataFrame:
-        def run(parts):
-            for pdf in parts:
-                _, _, _, pred, cpred, eta = self._apply(pdf, trees)
-                yield pdf.assign(pred=list(pred), cpred=list(cpred), eta=eta)
+        def run(batches):
+            for batch in batches:
+                _, _, _, pred, cpred, eta = self._apply(batch, trees)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], _lists(pred), _lists(cpred), pa.array(eta), batch.column(6)], batch.schema.names)
 
-        return state.mapInPandas(run, state.schema)
+        return state.mapInArrow(run, STATE)
 
     def _grow(self, state: DataFrame, since: list[Tree], chosen: np.ndarray, root: dict) -> Tree:
         """A tree from the sums of its root; one job for each level below."""
@@ -263,77 +326,84 @@ class Boosting:
         """Sums of each leaf of a level, and the validation loss of the trees so far (mean pre-period loss at cpred plus coeff times the mean post-period loss at pred): one job."""
         c, m, width, periods, arrays = self.config, len(self.features), self.width, self.periods, self.loss.arrays
         columns = [f"s{i}" for i in range(4 * periods + 2)]
-        size = len(level) * m * width * 2
+        size, t0, turn = len(level) * width * 2, self.t0, self._turn
 
-        t0 = self.t0
-
-        def run(parts):
-            total, pre, post = np.zeros((4 * periods + 2, size)), 0.0, 0.0
-            for pdf in parts:
-                if not len(pdf):
+        def run(batches):
+            total, pre, post = np.zeros((4 * periods + 2, m, size)), 0.0, 0.0
+            for batch in batches:
+                if not batch.num_rows:
                     continue
-                bins, w, y, pred, cpred, eta = self._apply(pdf, since)
-                inside = pdf["share"].to_numpy() < c.subsample
+                bins, w, y, pred, cpred, eta = self._apply(batch, since)
+                units = batch.column(6).to_numpy()
+                inside = drawn(units, turn, c.seed) < c.subsample if c.subsample < 1 else np.ones(len(w), bool)
                 if tree is None:
-                    held = ~inside if c.subsample < 1 else inside
+                    held = drawn(units, turn - 1, c.seed) >= c.subsample if c.subsample < 1 else inside
                     pre += float(arrays(y[held, :t0], cpred[held, :t0])[0].sum())
                     post += float(arrays(y[held, t0:], pred[held, t0:])[0].sum())
                 leaf = tree.leaves(bins) if tree is not None else np.zeros(len(bins), np.int64)
                 here = np.isin(leaf, level) & inside
-                place = np.searchsorted(level, leaf[here])
+                place = np.searchsorted(level, leaf[here]) * width
                 _, g, h = arrays(y[here], pred[here])
                 _, cg, ch = arrays(y[here], cpred[here])
                 sums = [*g.T, *h.T, *cg.T, *ch.T, eta[here], np.ones(int(here.sum()))]
                 for f in range(m):
-                    key = ((place * m + f) * width + bins[here, f]) * 2 + w[here]
+                    key = (place + bins[here, f]) * 2 + w[here]
                     for i, v in enumerate(sums):
-                        total[i] += np.bincount(key, v, size)
+                        total[i, f] += np.bincount(key, v, size)
+            total = total.reshape(4 * periods + 2, -1)
             cells = np.flatnonzero(total[-1])
-            yield pd.DataFrame({"cell": np.append(cells, -1), **{k: np.append(total[i, cells], (pre, post)[i] if i < 2 else 0.0) for i, k in enumerate(columns)}})
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(cells, -1)), *(pa.array(np.append(total[i, cells], (pre, post)[i] if i < 2 else 0.0)) for i in range(len(columns)))], ["cell", *columns])
 
-        rows = state.mapInPandas(run, "cell bigint, " + ", ".join(f"{k} double" for k in columns)).groupBy("cell").agg(*(F.sum(k).alias(k) for k in columns)).toPandas()
+        rows = state.mapInArrow(run, "cell bigint, " + ", ".join(f"{k} double" for k in columns)).groupBy("cell").agg(*(F.sum(k).alias(k) for k in columns)).toPandas()
         losses, rows = rows[rows["cell"] < 0], rows[rows["cell"] >= 0]
         loss = float(losses["s0"].sum() / max(1, t0) + c.coeff * losses["s1"].sum() / (periods - t0))
-        full = np.zeros((4 * periods + 2, size))
+        full = np.zeros((4 * periods + 2, m * size))
         full[:, rows["cell"].to_numpy()] = rows[columns].to_numpy().T
-        shape = (len(level), m, width, 2)
-        parts = {k: np.moveaxis(full[i * periods : (i + 1) * periods].reshape(periods, *shape), 0, -1) for i, k in enumerate(("g", "h", "cg", "ch"))}
-        parts |= {"e": full[-2].reshape(shape), "n": full[-1].reshape(shape)}
+        full = full.reshape(-1, m, len(level), width, 2).swapaxes(1, 2)
+        parts = {k: np.moveaxis(full[i * periods : (i + 1) * periods], 0, -1) for i, k in enumerate(("g", "h", "cg", "ch"))}
+        parts |= {"e": full[-2], "n": full[-1]}
         return {leaf: {k: v[i] for k, v in parts.items()} for i, leaf in enumerate(level)}, loss
 
-    def score(self, df: DataFrame, value, schema: str, key: str = "id") -> DataFrame:
-        """(key, value of (bins -> array) for the rows): works on batch and streaming frames alike."""
-        bounds, features = [self.bounds[f] for f in self.features], self.features
-
-        def run(parts):
-            for pdf in parts:
-                x = pdf[features].to_numpy(float)
-                bins = np.stack([transform(x[:, i], b) for i, b in enumerate(bounds)], 1).astype(np.int64)
-                yield pd.DataFrame({key: pdf[key], "value": list(value(bins))})
-
-        return df.select(key, *(F.col(f).cast("double") for f in features)).mapInPandas(run, f"`{key}` {dict(df.dtypes)[key]}, value {schema}")
-
     def _theta(self, bins: np.ndarray) -> np.ndarray:
+        """theta [rows, arms, periods] of all trees, from bins."""
         return self.config.learning_rate * sum((t.values(bins)[0] for t in self.trees), np.zeros((len(bins), 2, self.periods)))
 
+    def _leaf_sql(self, tree: Tree, level: int, place: dict[int, int]) -> str:
+        """The place of a row's leaf, on features __x0, __x1, ..."""
+        node = tree.nodes[level]
+        if node.is_leaf:
+            return str(place[level])
+        left, right = (self._leaf_sql(tree, k, place) for k in (2 * level + 1, 2 * level + 2))
+        return f"CASE WHEN __x{node.feature} <= {_double(node.bound)} THEN {left} ELSE {right} END"
+
+    def compiled(self, df: DataFrame, keep: list[str]) -> DataFrame:
+        """The columns keep of df with __leaf (ids of each tree's leaf), __theta (the trees' steps summed, arm by arm and period by period) and __eta (the shift of each tree): Columns on raw values, for tables and streams."""
+        places = [{k: i for i, k in enumerate(sorted(n for n, x in t.nodes.items() if x.is_leaf))} for t in self.trees]
+        most = max((len(p) for p in places), default=1)
+        at = F.expr("array(" + ", ".join(self._leaf_sql(t, 0, p) for t, p in zip(self.trees, places, strict=True)) + ")")
+        table = lambda value: [value(t.nodes[k]) for t, p in zip(self.trees, places, strict=True) for k in [*p, *[next(iter(p))] * (most - len(p))]]
+        look = lambda values: f"transform(__at, (p, i) -> get(array({', '.join(values)}), i * {most} + p))"
+        sums = [f"aggregate({look(table(lambda n, d=d, t=t: _double(n.theta[d, t])))}, 0D, (a, v) -> a + v)" for d in (0, 1) for t in range(self.periods)]
+        out = df.select(*keep, *(v.alias(f"__x{i}") for i, v in enumerate(self._values(df)))).select(*keep, at.alias("__at"))
+        return out.select(*keep, F.expr(look(table(lambda n: f"{n.level}L"))).alias("__leaf"), F.expr(f"array({', '.join(sums)})").alias("__theta"), F.expr(look(table(lambda n: _double(n.eta)))).alias("__eta"))
+
     def predict(self, frame: CausalFrame | DataFrame, what: str = "effect", key: str = "id") -> DataFrame:
         """effect (debiased, after treatment), effect-ND, leaf_id or outcome as array columns of that name."""
-        df, key, t0 = (frame.df, frame.key, self.t0) if isinstance(frame, CausalFrame) else (frame, key, self.t0)
-
-        def effect(bins):
-            tau = self._theta(bins)
-            tau = tau[:, 1] - tau[:, 0]
-            return tau[:, t0:] - (tau[:, :t0].mean(1, keepdims=True) if t0 else 0.0)
-
-        def raw(bins):
-            tau = self._theta(bins)
-            return (tau[:, 1] - tau[:, 0])[:, t0 : t0 + 1]
-
-        makers = {"effect": (effect, "array<double>"), "effect-ND": (raw, "array<double>"), "leaf_id": (lambda b: np.stack([t.leaves(b) for t in self.trees], 1), "array<bigint>"), "outcome": (lambda b: self._theta(b).reshape(len(b), -1), "array<double>")}
-        makers |= self._more()
+        df, key = (frame.df, frame.key) if isinstance(frame, CausalFrame) else (frame, key)
+        makers = {"effect": self._effect, "effect-ND": lambda: F.array(self._gap(self.t0)), "leaf_id": lambda: F.col("__leaf"), "outcome": lambda: F.transform("__theta", lambda x: self.config.learning_rate * x)} | self._more()
         if what not in makers:
             raise ValueError(f"{what} is none of {sorted(makers)}")
-        return self.score(df, *makers[what], key).withColumnRenamed("value", what)
+        return self.compiled(df, [key]).select(key, makers[what]().alias(what))
+
+    def _gap(self, t: int) -> Column:
+        """The arms' difference in a period."""
+        rate = self.config.learning_rate
+        return rate * F.get("__theta", F.lit(self.periods + t)) - rate * F.get("__theta", F.lit(t))
+
+    def _effect(self) -> Column:
+        before = [self._gap(t) for t in range(self.t0)]
+        bias = sum(before[1:], before[0]) / self.t0 if before else F.lit(0.0)
+        return F.array(*(self._gap(t) - bias for t in range(self.t0, self.periods)))
 
     def _more(self) -> dict:
         return {}
@@ -361,7 +431,7 @@ class Boosting:
 
     def save(self, spark, path: str) -> None:
         """Bounds and nodes as rows of JSON."""
-        rows = [(-1, json.dumps({"bounds": self.bounds, "features": self.features, "t0": self.t0, "periods": self.periods, "width": self.width}))] + [(i, json.dumps(t)) for i, t in enumerate(self.export())]
+        rows = [(-1, json.dumps({"bounds": self.bounds, "features": self.features, "t0": self.t0, "periods": self.periods, "width": self.width, "dictionaries": self.dictionaries, "trivial": self.trivial}))] + [(i, json.dumps(t)) for i, t in enumerate(self.export())]
         spark.createDataFrame(rows, "tree int, json string").coalesce(1).write.mode("overwrite").parquet(path)
 
     @classmethod
@@ -371,6 +441,7 @@ class Boosting:
             x = json.loads(r.json)
             if r.tree < 0:
                 out.bounds, out.features, out.t0, out.periods, out.width = x["bounds"], x["features"], x["t0"], x["periods"], x["width"]
+                out.dictionaries, out.trivial = x.get("dictionaries", {}), x.get("trivial", [])
             else:
                 out.trees.append(Tree({n["level_id"]: Node(n["level_id"], np.array(n["outcomes"]), n["eta"][0], None if n["is_leaf"] else out.features.index(n["split_feature"]), n["bin"], n["bound"], n["children"]) for n in x}))
         return out
@@ -392,11 +463,8 @@ class DifferenceInDifferencesRegressionTree(Boosting):
     did = True
 
     def _more(self) -> dict:
-        def effect(bins):
-            out = np.zeros((len(bins), self.periods))
-            for t in self.trees:
-                theta, e = t.values(bins)
-                out += theta[:, 1] - theta[:, 0] - e[:, None]
-            return self.config.learning_rate * out[:, self.t0 :]
-
-        return {"effect": (effect, "array<double>"), "eta": (lambda b: np.stack([t.values(b)[1] for t in self.trees], 1), "array<double>")}
+        return {"eta": lambda: F.col("__eta")}
+
+    def _effect(self) -> Column:
+        shift = self.config.learning_rate * F.aggregate("__eta", F.lit(0.0), lambda a, v: a + v)
+        return F.array(*(self._gap(t) - shift for t in range(self.t0, self.periods)))

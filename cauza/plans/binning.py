@@ -22,7 +22,7 @@ def _features(spark, sf_dir):
 def bin_bounds_greedy(spark, sf_dir):
     """Bounds of a feature with more values than bins, of one with zeros, and of one with both signs."""
     found = N.fit_bins(_features(spark, sf_dir), ["quantity", "discount", "signed"], MOST, LEAST)
-    return spark.createDataFrame([(f, i, round(b, 9)) for f, bounds in found.items() for i, b in enumerate(bounds)], "feature string, bin int, bound double")
+    return spark.createDataFrame(_round(found), "feature string, bin int, bound double")
 
 
 GREEDY = f"""WITH RECURSIVE v AS (SELECT l_quantity AS value, count(*) AS n FROM lineitem GROUP BY ALL),
@@ -42,6 +42,50 @@ b AS (SELECT * FROM q UNION ALL SELECT * FROM m WHERE bound IS NOT NULL UNION AL
 SELECT feature, (row_number() OVER (PARTITION BY feature ORDER BY bound) - 1)::INT AS bin, round(bound, 9) AS bound FROM b"""
 
 
+def _round(found: dict):
+    return [(f, i, round(b, 9)) for f, bounds in found.items() for i, b in enumerate(bounds)]
+
+
+def bin_bounds_exact(spark, sf_dir):
+    """Bounds of a price, almost every value of which is another one."""
+    found = N.fit_bins(table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("price")), ["price"], MOST, LEAST)
+    return spark.createDataFrame(_round(found), "feature string, bin int, bound double")
+
+
+def bin_bounds_forced(spark, sf_dir):
+    """Eight bins of quantities and of prices around two forced bounds each."""
+    df = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"))
+    found = N.fit_bins(df, list(FORCED), 8, LEAST, FORCED)
+    return spark.createDataFrame(_round(found), "feature string, bin int, bound double")
+
+
+FORCED = {"quantity": [10.0, 25.5], "price": [40000.25, 1500.0]}
+
+
+def _steps(gaps: str, values: str, most: int) -> str:
+    """Cuts of positive values without frequent ones. gaps: (gap, bins, n); values: (gap, value, n). A bin ends at the first value that fills it, and what is left is dealt anew to the bins that are left."""
+    steps = [f"gaps AS ({gaps}), vals AS ({values}), v AS (SELECT *, sum(n) OVER u AS cum, lead(value) OVER u AS next FROM vals WINDOW u AS (PARTITION BY gap ORDER BY value)), s0 AS (SELECT gap, bins, n, 0::DOUBLE AS cum, NULL::DOUBLE AS bound FROM gaps)"]
+    for k in range(most - 1):
+        steps.append(f"s{k + 1} AS (SELECT s.gap, any_value(s.bins) AS bins, any_value(s.n) AS n, min(v.cum)::DOUBLE AS cum, arg_min((v.value + v.next) / 2, v.value) AS bound FROM s{k} s JOIN v ON v.gap = s.gap WHERE s.bins > {k + 1} AND v.next IS NOT NULL AND v.cum >= s.cum + (s.n - s.cum) / (s.bins - {k}) GROUP BY s.gap)")
+    return ", ".join(steps) + ", cuts AS (" + " UNION ALL ".join(f"SELECT gap, bound FROM s{k + 1}" for k in range(most - 1)) + ")"
+
+
+EXACT = f"WITH {_steps(f'SELECT 0 AS gap, least({MOST - 1}, count(*) // {LEAST}) AS bins, count(*)::DOUBLE AS n FROM lineitem', 'SELECT 0 AS gap, l_extendedprice AS value, count(*) AS n FROM lineitem GROUP BY ALL', MOST - 1)}, b AS (SELECT bound FROM cuts UNION ALL SELECT 'inf'::DOUBLE) SELECT 'price' AS feature, (row_number() OVER (ORDER BY bound) - 1)::INT AS bin, round(bound, 9) AS bound FROM b"
+
+
+def _forced_sql(feature: str, column: str) -> str:
+    low, high = sorted(FORCED[feature])
+    gap = f"CASE WHEN {column} < {low} THEN 0 WHEN {column} < {high} THEN 1 ELSE 2 END"
+    # four free bins: rounded shares of the rows to the first two gaps, the rest to the last
+    shares = f"SELECT gap, n, CASE WHEN gap < 2 THEN least(floor(n * 4 / whole + 0.5), 4) END AS share FROM (SELECT {gap} AS gap, count(*)::DOUBLE AS n, (SELECT count(*) FROM lineitem)::DOUBLE AS whole FROM lineitem GROUP BY 1)"
+    gaps = f"SELECT gap, n, 1 + CASE gap WHEN 0 THEN share WHEN 1 THEN least(share, 4 - sum(share) FILTER (gap = 0) OVER ()) ELSE 4 - sum(share) FILTER (gap < 2) OVER () END AS bins FROM ({shares})"
+    sql = _steps(gaps, f"SELECT {gap} AS gap, {column} AS value, count(*) AS n FROM lineitem GROUP BY ALL", 5)
+    return f"SELECT '{feature}' AS feature, bound FROM (WITH {sql} SELECT bound FROM cuts) UNION ALL SELECT '{feature}', unnest([1e-35, {low}, {high}, 'inf'::DOUBLE])"
+
+
+FORCED_SQL = f"SELECT feature, (row_number() OVER (PARTITION BY feature ORDER BY bound) - 1)::INT AS bin, round(bound, 9) AS bound FROM ({_forced_sql('quantity', 'l_quantity')} UNION ALL {_forced_sql('price', 'l_extendedprice')})"
+
+
 def bin_categories(spark, sf_dir):
     """Nations of customers from the most frequent on, until the share is covered."""
     counts = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n")).toPandas()  # a row for each nation
@@ -105,7 +149,7 @@ def countby_stacked(spark, sf_dir):
 
 _BOTH = f"WITH {PANEL}, f AS (SELECT 0 AS feature, b0 AS bin, w, y FROM binned UNION ALL SELECT 1, b1, w, y FROM binned)"
 QUERIES = {
-    "bin_bounds_greedy": (bin_bounds_greedy, GREEDY), "bin_categories": (bin_categories, CATEGORIES), "bin_trivial": (bin_trivial, TRIVIAL), "bin_inverse": (bin_inverse, INVERSE),
+    "bin_bounds_greedy": (bin_bounds_greedy, GREEDY), "bin_bounds_exact": (bin_bounds_exact, EXACT), "bin_bounds_forced": (bin_bounds_forced, FORCED_SQL), "bin_categories": (bin_categories, CATEGORIES), "bin_trivial": (bin_trivial, TRIVIAL), "bin_inverse": (bin_inverse, INVERSE),
     "sumby_log": (sumby_log, f"{_BOTH} SELECT feature, bin, w, round(sum(ln(y[1] + 1)), 8) AS y0, round(sum(ln(y[7] + 1)), 8) AS y6 FROM f GROUP BY ALL"),
     "sumby_identity": (sumby_identity, f"{_BOTH} SELECT feature, bin, w, sum(y[1]) AS y0, sum(y[7]) AS y6 FROM f GROUP BY ALL"),
     "countby_stacked": (countby_stacked, f"{_BOTH} SELECT feature, bin, w, count(*) FILTER (y[1] > 0 OR y[7] > 0) AS n FROM f GROUP BY ALL"),

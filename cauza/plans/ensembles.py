@@ -11,21 +11,27 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from ..operators import boosting as B
+from ..session import table
 from ..sources.frames import CausalFrame
 from ..sources.shared import new_path
 from .trees import PANEL, panel_frame
 
 BOUNDS = {"nation": [k + 0.5 for k in range(24)] + [float("inf")], "balance": [1000.0 * k for k in range(10)] + [float("inf")]}
-KINDS = {"gbct": B.GradientBoostingCausalRegressionTree, "did": B.DifferenceInDifferencesRegressionTree, "uplift": B.GradientBoostingUpliftTree, "monotone": B.GradientBoostingCausalRegressionTree}
-TREES, LAMBD, RATE = 2, 5.0, 0.1
+KINDS = {"gbct": B.GradientBoostingCausalRegressionTree, "did": B.DifferenceInDifferencesRegressionTree, "uplift": B.GradientBoostingUpliftTree, "monotone": B.GradientBoostingCausalRegressionTree, "sampled": B.GradientBoostingCausalRegressionTree, "categorical": B.GradientBoostingCausalRegressionTree}
+TREES, LAMBD, RATE, SHARE = 2, 5.0, 0.1, 0.5
 
 
 def _model(spark, sf_dir, kind: str):
     df = panel_frame(spark, sf_dir).select("id", "w", "y", F.col("c_nationkey").cast("double").alias("nation"), F.col("c_acctbal").alias("balance"))
     frame = CausalFrame(df, ["nation", "balance"], n_period=7, treat_dt=6)
+    if kind == "categorical":  # nations by name; the dictionary and its bins come from the fit
+        names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("double").alias("nation"), "n_name")
+        frame = CausalFrame(df.join(F.broadcast(names), "nation").drop("nation").withColumnRenamed("n_name", "nation"), ["nation", "balance"], n_period=7, treat_dt=6, categorical=["nation"])  # 25 names
+        config = B.Config(n_estimators=TREES, max_depth=1)
+        return KINDS["gbct"](config, {"balance": BOUNDS["balance"]}).fit(frame), frame, config
     if kind == "uplift":
         frame = CausalFrame(df.withColumn("y", F.array((F.get("y", F.lit(6)) > 0).cast("double"))), ["nation", "balance"], n_period=1, treat_dt=0)
-    config = B.Config(n_estimators=TREES, max_depth=1, monotone=-1 if kind == "monotone" else 0)
+    config = B.Config(n_estimators=TREES, max_depth=1, monotone=-1 if kind == "monotone" else 0, subsample=SHARE if kind == "sampled" else 1.0)
     return KINDS[kind](config, BOUNDS).fit(frame), frame, config
 
 
@@ -41,6 +47,12 @@ def _effects(kind: str, spark, sf_dir):
     return out.join(model.predict(frame, "eta").select("id", F.round(F.get("eta", F.lit(0)), 6).alias("eta1"), F.round(F.get("eta", F.lit(1)), 6).alias("eta2")), "id") if kind == "did" else out
 
 
+def sampled_losses(spark, sf_dir):
+    """Validation loss after each tree, over the rows that it did not draw."""
+    model, _, _ = _model(spark, sf_dir, "sampled")
+    return spark.createDataFrame([(k, round(v, 4)) for k, v in enumerate(model.valid_losses)], "tree int, loss double")
+
+
 def tree_nodes(spark, sf_dir):
     """Nodes of both trees as they are exported: thetas after treatment, bias, effect."""
     model, _, _ = _model(spark, sf_dir, "gbct")
@@ -59,6 +71,15 @@ def _bins(x: str, bounds: list[float]) -> str:
     return f"list_sum(list_transform([{', '.join(map(str, bounds[:-1]))}], lambda b: ({x} > b)::INT))::INT"
 
 
+def _draw(k: int) -> str:
+    """The number from 0 up to 1 that tree k gives a row: the first 32 bits of its key's MD5, mixed."""
+    x = f"xor(('0x' || substr(md5(id::VARCHAR), 1, 8))::UBIGINT, {k * 0x9E3779B1 & 0xFFFFFFFF}::UBIGINT)"
+    for factor, shift in ((0x85EBCA6B, 13), (0xC2B2AE35, 16)):
+        x = f"(({x} * {factor}::UBIGINT) & 4294967295::UBIGINT)"
+        x = f"xor({x}, {x} >> {shift})"
+    return f"({x} / 4294967296.0)"
+
+
 def _tree(k: int, kind: str, periods: int, t0: int) -> str:
     """CTEs of one tree over rows{k}: histograms, both sides of every split, costs, the best split, its leaves, the rows after its step."""
     logit = kind == "uplift"
@@ -69,9 +90,10 @@ def _tree(k: int, kind: str, periods: int, t0: int) -> str:
     pre = quad("(other + CASE w WHEN 1 THEN eta ELSE -eta END)", "cg", "ch")
     shift = "coalesce(eta, 0)" if kind == "did" else "0.0"
     eta = f"""-sum(CASE WHEN t < {t0} THEN CASE w WHEN 1 THEN cg / n ELSE -cg / n END + CASE w WHEN 1 THEN ch * other / n ELSE -ch * other / n1 END END) / sum(CASE WHEN t < {t0} THEN ch / n END)"""
+    drawn, held = (f" WHERE {_draw(k)} < {SHARE}", f" WHERE {_draw(k)} >= {SHARE}") if kind == "sampled" else ("", "")
     limit = "HAVING min(CASE WHEN t >= {0} THEN -gap END) >= 0".format(t0) if kind == "monotone" else ""
     return f"""
-long{k} AS (SELECT f.feature, CASE f.feature WHEN 0 THEN b0 ELSE b1 END AS bin, w, t, {g('pred')} AS g, {h('pred')} AS h, {g('cpred')} AS cg, {h('cpred')} AS ch FROM rows{k}, (VALUES (0), (1)) f(feature)),
+long{k} AS (SELECT f.feature, CASE f.feature WHEN 0 THEN b0 ELSE b1 END AS bin, w, t, {g('pred')} AS g, {h('pred')} AS h, {g('cpred')} AS cg, {h('cpred')} AS ch FROM rows{k}, (VALUES (0), (1)) f(feature){drawn}),
 hist{k} AS (SELECT feature, bin, w, t, sum(g) AS g, sum(h) AS h, sum(cg) AS cg, sum(ch) AS ch, count(*) AS n FROM long{k} GROUP BY ALL),
 dense{k} AS (SELECT c.feature, c.bin, a.w, p.t, {', '.join(f'coalesce({s}, 0) AS {s}' for s in sums)} FROM (SELECT DISTINCT feature, bin FROM hist{k}) c CROSS JOIN (VALUES (0), (1)) a(w) CROSS JOIN (SELECT unnest(range({periods})) AS t) p LEFT JOIN hist{k} i ON i.feature = c.feature AND i.bin = c.bin AND i.w = a.w AND i.t = p.t),
 runs{k} AS (SELECT feature, bin, w, t, {', '.join(f'sum({s}) OVER u AS l{s}, sum({s}) OVER a AS a{s}' for s in sums)} FROM dense{k} WINDOW u AS (PARTITION BY feature, w, t ORDER BY bin ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY feature, w, t)),
@@ -88,19 +110,22 @@ placed{k} AS (SELECT r.*, CASE WHEN CASE b.feature WHEN 0 THEN b0 ELSE b1 END <=
 rows{k + 1} AS (SELECT r.id, r.w, r.b0, r.b1, r.t, r.y, r.pred + {RATE} * own.theta AS pred, r.cpred + {RATE} * (opp.theta - CASE r.w WHEN 0 THEN own.eta ELSE -own.eta END) AS cpred,
   r.tau + {RATE} * (CASE r.w WHEN 1 THEN own.theta - opp.theta ELSE opp.theta - own.theta END) AS tau, r.off + {RATE} * own.eta AS off, list_append(r.leaves, r.side + 1) AS leaves, list_append(r.etas, own.eta) AS etas
   FROM placed{k} r JOIN leaf{k} own ON own.side = r.side AND own.w = r.w AND own.t = r.t JOIN leaf{k} opp ON opp.side = r.side AND opp.w = 1 - r.w AND opp.t = r.t),
-loss{k + 1} AS (SELECT sum(CASE WHEN t < {t0} THEN (y - cpred) ** 2 / {max(1, t0)} ELSE (y - pred) ** 2 / {periods - t0} END) AS loss FROM rows{k + 1})"""
+loss{k + 1} AS (SELECT sum(CASE WHEN t < {t0} THEN (y - cpred) ** 2 / {max(1, t0)} ELSE (y - pred) ** 2 / {periods - t0} END) AS loss FROM rows{k + 1}{held})"""
 
 
 def _ctes(kind: str) -> tuple[str, int]:
     periods, t0 = (1, 0) if kind == "uplift" else (7, 6)
     y = "(y[7] > 0)::INT::DOUBLE" if kind == "uplift" else "y[p.t + 1]"
-    start = f"rows0 AS (SELECT id, w, {_bins('c_nationkey', BOUNDS['nation'])} AS b0, {_bins('c_acctbal', BOUNDS['balance'])} AS b1, p.t, {y} AS y, 0.0::DOUBLE AS pred, 0.0::DOUBLE AS cpred, 0.0::DOUBLE AS tau, 0.0::DOUBLE AS off, []::INT[] AS leaves, []::DOUBLE[] AS etas FROM panel, (SELECT unnest(range({periods})) AS t) p)"
+    nation = "(SELECT code FROM codes WHERE n_nationkey = c_nationkey)" if kind == "categorical" else _bins("c_nationkey", BOUNDS["nation"])
+    codes = """codes AS (SELECT n_nationkey, CASE WHEN before < 0.99 * whole THEN (row_number() OVER (ORDER BY n DESC, n_name) - 1)::INT ELSE (count(*) FILTER (before < 0.99 * whole) OVER ())::INT END AS code
+  FROM (SELECT n_nationkey, n_name, n, sum(n) OVER (ORDER BY n DESC, n_name ROWS UNBOUNDED PRECEDING) - n AS before, sum(n) OVER () AS whole FROM (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey) JOIN nation ON n_nationkey = c_nationkey)), """ if kind == "categorical" else ""
+    start = f"{codes}rows0 AS (SELECT id, w, {nation} AS b0, {_bins('c_acctbal', BOUNDS['balance'])} AS b1, p.t, {y} AS y, 0.0::DOUBLE AS pred, 0.0::DOUBLE AS cpred, 0.0::DOUBLE AS tau, 0.0::DOUBLE AS off, []::INT[] AS leaves, []::DOUBLE[] AS etas FROM panel, (SELECT unnest(range({periods})) AS t) p)"
     return f"WITH {PANEL.split(chr(44) + chr(10) + 'binned')[0]}, {start}, {', '.join(_tree(k, kind, periods, t0) for k in range(TREES))}", t0
 
 
 def _sql(kind: str) -> str:
     ctes, t0 = _ctes(kind)
-    bias = f"coalesce(avg(tau) FILTER (t < {t0}), 0)" if kind in ("gbct", "monotone") else "avg(off)" if kind == "did" else "0"
+    bias = f"coalesce(avg(tau) FILTER (t < {t0}), 0)" if kind not in ("did", "uplift") else "avg(off)" if kind == "did" else "0"
     more = ", round(any_value(etas)[1], 6) AS eta1, round(any_value(etas)[2], 6) AS eta2" if kind == "did" else ""
     return f"{ctes} SELECT id, round(max(tau) FILTER (t >= {t0}) - {bias}, 6) AS effect, any_value(leaves)[1]::BIGINT AS leaf1, any_value(leaves)[2]::BIGINT AS leaf2{more} FROM rows{TREES} GROUP BY id"
 
@@ -112,4 +137,5 @@ def _nodes_sql() -> str:
 
 
 COUNTS = f"{_ctes('gbct')[0]} SELECT f.name AS feature, count(b.feature)::INT AS n, (SELECT round(loss, 4) FROM loss1) AS loss1, (SELECT round(loss, 4) FROM loss2) AS loss2 FROM (VALUES (0, 'nation'), (1, 'balance')) f(i, name) LEFT JOIN (SELECT feature FROM best0 UNION ALL SELECT feature FROM best1) b ON b.feature = f.i GROUP BY f.name"
-QUERIES = {f"{kind}_two_trees": (partial(_effects, kind), _sql(kind)) for kind in KINDS} | {"tree_nodes": (tree_nodes, _nodes_sql()), "split_counts": (split_counts, COUNTS)}
+LOSSES = f"{_ctes('sampled')[0]} SELECT 0 AS tree, round(loss, 4) AS loss FROM loss1 UNION ALL SELECT 1, round(loss, 4) FROM loss2"
+QUERIES = {f"{kind}_two_trees": (partial(_effects, kind), _sql(kind)) for kind in KINDS} | {"tree_nodes": (tree_nodes, _nodes_sql()), "split_counts": (split_counts, COUNTS), "sampled_losses": (sampled_losses, LOSSES)}

@@ -51,8 +51,11 @@ class CausalFrame:
     n_period: int = 1
     treat_dt: int = 0
     side: list[str] = field(default_factory=list)
+    categorical: list[str] = field(default_factory=list)  # those features that are categories
 
     def __post_init__(self):
+        if unknown := set(self.categorical) - set(self.features):
+            raise ValueError(f"no features: {sorted(unknown)}")
         if missing := {*self.features, self.treatment, self.outcomes, self.key, *self.side} - set(self.df.columns):
             raise ValueError(f"columns are missing: {sorted(missing)}")
         if not 0 <= self.treat_dt < self.n_period:
@@ -64,7 +67,7 @@ class CausalFrame:
             raise ValueError(f"no features: {sorted(unknown)}")
         kept = [f for f in self.features if features is None or f in features]
         df = (self.df if rows is None else self.df.filter(rows)).drop(*(f for f in self.features if f not in kept))
-        return replace(self, df=df, features=kept)
+        return replace(self, df=df, features=kept, categorical=[f for f in self.categorical if f in kept])
 
     def check(self) -> CausalFrame:
         """One pass over the rows: outcomes of n_period values, treatment 0 or 1."""

@@ -114,20 +114,98 @@ def test_frame_checks(spark):
         CausalFrame(df, ["x"], n_period=2, treat_dt=1).check()
 
 
-def test_bins_of_ranges_are_close_to_exact_ones(spark):
-    rnd = np.random.default_rng(3)
-    x = np.concatenate([rnd.normal(size=20_000), np.zeros(700), np.full(900, 2.5), [np.nan] * 5])
-    df = spark.createDataFrame(pd.DataFrame({"x": x})).repartition(5)
-    exact = B.fit_bins(df, ["x"], 32, 10, resolution=1_000_000)["x"]
-    rough = B.fit_bins(df, ["x"], 32, 10, resolution=500)["x"]
-    assert abs(len(rough) - len(exact)) <= 1 and rough[-1] == float("inf")
-    share = lambda b: np.bincount(B.transform(x[~np.isnan(x)], b), minlength=len(b)) / len(x)
-    assert np.abs(np.cumsum(share(rough))[: len(exact) - 1][:20] - np.cumsum(share(exact))[: len(rough) - 1][:20]).max() < 0.01
-    zero = B.transform(np.array([0.0]), rough)[0]
-    assert share(rough)[zero] == 700 / len(x)  # zero alone
-    rows = B.ranges(df, ["x"], 500).toPandas()
-    assert rows["n"].sum() == len(x) - 5 and (rows["low"] <= rows["value"]).all() and len(rows) <= 503
-    assert rows[(rows["low"] == 2.5) & (rows["value"] == 2.5)]["n"].sum() == 900  # a frequent value alone
+def plain_bounds(values, counts, most, least):
+    """The greedy scan over values one by one, as published; values without a number between them are one."""
+    v, n = [], []
+    for x, k in zip(values.tolist(), counts.tolist()):
+        if v and x <= np.nextafter(v[-1], np.inf):
+            v[-1], n[-1] = x, n[-1] + k
+        else:
+            v.append(x), n.append(k)
+    ends, held = [], 0
+    if len(v) <= most:
+        for i in range(len(v) - 1):
+            held += n[i]
+            if held >= least:
+                ends.append(i)
+                held = 0
+    else:
+        most = max(1, min(most, sum(n) // least))
+        big = [k >= sum(n) / most for k in n]
+        bins, left = most - sum(big), sum(k for k, b in zip(n, big) if not b)
+        mean = left / max(1, bins)
+        for i in range(len(v) - 1):
+            left -= 0 if big[i] else n[i]
+            held += n[i]
+            if big[i] or held >= mean or (big[i + 1] and held >= max(1.0, mean / 2)):
+                ends.append(i)
+                held = 0
+                if len(ends) >= most - 1:
+                    break
+                if not big[i]:
+                    bins -= 1
+                    mean = left / max(1, bins)
+    out = []
+    for b in (float(np.nextafter((v[i] + v[i + 1]) / 2, np.inf)) for i in ends):
+        if not out or b > np.nextafter(out[-1], np.inf):
+            out.append(b)
+    return [*out, np.inf]
+
+
+def shapes(seed, n=4000):
+    rnd = np.random.default_rng(seed)
+    ulps = 1 + np.cumsum(rnd.integers(1, 3, 3000)) * np.finfo(float).eps
+    return {"normal": np.abs(rnd.normal(size=n)), "heavy": np.exp(rnd.normal(size=n) * 20), "few": rnd.integers(1, 40, n) * 1.0, "frequent": np.where(rnd.random(n) < 0.4, rnd.choice([0.5, 0.7, 3.0], n), rnd.random(n)), "ulps": rnd.choice(ulps, n), "mixed": np.round(np.abs(rnd.normal(size=n)), rnd.integers(1, 5)) + 1.0}
+
+
+def test_scan_over_cells_opens_what_it_has_to():
+    """Cells of many values give the bounds of the values once the open ones are cut."""
+    for seed in range(12):
+        for name, x in shapes(seed).items():
+            values, counts = np.unique(x, return_counts=True)
+            for most, least in ((4, 10), (16, 1), (63, 10), (255, 3)):
+                want = plain_bounds(values, counts, most, least)
+                edge = np.unique(np.r_[0, np.random.default_rng(seed).integers(0, len(values), 30)])
+                cells = B.Cells(values[edge], values[np.r_[edge[1:], len(values)] - 1], np.add.reduceat(counts, edge))
+                for _ in range(60):
+                    bounds, opened = B.greedy(cells.merged(), most, least)
+                    opened = [k for k in sorted(opened) if cells.low[k] < cells.high[k]]
+                    if not opened:
+                        break
+                    at = np.unique(np.concatenate([np.searchsorted(values, np.r_[cells.low, values[-1]])[:-1], *(np.linspace(*np.searchsorted(values, [cells.low[k], cells.high[k]]), 4).astype(int) for k in opened)]))
+                    cells = B.Cells(values[at], values[np.r_[at[1:], len(values)] - 1], np.add.reduceat(counts, at))
+                assert bounds == want, (name, seed, most, least)
+
+
+def test_bounds_of_many_values_are_exact(spark):
+    names = list(shapes(0))
+    x = pd.DataFrame(shapes(0)) * np.where(np.random.default_rng(1).random((4000, len(names))) < 0.3, -1, 1)
+    x.iloc[:300] = 0.0
+    x.iloc[300:310] = np.nan
+    df = spark.createDataFrame(x).repartition(5)
+    for parts in (16, 300):
+        found = B.fit_bins(df, names, 32, 10, parts=parts)
+        for name in names:
+            assert found[name] == B.feature_bounds(*np.unique(x[name].dropna(), return_counts=True), 32, 10), (name, parts)
+    forced = {"normal": [0.5, -0.3, 1.0], "few": [3.0, 3.5], "heavy": [1e6]}
+    found = B.fit_bins(df, names, 16, 5, forced, parts=16)
+    for name in names:
+        assert found[name] == B.feature_bounds(*np.unique(x[name].dropna(), return_counts=True), 16, 5, forced.get(name, ())) and len(found[name]) <= 16
+        assert set(forced.get(name, ())) <= set(found[name])
+    none = B.fit_bins(df.limit(0), names[:2], 16, 5)
+    assert none == {n: [float("inf")] for n in names[:2]}
+
+
+def test_forced_bounds_stay_inside_max_bin():
+    values, counts = np.arange(-50, 51) * 1.0, np.full(101, 10)
+    for most in (2, 3, 4, 8, 20):
+        bounds = B.feature_bounds(values, counts, most, 1, [10.0, 20.0, 30.0, -5.0])
+        assert len(bounds) <= most and bounds == sorted(bounds) and bounds[-1] == float("inf")
+    assert {10.0, 20.0, 30.0, -5.0} <= set(B.feature_bounds(values, counts, 8, 1, [10.0, 20.0, 30.0, -5.0]))
+    assert len(B.feature_bounds(values, counts, 20, 1, [10.0, 20.0])) == 20
+    # rows decide where the free bins go: 8 of them, half of the rows below -ZERO
+    free = [b for b in B.feature_bounds(values, counts, 12, 1, [25.0]) if b not in (25.0, float("inf"), B.ZERO, -B.ZERO)]
+    assert len(free) == 8 and sum(b < 0 for b in free) == 4 and sum(b > 25 for b in free) == 2
 
 
 def test_right_children_by_subtraction(spark):
