@@ -1,13 +1,20 @@
 """Meta-learners, doubly robust and double machine learning estimators of treatment effects.
 
 Closed forms on one feature are single aggregations. The general learners take any pyspark.ml regressor and
-classifier; treatments are arms 0..k, arm 0 the control. Folds come from a hash of the key, not from row order.
+classifier; treatments are two or more whole numbers, the least one the control. Folds come from a hash of the key, not
+from row order. A fit writes the columns that it needs once, as each of its models reads them.
+
+The doubly robust and the double machine learner take controls beside the features: both enter the models of outcome and
+treatment, effects depend on features alone. Their last step is linear by default: sums of outer products of the rows'
+vectors are one distributed aggregate, which is solved for the effects of all arms at once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -17,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.frames import write_result
+from ..sources.shared import checkpointed
 
 
 def line(x: Column, y: Column) -> tuple[Column, Column]:
@@ -76,6 +84,41 @@ def dml_strata(df: DataFrame, strata: str, fold: str, y: str, w: str = "w") -> D
     return out.agg((F.sum(rw * ry) / F.sum(rw * rw)).alias("effect"))
 
 
+def gram(df: DataFrame, columns: Sequence[Column]) -> np.ndarray:
+    """Sums of products of all pairs of columns: a task adds up its rows, Spark the tasks' sums."""
+    k = len(columns)
+    i, j = np.triu_indices(k)
+
+    def run(batches):
+        total = np.zeros((k, k))
+        for batch in batches:
+            x = np.asarray(batch.column(0).flatten()).reshape(-1, k)
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], ["i", "j", "s"])
+
+    rows = df.select(F.array(*(F.coalesce(c.cast("double"), F.lit(float("nan"))) for c in columns)).alias("x")).mapInArrow(run, "i int, j int, s double")
+    out = np.zeros((k, k))
+    for r in rows.groupBy("i", "j").agg(F.sum("s").alias("s")).collect():  # a row for each pair of columns
+        out[r.i, r.j] = out[r.j, r.i] = r.s
+    return out
+
+
+def least_squares(df: DataFrame, inputs: Sequence[Column], targets: Sequence[Column]) -> np.ndarray:
+    """Coefficients [inputs, targets] of the least squares fits of all targets, in one pass."""
+    sums = gram(df, [*inputs, *targets])
+    k = len(inputs)
+    if not np.isfinite(sums).all():
+        raise ValueError("a value is missing or not finite")
+    return np.linalg.lstsq(sums[:k, :k], sums[:k, k:], rcond=None)[0]
+
+
+def _linear(coefficients: np.ndarray, columns: Sequence[Column]) -> Column:
+    out = F.lit(float(coefficients[0]))
+    for b, c in zip(coefficients[1:].tolist(), columns, strict=True):
+        out = out + F.lit(b) * c
+    return out
+
+
 class InferenceModel:
     """fit(), estimate() and output() around a subclass's _fit and _effect; columns: features, y, w, key."""
 
@@ -88,14 +131,23 @@ class InferenceModel:
     def fit(self, df: DataFrame) -> InferenceModel:
         if missing := {*self.features, self.y, self.w} - set(df.columns):
             raise ValueError(f"columns are missing: {sorted(missing)}")
+        df = checkpointed(df.select(*self._columns(df)))
         self.arms = [r[0] for r in df.select(F.col(self.w).cast("int").alias("w")).distinct().orderBy("w").collect()]
-        if len(self.arms) < 2 or self.arms[0] != 0:
-            raise ValueError("arm 0 and another one are needed")
+        if len(self.arms) < 2 or None in self.arms:
+            raise ValueError("two arms are needed, and one for each row")
+        self.base = self.arms[0]
         self._fit(df)
         return self
 
+    def _columns(self, df: DataFrame) -> list[str]:
+        return [c for c in dict.fromkeys([self.key, *self.features, self.y, self.w]) if c in df.columns]
+
+    def _arm_code(self) -> Column:
+        """The place of a row's arm among the arms."""
+        return (F.array_position(F.array(*map(F.lit, self.arms)), F.col(self.w).cast("int")) - 1).cast("double")
+
     def estimate(self, df: DataFrame) -> DataFrame:
-        """df with effect_k for each arm k above 0."""
+        """df with effect_k for each arm k but the least."""
         self.result = self._effect(df)
         return self.result
 
@@ -118,7 +170,7 @@ class InferenceModel:
 
 
 class TLearner(InferenceModel):
-    """A model for each arm; effects are differences to arm 0's."""
+    """A model for each arm; effects are differences to the least arm's."""
 
     def _fit(self, df):
         self.models = {k: self._model(self.regressor, df.filter(F.col(self.w) == k), self.features, self.y) for k in self.arms}
@@ -127,11 +179,11 @@ class TLearner(InferenceModel):
         out = df
         for k, m in self.models.items():
             out = self._apply(m, out, f"__m{k}")
-        return out.select(*df.columns, *((F.col(f"__m{k}") - F.col("__m0")).alias(f"effect_{k}") for k in self.arms[1:]))
+        return out.select(*df.columns, *((F.col(f"__m{k}") - F.col(f"__m{self.base}")).alias(f"effect_{k}") for k in self.arms[1:]))
 
 
 class SLearner(InferenceModel):
-    """One model on the features and an indicator of each arm above 0."""
+    """One model on the features and an indicator of each arm but the least."""
 
     def _arm(self, df, value):
         return df.withColumns({f"__w{k}": (value == k).cast("double") for k in self.arms[1:]})
@@ -144,7 +196,7 @@ class SLearner(InferenceModel):
         out = df
         for k in self.arms:
             out = self._apply(self.model, self._arm(out, F.lit(k)), f"__s{k}")
-        return out.select(*df.columns, *((F.col(f"__s{k}") - F.col("__s0")).alias(f"effect_{k}") for k in self.arms[1:]))
+        return out.select(*df.columns, *((F.col(f"__s{k}") - F.col(f"__s{self.base}")).alias(f"effect_{k}") for k in self.arms[1:]))
 
 
 class XLearner(InferenceModel):
@@ -154,9 +206,9 @@ class XLearner(InferenceModel):
         base = {k: self._model(self.regressor, df.filter(F.col(self.w) == k), self.features, self.y) for k in self.arms}
         self.parts = {}
         for k in self.arms[1:]:
-            low = self._apply(base[k], df.filter(F.col(self.w) == 0), "__m").withColumn("__d", F.col("__m") - F.col(self.y))
-            high = self._apply(base[0], df.filter(F.col(self.w) == k), "__m").withColumn("__d", F.col(self.y) - F.col("__m"))
-            pair = df.filter(F.col(self.w).isin(0, k)).withColumn("__t", (F.col(self.w) == k).cast("double"))
+            low = self._apply(base[k], df.filter(F.col(self.w) == self.base), "__m").withColumn("__d", F.col("__m") - F.col(self.y))
+            high = self._apply(base[self.base], df.filter(F.col(self.w) == k), "__m").withColumn("__d", F.col(self.y) - F.col("__m"))
+            pair = df.filter(F.col(self.w).isin(self.base, k)).withColumn("__t", (F.col(self.w) == k).cast("double"))
             self.parts[k] = self._model(self.regressor, low, self.features, "__d"), self._model(self.regressor, high, self.features, "__d"), self._model(self.classifier, pair, self.features, "__t")
 
     def _effect(self, df):
@@ -167,11 +219,26 @@ class XLearner(InferenceModel):
 
 
 class _CrossFit(InferenceModel):
-    """fold_column: a column that numbers the folds from 0; without it a hash of the key does."""
+    """controls: columns for the models of outcome and treatment beside the features. fold_column: a column that numbers the folds from 0; without it a hash of the key does."""
 
-    def __init__(self, *args, fold_column: str | None = None, **kwargs):
+    def __init__(self, *args, controls: Sequence[str] = (), fold_column: str | None = None, **kwargs):
         super().__init__(*args, **kwargs)
-        self.fold_column = fold_column
+        self.controls, self.fold_column = list(controls), fold_column
+
+    def _columns(self, df):
+        wanted = [*self.controls, *([self.fold_column] if self.fold_column else [])]
+        if missing := set(wanted) - set(df.columns):
+            raise ValueError(f"columns are missing: {sorted(missing)}")
+        return list(dict.fromkeys([*super()._columns(df), *wanted]))
+
+    @property
+    def inputs(self) -> list[str]:
+        return [*self.features, *self.controls]
+
+    def _shares(self, train: DataFrame, part: DataFrame) -> DataFrame:
+        """part with __pr: the probability of each arm, from a model of train."""
+        model = self._model(self.classifier, train.withColumn("__arm", self._arm_code()), self.inputs, "__arm")
+        return model.transform(part).select(*part.columns, vector_to_array("probability").alias("__pr"))
 
     def _fold(self, df):
         if self.fold_column:
@@ -185,11 +252,28 @@ class _CrossFit(InferenceModel):
 
 
 class DRLearner(_CrossFit):
-    """Doubly robust pseudo-outcomes by cross-fitting, then a regression on the features."""
+    """Doubly robust pseudo-outcomes by cross-fitting, then a regression on the features.
 
-    def __init__(self, *args, least_propensity: float = 0.01, **kwargs):
+    The outcome has one model over features, controls and an indicator of each arm but the least; with joint=False one for
+    each arm over features and controls. final: a regressor for each arm's effect; without one all are linear, by one aggregate.
+    """
+
+    def __init__(self, *args, least_propensity: float = 0.01, joint: bool = True, final=None, **kwargs):
         super().__init__(*args, **kwargs)
-        self.least_propensity = least_propensity
+        self.least_propensity, self.joint, self.final = least_propensity, joint, final
+
+    def _outcomes(self, train: DataFrame, part: DataFrame) -> DataFrame:
+        """part with __m0, __m1, ...: each arm's outcome, from models of train."""
+        if not self.joint:
+            for i, k in enumerate(self.arms):
+                part = self._apply(self._model(self.regressor, train.filter(F.col(self.w) == k), self.inputs, self.y), part, f"__m{i}")
+            return part
+        marks = [f"__w{i}" for i in range(1, len(self.arms))]
+        at = lambda df, code: df.withColumns({m: (code == i).cast("double") for i, m in enumerate(marks, 1)})
+        model = self._model(self.regressor, at(train, self._arm_code()), [*self.inputs, *marks], self.y)
+        for i in range(len(self.arms)):
+            part = self._apply(model, at(part, F.lit(i)), f"__m{i}")
+        return part.drop(*marks)
 
     def _fit(self, df):
         df = self._fold(df)
@@ -197,29 +281,28 @@ class DRLearner(_CrossFit):
         parts = []
         for f in range(self.folds):
             train, part = df.filter(F.col("__fold") != f), df.filter(F.col("__fold") == f)
-            part = self._vector(self._model(self.classifier, train, self.features, self.w), part)
-            for k in self.arms:
-                part = self._apply(self._model(self.regressor, train.filter(F.col(self.w) == k), self.features, self.y), part, f"__m{k}")
-            parts.append(part)
+            parts.append(self._outcomes(train, self._shares(train, part)))
         both = parts[0]
         for p in parts[1:]:
             both = both.unionByName(p)
-        own = lambda k: F.col(f"__m{k}") + F.when(F.col(self.w) == k, (F.col(self.y) - F.col(f"__m{k}")) / F.greatest(F.get("__pr", F.lit(k)), F.lit(self.least_propensity))).otherwise(0.0)
-        self.models = {k: self._model(self.regressor, both.withColumn("__psi", own(k) - own(0)), self.features, "__psi") for k in self.arms[1:]}
-
-    @staticmethod
-    def _vector(model, df):
-        return model.transform(df).select(*df.columns, vector_to_array("probability").alias("__pr"))
+        own = lambda i: F.col(f"__m{i}") + F.when(self._arm_code() == i, (F.col(self.y) - F.col(f"__m{i}")) / F.greatest(F.get("__pr", F.lit(i)), F.lit(self.least_propensity))).otherwise(0.0)
+        gaps = [own(i) - own(0) for i in range(1, len(self.arms))]
+        if self.final is None:
+            self.models = least_squares(both, [F.lit(1.0), *map(F.col, self.features)], gaps)
+        else:
+            both = checkpointed(both.select(*self.features, *(g.alias(f"__psi{i}") for i, g in enumerate(gaps))))
+            self.models = [self._model(self.final, both, self.features, f"__psi{i}") for i in range(len(gaps))]
 
     def _effect(self, df):
-        out = df
-        for k, m in self.models.items():
-            out = self._apply(m, out, f"effect_{k}")
-        return out
+        if self.final is None:
+            return df.withColumns({f"effect_{k}": _linear(self.models[:, i], [F.col(c) for c in self.features]) for i, k in enumerate(self.arms[1:])})
+        for k, m in zip(self.arms[1:], self.models, strict=True):
+            df = self._apply(m, df, f"effect_{k}")
+        return df
 
 
 class DML(_CrossFit):
-    """Residuals of outcome and treatment by cross-fitting; effects linear in the features. Two arms; no instruments."""
+    """Residuals of the outcome and of each arm's indicator by cross-fitting; effects linear in the features, of all arms by one aggregate. No instruments."""
 
     def fit(self, df: DataFrame, instruments=None) -> DML:
         if instruments is not None:
@@ -227,25 +310,18 @@ class DML(_CrossFit):
         return super().fit(df)
 
     def _fit(self, df):
-        if len(self.arms) != 2:
-            raise ValueError("two arms are needed")
         df = self._fold(df)
         self._check(df)
         parts = []
         for f in range(self.folds):
             train, part = df.filter(F.col("__fold") != f), df.filter(F.col("__fold") == f)
-            part = self._apply(self._model(self.regressor, train, self.features, self.y), part, "__m")
-            parts.append(self._apply(self._model(self.classifier, train, self.features, self.w), part, "__g", 1))
+            parts.append(self._shares(train, self._apply(self._model(self.regressor, train, self.inputs, self.y), part, "__m")))
         both = parts[0]
         for p in parts[1:]:
             both = both.unionByName(p)
-        rw = F.col(self.w) - F.col("__g")
-        both = both.select((F.col(self.y) - F.col("__m")).alias("__ry"), rw.alias("__r_1"), *((rw * F.col(c)).alias(f"__r_{c}") for c in self.features))
-        final = LinearRegression(fitIntercept=False, regParam=0.0, solver="normal")
-        self.final = self._model(final, both, ["__r_1", *(f"__r_{c}" for c in self.features)], "__ry").stages[-1].coefficients.toArray().tolist()
+        rest = [(self._arm_code() == i).cast("double") - F.get("__pr", F.lit(i)) for i in range(1, len(self.arms))]
+        terms = [r * c for r in rest for c in (F.lit(1.0), *map(F.col, self.features))]
+        self.final = least_squares(both, terms, [F.col(self.y) - F.col("__m")])[:, 0].reshape(len(rest), -1)
 
     def _effect(self, df):
-        total = F.lit(self.final[0])
-        for c, b in zip(self.features, self.final[1:]):
-            total = total + F.lit(b) * F.col(c)
-        return df.withColumn("effect_1", total)
+        return df.withColumns({f"effect_{k}": _linear(self.final[i], [F.col(c) for c in self.features]) for i, k in enumerate(self.arms[1:])})

@@ -36,13 +36,62 @@ def test_more_arms_and_checks(spark, tmp_path):
     model.output(f"{tmp_path}/out")
     assert spark.read.parquet(f"{tmp_path}/out").count() == 3000
     with pytest.raises(ValueError):
-        L.DML(["a"]).fit(df)
+        L.DML(["a"]).fit(df.filter("w = 1"))
     with pytest.raises(ValueError):
         L.TLearner(["zz"]).fit(df)
     with pytest.raises(ValueError):
         L.DML(["a"]).fit(df, instruments=["b"])
 
 
+def confounded(n=6000, seed=3, arms=(0, 1, 2)):
+    """A control c moves arm and outcome alike; effects depend on the feature a."""
+    r = np.random.default_rng(seed)
+    a, c = r.normal(size=(2, n))
+    logits = np.stack([k * c for k in range(len(arms))], 1)
+    p = np.exp(logits) / np.exp(logits).sum(1, keepdims=True)
+    w = (r.random(n)[:, None] > p.cumsum(1)).sum(1)
+    y = 3 * c + a + w * (1.5 + a) + r.normal(scale=0.2, size=n)
+    return pd.DataFrame({"id": range(n), "a": a, "c": c, "w": np.array(arms)[w], "y": y})
+
+
+@pytest.mark.parametrize("arms", [(0, 1), (0, 2), (-1, 4, 9)])
+@pytest.mark.parametrize("cls", [L.DRLearner, L.DML])
+def test_controls_and_arms_of_any_number(spark, cls, arms):
+    pdf = confounded(arms=arms)
+    df = spark.createDataFrame(pdf)
+    options = {"joint": False} if cls is L.DRLearner else {}
+    got = cls(["a"], controls=["c"], **options).fit(df).estimate(df.drop("c")).orderBy("id").toPandas()
+    for i, k in enumerate(arms[1:], 1):
+        assert np.abs(got[f"effect_{k}"] - i * (1.5 + pdf["a"])).mean() < 0.2
+    # without the control, arms and outcome move together
+    blind = cls(["a"], **options).fit(df).estimate(df).agg(F.avg(f"effect_{arms[-1]}")).first()[0]
+    assert abs(blind - (len(arms) - 1) * 1.5) > 0.5
+
+
+@pytest.mark.parametrize("cls", [L.TLearner, L.SLearner, L.XLearner])
+def test_other_learners_take_arms_of_any_number(spark, cls):
+    pdf = linear()
+    plain, coded = (cls(["a", "b"]).fit(df := spark.createDataFrame(pdf.assign(w=w))).estimate(df).orderBy("id").toPandas() for w in (pdf["w"], pdf["w"] * 5 - 2))
+    assert np.allclose(plain["effect_1"], coded["effect_3"])
+
+
+def test_gram_of_all_rows_and_final_regressors(spark):
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    pdf = linear(500)
+    df = spark.createDataFrame(pdf).repartition(7)
+    x = np.column_stack([np.ones(500), pdf["a"], pdf["b"]])
+    assert np.allclose(L.gram(df, [F.lit(1.0), F.col("a"), F.col("b")]), x.T @ x)
+    want = np.linalg.lstsq(x, pdf[["y", "w"]].to_numpy(float), rcond=None)[0]
+    assert np.allclose(L.least_squares(df, [F.lit(1.0), F.col("a"), F.col("b")], [F.col("y"), F.col("w")]), want)
+    with pytest.raises(ValueError):
+        L.least_squares(df.withColumn("a", F.lit(None).cast("double")), [F.col("a")], [F.col("y")])
+    assert (L.gram(df.limit(0), [F.col("a")]) == 0).all()
+    big = spark.createDataFrame(linear(2000))
+    got = L.DRLearner(["a", "b"], final=DecisionTreeRegressor(maxDepth=3)).fit(big).estimate(big)
+    assert got.select("effect_1").distinct().count() <= 8 and got.agg(F.corr("effect_1", "b")).first()[0] > 0.8
+
+
 def batch(n=40, seed=1):
     r = np.random.default_rng(seed)
     return pd.DataFrame({"f1": r.normal(size=n), "f2": r.normal(size=n), "y": r.integers(0, 2, n), "T": r.integers(0, 2, n), "W": r.uniform(0.1, 1, n), "G": r.integers(1, 6, n)})

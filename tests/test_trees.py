@@ -234,3 +234,68 @@ def test_right_children_by_subtraction(spark):
     assert all(k % 2 or not k for level in asked for k in level)
     assert [[(k, x.feature, x.bin) for k, x in sorted(t.nodes.items())] for t in models[0].trees] == [[(k, x.feature, x.bin) for k, x in sorted(t.nodes.items())] for t in models[1].trees]
     assert all(np.allclose(x.theta, models[1].trees[i].nodes[k].theta) for i, t in enumerate(models[0].trees) for k, x in t.nodes.items())
+
+
+def bins_of(model, df):
+    x = df.select(*(v.alias(f"x{i}") for i, v in enumerate(model._values(df)))).toPandas().to_numpy(float)
+    return np.stack([B.transform(x[:, i], model.bounds[f]) for i, f in enumerate(model.features)], 1).astype(np.int64)
+
+
+def test_scores_are_columns_and_equal_those_of_bins(spark):
+    pdf = panel(800, 3)
+    pdf.loc[::7, "b"] = np.nan
+    df = spark.createDataFrame(pdf).withColumn("a", F.when(F.col("id") % 11 != 0, F.col("a"))).withColumn("kind", F.when(F.col("id") % 13 != 0, F.concat(F.lit("k"), (F.col("id") % 5).cast("string")))).orderBy("id").coalesce(1)
+    frame = CausalFrame(df, ["a", "b", "kind"], n_period=PERIODS, treat_dt=T0, categorical=["kind"])
+    for cls in (T.GradientBoostingCausalRegressionTree, T.DifferenceInDifferencesRegressionTree):
+        model = cls(T.Config(n_estimators=5, max_depth=3, learning_rate=0.5, min_var_rate=0.0)).fit(frame)
+        bins = bins_of(model, df)
+        assert (bins[:, 2] == 5 + 1).sum() == sum(i % 13 == 0 for i in range(800)) and set(bins[:, 2]) == {0, 1, 2, 3, 4, 6}
+        theta = model._theta(bins)
+        get = lambda what: np.array([r[0] for r in model.predict(frame, what).orderBy("id").select(what).collect()])
+        assert np.allclose(get("outcome").reshape(theta.shape), theta, atol=1e-12)
+        assert (get("leaf_id") == np.stack([t.leaves(bins) for t in model.trees], 1)).all()
+        gap = theta[:, 1] - theta[:, 0]
+        if model.did:
+            eta = np.stack([t.values(bins)[1] for t in model.trees], 1)
+            assert np.allclose(get("eta"), eta) and np.allclose(get("effect"), gap[:, T0:] - 0.5 * eta.sum(1, keepdims=True), atol=1e-12)
+        else:
+            assert np.allclose(get("effect"), gap[:, T0:] - gap[:, :T0].mean(1, keepdims=True), atol=1e-12)
+        plan = model.predict(frame, "effect")._jdf.queryExecution().executedPlan().toString()
+        assert not [w for w in ("Python", "Pandas", "Arrow") if w in plan.replace("ArrowEvalPython", "Python")]
+
+
+def test_categories_of_a_fit_travel_with_the_model(spark, tmp_path):
+    rnd = np.random.default_rng(2)
+    n = 1500
+    kind = rnd.choice(["b", "a", "c", "rare"], n, p=[0.5, 0.3, 0.195, 0.005])
+    w = rnd.integers(0, 2, n)
+    y = rnd.normal(scale=0.2, size=(n, 2))
+    y[:, 1] += w * np.where(kind == "a", 3.0, 0.0)
+    df = spark.createDataFrame(pd.DataFrame({"id": range(n), "kind": kind, "code": rnd.integers(-1, 3, n), "w": w, "y": y.tolist()}))
+    frame = CausalFrame(df, ["kind", "code"], n_period=2, treat_dt=1, categorical=["kind", "code"])
+    model = T.GradientBoostingCausalRegressionTree(T.Config(n_estimators=20, max_depth=2, learning_rate=0.5, lambd=0.1)).fit(frame)
+    assert model.dictionaries["kind"] == ["b", "a", "c"] and sorted(model.dictionaries["code"]) == ["0", "1", "2"]
+    model.save(spark, f"{tmp_path}/m")
+    again = T.GradientBoostingCausalRegressionTree.load(spark, f"{tmp_path}/m", model.config)
+    new = spark.createDataFrame([(1, "a", 0), (2, "b", 0), (3, "never seen", 0), (4, None, -5)], "id bigint, kind string, code int")
+    got = {r.id: r.effect[0] for r in again.predict(new).collect()}
+    assert got == {r.id: r.effect[0] for r in model.predict(new).collect()}
+    assert abs(got[1] - 3) < 0.4 and abs(got[2]) < 0.4 and abs(got[3]) < 0.6
+    subset = frame.subset(features=["code"])
+    assert subset.categorical == ["code"]
+
+
+def test_trivial_features_are_flagged_and_left_out(spark):
+    pdf = panel(400, 4).assign(flat=1.0, few=lambda d: (d["id"] < 3) * 1.0)
+    model = T.GradientBoostingCausalRegressionTree(T.Config(n_estimators=3, max_depth=2, min_points_per_bin=1)).fit(CausalFrame(spark.createDataFrame(pdf), ["flat", "a", "few", "b"], n_period=PERIODS, treat_dt=T0))
+    assert model.trivial == ["flat", "few"] and not {"flat", "few"} & {f for f, n in model.split_counts().items() if n}
+
+
+def test_each_tree_draws_rows_of_its_own():
+    units = np.random.default_rng(0).integers(0, 1 << 32, 20_000)
+    draws = np.stack([T.drawn(units, k) < 0.5 for k in range(6)])
+    assert np.abs(draws.mean(1) - 0.5).max() < 0.02
+    for i in range(6):
+        for j in range(i):
+            assert abs((draws[i] & draws[j]).mean() - 0.25) < 0.02
+    assert (T.drawn(units, 1, seed=1) != T.drawn(units, 1)).mean() > 0.99 and T.drawn(units, 3).max() < 1
