@@ -1,7 +1,8 @@
 """Interventions on a causal graph by loopy belief propagation, and attribution by rules over it.
 
-Factors of all nodes are counted by one grouped job and collected: their size is bounded by the domains of a node and its
-parents, not by the rows, and checked. Messages are arrays over the values of one node.
+Factors of all nodes are counted by one grouped job. Up to ``most_cells`` combinations are collected, and messages are
+arrays over the values of one node; beyond that factors stay tables and messages become joins, see propagation.py. Both
+ways give the same beliefs.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpointed
+from . import propagation
 from .factors import COUNT, compress
 from .graph import CausalGraph
 
@@ -51,6 +54,7 @@ class GraphInferModel:
         self.most_cells = most_cells
         self.column_names = list(column_names) if column_names else (graph.names if graph else None)
         self.values: dict[str, np.ndarray] = {}
+        self.tables: tuple[DataFrame, list[list[str]], DataFrame] | None = None  # cells, families and domains, where these are not collected
         self.result: dict | None = None
 
     def fit(self, df: DataFrame) -> GraphInferModel:
@@ -64,10 +68,14 @@ class GraphInferModel:
             df = df.toDF(*self.column_names)
         family = lambda i, n: F.struct(F.lit(i).alias("family"), F.array(*(F.col(f"`{c}`").cast("int") for c in [n, *sorted(self.graph.parents[n])])).alias("codes"))
         stacked = compress(df, names).select(COUNT, F.explode(F.array(*(family(i, n) for i, n in enumerate(names)))).alias("f"))
-        cells = stacked.groupBy("f.family", "f.codes").agg(F.sum(COUNT).alias("n")).limit(self.most_cells + 1).toPandas()
-        if len(cells) > self.most_cells:
-            raise ValueError(f"more than {self.most_cells} combinations of nodes and parents: give nodes fewer parents or values")
-        tables = {}
+        cells, self.tables = checkpointed(stacked.groupBy("f.family", "f.codes").agg(F.sum(COUNT).alias("n"))), None
+        if cells.count() > self.most_cells:
+            families = [[n, *sorted(self.graph.parents[n])] for n in names]
+            domains = propagation.domains(cells, families)
+            self.tables = propagation.scored(cells, families), families, domains
+            self.values = {r.node: np.sort(np.array(r.v, int)) for r in domains.groupBy("node").agg(F.collect_list("value").alias("v")).collect()}  # one node's values
+            return self
+        cells, tables = cells.toPandas(), {}
         for i, n in enumerate(names):
             own = cells[cells["family"] == i]
             tables[n] = np.column_stack([np.array(own["codes"].tolist(), float).reshape(len(own), -1), own["n"].to_numpy(float)])
@@ -85,7 +93,12 @@ class GraphInferModel:
         """{node: (values, beliefs)} under do(treatment = value), given the condition; with label_value that belief."""
         listed = {k: [v] if np.isscalar(v) else list(v) for k, v in condition.items()}
         do = {self.treatment_name: [treatment_value] if np.isscalar(treatment_value) else list(treatment_value)}
-        beliefs = self._propagate(do, listed)
+        if self.tables:
+            found = propagation.propagate(*self.tables, do, {k: v for k, v in listed.items() if k in self.values}, self.num_iteration, TOLERANCE).toPandas()
+            by = {n: x.sort_values("value") for n, x in found.groupby("node")}
+            beliefs = {n: by[n]["belief"].to_numpy() for n in self.values}
+        else:
+            beliefs = self._propagate(do, listed)
         self.result = {n: (self.values[n], b) for n, b in beliefs.items()}
         return self.result if label_value is None else self.value(self.label_name, label_value)
 
@@ -167,6 +180,8 @@ class Attribution:
     @staticmethod
     def _scores(spark, model, rules: list[dict], treatment_value: int, label_value: int) -> list[tuple[dict, float]]:
         """Rules as rows: each task propagates beliefs for its share, with the factors as a broadcast of bounded size."""
+        if model.tables:  # each rule's propagation is distributed itself
+            return [(r, model.estimate(r, treatment_value, label_value)) for r in rules]
         bare = GraphInferModel(None, None, model.treatment_name, model.label_name, model.num_iteration)
         bare.values, bare.factors, bare.freq = model.values, model.factors, model.freq
         shared = spark.sparkContext.broadcast(bare)

@@ -11,6 +11,7 @@ open cells, a few for each bound, are kept apart and cut anew, until no cell tha
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 import numpy as np
@@ -23,6 +24,7 @@ from ..sources.shared import checkpointed
 
 ZERO = 1e-35  # fixed value: how far the bin of zero reaches on either side
 PARTS = 1024
+BOUNDS = "cauza.bounds"
 
 
 def value_counts(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -260,6 +262,39 @@ def _inside(rows: DataFrame, ranges: list[tuple[np.ndarray, np.ndarray]]) -> Dat
     return rows.select("i", "value").mapInPandas(run, "i int, value double, cell int")
 
 
+def attached(df: DataFrame, bounds: dict[str, list[float]]) -> DataFrame:
+    """df with the bounds in the metadata of its columns, where selections, subsets and Parquet files keep them."""
+    for f, b in bounds.items():
+        df = df.withMetadata(f, {**df.schema[f].metadata, BOUNDS: json.dumps(b)})
+    return df
+
+
+def found_bounds(df: DataFrame, features: Sequence[str]) -> dict[str, list[float]]:
+    """The bounds that columns bring along."""
+    held = {f: df.schema[f].metadata.get(BOUNDS) for f in features}
+    return {f: json.loads(b) for f, b in held.items() if b}
+
+
+def write_bounds(spark, path: str, bounds: dict[str, list[float]]) -> None:
+    """Bounds as a table (feature, bin, bound)."""
+    rows = [(f, i, float(b)) for f, own in bounds.items() for i, b in enumerate(own)]
+    spark.createDataFrame(rows, "feature string, bin int, bound double").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_bounds(spark, path: str) -> dict[str, list[float]]:
+    out: dict[str, list[float]] = {}
+    for r in spark.read.parquet(path).orderBy("feature", "bin").collect():
+        out.setdefault(r.feature, []).append(r.bound)
+    return out
+
+
+def assigned(df: DataFrame, feature: str, bounds: Sequence[float]) -> Column:
+    """The bin of a numeric feature as a Column: how many bounds lie below it; the one after the last if it is missing."""
+    x = F.col(feature).cast("double")
+    below = F.aggregate(F.array(*(F.lit(float(b)) for b in bounds)), F.lit(0), lambda n, b: n + F.when(x > b, 1).otherwise(0))
+    return F.when(x.isNull() | F.isnan(x), len(bounds)).otherwise(below)
+
+
 def transform(x: np.ndarray, bounds: Sequence[float]) -> np.ndarray:
     """Bin numbers; NaN to the bin after the last."""
     out = np.searchsorted(np.asarray(bounds), x, side="left")

@@ -7,7 +7,7 @@ Predictions are written to a checkpoint every few trees, so that neither lineage
 
 With ``subsample`` below 1 each tree draws its own rows, by a hash of key and tree, and its validation loss is that of the
 rows it did not draw. Features of which no bound leaves min_points rows on both sides are flagged trivial, and no tree
-looks at them. Categorical features become codes by a dictionary (places in order of frequency, one for the rest, missing
+looks at them. Columns that bring bounds in their metadata are not binned again. Categorical features become codes by a dictionary (places in order of frequency, one for the rest, missing
 ones as NaN), which the model keeps.
 
 Fitted trees score as Columns on raw values (x <= bound; NaN and null to the right, as their bin is the last), so that
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ..logs import log, trace
 from ..sources.frames import CausalFrame
 from ..sources.shared import checkpointed
-from .bins import category_bounds, category_code, fit_bins, fit_categories, transform, trivial
+from .bins import category_bounds, category_code, fit_bins, fit_categories, found_bounds, transform, trivial
 from .losses import Logistic, Square
 
 
@@ -211,7 +211,7 @@ class Boosting:
         frame.check()
         for f in frame.categorical:
             self.dictionaries.setdefault(f, fit_categories(frame.df, f, c.max_bin))
-        known = {f: category_bounds(d) for f, d in self.dictionaries.items()} | (self.bounds or {})
+        known = {f: category_bounds(d) for f, d in self.dictionaries.items()} | found_bounds(frame.df, [f for f in frame.features if f not in self.dictionaries]) | (self.bounds or {})
         if rest := [f for f in self.features if f not in known]:
             known |= fit_bins(frame.df, rest, c.max_bin, c.min_points_per_bin)
         self.bounds = {f: known[f] for f in self.features}

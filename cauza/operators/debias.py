@@ -27,15 +27,39 @@ def dense(p: P, name: str, x: Tensor, layers: int, last: bool = False, batch_nor
     for i in range(layers):
         x = x @ p[f"{name}.w{i}"] + p[f"{name}.b{i}"]
         if i < layers - 1 or last:
-            if batch_norm and len(x.value) > 1:
-                x = x - x.mean(0, keepdims=True)
-                x = x / ((x * x).mean(0, keepdims=True) + 1e-3).power(0.5)
+            if batch_norm:
+                x = normed(p, name, i, x, rnd is not None)
             x = x.relu()
             if drop and rnd is not None:
                 x = x * ((rnd.random(x.shape) >= drop) / (1 - drop))
     return x
 
 
+def normed(p: P, name: str, i: int, x: Tensor, training: bool) -> Tensor:
+    """A layer's values less their mean, over their deviation: of the batch in training, where these are noted for the moving ones, which count in scoring."""
+    mean, var = p.get(f"{name}.mean{i}"), p.get(f"{name}.var{i}")
+    if not training and mean is not None:
+        return (x - Tensor(mean.value)) / Tensor(np.sqrt(var.value + 1e-3))
+    if len(x.value) < 2:
+        return x
+    center = x.mean(0, keepdims=True)
+    x = x - center
+    spread = (x * x).mean(0, keepdims=True)
+    if training and mean is not None:
+        mean.grad, var.grad = center.value.reshape(mean.shape), spread.value.reshape(var.shape)
+    return x / (spread + 1e-3).power(0.5)
+
+
+def is_moving(key: str) -> bool:
+    return ".mean" in key or ".var" in key
+
+
+def moving(params: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Moving means and variances for each layer that has an offset."""
+    layers = [k.rpartition(".b") for k in params if k.rpartition(".b")[1] and k.rpartition(".b")[2].isdigit()]
+    return {f"{name}.{what}{i}": np.full(params[f"{name}.b{i}"].shape, start) for name, _, i in layers for what, start in (("mean", 0.0), ("var", 1.0))}
+
+
 def stack(sizes: list[int], name: str, rnd) -> dict[str, np.ndarray]:
     """He-normal weights."""
     out = {}
@@ -133,6 +157,8 @@ class DebiasModel:
         rows = df.select(*(F.col(c).cast("double") for c in [*self.features, self.label]), *(F.col(c) for c in dict.fromkeys(names) if c not in self.features and c != self.label)).cache()
         try:
             self.params = self.init(np.random.default_rng(self.seed))
+            if self.batch_norm:
+                self.params |= moving(self.params)
             if self.batch_size is None:
                 self._descend(rows, num_epochs)
             else:
@@ -145,14 +171,16 @@ class DebiasModel:
     def finish(self, rows: DataFrame) -> None:
         """What the fitted model needs beside its parameters."""
 
-    def gradient(self, params: dict[str, np.ndarray], pdf: pd.DataFrame, epoch: int = 0) -> tuple[float, dict[str, np.ndarray]]:
+    def gradient(self, params: dict[str, np.ndarray], pdf: pd.DataFrame, epoch: int = 0, worker: int = 0, step: int = 0) -> tuple[float, dict[str, np.ndarray]]:
+        """Loss and gradient, summed over the rows; for moving means and variances those of the batch, times the rows."""
         p = {k: Tensor(v) for k, v in params.items()}
-        rnd = np.random.default_rng([self.seed, epoch, len(pdf)])
+        rnd = np.random.default_rng([self.seed, epoch, worker, step, len(pdf)])
         total = self.loss(p, Tensor(pdf[self.features].to_numpy(float)), pdf[self.label].to_numpy(float), self._side(pdf), rnd)
         if self.l2:
             total = total + sum((v * v).sum() for k, v in p.items() if ".w" in k) * (self.l2 * len(pdf))
         total.backward()
-        return float(total.value), {k: v.grad if v.grad is not None else np.zeros(v.shape) for k, v in p.items()}
+        held = lambda k, v: len(pdf) * (params[k] if v.grad is None else v.grad) if is_moving(k) else np.zeros(v.shape) if v.grad is None else v.grad
+        return float(total.value), {k: held(k, v) for k, v in p.items()}
 
     def _descend(self, rows: DataFrame, epochs: int) -> None:
         keys = sorted(self.params)
@@ -162,9 +190,11 @@ class DebiasModel:
 
             def run(parts):
                 loss, n, total = 0.0, 0, None
-                for pdf in parts:
+                from pyspark import TaskContext
+
+                for k, pdf in enumerate(parts):
                     if len(pdf):
-                        one, g = self.gradient(params, pdf, step)
+                        one, g = self.gradient(params, pdf, step, TaskContext.get().partitionId(), k)
                         flat = np.concatenate([g[k].ravel() for k in keys])
                         loss, n, total = loss + one, n + len(pdf), flat if total is None else total + flat
                 if n:
@@ -179,6 +209,9 @@ class DebiasModel:
     def _adam(self, params: dict, m: dict, v: dict, g: dict, step: float) -> None:
         """One step, in place."""
         for k, x in g.items():
+            if is_moving(k):
+                params[k] = 0.9 * params[k] + 0.1 * x
+                continue
             m[k] += (x - m[k]) * 0.1
             v[k] += (x * x - v[k]) * 0.001
             params[k] = params[k] - self.rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-7)
@@ -202,12 +235,15 @@ class DebiasModel:
                 start = state, step
 
                 def run(batches):
+                    from pyspark import TaskContext
+
                     params, m, v = map(parts, np.split(start[0], 3))
-                    at, loss, n = start[1], 0.0, 0
+                    at, loss, n, worker, step = start[1], 0.0, 0, TaskContext.get().partitionId(), 0
                     for pdf in batches:
                         for i in range(0, len(pdf), size):
                             some = pdf.iloc[i : i + size]
-                            one, g = self.gradient(params, some, epoch)
+                            step += 1
+                            one, g = self.gradient(params, some, epoch, worker, step)
                             at += 1
                             self._adam(params, m, v, {k: x / len(some) for k, x in g.items()}, at)
                             loss, n = loss + one, n + len(some)

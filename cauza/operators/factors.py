@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -52,6 +53,28 @@ def family_scores(df: DataFrame, families: Sequence[tuple[str, Sequence[str]]])
     return scored.groupBy("family", "node").agg(F.sum(lgamma(F.col("r")) - lgamma(F.col("r") + F.col("n_pa")) + F.col("cell")).alias("score"))
 
 
+def subset_scores(df: DataFrame, nodes: Sequence[str], parents: int) -> DataFrame:
+    """(node, parents, score) of every family of at most ``parents`` parents, from one pass over the rows.
+
+    The cells of each set of up to parents + 1 nodes are counted once; a set's cells then serve every family that it holds,
+    each of its nodes in turn with the others as parents. Parents are in the order of names.
+    """
+    names = sorted(nodes)
+    sets = [c for k in range(1, parents + 2) for c in combinations(names, k)]
+    df = counted(df)
+    every = F.array(*(F.struct(F.lit(i).alias("subset"), F.array(*(F.col(f"`{n}`").cast("int") for n in c)).alias("codes")) for i, c in enumerate(sets)))
+    cells = df.select(COUNT, F.explode(every).alias("c")).groupBy("c.subset", "c.codes").agg(F.sum(COUNT).alias("n"))
+    turns = cells.select("subset", "codes", "n", F.explode(F.sequence(F.lit(1), F.size("codes"))).alias("at"))
+    others = F.concat(F.slice("codes", F.lit(1), F.col("at") - 1), F.slice("codes", F.col("at") + 1, F.size("codes")))
+    rows = turns.groupBy("subset", "at", others.alias("pa")).agg(F.sum("n").alias("n_pa"), F.sum(lgamma((F.col("n") + 1).cast("double"))).alias("cell"))
+    r = df.agg(*(F.countDistinct(n).alias(n) for n in names))
+    families = [(i, at, c[at - 1], [m for m in c if m != c[at - 1]]) for i, c in enumerate(sets) for at in range(1, len(c) + 1)]
+    sizes = r.select(F.explode(F.array(*(F.struct(F.lit(n).alias("node"), F.col(n).cast("double").alias("r")) for n in names))).alias("s")).select("s.*")
+    listed = df.sparkSession.createDataFrame(families, "subset int, at int, node string, parents array<string>").join(F.broadcast(sizes), "node")  # a row for each node
+    scored = rows.join(F.broadcast(listed), ["subset", "at"])  # a row for each family
+    return scored.groupBy("node", "parents").agg(F.sum(lgamma(F.col("r")) - lgamma(F.col("r") + F.col("n_pa")) + F.col("cell")).alias("score"))
+
+
 def graph_score(df: DataFrame, parents: dict[str, Sequence[str]]) -> DataFrame:
     """(score): sum of the family scores of a graph."""
     return family_scores(df, [(n, list(p)) for n, p in parents.items()]).agg(F.sum("score").alias("score"))

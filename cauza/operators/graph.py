@@ -8,6 +8,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpointed
 from .factors import factor, graph_score
 
 EDGES = "parent string, child string"
@@ -137,13 +138,12 @@ class CausalGraph:
 
 def ancestors(edges: DataFrame) -> DataFrame:
     """(node, ancestor) of an edge table, by squaring the reachable pairs until none is new."""
-    now = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).distinct()
+    now = checkpointed(edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).distinct())
     n = now.count()
     while True:
         step = now.alias("a").join(now.alias("b"), F.col("a.ancestor") == F.col("b.node")).select("a.node", "b.ancestor")
-        before, now = now, now.union(step).distinct().cache()
+        now = checkpointed(now.union(step).distinct())
         new = now.count()
-        before.unpersist()
         if new == n:
             return now
         n = new

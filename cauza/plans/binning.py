@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..operators import bins as N
 from ..operators import histograms as H
 from ..session import table
+from ..sources.frames import CausalFrame
+from ..sources.shared import new_path
 from .trees import ASSIGNED, BOUNDS, PANEL, binned
 
 MOST, LEAST, COVER, RARE = 16, 10, 0.6, 1000
@@ -59,6 +61,20 @@ def bin_bounds_forced(spark, sf_dir):
     return spark.createDataFrame(_round(found), "feature string, bin int, bound double")
 
 
+def bins_travel(spark, sf_dir):
+    """Bounds in column metadata after a round trip through Parquet and a subset, and out of a file of their own: rows by bin."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_tax", F.lit(0).alias("w"), F.array(F.lit(0.0)).alias("y"))
+    names, table_path, own = ["l_discount", "l_tax"], new_path(spark, "binned"), new_path(spark, "bounds")
+    bounds = N.fit_bins(li, names, MOST, LEAST)
+    N.write_bounds(spark, own, bounds)
+    N.attached(li, bounds).write.parquet(table_path)
+    frame = CausalFrame(spark.read.parquet(table_path), names, key="l_orderkey").subset(F.col("l_linenumber") > 2, ["l_discount"])
+    held, filed = N.found_bounds(frame.df, frame.features), N.read_bounds(spark, own)
+    if held["l_discount"] != filed["l_discount"]:
+        raise RuntimeError("the two ways give unlike bounds")
+    return frame.df.groupBy(N.assigned(frame.df, "l_discount", held["l_discount"]).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("l_discount").alias("low"), F.max("l_discount").alias("high"))
+
+
 FORCED = {"quantity": [10.0, 25.5], "price": [40000.25, 1500.0]}
 
 
@@ -149,7 +165,7 @@ def countby_stacked(spark, sf_dir):
 
 _BOTH = f"WITH {PANEL}, f AS (SELECT 0 AS feature, b0 AS bin, w, y FROM binned UNION ALL SELECT 1, b1, w, y FROM binned)"
 QUERIES = {
-    "bin_bounds_greedy": (bin_bounds_greedy, GREEDY), "bin_bounds_exact": (bin_bounds_exact, EXACT), "bin_bounds_forced": (bin_bounds_forced, FORCED_SQL), "bin_categories": (bin_categories, CATEGORIES), "bin_trivial": (bin_trivial, TRIVIAL), "bin_inverse": (bin_inverse, INVERSE),
+    "bin_bounds_greedy": (bin_bounds_greedy, GREEDY), "bins_travel": (bins_travel, "SELECT bin, count(*) FILTER (l_linenumber > 2) AS n, min(l_discount) AS low, max(l_discount) AS high FROM (SELECT l_linenumber, l_discount, (dense_rank() OVER (ORDER BY l_discount) - 1)::INT AS bin FROM lineitem) GROUP BY bin HAVING count(*) FILTER (l_linenumber > 2) > 0"), "bin_bounds_exact": (bin_bounds_exact, EXACT), "bin_bounds_forced": (bin_bounds_forced, FORCED_SQL), "bin_categories": (bin_categories, CATEGORIES), "bin_trivial": (bin_trivial, TRIVIAL), "bin_inverse": (bin_inverse, INVERSE),
     "sumby_log": (sumby_log, f"{_BOTH} SELECT feature, bin, w, round(sum(ln(y[1] + 1)), 8) AS y0, round(sum(ln(y[7] + 1)), 8) AS y6 FROM f GROUP BY ALL"),
     "sumby_identity": (sumby_identity, f"{_BOTH} SELECT feature, bin, w, sum(y[1]) AS y0, sum(y[7]) AS y6 FROM f GROUP BY ALL"),
     "countby_stacked": (countby_stacked, f"{_BOTH} SELECT feature, bin, w, count(*) FILTER (y[1] > 0 OR y[7] > 0) AS n FROM f GROUP BY ALL"),

@@ -111,6 +111,15 @@ def k2_search_score(spark, sf_dir):
     return spark.createDataFrame([(round(float(score), 3),)], "score double")
 
 
+def k2_search_jobs(spark, sf_dir):
+    """Edges of the search with and without families counted ahead, and the jobs that each took over the distinct rows."""
+    rows = []
+    for counted in (2, 0):
+        own = CausalSearchDiscovery(edge_gain=GAIN, seed=ORDER_SEED, counted=counted).fit(_search_frame(spark, sf_dir))
+        rows += [(p, c, counted, own.jobs == 1) for p, c in own.get_result()[0].edges()]
+    return spark.createDataFrame(rows, "parent string, child string, counted int, one_job boolean")
+
+
 def _family(node: str, parents: list[str]) -> str:
     group = f"GROUP BY {', '.join(parents)}" if parents else ""
     cells = f"SELECT {', '.join([*parents, node])}, count(*) AS n FROM base GROUP BY ALL"
@@ -130,7 +139,7 @@ def _search_sql(target: str | None, out: str) -> str:
                 f"now{k} AS (SELECT coalesce(list(parent ORDER BY parent), []::VARCHAR[]) AS pa FROM e{k} WHERE child = '{node}')",
                 f"reach{k} AS (SELECT child AS node, parent AS anc FROM e{k} UNION SELECT r.node, e.parent FROM reach{k} r JOIN e{k} e ON e.child = r.anc)",
                 f"try{k} AS (SELECT m.name AS parent, array_to_string(list_sort(list_append(pa, m.name)), ',') AS pa, array_to_string(pa, ',') AS own FROM (VALUES {', '.join(f"('{n}')" for n in names if n != node)}) m(name), now{k} WHERE NOT list_contains(pa, m.name) AND m.name NOT IN (SELECT r.node FROM reach{k} r WHERE r.anc = '{node}') {barred})",
-                f"best{k} AS (SELECT t.parent, f.score - o.score AS gain FROM try{k} t JOIN fam f ON f.node = '{node}' AND f.pa = t.pa JOIN fam o ON o.node = '{node}' AND o.pa = t.own ORDER BY f.score DESC, t.parent DESC LIMIT 1)",
+                f"best{k} AS (SELECT t.parent, f.score - o.score AS gain FROM try{k} t JOIN fam f ON f.node = '{node}' AND f.pa = t.pa JOIN fam o ON o.node = '{node}' AND o.pa = t.own ORDER BY round(f.score, 6) DESC, t.parent LIMIT 1)",
                 f"e{k + 1} AS (SELECT * FROM e{k} UNION ALL SELECT parent, '{node}' FROM best{k} WHERE gain > {GAIN})",
             ]
             k += 1
@@ -145,17 +154,22 @@ RULES = {"x0": ["x1", "x3"]}
 DO, LABEL, THRESHOLD = 5, 1, 0.3345
 
 
-def _model(parents: dict, treatment: str, label: str) -> GraphInferModel:
+def _model(parents: dict, treatment: str, label: str, **options) -> GraphInferModel:
     graph = G.CausalGraph(NODES)
     for child, found in parents.items():
         for p in found:
             graph.add_edge(p, child)
-    return GraphInferModel(graph=graph, treatment_name=treatment, label_name=label)
+    return GraphInferModel(graph=graph, treatment_name=treatment, label_name=label, **options)
+
+
+def graph_do_belief_tables(spark, sf_dir):
+    """The same beliefs by joins of message tables, nothing but them collected."""
+    return graph_do_belief(spark, sf_dir, most_cells=0)
 
 
-def graph_do_belief(spark, sf_dir):
+def graph_do_belief(spark, sf_dir, **options):
     """Beliefs of all nodes after x3 is set to 5, given x2 = 1."""
-    beliefs = _model(BELIEF, "x3", "x4").fit(disc(spark, sf_dir)).estimate({"x2": 1}, DO)
+    beliefs = _model(BELIEF, "x3", "x4", **options).fit(disc(spark, sf_dir)).estimate({"x2": 1}, DO)
     return spark.createDataFrame([(n, int(v), round(float(s), 5)) for n, (values, scores) in beliefs.items() for v, s in zip(values, scores)], "node string, value int, belief double")
 
 
@@ -193,12 +207,12 @@ SELECT node || ' = ' || value AS rule, round(score, 6) AS score FROM singles WHE
 
 
 def factor_rows(spark, sf_dir):
-    """The ten first rows of a factor in the order of x5, with what they stand for."""
+    """The rows of a factor in the order of x5, with what they stand for."""
     f = X.sort_factor(X.factor(disc(spark, sf_dir), "x0", ["x1", "x5"]), "x5")
-    return f.limit(10).select(X.row_names(["x0", "x1", "x5"]).alias("name"), F.round("score", 9).alias("score"))
+    return f.select(X.row_names(["x0", "x1", "x5"]).alias("name"), F.round("score", 9).alias("score"))
 
 
-FACTOR_ROWS = f"WITH {DISC}, {_joint(['x0', 'x1', 'x5'])} SELECT 'x0 = ' || x0 || ' x1 = ' || x1 || ' x5 = ' || x5 AS name, round(s, 9) AS score FROM f_x0_x1_x5 ORDER BY x5, x0, x1 LIMIT 10"
+FACTOR_ROWS = f"WITH {DISC}, {_joint(['x0', 'x1', 'x5'])} SELECT 'x0 = ' || x0 || ' x1 = ' || x1 || ' x5 = ' || x5 AS name, round(s, 9) AS score FROM f_x0_x1_x5 ORDER BY x5, x0, x1"
 
 MERGE = f"WITH {EDGES} SELECT DISTINCT parent, child FROM (SELECT parent, child FROM edges UNION ALL SELECT r_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
 TOPK = f"WITH {EDGES} SELECT * FROM (SELECT parent, child, weight, row_number() OVER (PARTITION BY child ORDER BY weight DESC, parent)::INT AS place FROM edges) WHERE place <= 2"
@@ -208,6 +222,6 @@ CYCLIC = f"WITH RECURSIVE {EDGES}, more AS (SELECT parent, child FROM edges UNIO
 QUERIES = {
     "graph_ancestors": (graph_ancestors, ANCESTORS), "graph_is_cyclic": (graph_is_cyclic, CYCLIC), "graph_merge_edges": (graph_merge_edges, MERGE), "graph_topk_parents": (graph_topk_parents, TOPK),
     "graph_store": (graph_store, f"{KEPT} SELECT parent, child FROM kept WHERE parent NOT LIKE 'A%'"), "graph_merged": (graph_merged, f"{KEPT} SELECT parent, child FROM kept"),
-    "k2_search": (k2_search, _search_sql(None, "SELECT parent, child FROM found")), "k2_search_score": (k2_search_score, _search_sql("late", K2_SCORE)),
-    "graph_do_belief": (graph_do_belief, BELIEF_SQL), "attribution_rules": (attribution_rules, RULES_SQL), "factor_rows": (factor_rows, FACTOR_ROWS),
+    "k2_search": (k2_search, _search_sql(None, "SELECT parent, child FROM found")), "k2_search_jobs": (k2_search_jobs, _search_sql(None, "SELECT parent, child, k::INT AS counted, k = 2 AS one_job FROM found, (VALUES (2), (0)) v(k)")), "k2_search_score": (k2_search_score, _search_sql("late", K2_SCORE)),
+    "graph_do_belief": (graph_do_belief, BELIEF_SQL), "graph_do_belief_tables": (graph_do_belief_tables, BELIEF_SQL), "attribution_rules": (attribution_rules, RULES_SQL), "factor_rows": (factor_rows, FACTOR_ROWS),
 }

@@ -65,7 +65,7 @@ INTAKE_SQL = "SELECT s.source, s.columns, sum(n_nationkey)::BIGINT AS a, sum(n_r
 def batch_union(spark, sf_dir):
     """Batches of events as one frame."""
     e = table(spark, sf_dir, "events").select("event_type", "value")
-    parts = [e.filter(F.col("event_type") == t) for t in ("click", "view", "purchase")]
+    parts = [e.filter(F.col("event_type") == t) for t in sorted(r[0] for r in e.select("event_type").distinct().collect())]  # the kinds of events
     return batches(parts).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("value"))
 
 
@@ -168,7 +168,7 @@ def _notears_sql() -> str:
 
 QUERIES = {
     "kv_parse": (kv_parse, KV_SQL), "csv_recode": (csv_recode, CSV_SQL), "segment_codes": (segment_codes, f"SELECT c_custkey, CASE c_mktsegment {' '.join(f"WHEN '{k}' THEN {v}" for k, v in ARMS.items())} END AS arm FROM customer"),
-    "intake_shapes": (intake_shapes, INTAKE_SQL), "batch_union": (batch_union, "SELECT event_type, count(*) AS n, round(sum(value), 4) AS value FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY event_type"),
+    "intake_shapes": (intake_shapes, INTAKE_SQL), "batch_union": (batch_union, "SELECT event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY event_type"),
     "frame_subset": (frame_subset, f"WITH {PANEL} SELECT w, count(*) AS n, sum(c_nationkey)::BIGINT AS nations, sum(y[7]) AS y, 'c_nationkey' AS features FROM panel WHERE c_nationkey < 10 GROUP BY w"),
     "loss_by_name": (loss_by_name, f"WITH {PANEL}, z AS (SELECT w, (y[7] > 0)::INT AS z FROM panel) SELECT w, round(sum(0.5 - 0.5 * z + ln(1 + exp(-0.5))), 6) AS loss, round(sum(1 / (1 + exp(-0.5)) - z), 6) AS grad, round(sum(1 / (1 + exp(-0.5)) * (1 - 1 / (1 + exp(-0.5)))), 6) AS hess FROM z GROUP BY w"),
     "launched": (launched, "SELECT n_regionkey::INT AS place, n_regionkey::INT AS id, 5 AS num, count(*) AS n FROM nation GROUP BY n_regionkey"), "learner_output": (learner_output, OUTPUT_SQL), "stream_scores": (stream_scores, _stream_sql()),

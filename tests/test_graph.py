@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from cauza.operators import factors as X
@@ -133,3 +134,47 @@ def test_logging_levels(caplog):
         log.info("tree")
     assert [r.levelname for r in caplog.records] == ["TRACE", "INFO"]
     set_level("WARNING")
+
+
+def test_search_from_one_count_ties_and_margin(spark):
+    import random as rnd
+
+    r = np.random.default_rng(4)
+    a = r.integers(0, 3, 2000)
+    df = spark.createDataFrame(pd.DataFrame({"d": (a + r.integers(0, 2, 2000)) % 3, "a": a, "c": a, "b": r.integers(0, 2, 2000)}))  # c repeats a
+    names = sorted(df.columns)
+    families = [(n, list(p)) for n in names for k in range(3) for p in itertools.combinations([m for m in names if m != n], k)]
+    want = {(families[r.family][0], tuple(families[r.family][1])): r.score for r in X.family_scores(df, families).collect()}
+    got = {(r.node, tuple(r.parents)): r.score for r in X.subset_scores(df, df.columns, 2).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-6 for k, v in want.items())
+    runs = {k: CausalSearchDiscovery(seed=1, counted=k).fit(df, "d") for k in (0, 1, 2)}
+    edges = [sorted(x.get_result()[0].edges()) for x in runs.values()]
+    assert edges[0] == edges[1] == edges[2] and runs[2].jobs == 1 < runs[0].jobs
+    assert ("a", "d") in edges[0] and ("c", "d") not in edges[0]  # a and c tie: the lower name
+    assert CausalSearchDiscovery(seed=1, counted=2, most_sets=5).fit(df, "d").jobs > 1
+    found, order = {"a": 30.0, "b": 55.0, "c": 70.0}, ["a", "b", "c"]
+    best, base = None, 0.0
+    rnd.Random(3).shuffle(order)
+    for p in order:
+        if found[p] > base + 20:
+            best, base = p, found[p]
+    assert CausalSearchDiscovery(moving_margin=True)._best(found, 0.0, rnd.Random(3)) == (best, base)
+    assert CausalSearchDiscovery(moving_margin=True)._best(found, 60.0, rnd.Random(3)) == (None, 60.0)
+
+
+def test_beliefs_of_tables_equal_those_of_arrays(spark):
+    r = np.random.default_rng(5)
+    a, b = r.integers(0, 3, 3000), r.integers(0, 2, 3000)
+    c, d = (a + b + (r.random(3000) < 0.2)) % 3, (a + (r.random(3000) < 0.3)) % 2
+    e = (c + d) % 3
+    df = spark.createDataFrame(pd.DataFrame({"a": a, "b": b, "c": c, "d": d, "e": e}))
+    graph = CausalGraph(list("abcde"))
+    for parent, child in ("ac", "bc", "ad", "ce", "de"):  # with a loop
+        graph.add_edge(parent, child)
+    own, tables = (GraphInferModel(graph, None, "c", "e", most_cells=m).fit(df) for m in (1000, 0))
+    assert tables.tables and not own.tables
+    for condition in ({}, {"a": 1}, {"a": [0, 2], "d": 1}, {"b": 7}):
+        want, got = own.estimate(condition, 1), tables.estimate(condition, 1)
+        for n in "abcde":
+            assert (want[n][0] == got[n][0]).all() and np.abs(want[n][1] - got[n][1]).max() < 1e-6, (condition, n)
+    assert abs(own.estimate({"a": 1}, 1, 2) - tables.estimate({"a": 1}, 1, 2)) < 1e-6

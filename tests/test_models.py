@@ -221,3 +221,25 @@ def test_sources(spark, tmp_path):
     with pytest.raises(ValueError):
         read_csv(spark, f"{tmp_path}/c", {"features": ["zz"]})
     assert launch(lambda i, n, p, d: (i, n, p), 3, "p") == [(0, 3, "p"), (1, 3, "p"), (2, 3, "p")]
+
+
+def test_scores_with_batch_norm_do_not_depend_on_the_batch(spark):
+    r = np.random.default_rng(2)
+    x = r.normal(loc=3.0, size=(1200, 2))
+    y = (r.random(1200) < 1 / (1 + np.exp(-2 * (x[:, 0] - 3)))).astype(int)
+    df = spark.createDataFrame(pd.DataFrame({"event_id": range(1200), "f1": x[:, 0], "f2": x[:, 1], "y": y, "T": 1, "W": 0.5, "G": 1}))
+    for size in (128, None):
+        model = MODELS["ipw"](["f1", "f2"], batch_norm=True, batch_size=size).fit(df, 15)
+        assert abs(model.params["dnn.mean0"]).max() > 0.1 and (model.params["dnn.var0"] != 1).all()
+        whole = {s.event_id: s.score for s in model.predict(df).collect()}
+        few = {s.event_id: s.score for s in model.predict(df.filter("event_id < 3")).collect()}
+        assert all(abs(whole[k] - v) < 1e-12 for k, v in few.items())
+    hit = df.join(model.predict(df), "event_id").agg(F.avg(((F.col("score") > 0.5).cast("int") == F.col("y")).cast("double"))).first()[0]
+    assert hit > 0.6
+
+
+def test_dropout_masks_differ_by_worker_and_step():
+    model = MODELS["ipw"](["f1", "f2"], dropout=0.5)
+    params = model.init(np.random.default_rng(0))
+    losses = [model.gradient(params, batch(), 1, worker, step)[0] for worker in (0, 1) for step in (0, 1)]
+    assert len(set(losses)) == 4 and model.gradient(params, batch(), 1, 1, 1)[0] == losses[-1]
