@@ -19,7 +19,9 @@ more surely; a leaf's sketches let 4.5 standard deviations pass.
 What leaves bring together are candidates; the links are checked on the full sets. A group of candidates that hangs
 together is worked through in one task, where every pair that is not yet connected is looked at. A group of over
 ``most_texts`` texts or ``most_shingles`` shingles is worked through in slices, each with the group's hub, and what then is
-of several components leaf by leaf: no task holds more than a slice or a leaf, and the work is linear in the group.
+of several components leaf by leaf; nodes of branches that did not part, once for all trees, in pairs of slices of half that
+size. So no task holds more than a slice or a leaf, and the work is linear in the group, but for texts that are alike enough
+not to part, and yet of many components: of these it is their square by a thousand.
 
 Equality of shingles and sets rests on 64-bit hashes.
 
@@ -44,6 +46,8 @@ from .simhash_vptree import Forest
 WIDTH, LEAST = 3, 0.85
 TOKENS, TREES, DEPTH, LIMIT, ALIKE = 64, 24, 4, 256, 0.6
 MOST_TEXTS, MOST_SHINGLES = 2_000, 2_000_000
+#: Cells of a table of sets by common values, up to which a task counts all pairs by one product.
+DENSE = 8 << 20
 SHIFT, FACTOR = np.random.default_rng(13).integers(0, 1 << 63, (2, TOKENS), np.uint64)
 FACTOR = FACTOR * np.uint64(2) + np.uint64(1)
 PLACES = np.arange(TOKENS, dtype=np.uint64) << np.uint64(32)
@@ -150,17 +154,26 @@ def _slices(dense: DataFrame, limit: int, spread) -> DataFrame:
     return dense.select("path", "node", "label", F.explode(dealt).alias("i")).select(F.xxhash64("path", "i").alias("path"), "node", "label")
 
 
-def _mixed(rows: DataFrame) -> DataFrame:
-    """The rows whose path holds several labels."""
-    several = rows.groupBy("path").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("path")
+def _mixed(rows: DataFrame, *more) -> DataFrame:
+    """The rows whose path holds several labels, with further aggregates over it."""
+    several = rows.groupBy("path").agg(F.min("label").alias("a"), F.max("label").alias("b"), *more).filter("a < b").drop("a", "b")
     return rows.join(several, "path")
 
 
 def _spread(dense: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
     """Slices of branches that are not of one label, with the nodes spread that are not of their hub's."""
-    named = _mixed(dense.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    named = named.join(labels.select(F.col("node").alias("hub"), F.col("label").alias("chief")), "hub", "left")
-    return _slices(named, limit, F.col("label") != F.coalesce("chief", "hub"))
+    named = dense.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    chief = F.max(F.when(F.col("node") == F.col("hub"), F.col("label"))).alias("chief")
+    return _slices(_mixed(named, chief), limit, F.col("label") != F.col("chief"))
+
+
+def _blocks(dense: DataFrame, known: DataFrame, size: int) -> DataFrame:
+    """(path, node, label): pairs of slices of the nodes (node, root, label) in branches that do not part and hold several labels; all of a group's branches at once, so that no pair comes twice."""
+    several = _mixed(dense.select("path", "node").join(known, "node")).select("root", "node", "label").distinct()
+    parts = written(several.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("h")), "block-counts")
+    own = F.pmod(F.xxhash64("node"), "h").cast("int")
+    cut = several.join(parts, "root").select("root", "node", "label", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("j"))
+    return cut.select(F.xxhash64("root", F.least("i", "j"), F.greatest("i", "j")).alias("path"), "node", "label")
 
 
 def candidates(nodes: DataFrame, small: DataFrame, dense: DataFrame, least: float, limit: int) -> DataFrame:
@@ -235,11 +248,20 @@ class Sets:
         self.sketches = sketch(np.frombuffer(b"".join(table.column("tokens").to_pylist()), "<u4").reshape(-1, TOKENS))
         sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
         self.sizes = np.array([len(x) for x in sets], np.int64)
-        values, place = np.unique(np.concatenate(sets), return_inverse=True)
-        self.parts, self.mark = np.split(place, np.cumsum(self.sizes)[:-1]), np.zeros(len(values), bool)
+        values, place, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        self.parts, self.mark, self.shared = np.split(place, np.cumsum(self.sizes)[:-1]), np.zeros(len(values), bool), None
+        common = np.cumsum(n > 1) - 1  # values of one set alone meet nothing
+        if len(sets) * (n > 1).sum() <= DENSE:
+            row, kept = np.repeat(np.arange(len(sets)), self.sizes), n[place] > 1
+            marks = np.zeros((len(sets), int((n > 1).sum())), np.float32)
+            marks[row[kept], common[place[kept]]] = 1
+            self.shared = (marks @ marks.T).astype(np.int64)  # whole numbers below 2^24
 
     def similar(self, x: int, others: np.ndarray) -> np.ndarray:
         """Those of others whose similarity with x is ``least`` or more."""
+        if self.shared is not None:
+            both = self.shared[x, others]
+            return others[both >= self.least * (self.sizes[others] + self.sizes[x] - both) - 1e-9]
         near = agreeing(self.sketches[others], self.sketches[x]) >= self.enough
         asked = others[near & (np.minimum(self.sizes[others], self.sizes[x]) >= self.least * np.maximum(self.sizes[others], self.sizes[x]) - 1e-9)]
         if not len(asked):
@@ -324,7 +346,8 @@ def clusters(docs: DataFrame, nodes: DataFrame, width: int = WIDTH, least: float
     dealt = F.when(F.col("node") == F.col("root"), F.sequence(F.lit(0), F.col("g") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), "g").cast("int")))
     cut = large.select("root", "node", "set", "tokens", F.explode(dealt).alias("i"))
     known = written(_components_in(cut, ["root", "i"], least).distinct(), "slice-components")
-    some = small.join(known, "node").unionByName(_spread(dense.join(known.select("node"), "node", "left_semi"), known, limit))
+    named = known.join(large.select("node", "root"), "node")
+    some = small.join(known, "node").unionByName(_blocks(dense, named, max(limit, most_texts // 2)))
     rest = written(_mixed(some), "mixed-leaves").join(large.select("node", "set", "tokens"), "node")
     links = written(_links_in(rest, least), "leaf-links")
     root = components(known.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links))

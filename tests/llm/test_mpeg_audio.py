@@ -120,3 +120,20 @@ def test_seek_table_and_a_change_of_kind():
 def test_null_identifiers(spark):
     df = spark.createDataFrame([(None, "a"), (None, "b"), (3, None)], "doc_id bigint, text string")
     assert sorted((r.doc_id is None, r.n_bytes) for r in M.digests(df).collect()) == [(False, 0), (True, 1), (True, 1)]
+
+
+def test_digests_of_the_whole_table(spark, sf_dir):
+    """Every row of the query against the frames as a plain walker finds them in the stored form."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    rows = M.digests(docs).collect()
+    assert len(rows) == len(texts) == docs.count()
+    for r in rows:
+        raw = texts[r.doc_id]
+        data = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        stored = M.encode(data)
+        frames, good, payload, whole = walk(stored)
+        assert whole and payload[: len(data)] == data
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]))
+        assert (r.media_bytes, r.media_sha256, r.n_frames, r.frame_offsets) == (len(stored), hashlib.sha256(stored).hexdigest(), len(frames), [f[0] for f in frames])
+        assert f"crc={good}/{good};" in r.feature and Fraction(r.seconds_num, r.seconds_den) == Fraction(1152 * (len(frames) - 1), 32000)

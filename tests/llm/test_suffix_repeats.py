@@ -129,3 +129,24 @@ def test_equal_windows_have_equal_anchors():
     for p in range(len(text) - 49):
         by[tuple(text[p : p + 50])].add((int(value[p]), int(place[p]) - p))
     assert all(len(x) == 1 for x in by.values())
+
+
+def test_what_windows_of_50_words_leave_and_take(spark):
+    """Why planted passages may stay and clean documents may lose words: the windows are exact and 50 words long."""
+    rnd = random.Random(9)
+    fresh = lambda n: [f"u{rnd.randrange(10**9)}" for _ in range(n)]
+    passage = fresh(80)
+    altered = passage[:40] + ["changed"] + passage[41:]  # 40 and 39 equal words on either side: no window of 50
+    partly = passage[:60] + ["changed"] + passage[61:]  # one run of 60
+    common = fresh(50)
+    rows = [(1, passage + fresh(30)), (2, fresh(30) + altered), (3, fresh(30) + partly), (4, fresh(20) + passage), (5, fresh(40) + common), (6, common + fresh(40))]
+    out = {r.doc_id: r.n_removed for r in S.remove_repeats(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")).collect()}
+    # 2: a planted copy that stays whole; 3: loses the part that fills a window; 6: own words, but one common passage
+    assert out == {1: 0, 2: 0, 3: 60, 4: 80, 5: 0, 6: 50}
+
+
+def test_a_very_long_text(spark):
+    rnd = random.Random(10)
+    words = [f"v{rnd.randrange(5000)}" for _ in range(120_000)]
+    rows = [(1, " ".join(words[40_000:41_000])), (2, " ".join(words)), (3, " ".join(words[:70] + ["x"] + words[90_000:90_049]))]
+    assert got(S.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"))) == brute(rows, 50)
