@@ -1,11 +1,13 @@
-"""Continuous discovery: a network for each node, acyclic by a penalty on the trace of a matrix exponential.
+"""Continuous discovery: a network of any depth for each node, acyclic by a penalty on the trace of a matrix exponential.
 
 The squared error and its gradient are sums over rows: tasks add up their share, the driver takes projected L-BFGS steps
-on the parameters, of which there are about 2 d^2 hidden + d hidden.
+on the parameters, about 2 d^2 hidden + d hidden for one hidden layer, and d times the weights between any further ones.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -72,49 +74,76 @@ def projected_lbfgs(value, x: np.ndarray, low: np.ndarray, high: np.ndarray, ste
 
 
 class CausalRegressionDiscovery:
-    """Augmented Lagrangian over ½/n of the squared error, ½λ2 of squared weights and λ1 of absolute first-layer weights."""
+    """Augmented Lagrangian over ½/n of the squared error, ½λ2 of squared weights and λ1 of absolute first-layer weights.
+
+    hidden: the units of the hidden layer, or of each of several; behind the first one a layer connects only units of the same
+    node. Subproblems run until they converge (``inner_steps`` is their limit).
+    """
 
-    def __init__(self, max_iteration: int = 3, lambda1: float = 0.1, lambda2: float = 0.1, h_tol: float = 1e-8, rho_max: float = 1e16, w_threshold: float = 0.3, hidden: int = 10, inner_steps: int = 60, seed: int = 0):
+    def __init__(self, max_iteration: int = 3, lambda1: float = 0.1, lambda2: float = 0.1, h_tol: float = 1e-8, rho_max: float = 1e16, w_threshold: float = 0.3, hidden: int | Sequence[int] = 10, inner_steps: int = 15_000, seed: int = 0):
         self.max_iteration, self.lambda1, self.lambda2, self.h_tol, self.rho_max, self.w_threshold, self.hidden, self.inner_steps, self.seed = max_iteration, lambda1, lambda2, h_tol, rho_max, w_threshold, hidden, inner_steps, seed
+        self.widths = [hidden] if isinstance(hidden, int) else list(hidden)
+        if not self.widths or min(self.widths) < 1:
+            raise ValueError("a network needs a hidden layer")
         self.weights: np.ndarray | None = None
         self.result = None
 
-    def _unpack(self, flat: np.ndarray, d: int):
-        m = self.hidden
-        n = d * m * d
-        pos, neg = flat[:n].reshape(d, m, d), flat[n : 2 * n].reshape(d, m, d)
-        b1 = flat[2 * n : 2 * n + d * m].reshape(d, m)
-        w2 = flat[2 * n + d * m : 2 * n + 2 * d * m].reshape(d, m)
-        return pos, neg, b1, w2, flat[2 * n + 2 * d * m :]
+    def shapes(self, d: int) -> list[tuple[int, ...]]:
+        """Of the parameters in their order: first layer's positive and negative parts, its offsets, then weights and offsets of each further layer."""
+        m = self.widths[0]
+        out = [(d, m, d), (d, m, d), (d, m)]
+        for a, b in zip(self.widths, [*self.widths[1:], 1], strict=True):
+            out += [(d, a, b), (d, b)]
+        return out
+
+    def _unpack(self, flat: np.ndarray, d: int) -> list[np.ndarray]:
+        out, at = [], 0
+        for shape in self.shapes(d):
+            size = int(np.prod(shape))
+            out.append(flat[at : at + size].reshape(shape))
+            at += size
+        return out
 
     def partial(self, flat: np.ndarray, x: np.ndarray) -> tuple[float, np.ndarray]:
         """½ squared error of rows and its gradient."""
-        d = x.shape[1]
-        pos, neg, b1, w2, b2 = self._unpack(flat, d)
-        hidden = 1 / (1 + np.exp(-(np.einsum("nk,jmk->njm", x, pos - neg) + b1)))
-        error = np.einsum("njm,jm->nj", hidden, w2) + b2 - x
-        back = error[:, :, None] * w2 * hidden * (1 - hidden)
+        pos, neg, b1, *deeper = self._unpack(flat, x.shape[1])
+        layers = list(zip(deeper[::2], deeper[1::2], strict=True))
+        z, inputs = np.einsum("nk,jmk->njm", x, pos - neg) + b1, []
+        for w, b in layers:
+            inputs.append(1 / (1 + np.exp(-z)))
+            z = np.einsum("njm,jmo->njo", inputs[-1], w) + b
+        error = z[:, :, 0] - x
+        back, grads = error[:, :, None], []
+        for (w, _), a in zip(reversed(layers), reversed(inputs), strict=True):
+            grads = [np.einsum("njm,njo->jmo", a, back), back.sum(0), *grads]
+            back = np.einsum("njo,jmo->njm", back, w) * a * (1 - a)
         g1 = np.einsum("njm,nk->jmk", back, x)
-        return 0.5 * float((error**2).sum()), np.concatenate([g1.ravel(), -g1.ravel(), back.sum(0).ravel(), np.einsum("nj,njm->jm", error, hidden).ravel(), error.sum(0)])
+        return 0.5 * float((error**2).sum()), np.concatenate([g.ravel() for g in (g1, -g1, back.sum(0), *grads)])
+
+    def squared(self, rows: DataFrame, flat: np.ndarray) -> DataFrame:
+        """(i, g): ½ squared error of all rows at i = -1, its derivative by each parameter behind it."""
+
+        def run(parts):
+            loss, g = 0.0, np.zeros(len(flat))
+            for pdf in parts:
+                a, b = self.partial(flat, pdf.to_numpy(float))
+                loss, g = loss + a, g + b
+            yield pd.DataFrame({"i": np.arange(-1, len(flat)), "g": np.concatenate([[loss], g])})
+
+        return rows.mapInPandas(run, "i int, g double").groupBy("i").agg(F.sum("g").alias("g"))
 
     def fit(self, source, names: list[str] | None = None, spark=None) -> CausalRegressionDiscovery:
         """source: a DataFrame (names choose columns), or what intake() takes."""
         df = source if isinstance(source, DataFrame) else intake(spark, source, names)
         names = names or df.columns
-        d, m = len(names), self.hidden
-        n_w = d * m * d
+        d, m = len(names), self.widths[0]
+        n_w, shapes = d * m * d, self.shapes(len(names))
+        behind = sum(int(np.prod(s)) for s in shapes[2:])
         means = df.agg(*(F.avg(c).alias(c) for c in names), F.count(F.lit(1)).alias("n")).first()
         rows, n = df.select(*((F.col(c).cast("double") - means[c]).alias(c) for c in names)).cache(), means["n"]
 
         def squared(flat: np.ndarray) -> tuple[float, np.ndarray]:
-            def run(parts):
-                loss, g = 0.0, np.zeros(len(flat))
-                for pdf in parts:
-                    a, b = self.partial(flat, pdf.to_numpy(float))
-                    loss, g = loss + a, g + b
-                yield pd.DataFrame({"i": np.arange(-1, len(flat)), "g": np.concatenate([[loss], g])})
-
-            found = rows.mapInPandas(run, "i int, g double").groupBy("i").agg(F.sum("g").alias("g")).orderBy("i").toPandas()["g"].to_numpy()
+            found = self.squared(rows, flat).orderBy("i").toPandas()["g"].to_numpy()
             return found[0] / n, found[1:] / n
 
         def penalty(flat: np.ndarray) -> tuple[float, np.ndarray]:
@@ -124,12 +153,13 @@ class CausalRegressionDiscovery:
             e = expm(a)
             return float(np.trace(e)) - d, 2 * w * e[:, None, :]  # the derivative by a[i, j] is e[j, i]
 
-        low = np.concatenate([np.zeros(2 * n_w), np.full(2 * d * m + d, -np.inf)])
+        low = np.concatenate([np.zeros(2 * n_w), np.full(behind, -np.inf)])
         own = np.zeros((d, m, d), bool)
         own[np.arange(d), :, np.arange(d)] = True
-        high = np.concatenate([np.where(own, 0.0, np.inf).ravel()] * 2 + [np.full(2 * d * m + d, np.inf)])
+        high = np.concatenate([np.where(own, 0.0, np.inf).ravel()] * 2 + [np.full(behind, np.inf)])
         rnd = np.random.default_rng(self.seed)
-        flat = np.concatenate([np.abs(rnd.normal(0, 0.1, 2 * n_w)), np.zeros(d * m), rnd.normal(0, 0.3, d * m), np.zeros(d)])
+        started = [rnd.normal(0, 0.3, s) if len(s) == 3 else np.zeros(s) for s in shapes[3:]]
+        flat = np.concatenate([np.abs(rnd.normal(0, 0.1, 2 * n_w)), np.zeros(d * m), *(s.ravel() for s in started)])
         rho, alpha, h = 1.0, 0.0, np.inf
         try:
             for _ in range(self.max_iteration):
@@ -138,11 +168,12 @@ class CausalRegressionDiscovery:
                     def value(x):
                         f, g = squared(x)
                         hx, gh = penalty(x)
-                        pos, neg, b1, w2, _ = self._unpack(x, d)
+                        pos, neg, _, *deeper = self._unpack(x, d)
                         w = pos - neg
-                        f += 0.5 * rho * hx * hx + alpha * hx + 0.5 * self.lambda2 * ((w**2).sum() + (w2**2).sum()) + self.lambda1 * x[: 2 * n_w].sum()
+                        f += 0.5 * rho * hx * hx + alpha * hx + 0.5 * self.lambda2 * ((w**2).sum() + sum((v**2).sum() for v in deeper[::2])) + self.lambda1 * x[: 2 * n_w].sum()
                         side = (rho * hx + alpha) * gh + self.lambda2 * w
-                        g = g + np.concatenate([side.ravel() + self.lambda1, -side.ravel() + self.lambda1, np.zeros(d * m), (self.lambda2 * w2).ravel(), np.zeros(d)])
+                        shrunk = [(self.lambda2 * v if k % 2 == 0 else np.zeros_like(v)).ravel() for k, v in enumerate(deeper)]  # offsets are free
+                        g = g + np.concatenate([side.ravel() + self.lambda1, -side.ravel() + self.lambda1, np.zeros(d * m), *shrunk])
                         return f, g
 
                     new = projected_lbfgs(value, flat, low, high, self.inner_steps)

@@ -1,4 +1,4 @@
-"""Two boosted trees of one split each, fitted by the classes and, step for step, in SQL.
+"""Boosted trees of one or two levels, fitted by the classes and, step for step, in SQL.
 
 Bins come from given bounds (every nation, thousands of balance), so that SQL can state them; fitted models are written
 and loaded before they score.
@@ -6,6 +6,7 @@ and loaded before they score.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import partial
 
 from pyspark.sql import functions as F
@@ -18,7 +19,11 @@ from .trees import PANEL, panel_frame
 
 BOUNDS = {"nation": [k + 0.5 for k in range(24)] + [float("inf")], "balance": [1000.0 * k for k in range(10)] + [float("inf")]}
 KINDS = {"gbct": B.GradientBoostingCausalRegressionTree, "did": B.DifferenceInDifferencesRegressionTree, "uplift": B.GradientBoostingUpliftTree, "monotone": B.GradientBoostingCausalRegressionTree, "sampled": B.GradientBoostingCausalRegressionTree, "categorical": B.GradientBoostingCausalRegressionTree}
-TREES, LAMBD, RATE, SHARE = 2, 5.0, 0.1, 0.5
+KINDS |= {"deep": B.GradientBoostingCausalRegressionTree, "stopped": B.GradientBoostingCausalRegressionTree}
+TREES, LAMBD, SHARE = 2, 5.0, 0.5
+RATES = dict.fromkeys(KINDS, 0.1) | {"stopped": 2.2}  # steps so long that validation gets worse
+#: Of the kind that stops early: trees at most, and how many in a row may be no better.
+MOST, PATIENCE = 4, 1
 
 
 def _model(spark, sf_dir, kind: str):
@@ -31,7 +36,9 @@ def _model(spark, sf_dir, kind: str):
         return KINDS["gbct"](config, {"balance": BOUNDS["balance"]}).fit(frame), frame, config
     if kind == "uplift":
         frame = CausalFrame(df.withColumn("y", F.array((F.get("y", F.lit(6)) > 0).cast("double"))), ["nation", "balance"], n_period=1, treat_dt=0)
-    config = B.Config(n_estimators=TREES, max_depth=1, monotone=-1 if kind == "monotone" else 0, subsample=SHARE if kind == "sampled" else 1.0)
+    config = B.Config(n_estimators=TREES, max_depth=2 if kind == "deep" else 1, monotone=-1 if kind == "monotone" else 0, subsample=SHARE if kind == "sampled" else 1.0)
+    if kind == "stopped":
+        config = replace(config, n_estimators=MOST, learning_rate=RATES[kind], n_iter_no_change=PATIENCE)
     return KINDS[kind](config, BOUNDS).fit(frame), frame, config
 
 
@@ -47,6 +54,12 @@ def _effects(kind: str, spark, sf_dir):
     return out.join(model.predict(frame, "eta").select("id", F.round(F.get("eta", F.lit(0)), 6).alias("eta1"), F.round(F.get("eta", F.lit(1)), 6).alias("eta2")), "id") if kind == "did" else out
 
 
+def stopped_trees(spark, sf_dir):
+    """Effects by the trees that an early stop keeps, how many were kept, and how many had been fitted by then."""
+    model, frame, _ = _model(spark, sf_dir, "stopped")
+    return model.predict(frame, "effect").select("id", F.round(F.get("effect", F.lit(0)), 6).alias("effect"), F.lit(len(model.trees)).alias("kept"), F.lit(len(model.valid_losses)).alias("fitted"))
+
+
 def sampled_losses(spark, sf_dir):
     """Validation loss after each tree, over the rows that it did not draw."""
     model, _, _ = _model(spark, sf_dir, "sampled")
@@ -80,8 +93,8 @@ def _draw(k: int) -> str:
     return f"({x} / 4294967296.0)"
 
 
-def _tree(k: int, kind: str, periods: int, t0: int) -> str:
-    """CTEs of one tree over rows{k}: histograms, both sides of every split, costs, the best split, its leaves, the rows after its step."""
+def _stage(k: str, source: str, draw: str, kind: str, periods: int, t0: int) -> str:
+    """CTEs of one level over the nodes of source: histograms, both sides of every split, costs, the best splits, their leaves, where rows are then."""
     logit = kind == "uplift"
     g = lambda p: f"(1 / (1 + exp(-{p})) - y)" if logit else f"2 * ({p} - y)"
     h = lambda p: f"(1 / (1 + exp(-{p}))) * (1 - 1 / (1 + exp(-{p})))" if logit else "2.0::DOUBLE"
@@ -90,26 +103,36 @@ def _tree(k: int, kind: str, periods: int, t0: int) -> str:
     pre = quad("(other + CASE w WHEN 1 THEN eta ELSE -eta END)", "cg", "ch")
     shift = "coalesce(eta, 0)" if kind == "did" else "0.0"
     eta = f"""-sum(CASE WHEN t < {t0} THEN CASE w WHEN 1 THEN cg / n ELSE -cg / n END + CASE w WHEN 1 THEN ch * other / n ELSE -ch * other / n1 END END) / sum(CASE WHEN t < {t0} THEN ch / n END)"""
-    drawn, held = (f" WHERE {_draw(k)} < {SHARE}", f" WHERE {_draw(k)} >= {SHARE}") if kind == "sampled" else ("", "")
     limit = "HAVING min(CASE WHEN t >= {0} THEN -gap END) >= 0".format(t0) if kind == "monotone" else ""
     return f"""
-long{k} AS (SELECT f.feature, CASE f.feature WHEN 0 THEN b0 ELSE b1 END AS bin, w, t, {g('pred')} AS g, {h('pred')} AS h, {g('cpred')} AS cg, {h('cpred')} AS ch FROM rows{k}, (VALUES (0), (1)) f(feature){drawn}),
-hist{k} AS (SELECT feature, bin, w, t, sum(g) AS g, sum(h) AS h, sum(cg) AS cg, sum(ch) AS ch, count(*) AS n FROM long{k} GROUP BY ALL),
-dense{k} AS (SELECT c.feature, c.bin, a.w, p.t, {', '.join(f'coalesce({s}, 0) AS {s}' for s in sums)} FROM (SELECT DISTINCT feature, bin FROM hist{k}) c CROSS JOIN (VALUES (0), (1)) a(w) CROSS JOIN (SELECT unnest(range({periods})) AS t) p LEFT JOIN hist{k} i ON i.feature = c.feature AND i.bin = c.bin AND i.w = a.w AND i.t = p.t),
-runs{k} AS (SELECT feature, bin, w, t, {', '.join(f'sum({s}) OVER u AS l{s}, sum({s}) OVER a AS a{s}' for s in sums)} FROM dense{k} WINDOW u AS (PARTITION BY feature, w, t ORDER BY bin ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY feature, w, t)),
-sides{k} AS (SELECT feature, bin, w, t, 0 AS side, {', '.join(f'l{s} AS {s}' for s in sums)} FROM runs{k} UNION ALL SELECT feature, bin, w, t, 1, {', '.join(f'a{s} - l{s}' for s in sums)} FROM runs{k}),
-est{k} AS (SELECT *, -g / (h + {LAMBD}) AS theta, -(sum(g) OVER q - g) / (sum(h) OVER q - h + {LAMBD}) AS other, max(CASE WHEN w = 1 THEN n END) OVER q AS n1, sum(CASE w WHEN 1 THEN -g / (h + {LAMBD}) ELSE g / (h + {LAMBD}) END) OVER q AS gap FROM sides{k} WINDOW q AS (PARTITION BY feature, bin, side, t)),
-shift{k} AS (SELECT feature, bin, side, {eta} AS eta FROM est{k} WHERE n > 0 AND n1 > 0 GROUP BY ALL),
-part{k} AS (SELECT e.*, {shift} AS eta FROM est{k} e LEFT JOIN shift{k} s USING (feature, bin, side)),
-child{k} AS (SELECT feature, bin, side, sum(CASE WHEN t < {t0} THEN {pre} / (n * {max(1, t0)}) ELSE {quad('theta', 'g', 'h')} / (n * {periods - t0}) END) * (sum(n) FILTER (t = 0)) / 2 AS cost FROM part{k} WHERE n > 0 GROUP BY ALL {limit}),
-allowed{k} AS (SELECT feature, bin FROM (SELECT feature, bin, min(n) AS least, sum(n) FILTER (side = 0 AND w = 1)::DOUBLE AS sl, sum(n) FILTER (side = 0)::DOUBLE AS nl, sum(n) FILTER (side = 1 AND w = 1)::DOUBLE AS sr, sum(n) FILTER (side = 1)::DOUBLE AS nr FROM sides{k} WHERE t = 0 GROUP BY ALL)
+long{k} AS (SELECT node, f.feature, CASE f.feature WHEN 0 THEN b0 ELSE b1 END AS bin, w, t, {g('pred')} AS g, {h('pred')} AS h, {g('cpred')} AS cg, {h('cpred')} AS ch FROM {source}, (VALUES (0), (1)) f(feature){draw}),
+hist{k} AS (SELECT node, feature, bin, w, t, sum(g) AS g, sum(h) AS h, sum(cg) AS cg, sum(ch) AS ch, count(*) AS n FROM long{k} GROUP BY ALL),
+dense{k} AS (SELECT c.node, c.feature, c.bin, a.w, p.t, {', '.join(f'coalesce({s}, 0) AS {s}' for s in sums)} FROM (SELECT DISTINCT node, feature, bin FROM hist{k}) c CROSS JOIN (VALUES (0), (1)) a(w) CROSS JOIN (SELECT unnest(range({periods})) AS t) p LEFT JOIN hist{k} i ON i.node = c.node AND i.feature = c.feature AND i.bin = c.bin AND i.w = a.w AND i.t = p.t),
+runs{k} AS (SELECT node, feature, bin, w, t, {', '.join(f'sum({s}) OVER u AS l{s}, sum({s}) OVER a AS a{s}' for s in sums)} FROM dense{k} WINDOW u AS (PARTITION BY node, feature, w, t ORDER BY bin ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY node, feature, w, t)),
+sides{k} AS (SELECT node, feature, bin, w, t, 0 AS side, {', '.join(f'l{s} AS {s}' for s in sums)} FROM runs{k} UNION ALL SELECT node, feature, bin, w, t, 1, {', '.join(f'a{s} - l{s}' for s in sums)} FROM runs{k}),
+est{k} AS (SELECT *, -g / (h + {LAMBD}) AS theta, -(sum(g) OVER q - g) / (sum(h) OVER q - h + {LAMBD}) AS other, max(CASE WHEN w = 1 THEN n END) OVER q AS n1, sum(CASE w WHEN 1 THEN -g / (h + {LAMBD}) ELSE g / (h + {LAMBD}) END) OVER q AS gap FROM sides{k} WINDOW q AS (PARTITION BY node, feature, bin, side, t)),
+shift{k} AS (SELECT node, feature, bin, side, {eta} AS eta FROM est{k} WHERE n > 0 AND n1 > 0 GROUP BY ALL),
+part{k} AS (SELECT e.*, {shift} AS eta FROM est{k} e LEFT JOIN shift{k} s USING (node, feature, bin, side)),
+child{k} AS (SELECT node, feature, bin, side, sum(CASE WHEN t < {t0} THEN {pre} / (n * {max(1, t0)}) ELSE {quad('theta', 'g', 'h')} / (n * {periods - t0}) END) * (sum(n) FILTER (t = 0)) / 2 AS cost FROM part{k} WHERE n > 0 GROUP BY ALL {limit}),
+allowed{k} AS (SELECT node, feature, bin FROM (SELECT node, feature, bin, min(n) AS least, sum(n) FILTER (side = 0 AND w = 1)::DOUBLE AS sl, sum(n) FILTER (side = 0)::DOUBLE AS nl, sum(n) FILTER (side = 1 AND w = 1)::DOUBLE AS sr, sum(n) FILTER (side = 1)::DOUBLE AS nr FROM sides{k} WHERE t = 0 GROUP BY ALL)
   WHERE least >= 10 AND least((sl - sl * sl / nl) / nl, (sr * sr - sr * sr / (nr + 1e-9)) / (nr + 1e-9)) >= 0.1 * ((sl + sr) / (nl + nr) - ((sl + sr) / (nl + nr)) ** 2)),
-best{k} AS (SELECT feature, bin, sum(cost) AS loss FROM child{k} JOIN allowed{k} USING (feature, bin) GROUP BY feature, bin HAVING count(*) = 2 ORDER BY sum(cost), feature, bin LIMIT 1),
-leaf{k} AS (SELECT p.side, p.w, p.t, p.theta, p.eta FROM part{k} p JOIN best{k} USING (feature, bin)),
-placed{k} AS (SELECT r.*, CASE WHEN CASE b.feature WHEN 0 THEN b0 ELSE b1 END <= b.bin THEN 0 ELSE 1 END AS side FROM rows{k} r, best{k} b),
-rows{k + 1} AS (SELECT r.id, r.w, r.b0, r.b1, r.t, r.y, r.pred + {RATE} * own.theta AS pred, r.cpred + {RATE} * (opp.theta - CASE r.w WHEN 0 THEN own.eta ELSE -own.eta END) AS cpred,
-  r.tau + {RATE} * (CASE r.w WHEN 1 THEN own.theta - opp.theta ELSE opp.theta - own.theta END) AS tau, r.off + {RATE} * own.eta AS off, list_append(r.leaves, r.side + 1) AS leaves, list_append(r.etas, own.eta) AS etas
-  FROM placed{k} r JOIN leaf{k} own ON own.side = r.side AND own.w = r.w AND own.t = r.t JOIN leaf{k} opp ON opp.side = r.side AND opp.w = 1 - r.w AND opp.t = r.t),
+best{k} AS (SELECT node, feature, bin FROM child{k} JOIN allowed{k} USING (node, feature, bin) GROUP BY node, feature, bin HAVING count(*) = 2 QUALIFY row_number() OVER (PARTITION BY node ORDER BY sum(cost), feature, bin) = 1),
+leaf{k} AS (SELECT 2 * node + 1 + p.side AS node, p.w, p.t, p.theta, p.eta FROM part{k} p JOIN best{k} USING (node, feature, bin)),
+placed{k} AS (SELECT r.* REPLACE (CASE WHEN b.node IS NULL THEN r.node WHEN CASE b.feature WHEN 0 THEN b0 ELSE b1 END <= b.bin THEN 2 * r.node + 1 ELSE 2 * r.node + 2 END AS node) FROM {source} r LEFT JOIN best{k} b ON b.node = r.node)"""
+
+
+def _tree(k: int, kind: str, periods: int, t0: int) -> str:
+    """CTEs of one tree over rows{k}: its levels, the leaves, the rows after its step, the validation loss."""
+    drawn, held = (f" WHERE {_draw(k)} < {SHARE}", f" WHERE {_draw(k)} >= {SHARE}") if kind == "sampled" else ("", "")
+    stages, leaves, at = [_stage(f"{k}", f"rows{k}", drawn, kind, periods, t0)], f"leaf{k}", f"placed{k}"
+    if kind == "deep":  # children that cannot be split stay leaves
+        stages.append(_stage(f"{k}b", at, drawn, kind, periods, t0))
+        leaves, at = f"(SELECT * FROM leaf{k} UNION ALL SELECT * FROM leaf{k}b)", f"placed{k}b"
+    rate = RATES[kind]
+    return f"""{','.join(stages)},
+rows{k + 1} AS (SELECT r.id, r.w, r.b0, r.b1, 0 AS node, r.t, r.y, r.pred + {rate} * own.theta AS pred, r.cpred + {rate} * (opp.theta - CASE r.w WHEN 0 THEN own.eta ELSE -own.eta END) AS cpred,
+  r.tau + {rate} * (CASE r.w WHEN 1 THEN own.theta - opp.theta ELSE opp.theta - own.theta END) AS tau, r.off + {rate} * own.eta AS off, list_append(r.leaves, r.node) AS leaves, list_append(r.etas, own.eta) AS etas
+  FROM {at} r JOIN {leaves} own ON own.node = r.node AND own.w = r.w AND own.t = r.t JOIN {leaves} opp ON opp.node = r.node AND opp.w = 1 - r.w AND opp.t = r.t),
 loss{k + 1} AS (SELECT sum(CASE WHEN t < {t0} THEN (y - cpred) ** 2 / {max(1, t0)} ELSE (y - pred) ** 2 / {periods - t0} END) AS loss FROM rows{k + 1}{held})"""
 
 
@@ -119,8 +142,8 @@ def _ctes(kind: str) -> tuple[str, int]:
     nation = "(SELECT code FROM codes WHERE n_nationkey = c_nationkey)" if kind == "categorical" else _bins("c_nationkey", BOUNDS["nation"])
     codes = """codes AS (SELECT n_nationkey, CASE WHEN before < 0.99 * whole THEN (row_number() OVER (ORDER BY n DESC, n_name) - 1)::INT ELSE (count(*) FILTER (before < 0.99 * whole) OVER ())::INT END AS code
   FROM (SELECT n_nationkey, n_name, n, sum(n) OVER (ORDER BY n DESC, n_name ROWS UNBOUNDED PRECEDING) - n AS before, sum(n) OVER () AS whole FROM (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey) JOIN nation ON n_nationkey = c_nationkey)), """ if kind == "categorical" else ""
-    start = f"{codes}rows0 AS (SELECT id, w, {nation} AS b0, {_bins('c_acctbal', BOUNDS['balance'])} AS b1, p.t, {y} AS y, 0.0::DOUBLE AS pred, 0.0::DOUBLE AS cpred, 0.0::DOUBLE AS tau, 0.0::DOUBLE AS off, []::INT[] AS leaves, []::DOUBLE[] AS etas FROM panel, (SELECT unnest(range({periods})) AS t) p)"
-    return f"WITH {PANEL.split(chr(44) + chr(10) + 'binned')[0]}, {start}, {', '.join(_tree(k, kind, periods, t0) for k in range(TREES))}", t0
+    start = f"{codes}rows0 AS (SELECT id, w, {nation} AS b0, {_bins('c_acctbal', BOUNDS['balance'])} AS b1, 0 AS node, p.t, {y} AS y, 0.0::DOUBLE AS pred, 0.0::DOUBLE AS cpred, 0.0::DOUBLE AS tau, 0.0::DOUBLE AS off, []::INT[] AS leaves, []::DOUBLE[] AS etas FROM panel, (SELECT unnest(range({periods})) AS t) p)"
+    return f"WITH {PANEL.split(chr(44) + chr(10) + 'binned')[0]}, {start}, {', '.join(_tree(k, kind, periods, t0) for k in range(MOST if kind == 'stopped' else TREES))}", t0
 
 
 def _sql(kind: str) -> str:
@@ -132,10 +155,22 @@ def _sql(kind: str) -> str:
 
 def _nodes_sql() -> str:
     ctes, _ = _ctes("gbct")
-    gap = lambda k: f"SELECT {k} AS tree, side + 1 AS level_id, max(theta) FILTER (w = 1) - max(theta) FILTER (w = 0) AS d, t FROM leaf{k} GROUP BY side, t"
+    gap = lambda k: f"SELECT {k} AS tree, node AS level_id, max(theta) FILTER (w = 1) - max(theta) FILTER (w = 0) AS d, t FROM leaf{k} GROUP BY node, t"
     return f"{ctes} SELECT tree::INT AS tree, level_id::INT AS level_id, TRUE AS is_leaf, NULL::VARCHAR AS split_feature, -1::INT AS bin, round(max(d) FILTER (t = 6), 6) AS effect, round(avg(d) FILTER (t < 6), 6) AS bias FROM ({' UNION ALL '.join(map(gap, range(TREES)))}) GROUP BY tree, level_id"
 
 
+def _stopped_sql() -> str:
+    """The rule, tree by tree: the first loss that is worse than the best so far, PATIENCE or more trees ago, ends the fit."""
+    ctes, t0 = _ctes("stopped")
+    every = " UNION ALL ".join(f"SELECT {k} AS tree, loss FROM loss{k}" for k in range(1, MOST + 1))
+    rows = " UNION ALL ".join(f"SELECT {k} AS tree, id, t, tau FROM rows{k}" for k in range(1, MOST + 1))
+    return f"""{ctes}, every AS ({every}),
+so_far AS (SELECT a.tree, any_value(a.loss) AS loss, min(b.loss) AS least, arg_min(b.tree, b.loss) AS best FROM every a JOIN every b ON b.tree <= a.tree GROUP BY a.tree),
+ended AS (SELECT coalesce(min(tree) FILTER (loss > least * (1 + {B.Config().tol}) AND tree - best >= {PATIENCE}), {MOST}) AS fitted FROM so_far),
+kept AS (SELECT best::INT AS kept, fitted::INT AS fitted FROM ended JOIN so_far ON tree = fitted)
+SELECT id, round(max(tau) FILTER (t >= {t0}) - coalesce(avg(tau) FILTER (t < {t0}), 0), 6) AS effect, kept, fitted FROM ({rows}) r JOIN kept ON tree = kept GROUP BY id, kept, fitted"""
+
+
 COUNTS = f"{_ctes('gbct')[0]} SELECT f.name AS feature, count(b.feature)::INT AS n, (SELECT round(loss, 4) FROM loss1) AS loss1, (SELECT round(loss, 4) FROM loss2) AS loss2 FROM (VALUES (0, 'nation'), (1, 'balance')) f(i, name) LEFT JOIN (SELECT feature FROM best0 UNION ALL SELECT feature FROM best1) b ON b.feature = f.i GROUP BY f.name"
 LOSSES = f"{_ctes('sampled')[0]} SELECT 0 AS tree, round(loss, 4) AS loss FROM loss1 UNION ALL SELECT 1, round(loss, 4) FROM loss2"
-QUERIES = {f"{kind}_two_trees": (partial(_effects, kind), _sql(kind)) for kind in KINDS} | {"tree_nodes": (tree_nodes, _nodes_sql()), "split_counts": (split_counts, COUNTS), "sampled_losses": (sampled_losses, LOSSES)}
+QUERIES = {f"{kind}_two_trees": (partial(_effects, kind), _sql(kind)) for kind in KINDS if kind != "stopped"} | {"stopped_trees": (stopped_trees, _stopped_sql()), "tree_nodes": (tree_nodes, _nodes_sql()), "split_counts": (split_counts, COUNTS), "sampled_losses": (sampled_losses, LOSSES)}

@@ -9,6 +9,7 @@ from ..functions.columns import merit_ratio, sigmoid
 from ..operators.learners import TLearner
 from ..operators.notears import CausalRegressionDiscovery, expm, projected_lbfgs
 from ..session import table
+from ..sources.causal_source import read_causal
 from ..sources.frames import CausalFrame, batches, intake, key_values, make, read_csv, recode
 from ..sources.shared import new_path
 from ..streaming.scoring import score_stream
@@ -76,6 +77,18 @@ def frame_subset(spark, sf_dir):
     return part.df.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.sum("c_nationkey").alias("nations"), F.sum(F.get("y", F.lit(part.treat_dt))).alias("y")).withColumn("features", F.lit(",".join(part.features)))
 
 
+def source_frame(spark, sf_dir):
+    """The panel with a column for each year, read again by the roles of its columns; both filters go to the files."""
+    path, years = new_path(spark, "panel"), [f"y{k}" for k in range(7)]
+    panel_frame(spark, sf_dir).select("id", "w", "c_acctbal", "c_nationkey", *(F.get("y", F.lit(k)).alias(n) for k, n in enumerate(years))).write.parquet(path)
+    frame = read_causal(spark, path, ["c_acctbal", "c_nationkey"], years, treat_dt=6)
+    rows = frame.df.filter((F.col(frame.treatment) == 1) & (F.col("c_nationkey") < 10))
+    return rows.groupBy(F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"), F.sum(F.get(frame.outcomes, F.lit(0))).alias("first"), F.sum(F.get(frame.outcomes, F.lit(frame.treat_dt))).alias("last"))
+
+
+SOURCE_SQL = f"WITH {PANEL} SELECT c_nationkey::DOUBLE AS nation, count(*) AS n, round(sum(c_acctbal), 2) AS balance, sum(y[1])::DOUBLE AS first, sum(y[7])::DOUBLE AS last FROM panel WHERE w = 1 AND c_nationkey < 10 GROUP BY 1"
+
+
 def loss_by_name(spark, sf_dir):
     """A loss that a configuration names, at a prediction of one half."""
     loss, y, half = make("cauza.operators.losses.Logistic"), (F.get("y", F.lit(6)) > 0).cast("double"), F.lit(0.5)
@@ -166,13 +179,38 @@ def _notears_sql() -> str:
     return f"WITH {PANEL.split(chr(44) + chr(10) + 'binned')[0]}, r AS (SELECT c_acctbal / 3000 AS a, c_nationkey / 8 AS b, id % 16 AS part FROM panel), e AS (SELECT part, {', '.join(errors)} FROM r) SELECT part, round(sum(e0 * e0 + e1 * e1) / 2, 6) AS loss, round(sum(e0), 6) AS g0, round(sum(e1), 6) AS g1 FROM e GROUP BY part"
 
 
+DEEP = CausalRegressionDiscovery(hidden=[4, 3])
+_DEEP_FLAT = np.round(np.random.default_rng(5).normal(0, 0.6, sum(int(np.prod(s)) for s in DEEP.shapes(2))), 3)
+
+
+def notears_deep(spark, sf_dir):
+    """Half the squared error of a network with two hidden layers under fixed weights, and its derivative by each of them."""
+    rows = panel_frame(spark, sf_dir).select((F.col("c_acctbal") / 3000).alias("a"), (F.col("c_nationkey") / 8).alias("b"))
+    return DEEP.squared(rows, _DEEP_FLAT).select("i", F.round("g", 5).alias("g"))
+
+
+def _deep_sql() -> str:
+    pos, neg, b1, w2, b2, w3, b3 = (p.tolist() for p in DEEP._unpack(_DEEP_FLAT, 2))
+    m, o = DEEP.widths
+    sig = lambda terms: f"1 / (1 + exp(-({' + '.join(terms)})))"
+    h1 = [f"{sig([f'({pos[j][k][0] - neg[j][k][0]!r}) * a', f'({pos[j][k][1] - neg[j][k][1]!r}) * b', f'({b1[j][k]!r})'])} AS h{j}{k}" for j in range(2) for k in range(m)]
+    h2 = [f"{sig([*(f'({w2[j][k][q]!r}) * h{j}{k}' for k in range(m)), f'({b2[j][q]!r})'])} AS g{j}{q}" for j in range(2) for q in range(o)]
+    error = [f"{' + '.join(f'({w3[j][q][0]!r}) * g{j}{q}' for q in range(o))} + ({b3[j][0]!r}) - {x} AS e{j}" for j, x in enumerate("ab")]
+    second = [f"e{j} * ({w3[j][q][0]!r}) * g{j}{q} * (1 - g{j}{q}) AS s{j}{q}" for j in range(2) for q in range(o)]
+    first = [f"({' + '.join(f's{j}{q} * ({w2[j][k][q]!r})' for q in range(o))}) * h{j}{k} * (1 - h{j}{k}) AS f{j}{k}" for j in range(2) for k in range(m)]
+    by = [f"f{j}{k} * {x}" for j in range(2) for k in range(m) for x in "ab"]
+    terms = ["(e0 * e0 + e1 * e1) / 2", *by, *(f"-({t})" for t in by), *(f"f{j}{k}" for j in range(2) for k in range(m)), *(f"s{j}{q} * h{j}{k}" for j in range(2) for k in range(m) for q in range(o)), *(f"s{j}{q}" for j in range(2) for q in range(o)), *(f"e{j} * g{j}{q}" for j in range(2) for q in range(o)), "e0", "e1"]
+    return f"WITH {PANEL.split(chr(44) + chr(10) + 'binned')[0]}, r AS (SELECT c_acctbal / 3000 AS a, c_nationkey / 8 AS b FROM panel), h AS (SELECT *, {', '.join(h1)} FROM r), g AS (SELECT *, {', '.join(h2)} FROM h), e AS (SELECT *, {', '.join(error)} FROM g), s AS (SELECT *, {', '.join(second)} FROM e), f AS (SELECT *, {', '.join(first)} FROM s), t AS (SELECT [{', '.join(f'sum({t})' for t in terms)}] AS v FROM f) SELECT (i - 2)::INT AS i, round(v[i], 5) AS g FROM t, range(1, {len(terms) + 1}) p(i)"
+
+
 QUERIES = {
     "kv_parse": (kv_parse, KV_SQL), "csv_recode": (csv_recode, CSV_SQL), "segment_codes": (segment_codes, f"SELECT c_custkey, CASE c_mktsegment {' '.join(f"WHEN '{k}' THEN {v}" for k, v in ARMS.items())} END AS arm FROM customer"),
     "intake_shapes": (intake_shapes, INTAKE_SQL), "batch_union": (batch_union, "SELECT event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY event_type"),
     "frame_subset": (frame_subset, f"WITH {PANEL} SELECT w, count(*) AS n, sum(c_nationkey)::BIGINT AS nations, sum(y[7]) AS y, 'c_nationkey' AS features FROM panel WHERE c_nationkey < 10 GROUP BY w"),
+    "source_frame": (source_frame, SOURCE_SQL),
     "loss_by_name": (loss_by_name, f"WITH {PANEL}, z AS (SELECT w, (y[7] > 0)::INT AS z FROM panel) SELECT w, round(sum(0.5 - 0.5 * z + ln(1 + exp(-0.5))), 6) AS loss, round(sum(1 / (1 + exp(-0.5)) - z), 6) AS grad, round(sum(1 / (1 + exp(-0.5)) * (1 - 1 / (1 + exp(-0.5)))), 6) AS hess FROM z GROUP BY w"),
     "launched": (launched, "SELECT n_regionkey::INT AS place, n_regionkey::INT AS id, 5 AS num, count(*) AS n FROM nation GROUP BY n_regionkey"), "learner_output": (learner_output, OUTPUT_SQL), "stream_scores": (stream_scores, _stream_sql()),
     "merit_guard": (merit_guard, f"WITH {EVT} SELECT g AS \"G\", round(CASE WHEN g = 3 THEN 1 ELSE avg(1 / (1 + exp(-z))) / avg(w) END, 9) AS ratio FROM evt GROUP BY g"),
     "acyclicity": (acyclicity, "WITH r AS (SELECT avg(l_discount) * 20 AS a, avg(l_tax) * 20 AS b FROM lineitem) SELECT 'cycle' AS graph, round(exp(sqrt(a * b)) + exp(-sqrt(a * b)) - 2, 9) AS h FROM r UNION ALL SELECT 'free', 0.0"),
-    "box_minimum": (box_minimum, "SELECT round(greatest(avg(l_discount), 0.2), 2) AS x, round(avg(l_quantity), 2) AS y FROM lineitem"), "notears_loss": (notears_loss, _notears_sql()),
+    "box_minimum": (box_minimum, "SELECT round(greatest(avg(l_discount), 0.2), 2) AS x, round(avg(l_quantity), 2) AS y FROM lineitem"), "notears_loss": (notears_loss, _notears_sql()), "notears_deep": (notears_deep, _deep_sql()),
 }

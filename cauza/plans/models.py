@@ -11,8 +11,6 @@ from .trees import panel_frame
 #: Of each network, with its default mini-batches.
 EPOCHS = 10
 OPTIONS = {"fairco": {"group_count": 5}, "macr": {"user": ["f1"], "item": ["f2"]}}
-#: Steps of a subproblem, which ends when it has converged; the limit of SciPy's L-BFGS-B.
-INNER_STEPS = 15_000
 
 
 def _fit(name: str):
@@ -30,7 +28,7 @@ def notears_adjacency(spark, sf_dir):
     from ..operators.notears import CausalRegressionDiscovery
 
     p = panel_frame(spark, sf_dir).select((F.col("c_acctbal") / 3000).alias("balance"), (F.col("c_nationkey") / 8).alias("nation"), F.get("y", F.lit(0)).alias("first"), F.get("y", F.lit(6)).alias("last"))
-    model = CausalRegressionDiscovery(inner_steps=INNER_STEPS).fit(p)
+    model = CausalRegressionDiscovery().fit(p)
     names = p.columns
     return spark.createDataFrame([(a, b, round(float(model.weights[i, j]), 6)) for i, a in enumerate(names) for j, b in enumerate(names)], "parent string, child string, weight double")
 

@@ -204,6 +204,13 @@ def test_continuous_discovery(spark):
         e = np.zeros_like(flat)
         e[i] = 1e-6
         assert abs((model.partial(flat + e, x)[0] - model.partial(flat - e, x)[0]) / 2e-6 - g[i]) < 1e-4
+    deep = CausalRegressionDiscovery(hidden=[4, 3])
+    flat = r.normal(size=sum(int(np.prod(s)) for s in deep.shapes(3))) * 0.5
+    f, g = deep.partial(flat, x)
+    for i, e in enumerate(np.eye(len(flat)) * 1e-6):
+        assert abs((deep.partial(flat + e, x)[0] - deep.partial(flat - e, x)[0]) / 2e-6 - g[i]) < 1e-4
+    found, _ = CausalRegressionDiscovery(max_iteration=1, hidden=[4, 3], lambda1=0.02, lambda2=0.01, inner_steps=12).fit(df).get_result()
+    assert not found.is_cyclic()
     graph, _ = model.fit(df).get_result()
     pairs = {frozenset(e) for e in graph.edges()}
     assert frozenset("ab") in pairs and not graph.is_cyclic() and len(pairs) <= 2
