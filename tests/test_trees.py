@@ -299,3 +299,23 @@ def test_each_tree_draws_rows_of_its_own():
         for j in range(i):
             assert abs((draws[i] & draws[j]).mean() - 0.25) < 0.02
     assert (T.drawn(units, 1, seed=1) != T.drawn(units, 1)).mean() > 0.99 and T.drawn(units, 3).max() < 1
+
+
+def test_trees_that_cannot_be_split_have_no_rows_as_in_sql(spark, sf_dir, tmp_path):
+    """Treated customers order more after treatment, so that no split has effects of at most 0."""
+    import duckdb
+
+    from cauza.plans import ensembles as E
+
+    customer = pd.read_parquet(f"{sf_dir}/customer.parquet")
+    treated = customer[customer["c_mktsegment"].isin(["AUTOMOBILE", "BUILDING"])]
+    orders = pd.DataFrame({"o_custkey": np.repeat(treated["c_custkey"].to_numpy(), 3), "o_orderdate": pd.Timestamp("2001-05-01").as_unit("us")})
+    customer.to_parquet(f"{tmp_path}/customer.parquet")
+    orders.to_parquet(f"{tmp_path}/orders.parquet")
+    with duckdb.connect() as db:
+        for name in ("customer", "orders"):
+            db.execute(f"CREATE VIEW {name} AS FROM '{tmp_path}/{name}.parquet'")
+        for kind, rows in (("monotone", 0), ("gbct", len(customer))):
+            query, sql = E.QUERIES[f"{kind}_two_trees"]
+            want = sorted(db.execute(sql).fetchall())
+            assert sorted(map(tuple, query(spark, str(tmp_path)).collect())) == want and len(want) == rows
