@@ -319,3 +319,27 @@ def test_trees_that_cannot_be_split_have_no_rows_as_in_sql(spark, sf_dir, tmp_pa
             query, sql = E.QUERIES[f"{kind}_two_trees"]
             want = sorted(db.execute(sql).fetchall())
             assert sorted(map(tuple, query(spark, str(tmp_path)).collect())) == want and len(want) == rows
+
+
+def test_a_fit_sums_over_cells_of_bins_and_arms(spark, monkeypatch):
+    """Levels read a row for each occurring combination of bins and arm, however many rows there are; trees and losses are those of rows."""
+    pdf = panel(700, 6).assign(a=lambda d: d["a"].round(), b=lambda d: d["b"].round())
+    binary = pdf.assign(y=[[float(v > 0) for v in y] for y in pdf["y"]])
+    held = []
+
+    def seen(df, inner=T.checkpointed):
+        out = inner(df)
+        held.append(out.count())
+        return out
+
+    monkeypatch.setattr(T, "checkpointed", seen)
+    for base, rows in ((T.GradientBoostingCausalRegressionTree, pdf), (T.DifferenceInDifferencesRegressionTree, pdf), (T.GradientBoostingUpliftTree, binary)):
+        own = CausalFrame(spark.createDataFrame(rows), ["a", "b"], n_period=PERIODS, treat_dt=T0)
+        by_row = type("ByRow", (base,), {"_cells": lambda self, state: state})
+        models = [cls(T.Config(n_estimators=4, max_depth=2, anchor=3, min_points_per_bin=1)).fit(own) for cls in (base, by_row)]
+        assert held == [k := len(rows[["a", "b", "w"]].drop_duplicates()), k, len(rows), len(rows)] and k < 150
+        held.clear()
+        assert np.allclose(models[0].valid_losses, models[1].valid_losses, rtol=1e-12)
+        one, other = ([(k, x.feature, x.bin, x.theta, x.eta) for t in m.trees for k, x in sorted(t.nodes.items())] for m in models)
+        assert [x[:3] for x in one] == [x[:3] for x in other] and len(one) > 8
+        assert all(np.allclose(x[3], z[3], atol=1e-12) and abs(x[4] - z[4]) < 1e-9 for x, z in zip(one, other, strict=True))
