@@ -16,16 +16,18 @@ def _fit(g: np.ndarray, shape: tuple) -> np.ndarray:
 
 
 class Tensor:
-    """A value with the parents it came from and how its gradient goes back to each."""
+    """A value with the parents it came from and how its gradient goes back to each. Constants, and what is made of constants alone, get no gradient: none is computed for them."""
 
     __array_priority__ = 100
 
-    def __init__(self, value, parents: tuple = ()):
-        self.value, self.parents, self.grad = np.asarray(value, float), parents, None
+    def __init__(self, value, parents: tuple = (), constant: bool = False):
+        self.value, self.grad = np.asarray(value, float), None
+        self.parents = tuple([p for p in parents if not p[0].constant])
+        self.constant = constant or bool(parents) and not self.parents
 
     @staticmethod
     def of(x) -> Tensor:
-        return x if isinstance(x, Tensor) else Tensor(x)
+        return x if isinstance(x, Tensor) else Tensor(x, constant=True)
 
     @property
     def shape(self) -> tuple:
@@ -62,7 +64,10 @@ class Tensor:
     def __getitem__(self, key):
         def back(g):
             out = np.zeros(self.shape)
-            np.add.at(out, key, g)
+            if isinstance(key, np.ndarray) and key.ndim == 1 and len(key) and (key[1:] > key[:-1]).all() and key[0] >= 0:
+                out[key] = g  # rising places: none is met twice
+            else:
+                np.add.at(out, key, g)
             return out
 
         return Tensor(self.value[key], ((self, back),))
@@ -121,7 +126,9 @@ class Tensor:
         self.grad = np.ones(self.shape)
         for node in reversed(order):
             for parent, back in node.parents:
-                g = _fit(np.asarray(back(node.grad), float), parent.shape)
+                g = np.asarray(back(node.grad), float)
+                if g.shape != parent.shape:
+                    g = _fit(g, parent.shape)
                 parent.grad = g if parent.grad is None else parent.grad + g
 
 

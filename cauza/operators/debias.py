@@ -81,10 +81,18 @@ def rbf_sum(a: Tensor, b: Tensor, sigma: float, block: int = 512) -> Tensor:
     ga, gb, total, square = np.zeros_like(x), np.zeros_like(y), 0.0, (y * y).sum(1)
     for at in range(0, len(x), block):
         part = x[at : at + block]
-        k = np.exp(-((part * part).sum(1)[:, None] + square - 2 * part @ y.T) / sigma**2)
-        total += k.sum()
-        ga[at : at + block] = part * k.sum(1)[:, None] - k @ y
-        gb += y * k.sum(0)[:, None] - k.T @ part
+        k = (2 * part) @ y.T  # one array, worked in place
+        k -= (part * part).sum(1)[:, None]
+        k -= square
+        k /= sigma**2
+        np.exp(k, out=k)
+        rows = k.sum(1)
+        total += rows.sum()
+        ga[at : at + block] = part * rows[:, None] - k @ y
+        if a is b and block >= len(x):  # a kernel of rows with themselves is the same both ways
+            gb = ga
+        else:
+            gb += y * k.sum(0)[:, None] - k.T @ part
     return Tensor(total, ((a, lambda g: g * scale * ga), (b, lambda g: g * scale * gb)))
 
 
@@ -173,13 +181,20 @@ class DebiasModel:
 
     def gradient(self, params: dict[str, np.ndarray], pdf: pd.DataFrame, epoch: int = 0, worker: int = 0, step: int = 0) -> tuple[float, dict[str, np.ndarray]]:
         """Loss and gradient, summed over the rows; for moving means and variances those of the batch, times the rows."""
-        p = {k: Tensor(v) for k, v in params.items()}
-        rnd = np.random.default_rng([self.seed, epoch, worker, step, len(pdf)])
-        total = self.loss(p, Tensor(pdf[self.features].to_numpy(float)), pdf[self.label].to_numpy(float), self._side(pdf), rnd)
+        return self._gradient(params, *self._arrays(pdf), epoch, worker, step)
+
+    def _arrays(self, pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+        """Features, label and side columns."""
+        return pdf[self.features].to_numpy(float), pdf[self.label].to_numpy(float), self._side(pdf)
+
+    def _gradient(self, params: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, side: dict[str, np.ndarray], epoch: int, worker: int, step: int) -> tuple[float, dict[str, np.ndarray]]:
+        p, n = {k: Tensor(v) for k, v in params.items()}, len(y)
+        rnd = np.random.default_rng([self.seed, epoch, worker, step, n])
+        total = self.loss(p, Tensor(x, constant=True), y, side, rnd)
         if self.l2:
-            total = total + sum((v * v).sum() for k, v in p.items() if ".w" in k) * (self.l2 * len(pdf))
+            total = total + sum((v * v).sum() for k, v in p.items() if ".w" in k) * (self.l2 * n)
         total.backward()
-        held = lambda k, v: len(pdf) * (params[k] if v.grad is None else v.grad) if is_moving(k) else np.zeros(v.shape) if v.grad is None else v.grad
+        held = lambda k, v: n * (params[k] if v.grad is None else v.grad) if is_moving(k) else np.zeros(v.shape) if v.grad is None else v.grad
         return float(total.value), {k: held(k, v) for k, v in p.items()}
 
     def _descend(self, rows: DataFrame, epochs: int) -> None:
@@ -240,13 +255,15 @@ class DebiasModel:
                     params, m, v = map(parts, np.split(start[0], 3))
                     at, loss, n, worker, step = start[1], 0.0, 0, TaskContext.get().partitionId(), 0
                     for pdf in batches:
+                        x, y, side = self._arrays(pdf)
                         for i in range(0, len(pdf), size):
-                            some = pdf.iloc[i : i + size]
+                            part = slice(i, i + size)
+                            rows = len(y[part])
                             step += 1
-                            one, g = self.gradient(params, some, epoch, worker, step)
+                            one, g = self._gradient(params, x[part], y[part], {k: c[part] for k, c in side.items()}, epoch, worker, step)
                             at += 1
-                            self._adam(params, m, v, {k: x / len(some) for k, x in g.items()}, at)
-                            loss, n = loss + one, n + len(some)
+                            self._adam(params, m, v, {k: x / rows for k, x in g.items()}, at)
+                            loss, n = loss + one, n + rows
                     if n:
                         flat = np.concatenate([[loss, n, at * n], np.concatenate([flatten(params), flatten(m), flatten(v)]) * n])
                         yield pd.DataFrame({"i": np.arange(-3, len(flat) - 3), "g": flat})
@@ -473,8 +490,8 @@ class FAIRCO(_OneTower):
         for k in range(1, self.options["group_count"] + 1):
             own = np.flatnonzero(side["group"] == k)
             exposure = side["weight"][own].astype(float).mean() if len(own) else 0.0
-            ratios.append(merit[own].mean() * (1 / exposure) if exposure > 0 else Tensor(1.0))
-        gap = sum(((a - b).abs() for a in ratios for b in ratios), Tensor(0.0))
+            ratios.append(merit[own].mean() * (1 / exposure) if exposure > 0 else Tensor(1.0, constant=True))
+        gap = sum(((a - b).abs() for i, a in enumerate(ratios) for b in ratios[:i]), Tensor(0.0, constant=True)) * 2.0  # either way round
         return bce(logit, y).sum() + gap * (self.options["w"] * self.options["gamma"] / 2 * len(y))
 
 

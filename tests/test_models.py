@@ -250,3 +250,28 @@ def test_dropout_masks_differ_by_worker_and_step():
     params = model.init(np.random.default_rng(0))
     losses = [model.gradient(params, batch(), 1, worker, step)[0] for worker in (0, 1) for step in (0, 1)]
     assert len(set(losses)) == 4 and model.gradient(params, batch(), 1, 1, 1)[0] == losses[-1]
+
+
+def test_constants_get_no_gradients_and_parameters_those_of_before():
+    """Of rows, labels and weights no gradient is computed; selections with repeated and negative places still add up."""
+    from cauza.operators.autodiff import Tensor
+
+    r = np.random.default_rng(2)
+    x, w, z = Tensor(r.normal(size=(6, 3)), constant=True), Tensor(r.normal(size=(3, 2))), Tensor(r.normal(size=(5, 2)))
+    scaled = x * 2.0 - 1.0
+    out = (scaled @ w * np.arange(6.0)[:, None]).sum() + z[np.array([0, 2, 3])].sum() + z[np.array([1, 1, -1])].sum() * 3.0
+    out.backward()
+    assert x.grad is None and scaled.grad is None and scaled.constant and not out.constant
+    assert np.allclose(w.grad, (scaled.value * np.arange(6.0)[:, None]).sum(0)[:, None])
+    assert z.grad[:, 0].tolist() == [1, 6, 1, 1, 3]
+
+
+def test_kernel_of_rows_with_themselves_has_its_whole_gradient():
+    from cauza.operators.autodiff import Tensor
+    from cauza.operators.debias import rbf_sum
+
+    a = np.random.default_rng(4).normal(size=(20, 3))
+    one, two, other = Tensor(a), Tensor(a), Tensor(a)
+    rbf_sum(one, one, 1.5).backward()
+    rbf_sum(two, other, 1.5).backward()
+    assert np.allclose(one.grad, two.grad + other.grad)
