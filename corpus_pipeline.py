@@ -14,12 +14,14 @@ columns of any name pass through.
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cauza.llm import bpe_codec, budget_mix, byte_gru, exact_dedup, simhash_similar
-from cauza.llm.common import among, leave, written
+from cauza.llm.common import among, give_back, leave, written
 
 #: Of the way from chance to certainty that the score of the best language must go; see language().
 LEAST_CONFIDENCE = 1 / 3
@@ -73,7 +75,18 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [("language", language), ("exact_dedup", exact), ("simhash_near_dedup", near), ("budget_mix", mixed), ("bpe_codec", encoded)]
+def _lean(stage):
+    """The stage, before which executors give back the memory that earlier stages made them take: else heaps only grow, and the last stages find no room beside them."""
+
+    @wraps(stage)
+    def out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        give_back(spark)
+        return stage(spark, docs, sf_dir)
+
+    return out
+
+
+STAGES = [(name, _lean(stage)) for name, stage in (("language", language), ("exact_dedup", exact), ("simhash_near_dedup", near), ("budget_mix", mixed), ("bpe_codec", encoded))]
 
 #: A recurrent network and a merge table are not SQL; tests hold run() against a plain version instead.
 ORACLE_SQL = None

@@ -145,3 +145,14 @@ def test_mixing_cuts_at_the_budget(spark):
     assert {r.doc_id: len(r.text.split()) for r in out} == {k: v for k, v in taken.items() if v}
     cut = [r for r in out if r.text != whole[r.doc_id]]
     assert 1 <= len(cut) <= 2 and all(whole[r.doc_id].startswith(r.text) and r.n_chars == len(r.text) for r in cut)
+
+
+def test_stages_begin_with_little_heap(spark, sf_dir):
+    """What earlier work left on the heap is returned before a stage begins."""
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    held = spark.range(40_000_000).selectExpr("collect_list(id % 100000) AS x").selectExpr("size(x)")
+    assert held.first()[0] == 40_000_000
+    before, seen = heap.totalMemory(), []
+    C._lean(lambda *_: seen.append(heap.totalMemory()))(spark, None, sf_dir)
+    assert seen[0] < before / 2
+    assert all(stage.__wrapped__ for _, stage in C.STAGES)
