@@ -171,21 +171,21 @@ class Net:
 
 
 class Runner:
-    """States of lanes, stepped in one or both directions at once: [directions, lanes, hidden]. Gates lie in separate rows, so that numpy works on whole arrays; halves from the sigmoids, 0.5 tanh(x / 2) + 0.5, are worked into the tables. The last SPAN states are kept, and scored together."""
+    """States of lanes, stepped in one or both directions at once: [directions, lanes, hidden]. Gates lie in separate rows, so that numpy works on whole arrays; sigmoids are 1 / (1 + exp(-x)) and tanh is 2 / (1 + exp(-2 x)) - 1, as an exp costs half a tanh where numpy has no AVX-512, the signs and the 2 are worked into the tables, and a gate's division is the one by 1 + exp(-x). The last SPAN states are kept, and scored together."""
 
     def __init__(self, net: Net, ways: str, n: int):
         h, p = net.hidden, net.p
         self.states, self.i, self.saved = np.zeros((SPAN + 1, len(ways), n, h), np.float32), 0, []
         split = lambda x: x.reshape(*x.shape[:-1], 3, h)
-        scale = np.array([0.5, 0.5, 1], np.float32)[:, None]
+        scale = np.array([-1, -1, -2], np.float32)[:, None]
         rows = np.stack([split(p[f"w{w}"]) * scale for w in ways])  # direction, byte, gate
         self.rows = np.ascontiguousarray(rows.transpose(2, 0, 1, 3)).reshape(-1, h)  # gate, direction, byte
-        self.u = np.ascontiguousarray(np.stack([split(p[f"u{w}"]) for w in ways]).transpose(2, 0, 1, 3) * np.float32(0.5))
-        self.c = np.stack([p[f"c{w}"] for w in ways])[:, None, :] * np.float32(0.5)
+        self.u = np.ascontiguousarray(np.stack([split(p[f"u{w}"]) * scale for w in ways]).transpose(2, 0, 1, 3))
+        self.c = np.repeat(np.stack([p[f"c{w}"] for w in ways])[:, None, :] * np.float32(-2), n, axis=1)
         self.v = np.stack([p[f"v{w}"].T for w in ways])
         self.at = (np.arange(3 * len(ways)) * 256).reshape(3, len(ways), 1)
-        self.own = np.empty((3, len(ways), n, h), np.float32)
-        self.pre, self.half = np.empty_like(self.own), np.empty((len(ways), n, h), np.float32)
+        self.own, self.pre = np.empty((3, len(ways), n, h), np.float32), np.empty((3, len(ways), n, h), np.float32)
+        self.parts = self.pre[:2], self.own[:2], self.pre[0], self.pre[1], self.pre[2], self.own[2]
 
     @property
     def h(self) -> np.ndarray:
@@ -197,23 +197,24 @@ class Runner:
 
     def step(self, byte: np.ndarray) -> None:
         """One more byte in each lane, byte: [directions, lanes]."""
-        h, after, own, pre, half = self.states[self.i], self.states[self.i + 1], self.own, self.pre, self.half
-        np.take(self.rows, self.at + byte, axis=0, out=pre, mode="clip")
-        np.matmul(h, self.u, out=own)
-        rz, n, last = pre[:2], pre[2], own[2]
-        rz += own[:2]
-        np.tanh(rz, out=rz)
-        last += self.c
-        n += last
-        last *= rz[0]
-        n += last
-        np.tanh(n, out=n)
+        h, after, (gates, own, r, z, n, last) = self.states[self.i], self.states[self.i + 1], self.parts
+        self.rows.take(self.at + byte, axis=0, out=self.pre, mode="clip")
+        np.matmul(h, self.u, out=self.own)
+        gates += own
+        with np.errstate(over="ignore"):  # a gate is 0 then
+            np.exp(gates, out=gates)
+            gates += 1
+            last += self.c
+            last /= r
+            n += last
+            np.exp(n, out=n)
+        n += 1
+        np.divide(2, n, out=n)
+        n -= 1
         # h = n + z (h - n)
-        np.subtract(h, n, out=half)
-        half *= rz[1]
-        half += h
-        half += n
-        np.multiply(half, np.float32(0.5), out=after)
+        np.subtract(h, n, out=after)
+        after /= z
+        after += n
         self.i += 1
 
     def clear(self, way: int, lanes: list[int]) -> None:
@@ -286,7 +287,7 @@ def scored(net: Net, texts: list[bytes], held: int = HELD):
                 some *= known[:, None, :]
             yield owner[at:end], some
 
-    if steps * n * k <= held:
+    if steps * n * k <= held + held // 4:  # what uneven ends of lanes add to a part's scores; blocks would read it twice
         run, x = Runner(net, "fb", n), np.zeros((steps, k, n), np.float32)
         both = np.empty((2, n), np.uint8)
         for t in range(steps):

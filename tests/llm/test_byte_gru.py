@@ -170,3 +170,23 @@ def test_states_of_parts_are_computed_once(monkeypatch):
         for part in G.by_length(batch, 0, 4, held):
             G.pooled(net, G.as_bytes(part.column(0)), held)
         assert sum(read) < 2 * 1.3 * sum(sizes)
+
+
+def test_a_step_takes_no_tanh(monkeypatch):
+    """An exp is half a tanh where numpy has no AVX-512; gates far beyond its range are still 0 and 1."""
+    net = G.Net(["a", "b"], 4)
+    for way in "fb":
+        net.p["w" + way][ord("x")] *= 1000
+    monkeypatch.setattr(G.np, "tanh", None)
+    got = G.pooled(net, [b"axbxa" * 20])
+    assert np.isfinite(got).all() and abs(got.sum() - 1) < 1e-5
+
+
+def test_uneven_lanes_are_read_once(monkeypatch):
+    """Scores a little beyond those held, by uneven ends of lanes, do not make states be computed twice."""
+    net, read = G.Net(["a", "b", "c", "d"], 1), []
+    step = G.Runner.step
+    monkeypatch.setattr(G.Runner, "step", lambda self, byte: (read.append(byte.size), step(self, byte))[1])
+    texts = [b"x" * 1000] * 10
+    G.pooled(net, texts, 4 * sum(map(len, texts)) * 9 // 10)
+    assert sum(read) == 2 * sum(map(len, texts))
