@@ -9,8 +9,11 @@ on the average, two of similarity ``least`` meet again in one child, and unlike
 Spark counts them by path, and each level is one exchange of the rows whose path has several nodes. A branch of ``limit``
 nodes or fewer is a leaf: its nodes are compared exhaustively by sketches (4 bits of each token). One that is larger
 branches again, ``depth`` times at most, and no more once it keeps ALIKE of its parent's nodes: these are too alike to
-part. It is compared in slices, each with the branch's least node, its hub; and when it is known what hangs together, each
-node that does not hang together with the hub is compared with every slice.
+part. It is compared in slices, each with the branch's least node, its hub. When it is known what hangs together, the nodes of
+such branches as hold several components come together at the rarest of ASKED tokens, all branches at once: two of
+similarity ``least`` have 17 of 32 in common with 1 - 4*10^-6, so that one is among the 16 rarest of both. What all texts of
+a branch have in common, a passage say, is rare in none, and so these leaves stay small. One of over ``limit`` nodes is
+compared in pairs of slices, but nodes of its most frequent component not with one another.
 
 A pair of similarity ``least`` survives a level in a tree with 1 - 1/e = 0.63, two with 0.47, three with 0.37, four with
 0.31, so that TREES = 24 independent trees find it with 1 - 4*10^-11, 1 - 3*10^-7, 1 - 10^-5 and 0.9999, more alike ones
@@ -20,8 +23,9 @@ What leaves bring together are candidates; the links are checked on the full set
 together is worked through in one task, where every pair that is not yet connected is looked at. A group of over
 ``most_texts`` texts or ``most_shingles`` shingles is worked through in slices, each with the group's hub, and what then is
 of several components leaf by leaf; nodes of branches that did not part, once for all trees, in pairs of slices of half that
-size. So no task holds more than a slice or a leaf, and the work is linear in the group, but for texts that are alike enough
-not to part, and yet of many components: of these it is their square by a thousand.
+size. So no task holds more than two slices or a leaf, and the work is linear in the group, but for texts that share even
+their rarest tokens with over ``limit`` others, and yet are of many components: of these rows are their square by ``limit``
+while candidates are sought, and by a thousand while these are checked.
 
 Equality of shingles and sets rests on 64-bit hashes.
 
@@ -46,6 +50,8 @@ from .simhash_vptree import Forest
 WIDTH, LEAST = 3, 0.85
 TOKENS, TREES, DEPTH, LIMIT, ALIKE = 64, 24, 4, 256, 0.6
 MOST_TEXTS, MOST_SHINGLES = 2_000, 2_000_000
+#: Tokens of which the rarest bring nodes of unparted branches together.
+ASKED = 32
 #: Cells of a table of sets by common values, up to which a task counts all pairs by one product.
 DENSE = 8 << 20
 SHIFT, FACTOR = np.random.default_rng(13).integers(0, 1 << 63, (2, TOKENS), np.uint64)
@@ -87,6 +93,11 @@ def least_agreeing(least: float) -> int:
     return int(TOKENS * p - 4.5 * (TOKENS * p * (1 - p)) ** 0.5)
 
 
+def least_equal(least: float) -> int:
+    """As many of ASKED tokens as sets of similarity ``least`` have in common, less 5 standard deviations."""
+    return max(1, int(ASKED * least - 5 * (ASKED * least * (1 - least)) ** 0.5))
+
+
 def chosen(tokens: np.ndarray, branch: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """(row, path of the child) for each token that a row's branch chooses."""
     value = _mix(tokens ^ branch[:, None])
@@ -154,17 +165,45 @@ def _slices(dense: DataFrame, limit: int, spread) -> DataFrame:
     return dense.select("path", "node", "label", F.explode(dealt).alias("i")).select(F.xxhash64("path", "i").alias("path"), "node", "label")
 
 
-def _mixed(rows: DataFrame, *more) -> DataFrame:
-    """The rows whose path holds several labels, with further aggregates over it."""
-    several = rows.groupBy("path").agg(F.min("label").alias("a"), F.max("label").alias("b"), *more).filter("a < b").drop("a", "b")
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows whose path holds several labels."""
+    several = rows.groupBy("path").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").drop("a", "b")
     return rows.join(several, "path")
 
 
-def _spread(dense: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
-    """Slices of branches that are not of one label, with the nodes spread that are not of their hub's."""
-    named = dense.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    chief = F.max(F.when(F.col("node") == F.col("hub"), F.col("label"))).alias("chief")
-    return _slices(_mixed(named, chief), limit, F.col("label") != F.col("chief"))
+def _rare(asked: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """(path, node, label): nodes (node, label) at their rarest tokens, so many that two of similarity ``least`` share one; tokens of one node alone are left out."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                tokens = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u4").reshape(-1, TOKENS)[:, :ASKED] + PLACES[:ASKED]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(np.arange(len(tokens)), ASKED))), pa.array(tokens.reshape(-1).view(np.int64))], ["node", "path"])
+
+    common = least_equal(least)  # and so one of the ASKED + 1 - common rarest ones
+    tokens = asked.select("node").join(nodes.select("node", "tokens"), "node").select("node", "tokens").mapInArrow(lean(run), "node bigint, path bigint")
+    tokens = written(tokens, "tokens")
+    held = tokens.join(tokens.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "path")
+    order = F.sort_array(F.collect_list(F.struct("n", "path")))
+    first = held.groupBy("node").agg(order.alias("x")).filter(F.size("x") >= common)  # those of one node are rarer still
+    first = first.select("node", F.explode(F.slice("x", F.lit(1), F.size("x") + 1 - common)).alias("x"))
+    return first.select(F.col("x.path").alias("path"), "node").join(asked, "node").select("path", "node", "label")
+
+
+def _cells(rows: DataFrame, limit: int) -> DataFrame:
+    """Leaves (path, node, label) with several labels; of a larger one than ``limit`` pairs of slices, of which one at least has nodes that are not of its most frequent label. No pair of nodes comes in two of a leaf's cells, unless both are of one slice."""
+    labels = rows.groupBy("path", "label").agg(F.count(F.lit(1)).alias("n"))
+    most = F.max(F.struct("n", "label")).alias("most")
+    size = labels.groupBy("path").agg(F.sum("n").alias("n"), most).filter("n > most.n")
+    other, cut = F.col("label") != F.col("most.label"), F.col("n") > limit
+    parts = lambda n: F.when(cut, F.ceil(n / limit)).otherwise(1).cast("int")
+    named = rows.join(written(size, "leaf-sizes"), "path").withColumns({"few": parts(F.col("n") - F.col("most.n")), "many": parts(F.col("most.n"))})
+    deal = lambda n: F.pmod(F.xxhash64("node", "path"), n).cast("int")
+    own = F.when(~cut, 0).when(other, deal(F.col("few"))).otherwise(F.col("few") + deal(F.col("many")))
+    with_ = F.when(~cut, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("few") - 1 + F.when(other, F.col("many")).otherwise(0)))
+    dealt = named.select("path", "node", "label", own.alias("i"), F.explode(with_).alias("j"))
+    return dealt.select(F.xxhash64("path", F.least("i", "j"), F.greatest("i", "j")).alias("path"), "node", "label")
 
 
 def _blocks(dense: DataFrame, known: DataFrame, size: int) -> DataFrame:
@@ -183,7 +222,11 @@ def candidates(nodes: DataFrame, small: DataFrame, dense: DataFrame, least: floa
     root = written(components(compared(first, nodes, least)), "labels")
     if dense.isEmpty():
         return root
-    more = written(compared(_spread(dense, root.withColumnRenamed("root", "label"), limit), nodes, least), "label-links")
+    named = dense.join(root.withColumnRenamed("root", "label"), "node", "left").select("path", "node", F.coalesce("label", "node").alias("label"))
+    asked = written(_mixed(named).select("node", "label").distinct(), "mixed-nodes")
+    if asked.isEmpty():
+        return root
+    more = written(compared(_cells(written(_rare(asked, nodes, least), "rare-tokens"), limit), nodes, least), "label-links")
     if more.isEmpty():
         return root
     return written(components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "labels")

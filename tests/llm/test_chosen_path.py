@@ -129,3 +129,54 @@ def test_recall_of_the_trees(spark):
     assert met(256, 1) == 1.0
     assert met(1, 4) >= 0.99
     assert C.agreeing(C.sketch(np.stack(values[::2])), C.sketch(np.stack(values[1::2]))).min() >= C.least_agreeing(0.85)
+
+
+def passages(n):
+    """Minwise values of n nodes that have a passage in common, and of a near copy of every tenth."""
+    rnd = np.random.default_rng(8)
+    own = rnd.integers(0, 1 << 32, (n, C.TOKENS), np.uint32)
+    own[:, ::3] = own[0, ::3]
+    near = own[::10].copy()
+    near[:, 1::7] = rnd.integers(0, 1 << 32, (len(near), 9), np.uint32)
+    return np.concatenate([own, near])
+
+
+def test_a_passage_in_common_costs_no_square(spark, monkeypatch):
+    """Nodes of a branch that does not part, of many components, were compared slice by slice, each with all of them."""
+    compared, met = C.compared, []
+
+    def counted(found, nodes, least):
+        met.append([r["count"] for r in found.groupBy("path").count().collect()])
+        return compared(found, nodes, least)
+
+    monkeypatch.setattr(C, "compared", counted)
+    for n in (600, 1200):
+        tokens = passages(n)
+        nodes = spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(tokens)], "node bigint, tokens binary")
+        dense = nodes.select(F.lit(1).cast("long").alias("path"), "node", F.lit(len(tokens)).cast("long").alias("n"), F.lit(0).cast("long").alias("hub"))
+        small = dense.limit(0).select("path", "node")
+        met.clear()
+        of = {r.node: r.root for r in C.candidates(nodes, small, dense, 0.85, 50).collect()}
+        assert all(of[10 * i] == of[n + i] for i in range(n // 10))
+        assert len(set(of.values())) == n // 10
+        first, second = met
+        assert sum(second) <= 30 * len(tokens) and sum(x * x for x in second) <= 100 * len(tokens)
+
+
+def test_cells_bring_all_pairs_of_labels_together(spark):
+    """Every two nodes of a leaf that have several labels meet once, in cells of two slices or fewer; a leaf of one label has none."""
+    label = {i: 0 if i < 150 else i for i in range(260)}
+    rows = [(1, i, label[i]) for i in label] + [(2, i, 7) for i in range(90)] + [(3, 1000 + i, i) for i in range(5)]
+    frame = spark.createDataFrame(rows, "path bigint, node bigint, label bigint")
+    cells = {}
+    for r in C._cells(frame, 20).collect():
+        cells.setdefault(r.path, []).append((r.node, r.label))
+    met = {}
+    for own in cells.values():
+        assert len(own) <= 90
+        for k, (a, x) in enumerate(own):
+            for b, y in own[:k]:
+                if x != y:
+                    met[min(a, b), max(a, b)] = 1
+    assert set(met) == {(a, b) for a in label for b in label if a < b and label[a] != label[b]} | {(1000 + a, 1000 + b) for b in range(5) for a in range(b)}
+    assert sum(map(len, cells.values())) <= 5 + 110 * 18 + 150 * 8
