@@ -37,8 +37,8 @@ WINDOW, HIDDEN = 128, 16
 #: Labelled documents of each language, updates, windows of an update, step size.
 ROWS, UPDATES, BATCH, RATE = 250, 300, 128, 0.02
 FOLDS = 5
-#: Lanes side by side, and the most scores that are held at once.
-LANES, HELD = 512, 16 << 20
+#: Lanes side by side, and the most scores that are held at once: 192 MB. The more, the more lanes share the steps of a long text.
+LANES, HELD = 512, 48 << 20
 #: What a step costs whatever the number of lanes, in lanes.
 STEP = 100
 #: Steps whose scores are taken together.
@@ -196,18 +196,17 @@ class Runner:
         return self.i == SPAN
 
     def step(self, byte: np.ndarray) -> None:
-        """One more byte in each lane, byte: [directions, lanes]."""
+        """One more byte in each lane, byte: [directions, lanes]. Where an exp overflows a gate is 0; callers ignore that, once for many steps."""
         h, after, (gates, own, r, z, n, last) = self.states[self.i], self.states[self.i + 1], self.parts
         self.rows.take(self.at + byte, axis=0, out=self.pre, mode="clip")
         np.matmul(h, self.u, out=self.own)
         gates += own
-        with np.errstate(over="ignore"):  # a gate is 0 then
-            np.exp(gates, out=gates)
-            gates += 1
-            last += self.c
-            last /= r
-            n += last
-            np.exp(n, out=n)
+        np.exp(gates, out=gates)
+        gates += 1
+        last += self.c
+        last /= r
+        n += last
+        np.exp(n, out=n)
         n += 1
         np.divide(2, n, out=n)
         n -= 1
@@ -290,18 +289,19 @@ def scored(net: Net, texts: list[bytes], held: int = HELD):
     if steps * n * k <= held + held // 4:  # what uneven ends of lanes add to a part's scores; blocks would read it twice
         run, x = Runner(net, "fb", n), np.zeros((steps, k, n), np.float32)
         both = np.empty((2, n), np.uint8)
-        for t in range(steps):
-            back = steps - 1 - t
-            if t in starts:
-                run.clear(0, starts[t])
-            if back in ends:
-                run.clear(1, ends[back])
-            both[0], both[1] = data[t], data[back]
-            run.step(both)
-            if run.full or not back:
-                score = run.scores()
-                x[t + 1 - len(score) : t + 1] += score[:, 0]
-                x[back : back + len(score)] += score[::-1, 1]
+        with np.errstate(over="ignore"):
+            for t in range(steps):
+                back = steps - 1 - t
+                if t in starts:
+                    run.clear(0, starts[t])
+                if back in ends:
+                    run.clear(1, ends[back])
+                both[0], both[1] = data[t], data[back]
+                run.step(both)
+                if run.full or not back:
+                    score = run.scores()
+                    x[t + 1 - len(score) : t + 1] += score[:, 0]
+                    x[back : back + len(score)] += score[::-1, 1]
         yield from finish(0, steps, x)
         return
 
@@ -311,14 +311,15 @@ def scored(net: Net, texts: list[bytes], held: int = HELD):
     first, second = Runner(net, "f", n), Runner(net, "b", n)
 
     def forward(a: int, b: int, out: np.ndarray | None) -> None:
-        for t in range(a, b):
-            if t in starts:
-                first.clear(0, starts[t])
-            first.step(data[t][None])
-            if first.full or t == b - 1:
-                score = first.scores()
-                if out is not None:
-                    out[t + 1 - len(score) - a : t + 1 - a] = score[:, 0]
+        with np.errstate(over="ignore"):
+            for t in range(a, b):
+                if t in starts:
+                    first.clear(0, starts[t])
+                first.step(data[t][None])
+                if first.full or t == b - 1:
+                    score = first.scores()
+                    if out is not None:
+                        out[t + 1 - len(score) - a : t + 1 - a] = score[:, 0]
 
     for a, b in zip(cuts, cuts[1:]):
         kept[a] = first.h.copy()
@@ -328,13 +329,14 @@ def scored(net: Net, texts: list[bytes], held: int = HELD):
         x = np.empty((b - a, k, n), np.float32)
         first.h[:] = kept.pop(a)
         forward(a, b, x)
-        for t in range(b - 1, a - 1, -1):
-            if t in ends:
-                second.clear(0, ends[t])
-            second.step(data[t][None])
-            if second.full or t == a:
-                score = second.scores()
-                x[t - a : t - a + len(score)] += score[::-1, 0]
+        with np.errstate(over="ignore"):
+            for t in range(b - 1, a - 1, -1):
+                if t in ends:
+                    second.clear(0, ends[t])
+                second.step(data[t][None])
+                if second.full or t == a:
+                    score = second.scores()
+                    x[t - a : t - a + len(score)] += score[::-1, 0]
         yield from finish(a, b, x)
 
 

@@ -2,6 +2,7 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from cauza.llm import byte_gru as G
 
@@ -190,3 +191,15 @@ def test_uneven_lanes_are_read_once(monkeypatch):
     texts = [b"x" * 1000] * 10
     G.pooled(net, texts, 4 * sum(map(len, texts)) * 9 // 10)
     assert sum(read) == 2 * sum(map(len, texts))
+
+
+def test_long_texts_share_their_steps():
+    """Of a task's texts, the longest ones had so few beside them that what a step costs whatever its lanes was as much as the lanes' share."""
+    rnd = np.random.default_rng(4)
+    sizes = np.r_[76_000, rnd.integers(20_000, 30_000, 200), rnd.integers(500, 4_000, 7_800)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * n for n in sizes.tolist()])], ["text"])
+    work = 0
+    for part in G.by_length(batch, 0, 4):
+        own = np.array([len(x) for x in part.column(0).to_pylist()])
+        work += max(own[lane].sum() for lane in G.lanes(own)) * (len(G.lanes(own)) + G.STEP)
+    assert work <= 1.7 * sizes.sum()
