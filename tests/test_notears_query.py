@@ -55,3 +55,24 @@ def test_passes_read_blocks_and_sum_all_rows(spark):
             step[i] = 1e-5
             ends = [loss(*own._unpack(flat + s * step, 3)) for s in (1, -1)]
             assert np.isclose(got[i + 1], (ends[0] - ends[1]) / 2e-5, rtol=1e-4, atol=1e-2)
+
+
+def test_rounds_go_on_until_the_graph_is_acyclic(spark, sf_dir, monkeypatch):
+    """No number of rounds ends the query before h_tol does, here by subproblems that halve all weights."""
+    made, ends = [], []
+
+    class Seen(notears.CausalRegressionDiscovery):
+        def fit(self, df, names=None):
+            made.append(self)
+            return super().fit(df, names)
+
+    def halved(value, x, low, high, limit=50):
+        out = np.clip(x, low, high) / 2
+        pos, neg, *_ = made[0]._unpack(out, 4)
+        ends.append(float(np.trace(notears.expm(((pos - neg) ** 2).sum(1).T))) - 4)
+        return out
+
+    monkeypatch.setattr(notears, "CausalRegressionDiscovery", Seen)
+    monkeypatch.setattr(notears, "projected_lbfgs", halved)
+    assert models.notears_adjacency(spark, sf_dir).count() == 16
+    assert ends[-1] <= made[0].h_tol < ends[-2] and len(ends) > 3
